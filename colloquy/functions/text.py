@@ -108,38 +108,41 @@ def merge_speaker_text(c: Column) -> Column:
 
 
 # ------------------------------------------------------------------- numerals
-def chinese_numeral(c: Column) -> Column:
-    """Value of a Chinese numeral; NULL for zero, other characters or nothing.
+def _numeral_value(run: Column) -> Column:
+    """Value of a run of numeral characters, by a fold over (total, section, digit).
 
-    The state is (total, section, digit): small units close a digit into the
-    section, large units close the section into the total.
+    Small units close a digit into the section, large units close the section
+    into the total. Each character becomes one weight: digits as they are,
+    units by their size.
     """
-    zero = F.lit(0).cast("long")
-    digit = F.create_map(*[F.lit(x) for kv in CN_DIGITS.items() for x in kv])
-    small = F.create_map(*[F.lit(x) for kv in CN_SMALL_UNITS.items() for x in kv])
-    large = F.create_map(*[F.lit(x) for kv in CN_LARGE_UNITS.items() for x in kv])
+    weights = {**CN_DIGITS, **CN_SMALL_UNITS, **CN_LARGE_UNITS}
+    codes = "".join(chr(ord("A") + i) for i in range(len(weights)))
+    table = F.array(*[F.lit(int(w)).cast("long") for w in weights.values()])
+    values = F.transform(F.split(F.translate(run, "".join(weights), codes), ""),
+                         lambda ch: F.get(table, F.ascii(ch) - ord("A")))
 
-    def state(total, section, current, ok):
+    def state(total, section, digit):
         return F.struct(total.cast("long").alias("total"), section.cast("long").alias("section"),
-                        current.cast("long").alias("current"), ok.alias("ok"))
+                        digit.cast("long").alias("digit"))
+
+    zero = F.lit(0).cast("long")
+    least_large = min(CN_LARGE_UNITS.values())
 
-    def step(acc: Column, ch: Column) -> Column:
-        d, s, b = F.element_at(digit, ch), F.element_at(small, ch), F.element_at(large, ch)
-        section = acc["section"] + acc["current"]
+    def step(acc: Column, w: Column) -> Column:
+        section = acc["section"] + acc["digit"]
         return (
-            F.when(d.isNotNull(), state(acc["total"], acc["section"], d, acc["ok"]))
-            .when(s.isNotNull(), state(
-                acc["total"], acc["section"] + F.greatest(acc["current"], F.lit(1)) * s, zero, acc["ok"]))
-            .when(b.isNotNull(), state(
-                acc["total"] + F.when(section == 0, 1).otherwise(section) * b, zero, zero, acc["ok"]))
-            .otherwise(state(acc["total"], acc["section"], acc["current"], F.lit(False)))
-        )
+            F.when(w < 10, state(acc["total"], acc["section"], w))
+            .when(w < least_large, state(
+                acc["total"], acc["section"] + F.greatest(acc["digit"], F.lit(1)) * w, zero))
+            .otherwise(state(acc["total"] + F.when(section == 0, 1).otherwise(section) * w, zero, zero)))
+
+    return F.aggregate(values, state(zero, zero, zero), step,
+                       lambda acc: F.nullif(acc["total"] + acc["section"] + acc["digit"], zero))
 
-    def finish(acc: Column) -> Column:
-        value = acc["total"] + acc["section"] + acc["current"]
-        return F.when(acc["ok"] & (value > 0), value)
 
-    return F.aggregate(chars(c), state(zero, zero, zero, F.lit(True)), step, finish)
+def chinese_numeral(c: Column) -> Column:
+    """Value of a Chinese numeral; NULL for zero, other characters or nothing."""
+    return F.when(c.rlike(f"^[{CN_NUMERAL_CHARS}]+\\z"), _numeral_value(c))
 
 
 def normalize_numbers(c: Column) -> Column:
@@ -148,7 +151,7 @@ def normalize_numbers(c: Column) -> Column:
 
     def rewrite(parts: Column) -> Column:
         def annotate(raw: Column, i: Column) -> Column:
-            value = chinese_numeral(raw)
+            value = _numeral_value(raw)
             noted = F.concat(value.cast("string"), F.lit("[原:"), raw, F.lit("]"))
             return F.concat(F.coalesce(noted, raw), F.get(parts["rest"], i + 1))
 

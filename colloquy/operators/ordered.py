@@ -63,13 +63,14 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value:
     With ``inherit_null`` a NULL takes the value before it (forward fill) and
     never starts a run; rows before the first value get run -1. Otherwise NULL
     is a value like any other. ``filled`` names the column for the value used.
+    Order columns sort ascending: write a descending one as its negative.
     """
     boxed = F.struct(value.alias("v"))
     if inherit_null:
         boxed = F.when(value.isNotNull(), boxed)
     by = [*keys, _B]
     w = Window.partitionBy(*by).orderBy(*order)
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_ascending(order))])
+    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     detail = (
         df.withColumn(_B, bucket).withColumn("_v", boxed)
         .withColumn("_prev", F.last("_v", ignorenulls=True).over(
@@ -102,11 +103,6 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value:
     return result.drop(_B, "_v", "_prev", "_step", "_local", "_carry", "_edge", "_base")
 
 
-def _ascending(order: Sequence[Column]) -> list[Column]:
-    """Order columns as plain ascending values (descending is written as ``-c``)."""
-    return list(order)
-
-
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, *,
                 bucket: Column, out: str) -> DataFrame:
     """Inclusive running sum of ``value``."""
@@ -146,7 +142,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column], valu
     w = Window.partitionBy(*by).orderBy(*order)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     future = w.rowsBetween(0, Window.unboundedFollowing)
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_ascending(order))])
+    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     tagged = df.withColumn(_B, bucket).withColumn("_x", value)
     at = F.when(F.col("_x").isNotNull(), position)
     totals = tagged.groupBy(*by).agg(
@@ -169,23 +165,29 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column], valu
     )
 
 
+def large_groups(df: DataFrame, keys: Sequence[str], span: int = SPAN) -> DataFrame:
+    """Keys of the groups of more than ``span`` rows; few by construction."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") > span).select(*keys)
+
+
 def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: Column, *,
                    sep: str = "", span: int = SPAN, out: str = "text",
-                   piece: str = "piece_ord") -> DataFrame:
+                   piece: str = "piece_ord", cut: Column | None = None) -> DataFrame:
     """Concatenate ``text`` in order, one row per group and piece.
 
     ``order[0]`` must be an integer ordinal. A group of at most ``span`` rows is
     one piece. A larger group is cut into pieces of ``span`` consecutive
-    ordinals, so no task gathers it whole; its pieces in order, joined by
-    ``sep``, are the text.
+    ordinals (or by ``cut``, monotone in the order), so no task gathers it
+    whole; its pieces in order, joined by ``sep``, are the text.
     """
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    rows = df.select(*keys, position.alias("_o"), text.alias("_t"))
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span)
-    large = large.select(*keys, F.lit(True).alias("_large"))
-    cut = F.when(F.col("_large"), F.floor(F.col("_o.o0") / span)).otherwise(0).cast("long")
+    cut = F.floor(order[0] / span) if cut is None else cut
+    rows = df.select(*keys, position.alias("_o"), text.alias("_t"), cut.cast("long").alias("_c"))
+    large = large_groups(rows, keys, span).select(*keys, F.lit(True).alias("_large"))
     return (
-        rows.join(large, list(keys), "left").withColumn(piece, cut)
+        rows.join(large, list(keys), "left")
+        .withColumn(piece, F.when(F.col("_large"), F.col("_c")).otherwise(F.lit(0).cast("long")))
         .groupBy(*keys, piece)
         .agg(F.array_sort(F.collect_list(F.struct("_o", "_t"))).alias("_l"))
         .select(*keys, piece,

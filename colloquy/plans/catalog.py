@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cleaning
+from . import alignment, cleaning, factcheck
 
-_MODULES = (alignment, cleaning)
+_MODULES = (alignment, cleaning, factcheck)
 
 
 def queries():

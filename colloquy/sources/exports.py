@@ -15,11 +15,14 @@ def json_lines_text(c: Column) -> Column:
     """Joined ``text`` fields if every non-blank line is such an object, else NULL."""
     lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
 
+    # One parse for the whole text: the lines as the items of one array.
     def parse(xs: Column) -> Column:
-        texts = F.transform(xs, lambda x: F.when(
-            x.startswith("{"), typed_string(strict_json(x), "text")))
+        whole = F.try_parse_json(F.concat(F.lit('{"v":['), F.array_join(xs, ","), F.lit("]}")))
+        items = F.try_variant_get(whole, "$.v", "array<variant>")
+        texts = F.when(F.forall(xs, lambda x: x.startswith("{") & x.endswith("}")),
+                       F.transform(items, lambda v: typed_string(v, "text")))
         return let(texts, lambda ts: F.when(
-            (F.size(ts) > 0) & F.forall(ts, lambda t: t.isNotNull()), F.array_join(ts, "\n")))
+            (F.size(ts) == F.size(xs)) & F.forall(ts, lambda t: t.isNotNull()), F.array_join(ts, "\n")))
 
     return F.when(strip(c).startswith("{"), let(lines, parse))
 
