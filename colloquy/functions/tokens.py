@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, chars, strip
+from .text import WS, strip
 
 # What counts as a number, a range with a unit, a year.
 NUMBER = "\\p{Nd}+(?:\\.\\p{Nd}+)?"
@@ -18,7 +18,7 @@ YEAR = "(\\p{Nd}{2,4})" + WS + "*年"
 
 def normalize_match(c: Column) -> Column:
     """Keep Han characters, ASCII letters, digits, ``%`` and ``-``."""
-    return F.regexp_replace(c, "[^一-鿿A-Za-z0-9%\\-]", "")
+    return F.regexp_replace(c, "[^一-鿿A-Za-z0-9%\\-]+", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -27,12 +27,8 @@ def squeeze(c: Column) -> Column:
 
 
 def char_bigrams(c: Column) -> Column:
-    """Distinct two-character shingles."""
-    def pairs(xs: Column) -> Column:
-        return F.array_distinct(F.filter(
-            F.transform(xs, lambda x, i: F.concat(x, F.get(xs, i + 1))), lambda p: p.isNotNull()))
-
-    return F.get(F.transform(F.array(chars(c)), pairs), F.lit(0))
+    """Distinct two-character shingles, by an empty match at every character."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=([^\\p{Cs}].))"), F.lit(1)))
 
 
 def number_tokens(c: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .ordered import (BUCKET_SECONDS, islands, neighbours, ordered_concat, ordinal_bucket,
-                      prior_max, running_sum, settle, time_bucket)
+from .ordered import (SPAN, buckets_if_large, islands, large_keys, neighbours, ordered_concat,
+                      ordinal_bucket, prior_max, running_sum, settle, time_bucket)
 
 MIN_TURN_SECONDS = 1.0
 MAX_GAP_SECONDS = 0.5
@@ -46,7 +46,7 @@ def assign_speaker(segments: DataFrame, turns: DataFrame, cell: float = CELL_SEC
 
 
 def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS,
-                      cell: float = CELL_SECONDS) -> DataFrame:
+                      cell: float = CELL_SECONDS, span: int = SPAN) -> DataFrame:
     """Give each fragment the speaker of a long turn; times do not change.
 
     A long turn that contains the fragment wins, the shortest first. Otherwise
@@ -88,7 +88,8 @@ def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS,
     near = neighbours(
         points.unionByName(asks), ["recording_id", "side"],
         [F.col("t"), F.coalesce(F.col("turn_ord"), F.lit(-1))], F.col("ref"),
-        bucket=time_bucket("t", BUCKET_SECONDS), before="b", after="a").where("ref IS NULL")
+        bucket=buckets_if_large(turns, ["recording_id"], time_bucket("t"), span),
+        before="b", after="a").where("ref IS NULL")
     candidate = near.select(
         "recording_id", "turn_ord", "t", F.explode(F.array("b", "a")).alias("c")).where("c IS NOT NULL")
     nearest = candidate.groupBy("recording_id", "turn_ord").agg(
@@ -102,17 +103,19 @@ def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS,
         .drop("outer_speaker", "near_speaker"))
 
 
-def coalesce_turns(turns: DataFrame, max_gap: float = MAX_GAP_SECONDS) -> DataFrame:
+def coalesce_turns(turns: DataFrame, max_gap: float = MAX_GAP_SECONDS, span: int = SPAN) -> DataFrame:
     """Merge neighbouring turns of one speaker when the gap is at most ``max_gap``.
 
     Turns are taken by (start, longest first). A contained turn is absorbed by
     the same rule, as its gap to the running maximum end is not positive.
     Different speakers' overlaps stay. Needs ``start <= end``.
     """
-    bucket = time_bucket("start")
     order = [F.col("start"), F.col("start") - F.col("end"), F.col("turn_ord")]
     narrow = turns.select("recording_id", "turn_ord", "start", "end", "speaker")
-    runs = settle(islands(narrow, ["recording_id"], order, F.col("speaker"), bucket=bucket, out="run"))
+    bucket = buckets_if_large(narrow, ["recording_id"], time_bucket("start"), span)
+    runs = islands(narrow, ["recording_id"], order, F.col("speaker"), bucket=bucket, out="run")
+    if bucket is not None:
+        runs = settle(runs)
     run = ["recording_id", "run"]
     reached = prior_max(runs, run, order, F.col("end"), bucket=bucket, out="reach")
     opens = (F.col("reach").isNull() | (F.col("start") - F.col("reach") > max_gap)).cast("int")
@@ -121,21 +124,27 @@ def coalesce_turns(turns: DataFrame, max_gap: float = MAX_GAP_SECONDS) -> DataFr
         F.min("start").alias("start"), F.max("end").alias("end"), F.first("speaker").alias("speaker"))
 
 
-def group_by_speaker(assigned: DataFrame) -> DataFrame:
+def _spoken(assigned: DataFrame, span: int):
+    """Segments with text, their large recordings, and the bucket to scan them by."""
+    rows = assigned.withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''")
+    large = large_keys(assigned, ["recording_id"], span)
+    if large is None:
+        return rows, None, None
+    return settle(rows), large, ordinal_bucket("seg_ord", span)
+
+
+def group_by_speaker(segments: DataFrame, turns: DataFrame, span: int = SPAN) -> DataFrame:
     """Blocks of consecutive segments with one speaker (NULL counts as a speaker).
 
-    Takes ``assign_speaker`` output. One row per block; only a block longer
-    than a bucket of segments has more pieces than 0.
+    One row per block; the blocks of a recording of more than ``span`` segments
+    may come in several pieces, each with its own time range.
     """
-    rows = settle(assigned.withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''"))
+    rows, large, bucket = _spoken(assign_speaker(segments, turns), span)
     numbered = islands(rows, ["recording_id"], [F.col("seg_ord")], F.col("speaker"),
-                       bucket=ordinal_bucket("seg_ord"), out="block_ord")
-    keys = ["recording_id", "block_ord"]
-    bounds = numbered.groupBy(*keys).agg(
-        F.min_by("start", "seg_ord").alias("start"), F.max("end").alias("end"),
-        F.first("speaker").alias("speaker"))
-    texts = ordered_concat(numbered, keys, [F.col("seg_ord")], F.col("text"))
-    return texts.join(bounds, keys)
+                       bucket=bucket, out="block_ord")
+    return ordered_concat(
+        numbered, ["recording_id", "block_ord"], [F.col("seg_ord")], F.col("text"), span=span, large=large,
+        also={"start": F.min_by("start", "seg_ord"), "end": F.max("end"), "speaker": F.first("speaker")})
 
 
 def speaker_label(speaker: Column, names: Mapping[int, str] | None = None) -> Column:
@@ -146,31 +155,36 @@ def speaker_label(speaker: Column, names: Mapping[int, str] | None = None) -> Co
     return label.otherwise(default) if names else default
 
 
-def labeled_transcript(assigned: DataFrame, names: Mapping[int, str] | None = None) -> DataFrame:
+def labeled_transcript(segments: DataFrame, turns: DataFrame, names: Mapping[int, str] | None = None,
+                       span: int = SPAN) -> DataFrame:
     """Labelled blocks: a segment without speaker continues the block before it.
 
     Leading segments without a speaker are dropped. Joining the block texts of
     a recording by a blank line gives the labelled transcript.
     """
-    rows = settle(assigned.withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''"))
+    rows, large, bucket = _spoken(assign_speaker(segments, turns), span)
     named = rows.withColumn(
         "label", F.when(F.col("speaker").isNotNull(), speaker_label(F.col("speaker"), names)))
     blocks = islands(named, ["recording_id"], [F.col("seg_ord")], F.col("label"), inherit_null=True,
-                     bucket=ordinal_bucket("seg_ord"), out="block_ord", filled="speaker_label")
-    return (
-        ordered_concat(blocks.where("block_ord >= 0"), ["recording_id", "block_ord", "speaker_label"],
-                       [F.col("seg_ord")], F.col("text"))
-        .withColumn("text", F.when(F.col("piece_ord") == 0, F.concat(
-            F.col("speaker_label"), F.lit(":\n"), F.col("text"))).otherwise(F.col("text"))))
+                     bucket=bucket, out="block_ord", filled="speaker_label")
+    # The label goes in front of the text that opens a block.
+    opening = prior_max(blocks.where("block_ord >= 0"), ["recording_id", "block_ord"], [F.col("seg_ord")],
+                        F.col("seg_ord"), bucket=bucket, out="earlier")
+    text = F.when(F.col("earlier").isNotNull(), F.col("text")).otherwise(
+        F.concat(F.col("speaker_label"), F.lit(":\n"), F.col("text")))
+    return ordered_concat(opening, ["recording_id", "block_ord", "speaker_label"],
+                          [F.col("seg_ord")], text, span=span, large=large)
 
 
-def merge_speakers(turns_text: DataFrame) -> DataFrame:
+def merge_speakers(turns_text: DataFrame, span: int = SPAN) -> DataFrame:
     """Concatenate consecutive turns of one speaker, in table form."""
     rows = turns_text.withColumn("speaker", strip(F.col("speaker"))).withColumn("text", strip(F.col("text")))
+    large = large_keys(turns_text, ["meeting_id"], span)
+    bucket = None if large is None else ordinal_bucket("turn_ord", span)
     numbered = islands(rows, ["meeting_id"], [F.col("turn_ord")], F.col("speaker"),
-                       bucket=ordinal_bucket("turn_ord"), out="block_ord")
+                       bucket=bucket, out="block_ord")
     return ordered_concat(numbered, ["meeting_id", "block_ord", "speaker"],
-                          [F.col("turn_ord")], F.col("text"))
+                          [F.col("turn_ord")], F.col("text"), span=span, large=large)
 
 
 def chunk_windows(recordings: DataFrame, chunk_seconds: float, overlap: float) -> DataFrame:

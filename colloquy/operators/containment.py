@@ -14,20 +14,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import large_groups, ordered_concat
+from .ordered import large_keys, ordered_concat
 
 POOL_SPAN = 4096
 SEAM_RUN = "^[0-9A-Za-z%~～\\-万亿年]{0,64}"
 
 
 def text_pool(parts: DataFrame, key: str, order: Sequence[Column], cut: Column, *, sep: str,
-              span: int = POOL_SPAN) -> tuple[DataFrame, DataFrame]:
-    """Pool texts per key (pieces for large keys) and the keys that are large."""
-    pieces = ordered_concat(parts, [key], order, F.col("text"), sep=sep, span=span, cut=cut)
-    return pieces, large_groups(parts, [key], span)
+              span: int = POOL_SPAN) -> tuple[DataFrame, DataFrame | None]:
+    """Pool texts per key (pieces for large keys) and the large keys, if any."""
+    large = large_keys(parts, [key], span)
+    pieces = ordered_concat(parts, [key], order, F.col("text"), sep=sep, span=span, cut=cut, large=large)
+    return pieces, large
 
 
-def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame, key: str, *,
+def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame | None, key: str, *,
               expand: Callable[[DataFrame], DataFrame], ids: Sequence[str],
               kinds: Sequence[str]) -> DataFrame:
     """Expanded items with ``<kind>_hits`` per kind and ``in_pool``.
@@ -37,13 +38,14 @@ def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame, key: str, *,
     array per kind; other columns it adds are kept.
     """
     boxed = pool.select(key, F.struct("nonblank", *kinds).alias("_pool"))
-    ordinary = expand(
-        items.join(large, key, "left_anti").join(boxed, key, "left")
-    ).withColumns({
+    light = items if large is None else items.join(large, key, "left_anti")
+    ordinary = expand(light.join(boxed, key, "left")).withColumns({
         **{f"{k}_hits": F.when(F.col("_pool").isNull(), 0).otherwise(
             F.size(F.array_intersect(F.col(k), F.col("_pool")[k]))) for k in kinds},
         "in_pool": F.coalesce(F.col("_pool.nonblank"), F.lit(False)),
     }).drop("_pool")
+    if large is None:
+        return ordinary
 
     hot_items = expand(items.join(large, key, "left_semi"))
     hot_pool = pool.join(large, key, "left_semi")
@@ -58,17 +60,20 @@ def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame, key: str, *,
         .groupBy(key, *ids)
         .agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("_hit"))), F.lit(0)).cast("int")
                .alias(f"{k}_hits") for k in kinds]))
+    # One verdict per large key: as short as the key list itself.
     hot = hot_items.join(counts, [key, *ids]).join(nonblank, key)
     return ordinary.unionByName(hot.select(ordinary.columns))
 
 
-def mend_seams(pieces: DataFrame, large: DataFrame, key: str) -> DataFrame:
+def mend_seams(pieces: DataFrame, large: DataFrame | None, key: str) -> DataFrame:
     """Let tokens cross the cuts of large pools.
 
     Each piece of a large key hands its leading run of letters and digits, and
     one character more to read, to the piece before it. Only those short heads
     are compared; ordinary keys have no cuts and pass unchanged.
     """
+    if large is None:
+        return pieces
     hot = pieces.join(large, key, "left_semi")
     run = F.regexp_extract("text", SEAM_RUN, 0)
     heads = hot.select(key, "piece_ord", run.alias("_run"),

@@ -1,16 +1,18 @@
 """Ordered operators that stay balanced when one group holds most of the rows.
 
-A window partitioned by a hot key runs in a single task. Here every ordered
-operator splits a group into consecutive *buckets* of its order column, works
-inside ``(keys, bucket)``, reduces each bucket to one row, scans those few rows
-per group, and joins the carried state back. The wide data is shuffled once, by
-``(keys, bucket)``; only bucket totals ever meet in one task.
+A window partitioned by a hot key runs in a single task. That is fine while
+every group is small, so the group sizes are looked at first (one count over the
+key columns). If some group is larger than a span, each group is split into
+consecutive *buckets* of its order column: the operator works inside
+``(keys, bucket)``, reduces each bucket to one row, scans those few rows per
+group and joins the carried state back. The wide data is then shuffled by
+``(keys, bucket)``, and only bucket totals ever meet in one task.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ SPAN = 1 << 16
 # Seconds of media time that share a bucket.
 BUCKET_SECONDS = 600.0
 
+# Longest key list that becomes a local relation.
+KEY_LIST = 10_000
+
 _B = "_bucket"
 
 
@@ -47,16 +52,37 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _over_buckets(totals: DataFrame, keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(_B)
+def large_keys(df: DataFrame, keys: Sequence[str], span: int = SPAN) -> DataFrame | None:
+    """Keys of the groups of more than ``span`` rows, or None if there are none.
+
+    Looked up now, so that plans without large groups stay simple. There are at
+    most ``rows / span`` of them; a short list becomes a local relation that
+    joins can broadcast, a longer one stays a query.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = counted.where(F.col("_n") > span).select(*keys)
+    some = large.limit(KEY_LIST + 1).collect()
+    if not some:
+        return None
+    return large if len(some) > KEY_LIST else df.sparkSession.createDataFrame(some, large.schema)
+
+
+def buckets_if_large(df: DataFrame, keys: Sequence[str], bucket: Column, span: int = SPAN) -> Column | None:
+    """``bucket`` if some group needs splitting, else None."""
+    return bucket if large_keys(df, keys, span) is not None else None
+
 
+def _over(keys: Sequence[str], bucket: Column | None, order: Sequence[Column]):
+    """Window over a bucket of a group, or over the group."""
+    return Window.partitionBy(*keys, *([] if bucket is None else [_B])).orderBy(*order)
 
-def _join_carry(detail: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return detail.join(carry, [*keys, _B], "left")
+
+def _tag(df: DataFrame, bucket: Column | None) -> DataFrame:
+    return df if bucket is None else df.withColumn(_B, bucket)
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, *,
-            bucket: Column, out: str = "island", filled: str | None = None,
+            bucket: Column | None, out: str = "island", filled: str | None = None,
             inherit_null: bool = False) -> DataFrame:
     """Number the runs of equal consecutive ``value`` within ``keys``, from 0.
 
@@ -68,131 +94,131 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value:
     boxed = F.struct(value.alias("v"))
     if inherit_null:
         boxed = F.when(value.isNotNull(), boxed)
-    by = [*keys, _B]
-    w = Window.partitionBy(*by).orderBy(*order)
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    w = _over(keys, bucket, order)
     detail = (
-        df.withColumn(_B, bucket).withColumn("_v", boxed)
+        _tag(df, bucket).withColumn("_v", boxed)
         .withColumn("_prev", F.last("_v", ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_step", (F.col("_v").isNotNull() & F.col("_prev").isNotNull()
                               & ~F.col("_v.v").eqNullSafe(F.col("_prev.v"))).cast("long"))
         .withColumn("_local", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    at = F.when(F.col("_v").isNotNull(), position)
-    totals = detail.groupBy(*by).agg(
-        F.min_by("_v", at).alias("_first"), F.max_by("_v", at).alias("_last"),
-        F.max("_local").alias("_n"))
-    wb = _over_buckets(totals, keys)
-    carry = (
-        totals
-        .withColumn("_carry", F.last("_last", ignorenulls=True).over(
-            wb.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_edge", (F.col("_first").isNotNull() & (
-            F.col("_carry").isNull()
-            | ~F.col("_first.v").eqNullSafe(F.col("_carry.v")))).cast("long"))
-        .withColumn("_base", F.sum(F.col("_n") + F.col("_edge")).over(
-            wb.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") - F.col("_edge") - 1)
-        .select(*by, "_carry", "_edge", "_base")
-    )
     seen = F.coalesce(F.col("_v"), F.col("_prev"))
-    result = _join_carry(detail, carry, keys).withColumn(
-        out, F.col("_base") + F.col("_local") + F.when(seen.isNotNull(), F.col("_edge")).otherwise(0))
+    if bucket is None:
+        result = detail.withColumns({"_carry": F.lit(None).cast(detail.schema["_v"].dataType),
+                                     "_edge": F.lit(1), "_base": F.lit(-1)})
+    else:
+        by = [*keys, _B]
+        at = F.when(F.col("_v").isNotNull(), _position(order))
+        totals = detail.groupBy(*by).agg(
+            F.min_by("_v", at).alias("_first"), F.max_by("_v", at).alias("_last"),
+            F.max("_local").alias("_n"))
+        wb = Window.partitionBy(*keys).orderBy(_B)
+        carry = (
+            totals
+            .withColumn("_carry", F.last("_last", ignorenulls=True).over(
+                wb.rowsBetween(Window.unboundedPreceding, -1)))
+            .withColumn("_edge", (F.col("_first").isNotNull() & (
+                F.col("_carry").isNull()
+                | ~F.col("_first.v").eqNullSafe(F.col("_carry.v")))).cast("long"))
+            .withColumn("_base", F.sum(F.col("_n") + F.col("_edge")).over(
+                wb.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") - F.col("_edge") - 1)
+            .select(*by, "_carry", "_edge", "_base"))
+        result = detail.join(carry, by, "left")
+    result = result.withColumn(out, (F.col("_base") + F.col("_local") + F.when(
+        seen.isNotNull(), F.col("_edge")).otherwise(0)).cast("long"))
     if filled:
         result = result.withColumn(filled, F.coalesce(seen, F.col("_carry"))["v"])
     return result.drop(_B, "_v", "_prev", "_step", "_local", "_carry", "_edge", "_base")
 
 
+def _position(order: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, *,
-                bucket: Column, out: str) -> DataFrame:
+                bucket: Column | None, out: str) -> DataFrame:
     """Inclusive running sum of ``value``."""
+    w = _over(keys, bucket, order).rowsBetween(Window.unboundedPreceding, 0)
+    tagged = _tag(df, bucket).withColumn("_x", value)
+    summed = tagged.withColumn(out, F.sum("_x").over(w))
+    if bucket is None:
+        return summed.drop("_x")
     by = [*keys, _B]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = df.withColumn(_B, bucket).withColumn("_x", value)
-    totals = tagged.groupBy(*by).agg(F.sum("_x").alias("_t"))
-    wb = _over_buckets(totals, keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*by, F.sum("_t").over(wb).alias("_c"))
-    return (
-        _join_carry(tagged.withColumn("_s", F.sum("_x").over(w)), carry, keys)
-        .withColumn(out, F.col("_s") + F.coalesce(F.col("_c"), F.lit(0)))
-        .drop(_B, "_x", "_s", "_c")
-    )
+    wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tagged.groupBy(*by).agg(F.sum("_x").alias("_t")).select(*by, F.sum("_t").over(wb).alias("_c"))
+    return (summed.join(carry, by, "left")
+            .withColumn(out, F.col(out) + F.coalesce(F.col("_c"), F.lit(0))).drop(_B, "_x", "_c"))
 
 
 def prior_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, *,
-              bucket: Column, out: str) -> DataFrame:
+              bucket: Column | None, out: str) -> DataFrame:
     """Maximum of ``value`` over the strictly earlier rows; NULL on the first."""
+    w = _over(keys, bucket, order).rowsBetween(Window.unboundedPreceding, -1)
+    tagged = _tag(df, bucket).withColumn("_x", value)
+    known = tagged.withColumn(out, F.max("_x").over(w))
+    if bucket is None:
+        return known.drop("_x")
     by = [*keys, _B]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tagged = df.withColumn(_B, bucket).withColumn("_x", value)
-    totals = tagged.groupBy(*by).agg(F.max("_x").alias("_t"))
-    wb = _over_buckets(totals, keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*by, F.max("_t").over(wb).alias("_c"))
-    return (
-        _join_carry(tagged.withColumn("_m", F.max("_x").over(w)), carry, keys)
-        .withColumn(out, F.greatest(F.col("_m"), F.col("_c")))
-        .drop(_B, "_x", "_m", "_c")
-    )
+    wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tagged.groupBy(*by).agg(F.max("_x").alias("_t")).select(*by, F.max("_t").over(wb).alias("_c"))
+    return (known.join(carry, by, "left")
+            .withColumn(out, F.greatest(F.col(out), F.col("_c"))).drop(_B, "_x", "_c"))
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, *,
-               bucket: Column, before: str, after: str) -> DataFrame:
+               bucket: Column | None, before: str, after: str) -> DataFrame:
     """Nearest non-NULL ``value`` at or before, and at or after, each row."""
+    w = _over(keys, bucket, order)
+    tagged = _tag(df, bucket).withColumn("_x", value)
+    scanned = (
+        tagged.withColumn(before, F.last("_x", ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn(after, F.first("_x", ignorenulls=True).over(
+            w.rowsBetween(0, Window.unboundedFollowing))))
+    if bucket is None:
+        return scanned.drop("_x")
     by = [*keys, _B]
-    w = Window.partitionBy(*by).orderBy(*order)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    future = w.rowsBetween(0, Window.unboundedFollowing)
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    tagged = df.withColumn(_B, bucket).withColumn("_x", value)
-    at = F.when(F.col("_x").isNotNull(), position)
+    at = F.when(F.col("_x").isNotNull(), _position(order))
     totals = tagged.groupBy(*by).agg(
         F.min_by("_x", at).alias("_first"), F.max_by("_x", at).alias("_last"))
-    wb = _over_buckets(totals, keys)
+    wb = Window.partitionBy(*keys).orderBy(_B)
     carry = totals.select(
         *by,
         F.last("_last", ignorenulls=True).over(
             wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_cb"),
         F.first("_first", ignorenulls=True).over(
             wb.rowsBetween(1, Window.unboundedFollowing)).alias("_ca"))
-    scanned = (
-        tagged.withColumn("_b", F.last("_x", ignorenulls=True).over(past))
-        .withColumn("_a", F.first("_x", ignorenulls=True).over(future)))
-    return (
-        _join_carry(scanned, carry, keys)
-        .withColumn(before, F.coalesce(F.col("_b"), F.col("_cb")))
-        .withColumn(after, F.coalesce(F.col("_a"), F.col("_ca")))
-        .drop(_B, "_x", "_b", "_a", "_cb", "_ca")
-    )
-
-
-def large_groups(df: DataFrame, keys: Sequence[str], span: int = SPAN) -> DataFrame:
-    """Keys of the groups of more than ``span`` rows; few by construction."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.where(F.col("_n") > span).select(*keys)
+    return (scanned.join(carry, by, "left")
+            .withColumn(before, F.coalesce(F.col(before), F.col("_cb")))
+            .withColumn(after, F.coalesce(F.col(after), F.col("_ca"))).drop(_B, "_x", "_cb", "_ca"))
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: Column, *,
-                   sep: str = "", span: int = SPAN, out: str = "text",
-                   piece: str = "piece_ord", cut: Column | None = None) -> DataFrame:
+                   sep: str = "", span: int = SPAN, out: str = "text", piece: str = "piece_ord",
+                   cut: Column | None = None, also: Mapping[str, Column] | None = None,
+                   large: DataFrame | None = None) -> DataFrame:
     """Concatenate ``text`` in order, one row per group and piece.
 
-    ``order[0]`` must be an integer ordinal. A group of at most ``span`` rows is
-    one piece. A larger group is cut into pieces of ``span`` consecutive
-    ordinals (or by ``cut``, monotone in the order), so no task gathers it
-    whole; its pieces in order, joined by ``sep``, are the text.
+    ``large`` is what ``large_keys`` found for some of the keys; its groups are
+    cut into pieces of ``span`` consecutive values of the integer ``order[0]``
+    (or by ``cut``, monotone in the order), so no task gathers them whole.
+    Every other group is piece 0. The pieces in order, joined by ``sep``, are
+    the text. ``also`` adds aggregates per piece.
     """
-    position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    cut = F.floor(order[0] / span) if cut is None else cut
-    rows = df.select(*keys, position.alias("_o"), text.alias("_t"), cut.cast("long").alias("_c"))
-    large = large_groups(rows, keys, span).select(*keys, F.lit(True).alias("_large"))
+    zero = F.lit(0).cast("long")
+    if large is None:
+        rows = df.withColumn(piece, zero)
+    else:
+        cut = F.floor(order[0] / span) if cut is None else cut
+        rows = df.withColumn("_cut", cut.cast("long")).join(
+            large.withColumn("_large", F.lit(True)), large.columns, "left").withColumn(
+            piece, F.when(F.col("_large"), F.col("_cut")).otherwise(zero))
+    items = F.array_sort(F.collect_list(F.struct(_position(order).alias("_o"), text.alias("_t"))))
+    extra = [c.alias(n) for n, c in (also or {}).items()]
     return (
-        rows.join(large, list(keys), "left")
-        .withColumn(piece, F.when(F.col("_large"), F.col("_c")).otherwise(F.lit(0).cast("long")))
-        .groupBy(*keys, piece)
-        .agg(F.array_sort(F.collect_list(F.struct("_o", "_t"))).alias("_l"))
-        .select(*keys, piece,
-                F.array_join(F.transform("_l", lambda x: x["_t"]), sep).alias(out))
-    )
+        rows.groupBy(*keys, piece).agg(items.alias("_l"), *extra)
+        .withColumn(out, F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).drop("_l"))
 
 
 def bucketed_fold(df: DataFrame, keys: Sequence[str], ordinal: str, item: Column, *,

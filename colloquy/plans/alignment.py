@@ -27,15 +27,14 @@ def coalesce_turns(spark, sf):
 
 
 def group_by_speaker(spark, sf):
-    assigned = align.assign_speaker(inputs.segments(spark, sf), inputs.turns(spark, sf))
-    return align.group_by_speaker(assigned).select(
+    return align.group_by_speaker(inputs.segments(spark, sf), inputs.turns(spark, sf)).select(
         "recording_id", "block_ord", "piece_ord", "speaker", "text",
         F.round("start", 6).alias("block_start"), F.round("end", 6).alias("block_end"))
 
 
 def labeled_transcript(spark, sf):
-    assigned = align.assign_speaker(inputs.segments(spark, sf), inputs.turns(spark, sf))
-    return align.labeled_transcript(assigned, NAMES).select("recording_id", "block_ord", "piece_ord", "text")
+    return align.labeled_transcript(inputs.segments(spark, sf), inputs.turns(spark, sf), NAMES).select(
+        "recording_id", "block_ord", "piece_ord", "text")
 
 
 def merge_speakers(spark, sf):

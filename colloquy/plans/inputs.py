@@ -23,8 +23,20 @@ PINYIN_GROUPS = {"shi": "示事世市", "li": "例立力利", "dian": "电垫店
 SPEAKERS = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
 
+# Tables whose rows are long texts, with the key they are spread by if need be.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A text table that comes in fewer splits than there are
+    cores is spread over them; at scale it has more splits, and none is moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        turn = ["turn"] if name == "conversations" else []
+        df = df.repartition(cores, TEXT_KEYS[name], *turn)
+    return df
 
 
 def transcripts(spark, sf_dir) -> DataFrame:
