@@ -206,19 +206,18 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     Every other group is piece 0. The pieces in order, joined by ``sep``, are
     the text. ``also`` adds aggregates per piece.
     """
+    items = F.array_sort(F.collect_list(F.struct(_position(order).alias("_o"), text.alias("_t"))))
+    extra = [c.alias(n) for n, c in (also or {}).items()]
     zero = F.lit(0).cast("long")
     if large is None:
-        rows = df.withColumn(piece, zero)
+        grouped = df.groupBy(*keys).agg(items.alias("_l"), *extra).withColumn(piece, zero)
     else:
         cut = F.floor(order[0] / span) if cut is None else cut
         rows = df.withColumn("_cut", cut.cast("long")).join(
             large.withColumn("_large", F.lit(True)), large.columns, "left").withColumn(
             piece, F.when(F.col("_large"), F.col("_cut")).otherwise(zero))
-    items = F.array_sort(F.collect_list(F.struct(_position(order).alias("_o"), text.alias("_t"))))
-    extra = [c.alias(n) for n, c in (also or {}).items()]
-    return (
-        rows.groupBy(*keys, piece).agg(items.alias("_l"), *extra)
-        .withColumn(out, F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).drop("_l"))
+        grouped = rows.groupBy(*keys, piece).agg(items.alias("_l"), *extra)
+    return grouped.withColumn(out, F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).drop("_l")
 
 
 def bucketed_fold(df: DataFrame, keys: Sequence[str], ordinal: str, item: Column, *,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cleaning, factcheck
+from . import alignment, cleaning, factcheck, terms
 
-_MODULES = (alignment, cleaning, factcheck)
+_MODULES = (alignment, cleaning, factcheck, terms)
 
 
 def queries():
