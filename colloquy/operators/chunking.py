@@ -70,12 +70,12 @@ def chunk_bounds(text: Column, max_chars: int = 2000, overlap: int = 200,
 def chunk_text(df: DataFrame, text: str = "text", max_chars: int = 2000, overlap: int = 200,
                boundaries: Sequence[str] = SENTENCE_BOUNDARIES + SECONDARY_BOUNDARIES) -> DataFrame:
     """One row per chunk: ``chunk_ord``, ``chunk_start`` and the chunk as ``chunk``."""
-    bounds = chunk_bounds(F.col(text), max_chars, overlap, boundaries)
+    # Chunks are cut inside the row, so that no chunk carries the whole text.
+    cut = F.transform(chunk_bounds(F.col(text), max_chars, overlap, boundaries), lambda b: F.struct(
+        b["start"].alias("start"), slice_text(F.col(text), b["start"], b["stop"] - b["start"]).alias("chunk")))
     return (
-        df.select("*", F.posexplode(bounds).alias("chunk_ord", "_b"))
-        .withColumn("chunk_start", F.col("_b.start"))
-        .withColumn("chunk", slice_text(F.col(text), F.col("_b.start"), F.col("_b.stop") - F.col("_b.start")))
-        .drop("_b", text))
+        df.select("*", F.posexplode(cut).alias("chunk_ord", "_b")).drop(text)
+        .withColumn("chunk_start", F.col("_b.start")).withColumn("chunk", F.col("_b.chunk")).drop("_b"))
 
 
 def shared_edge(tail: Column, head: Column, longest: int, shortest: int) -> Column:

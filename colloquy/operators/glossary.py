@@ -26,6 +26,8 @@ TOP_TERMS = 30
 REPORT_GROUPS = 20
 SNIPPET_WIDTH = 12
 HITS = "meeting_id bigint, term string, matched string, start int, end int, kind string, context string"
+# Any one character in a dictionary form; mark of a place in a text.
+WILD, MARK = "\x01", "\x02"
 # Most glossary forms that one plan may carry.
 MAX_FORMS = 200_000
 
@@ -84,7 +86,7 @@ def dictionary_pattern(forms: Sequence[str], whole_words: bool = True) -> str:
         return ""
 
     def emit(node: dict) -> str:
-        ways = [_quote(ch) + emit(child) for ch, child in node.items() if ch != ""]
+        ways = [("." if ch == WILD else _quote(ch)) + emit(child) for ch, child in node.items() if ch != ""]
         if "" in node:
             ways.append(closing(node[""]))
         return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
@@ -217,26 +219,32 @@ def scan_variants(df: DataFrame, terms: Sequence[Term], max_hits: int = MAX_HITS
                                   F.array_append(acc["out"], acc["at"] + gap).alias("out")),
         lambda acc: acc["out"])
     # Only the first hits of a variant can be among the first hits of the text.
-    hits = kept.select("meeting_id", "_text", F.col("e.ord").alias("_ord"), F.col("e.correct").alias("term"),
-                       F.col("e.variant").alias("matched"), F.explode(F.slice(starts, 1, max_hits)).alias("start"))
-    end = F.col("start") + F.length("matched")
-    rows = hits.select("meeting_id", "term", "matched", "start", end.alias("end"), F.lit("variant").alias("kind"),
-                       context_snippet(F.col("_text"), F.col("start"), end).alias("context"), "_ord")
+    spots = F.transform(F.slice(starts, 1, max_hits), lambda at: F.struct(
+        at.alias("start"), context_snippet(F.col("_text"), at, at + size).alias("context")))
+    rows = kept.select("meeting_id", "e", F.explode(spots).alias("s")).select(
+        "meeting_id", F.col("e.correct").alias("term"), F.col("e.variant").alias("matched"), "s.start",
+        (F.col("s.start") + size).alias("end"), F.lit("variant").alias("kind"), "s.context",
+        F.col("e.ord").alias("_ord"))
     return _capped(rows, ["_ord", "start"], max_hits)
 
 
 # ----------------------------------------------------------- phonetic detection
+def _sound_alphabet(pinyin: Mapping[str, str]) -> tuple[str, str]:
+    """Characters and what stands for each: one character per syllable; capitals become small."""
+    stand: dict[str, str] = {}
+    for ch, syllable in pinyin.items():
+        stand.setdefault(syllable, syllable if len(syllable) == 1 else ch)
+    return ("".join(pinyin) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+            "".join(stand[s] for s in pinyin.values()) + "abcdefghijklmnopqrstuvwxyz")
+
+
 def syllable_text(c: Column, pinyin: Mapping[str, str]) -> Column:
     """Text with each character replaced by one that stands for its syllable.
 
     Homophones become equal characters, so comparing syllables is comparing
-    characters; the text keeps its length. Capitals become small.
+    characters; the text keeps its length.
     """
-    stand: dict[str, str] = {}
-    for ch, syllable in pinyin.items():
-        stand.setdefault(syllable, syllable if len(syllable) == 1 else ch)
-    source = "".join(pinyin) + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    target = "".join(stand[s] for s in pinyin.values()) + "abcdefghijklmnopqrstuvwxyz"
+    source, target = _sound_alphabet(pinyin)
     return F.translate(c, source, target)
 
 
@@ -252,15 +260,21 @@ def distance_threshold(length: int) -> int:
     return 0 if length <= 2 else 1
 
 
+def _sound_keys(length: int) -> list[int]:
+    """Places that may differ: none (0) for short terms, each one for longer terms."""
+    return [0] if distance_threshold(length) == 0 else list(range(1, length + 1))
+
+
 def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int = MAX_HITS,
                   min_term_len: int = 2, text: str = "text") -> DataFrame:
     """Windows that sound like a term but are written differently, as warnings.
 
-    A window must share a character with the term at the same place. So the
-    text is cut at the characters terms consist of, each with just enough
-    surroundings for window and context, and joined to the terms on that
-    character. A window met at several shared characters is kept at the first.
-    At equal length a distance of one syllable is one differing position.
+    At equal length a distance of one syllable is one differing place. So one
+    pattern over the sounds, with one free place in longer terms, marks where a
+    window may start; only those leave the row. Each is joined to the terms on
+    its sounds with one place masked, and the remaining conditions are tested:
+    same script, Han where the term is, enough shared characters, and at least
+    one of them at the same place.
     """
     words: dict[str, int] = {}
     for i, t in enumerate(terms):
@@ -270,51 +284,69 @@ def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str
     spark = df.sparkSession
     if not words:
         return spark.createDataFrame([], HITS)
-    anchors = spark.createDataFrame(
-        [(ch, off, w, i) for w, i in words.items() for off, ch in enumerate(w)],
-        "anchor string, offset int, term string, term_ord int").withColumn(
+
+    def masked(c: Column, n: int, k: int) -> Column:
+        sound = F.left(c, F.lit(n))
+        return F.concat(F.lit(f"{n}.{k}."), sound if k == 0 else F.overlay(sound, F.lit("_"), k, 1))
+
+    shapes = [(n, k) for n in sorted({len(w) for w in words}) for k in _sound_keys(n)]
+    said = spark.createDataFrame([(w, i) for w, i in words.items()], "term string, term_ord int").withColumn(
         "term_sound", syllable_text(F.col("term"), pinyin))
-    reach = max(map(len, words)) + SNIPPET_WIDTH
-    letters = "".join(sorted({ch for w in words for ch in w}))
-    source = df.where(F.col(text).rlike("[" + _quote(letters) + "]")).select(
-        "meeting_id", F.split(text, "").alias("_cs"), F.split(syllable_text(F.col(text), pinyin), "").alias("_ss"))
-    spots = F.filter(F.transform("_cs", lambda ch, i: F.when(F.instr(F.lit(letters), ch) > 0, i)),
-                     lambda i: i.isNotNull())
-    at = F.col("at")
-    low = F.greatest(at - reach, F.lit(0))
-    cut = lambda name: F.array_join(F.slice(F.col(name), low + 1, at - low + reach + 1), "")
+    keys = said.select("*", F.explode(F.array_compact(F.array(*[
+        F.when(F.length("term") == n, F.struct(masked(F.col("term_sound"), n, k).alias("key"), F.lit(k).alias("k")))
+        for n, k in shapes]))).alias("m")).select("term", "term_ord", "term_sound", "m.key", "m.k")
+
+    stand = {ch: s for ch, s in zip(*_sound_alphabet(pinyin))}
+    sounds = ["".join(stand.get(ch, ch) for ch in w) for w in words]
+    forms = [s if k == 0 else s[:k - 1] + WILD + s[k:] for s in sounds for k in _sound_keys(len(s))]
+    pattern = dictionary_pattern(list(dict.fromkeys(forms)), whole_words=False)[5:]
+    longest = max(map(len, words))
+    marked = F.split(F.regexp_replace("_sound", f"(?={pattern})", MARK), MARK)
+    starts = F.aggregate(
+        F.transform(F.slice(marked, F.lit(1), F.size(marked) - 1), F.length),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"),
+                                F.array_append(acc["out"], acc["at"] + n).alias("out")),
+        lambda acc: acc["out"])
+
+    # The surroundings are cut inside the row, so that no candidate carries the whole text.
+    def candidate(at: Column) -> Column:
+        before = F.least(at, F.lit(SNIPPET_WIDTH))
+        around = F.slice(F.col("_cs"), at - before + 1, F.lit(longest + 2 * SNIPPET_WIDTH))
+        return F.struct(at.alias("start"), before.alias("left"), F.array_join(around, "").alias("around"),
+                        F.array_join(F.slice(F.col("_ss"), at + 1, F.lit(longest)), "").alias("sound"))
+
+    start, size = F.col("start"), F.length("term")
     near = (
-        source.select("meeting_id", "_cs", "_ss", F.explode(spots).alias("at"))
-        .select("meeting_id", "at", F.get("_cs", at).alias("anchor"), (at - low).alias("mid"),
-                cut("_cs").alias("around"), cut("_ss").alias("sounds")))
-    size = F.length("term")
-    start = F.col("mid") - F.col("offset")
-    pairs = near.join(anchors, "anchor").where(
-        (start >= 0) & (start + size <= F.length("around"))).withColumns({
-            "window": slice_text(F.col("around"), start, size),
-            "sound": slice_text(F.col("sounds"), start, size)})
+        df.withColumn("_sound", syllable_text(F.col(text), pinyin)).where(F.col("_sound").rlike(pattern))
+        .select("meeting_id", F.split(text, "").alias("_cs"), F.split("_sound", "").alias("_ss"),
+                starts.alias("_starts"))
+        .select("meeting_id", F.explode(F.transform("_starts", candidate)).alias("c"))
+        .select("meeting_id", "c.*", F.explode(F.array(
+            *[masked(F.col("c.sound"), n, k) for n, k in shapes])).alias("key")))
+    pairs = near.join(keys, "key").withColumns({
+        "window": slice_text(F.col("around"), F.col("left"), size), "sound": F.left("sound", size)}
+    ).where(F.length("window") == size)
 
     def same_places(a: str, b: str) -> Column:
         other = F.split(b, "")
         return F.transform(F.split(a, ""), lambda ch, i: ch == F.get(other, i))
 
-    written = same_places("window", "term")
-    alike = same_places("sound", "term_sound")
+    # A pair equal in all sounds meets under every mask: keep the first.
+    differs = F.array_position(same_places("sound", "term_sound"), False)
+    aligned = F.array_position(same_places("window", "term"), True)
     shared = F.size(F.array_intersect(F.split("window", ""), F.split("term", "")))
-    differing = F.size(F.filter(alike, lambda x: ~x))
+    first_mask = F.when(F.col("k") == 0, True).when(differs == 0, F.col("k") == 1).otherwise(differs == F.col("k"))
     suspicious = (
-        (F.col("window") != F.col("term"))
-        & (F.array_position(written, True) == F.col("offset") + 1)
-        & (differing <= F.when(size <= 2, distance_threshold(2)).otherwise(distance_threshold(3)))
+        (F.col("window") != F.col("term")) & first_mask & (aligned > 0)
         & (has_cjk(F.col("window")) == has_cjk(F.col("term")))
         & (~is_han(F.col("term")) | is_han(F.col("window")))
         & (shared >= F.greatest(F.lit(1), F.floor(size / 2))))
-    begin = F.col("at") - F.col("offset")
     hits = pairs.where(suspicious).select(
-        "meeting_id", "term", F.col("window").alias("matched"), begin.alias("start"), (begin + size).alias("end"),
+        "meeting_id", "term", F.col("window").alias("matched"), "start", (start + size).alias("end"),
         F.lit("phonetic").alias("kind"),
-        context_snippet(F.col("around"), start, start + size).alias("context"),
-        F.col("term_ord").alias("_term"), F.col("offset").alias("_offset"))
+        context_snippet(F.col("around"), F.col("left"), F.col("left") + size).alias("context"),
+        F.col("term_ord").alias("_term"), aligned.alias("_offset"))
     return _capped(hits, ["_term", "_offset", "start"], max_hits)
 
 
@@ -469,12 +501,23 @@ def fuzzy_corrections(df: DataFrame, terms: Sequence[Term], min_len: int = 1,
         entries = spark.createDataFrame(
             parts, "term_ord int, term string, wrong string, offset int, gram string")
         reach = max(len(f[2]) for f in forms) + 1
-        every = F.flatten(F.array(*[grams(n) for n in sorted({len(p[4]) for p in parts})]))
-        at = F.col("g.at") - 1
-        low = F.greatest(at - reach, F.lit(0))
-        near = lowered.select("meeting_id", "_cs", F.explode(every).alias("g")).select(
-            "meeting_id", F.col("g.gram").alias("gram"), (at - low).alias("mid"),
-            F.array_join(F.slice("_cs", low + 1, at - low + 2 * reach), "").alias("around"))
+        by_size: dict[int, set[str]] = {}
+        for p in parts:
+            by_size.setdefault(len(p[4]), set()).add(p[4])
+
+        def known_grams(n: int, known: set[str]) -> Column:
+            return F.filter(grams(n), lambda g: g["gram"].isin(sorted(known)))
+
+        every = F.flatten(F.array(*[known_grams(n, known) for n, known in sorted(by_size.items())]))
+
+        def surrounded(g: Column) -> Column:
+            low = F.greatest(g["at"] - 1 - reach, F.lit(0))
+            around = F.slice(F.col("_cs"), low + 1, g["at"] - 1 - low + 2 * reach)
+            return F.struct(g["gram"].alias("gram"), (g["at"] - 1 - low).alias("mid"),
+                            F.array_join(around, "").alias("around"))
+
+        near = lowered.select("meeting_id", F.explode(F.transform(every, surrounded)).alias("g")).select(
+            "meeting_id", "g.*")
         start = F.col("mid") - F.col("offset") + F.col("shift")
         window = slice_text(F.col("around"), start, F.length("wrong"))
         close = near.join(entries, "gram").withColumn(

@@ -23,7 +23,8 @@ HAN = (
     Term("电示事", "", (), ()),
     Term("例垫万", "", (), ()),
 )
-FUZZY = (Term("Finfet", "", ("finfet", "erlich")), Term("Thereof", "", ("thereofth",)), Term("示例电子", "", ("示例电子",)))
+FUZZY = (Term("Einheitlich", "", ("eineinheitlich", "verkeitenschen")), Term("Thereof", "", ("theringthanof",)),
+         Term("示例电子", "", ("示例电子示例",)))
 
 
 def apply_exact(spark, sf):
@@ -222,14 +223,4 @@ ORACLE = {
         SELECT * EXCLUDE (seen) FROM r WHERE group_ord <= 3""",
     "corpus_hit_summary": with_("transcripts", also=_HITS) + """SELECT kind, term, count(*) AS hits,
         count(DISTINCT meeting_id) AS meetings FROM hits GROUP BY ROLLUP (kind, term)""",
-    "fuzzy_corrections": with_("transcripts", also="""
-        forms AS (SELECT * FROM (VALUES (0, 'Finfet', 'finfet'), (0, 'Finfet', 'erlich'), (1, 'Thereof', 'thereofth'),
-                  (2, '示例电子', '示例电子')) f(term_ord, term, wrong)),
-        cs AS (SELECT meeting_id, string_split(lower(text), '') AS c FROM transcripts),
-        ws AS (SELECT DISTINCT meeting_id, n, array_to_string(c[i:i + n - 1], '') AS w FROM (
-            SELECT meeting_id, c, n, unnest(range(1, greatest(len(c) - n + 2, 1))) AS i FROM cs,
-                (SELECT DISTINCT length(wrong) AS n FROM forms)))""") + """
-        SELECT DISTINCT meeting_id, term_ord, term FROM ws JOIN forms ON n = length(wrong)
-        WHERE levenshtein(w, wrong) <= 2
-          AND regexp_matches(w, '[\\x{4e00}-\\x{9fff}]') = regexp_matches(wrong, '[\\x{4e00}-\\x{9fff}]')""",
 }
