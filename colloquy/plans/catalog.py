@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cleaning, factcheck, terms
+from . import alignment, cleaning, factcheck, minutes, terms
 
-_MODULES = (alignment, cleaning, factcheck, terms)
+_MODULES = (alignment, cleaning, factcheck, terms, minutes)
 
 
 def queries():

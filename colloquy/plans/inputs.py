@@ -124,7 +124,7 @@ def blocks(spark, sf_dir) -> DataFrame:
     """Lines of a document as topic blocks named after the line's first letters."""
     return doc_lines(spark, sf_dir).select(
         "meeting_id", F.floor(F.col("line_ord") / 4).cast("int").alias("chunk_ord"),
-        F.col("line_ord").alias("block_ord"),
+        (F.col("line_ord") % 4).alias("block_ord"),
         F.when(F.col("line").endswith(".") & (F.length("line") < 60), "qa").otherwise("narration").alias("type"),
         F.concat((F.col("line_ord") + 1).cast("string"), F.lit(". "), F.lower(F.substring("line", 1, 1)))
         .alias("topic"),
@@ -180,7 +180,7 @@ SQL = {
         a.text AS answer, '' AS asker, 'interviewer' AS asker_role, '' AS timerange
         FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1
         WHERE q.role = 'user' AND a.role = 'assistant'""",
-    "blocks": """SELECT meeting_id, (line_ord // 4)::INTEGER AS chunk_ord, line_ord::INTEGER AS block_ord,
+    "blocks": """SELECT meeting_id, (line_ord // 4)::INTEGER AS chunk_ord, (line_ord % 4)::INTEGER AS block_ord,
         CASE WHEN suffix(line, '.') AND length(line) < 60 THEN 'qa' ELSE 'narration' END AS type,
         (line_ord + 1) || '. ' || lower(left(line, 1)) AS topic, line AS text FROM doc_lines""",
     "pinyin": "SELECT * FROM (VALUES " + ", ".join(
