@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cleaning, factcheck, minutes, terms
+from . import alignment, cleaning, documents, factcheck, minutes, terms
 
-_MODULES = (alignment, cleaning, factcheck, terms, minutes)
+_MODULES = (alignment, cleaning, factcheck, terms, minutes, documents)
 
 
 def queries():
