@@ -49,9 +49,11 @@ def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame | None, key: s
 
     hot_items = expand(items.join(large, key, "left_semi"))
     hot_pool = pool.join(large, key, "left_semi")
-    tagged = F.explode_outer(F.flatten(F.array(*[
-        F.transform(F.col(k), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("token")))
-        for k in kinds])))
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+
+    tagged = F.explode_outer(F.flatten(F.array(*map(of_kind, kinds))))
     tokens = hot_pool.select(key, tagged.alias("t")).select(key, "t.kind", "t.token").distinct()
     nonblank = hot_pool.groupBy(key).agg(F.max("nonblank").alias("in_pool"))
     wanted = hot_items.select(key, *ids, tagged.alias("t")).select(key, *ids, "t.kind", "t.token")

@@ -193,4 +193,5 @@ def fact_check_report(coverage: DataFrame | None, sections: DataFrame, qa_pairs:
     return filled.select(
         "meeting_id", "sections_checked", "qa_pairs_checked", "issues",
         (F.coalesce("ok", F.lit(True)) & (F.col("issues") == 0)).alias("verified_overall"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least("ratio", F.lit(1.0))), by_issues).alias("confidence_score"))
+        F.when(F.col("ratio").isNull(), by_issues)
+        .otherwise(F.greatest(F.lit(0.0), F.least("ratio", F.lit(1.0)))).alias("confidence_score"))

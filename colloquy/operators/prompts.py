@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, strip
+from ..functions.text import strip
 from ..sources.model_output import parse_model_result
 from .chunking import SECONDARY_BOUNDARIES, SENTENCE_BOUNDARIES, chunk_bounds, chunk_text
 from .factcheck import coverage_report
 from .glossary import Term
-from .ordered import SPAN, large_keys, ordered_concat
+from .ordered import large_keys, ordered_concat, settle
 
 # Formats and limits.
 NONE = "（无）"
@@ -206,7 +206,7 @@ def import_results(transcripts: DataFrame, results: DataFrame, as_of: date,
     """
     sections, pairs = parse_model_result(results)
     checked = transcripts.join(results.select("meeting_id").distinct(), "meeting_id", "left_semi")
-    coverage = coverage_report(checked, sections, pairs, ok_ratio, boundaries)
+    coverage = settle(coverage_report(checked, sections, pairs, ok_ratio, boundaries))
     missing = F.array_join(F.transform("uncovered", lambda x, i: F.concat(
         F.lit("片段"), (i + 1).cast("string"), F.lit("：\n"), x)), "\n\n")
     short = coverage.where("NOT ok").select("meeting_id", missing.alias("text")).join(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import asker_label, valid_timerange
@@ -207,18 +207,29 @@ def render_formal(template: Template, sections: DataFrame, pairs: DataFrame) ->
 
 
 def render_term_report(hits: DataFrame, max_groups: int = REPORT_GROUPS) -> DataFrame:
-    """Corrections and warnings per kind, grouped by what was written."""
-    summary = hit_summary(hits, max_groups=max_groups)
-    lines = [_line(summary.select("meeting_id").distinct(), 0, 0, F.lit(TERM_HEADING))]
+    """Corrections and warnings per kind, grouped by what was written.
+
+    The first group of a kind brings the headings, the last one the remainder
+    line, so the hits are read once.
+    """
+    rank, heading, arrow = F, F, F
     for n, (kind, title, note) in enumerate(HIT_KINDS):
-        rows = summary.where(F.col("kind") == kind)
-        count = F.when(F.col("hits") > 1, F.concat(F.lit("（"), F.col("hits").cast("string"), F.lit(" 处）"))).otherwise("")
-        arrow = " → **" if kind == "exact" else " 疑似 **"
-        item = F.concat(F.lit("- `"), "matched", F.lit("`" + arrow), "term", F.lit("**"), count, F.lit("　"), "context")
-        totals = rows.groupBy("meeting_id").agg(F.first("kind_hits").alias("n"), F.first("more_groups").alias("more"))
-        lines += [
-            _line(totals, 10 * n + 1, 0, F.concat(F.lit(f"**{title} "), F.col("n").cast("string"), F.lit(f" 处**（{note}）\n"))),
-            _line(rows, 10 * n + 2, "group_ord", item),
-            _line(totals.where("more > 0"), 10 * n + 3, 0, F.concat(F.lit("- …… 另有 "), F.col("more").cast("string"), F.lit(" 类"))),
-            _line(totals, 10 * n + 4, 0, F.lit(""))]
-    return _union(lines)
+        here = F.col("kind") == kind
+        rank = rank.when(here, n)
+        heading = heading.when(here, F.concat(
+            F.lit(f"**{title} "), F.col("kind_hits").cast("string"), F.lit(f" 处**（{note}）\n")))
+        arrow = arrow.when(here, "` → **" if kind == "exact" else "` 疑似 **")
+    summary = hit_summary(hits, max_groups=max_groups).withColumn("rank", rank).where("rank IS NOT NULL")
+    meeting, of_kind = Window.partitionBy("meeting_id"), Window.partitionBy("meeting_id", "kind")
+    placed = summary.withColumns({"first_rank": F.min("rank").over(meeting), "last": F.max("group_ord").over(of_kind)})
+    count = F.when(F.col("hits") > 1, F.concat(F.lit("（"), F.col("hits").cast("string"), F.lit(" 处）"))).otherwise("")
+    opens, closes = F.col("group_ord") == 1, F.col("group_ord") == F.col("last")
+    lines = F.array_compact(F.array(
+        F.when(opens & (F.col("rank") == F.col("first_rank")), TERM_HEADING),
+        F.when(opens, heading),
+        F.concat(F.lit("- `"), "matched", arrow, "term", F.lit("**"), count, F.lit("　"), "context"),
+        F.when(closes & (F.col("more_groups") > 0), F.concat(
+            F.lit("- …… 另有 "), F.col("more_groups").cast("string"), F.lit(" 类"))),
+        F.when(closes, "")))
+    return placed.select("meeting_id", F.col("rank").alias("part"), "group_ord", F.posexplode(lines).alias("i", "text")).select(
+        "meeting_id", "part", (F.col("group_ord").cast("long") * 8 + F.col("i")).alias("ord"), "text")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import factcheck, prompts, rendering, reports
 from ..operators import glossary as gl
+from ..operators.ordered import settle
 from ..operators.rendering import Template, TemplateSection
 from ..streaming import jobs
 from . import inputs
@@ -92,7 +93,7 @@ def render_minutes(spark, sf):
 def render_report(spark, sf):
     """Minutes with citations, coverage and claims: the full validation report."""
     t, s, q = inputs.transcripts(spark, sf), inputs.sections(spark, sf), inputs.qa_pairs(spark, sf)
-    coverage = factcheck.coverage_report(t, s, q, boundaries=BOUNDARIES)
+    coverage = settle(factcheck.coverage_report(t, s, q, boundaries=BOUNDARIES))
     report = factcheck.fact_check_report(coverage, s, q)
     return rendering.assemble(rendering.render_minutes(
         s, q, report, coverage, factcheck.check_citations(s, t), factcheck.unsupported_claims(s, q)))
@@ -154,7 +155,7 @@ def stream_turns(spark, sf):
     schema = inputs.table(spark, sf, "events").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(
         F.col("user_id").alias("recording_id"), F.col("event_type").alias("speaker"), F.col("ts").cast("timestamp").alias("ts"))
-    sessions = jobs.stream_turns(arriving, "ts", "1 day", "40 days")
+    sessions = jobs.stream_turns(arriving, "ts", "12 hours", "1 day")
     folder = _folder(spark)
     # Sessions still open at the end of the input stay in the state.
     jobs.write_available(sessions, f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -257,7 +258,7 @@ ORACLE = {
         FROM turns_text""",
     "import_results": with_("transcripts", "sections", recursive=True, also="""
         qa_pairs AS (SELECT 0 AS meeting_id, 0 AS qa_ord, '' AS question, '' AS answer WHERE false),""" +
-        chunk_ctes("transcripts", 1000, 100) + "," + POOL_CTES.replace("content AS text FROM sections", f"content AS text FROM sections")) + """
+        chunk_ctes("transcripts", 1000, 100) + "," + POOL_CTES) + """
         SELECT t.meeting_id, count(chunk) AS total_chunks, count(*) FILTER (score < 0.5) AS uncovered_chunks,
                round(coalesce(sum(score) / count(chunk), 1.0::DOUBLE), 6) AS ratio,
                coalesce(sum(score) / count(chunk), 1.0::DOUBLE) >= 0.8 AS ok,
@@ -307,6 +308,14 @@ ORACLE = {
     "corpus_summary": with_("transcripts", also=f"base AS ({_SUMMARY})") + """
         SELECT tier, type, count(*) AS meetings, sum(raw_chars)::BIGINT AS raw_chars, sum(cleaned_chars)::BIGINT AS cleaned_chars
         FROM base GROUP BY ROLLUP (tier, type)""",
+    # Sessions that ended a day before the last turn; later ones are still open.
+    "stream_turns": """WITH e AS (SELECT user_id AS recording_id, event_type AS speaker, ts,
+            coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOURS, true)::INT AS opens FROM events
+            WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+        s AS (SELECT *, sum(opens) OVER (PARTITION BY recording_id, speaker ORDER BY ts) AS n FROM e)
+        SELECT recording_id, speaker, min(ts) AS session_start, max(ts) + INTERVAL 12 HOURS AS session_end, count(*) AS turns
+        FROM s GROUP BY recording_id, speaker, n
+        HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
     "stream_clean": with_("transcripts", also=f"""
         quiet AS (SELECT meeting_id, {_CLEANED} AS text FROM transcripts),"""
         + _HITS.split("hits AS")[0].rstrip().rstrip(",").replace("FROM transcripts", "FROM quiet")) + """
