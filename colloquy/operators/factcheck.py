@@ -66,7 +66,11 @@ def check_citations(sections: DataFrame, transcripts: DataFrame, styles: DataFra
         "meeting_id", "sec_ord", "cit_ord", "citation", F.col("_p.kind").alias("kind"),
         F.col("_p.ordinal").alias("ordinal"),
         F.coalesce("_p.ts_start", F.col("_p.ordinal").cast("string")).alias("ref"))
-    resolved = parsed.join(_references(transcripts), ["meeting_id", "kind", "ref"], "left")
+    # Citations that refer to nothing skip the join: as one key they would pile up in one task.
+    refers = F.col("kind").isin("timestamp", "paragraph", "line")
+    looked_up = parsed.where(refers).join(_references(transcripts), ["meeting_id", "kind", "ref"], "left")
+    resolved = looked_up.unionByName(
+        parsed.where(~refers).withColumn("content", F.lit(None).cast("string")).select(looked_up.columns))
     kind = F.col("kind")
     hit = F.col("content").isNotNull()
     return resolved.select(

@@ -101,10 +101,16 @@ def merge_speaker_text(spark, sf):
         F.array_join(lines, "\n")).alias("text"))
 
 
+def clock(seconds):
+    """``HH:MM:SS`` of a number of seconds, whatever the session's time zone."""
+    parts = [F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60]
+    return F.concat_ws(":", *[F.lpad(p.cast("int").cast("string"), 2, "0") for p in parts])
+
+
 def _stamped(c):
     """Every line led by a running clock time."""
     return F.array_join(F.transform(F.split(c, "\n"), lambda x, i: F.concat(
-        F.date_format(F.timestamp_seconds(i * 7), "HH:mm:ss"), F.lit(" "), x)), "\n")
+        clock(i * 7), F.lit(" "), x)), "\n")
 
 
 def citation_style(spark, sf):

@@ -8,7 +8,7 @@ from ..functions import tokens
 from ..functions.labels import citation_parse as parse_citation
 from ..operators import chunking, factcheck
 from . import inputs
-from .cleaning import _stamped
+from .cleaning import _stamped, clock
 from .inputs import WS_RE, sql_strip, with_
 
 # Cut characters of the invented Latin prose.
@@ -81,8 +81,7 @@ def check_citations(spark, sf):
 
 def check_timestamp_citations(spark, sf):
     n = F.col("sec_ord") * 7
-    stamp = lambda s: F.date_format(F.timestamp_seconds(s), "HH:mm:ss")
-    cites = F.array(stamp(n), F.concat(stamp(n), F.lit("-"), stamp(n + 7)), stamp(n + 3), F.lit("L1"))
+    cites = F.array(clock(n), F.concat(clock(n), F.lit("-"), clock(n + 7)), clock(n + 3), F.lit("L1"))
     sections = inputs.sections(spark, sf).withColumn("citations", cites)
     stamped = inputs.transcripts(spark, sf).withColumn("text", _stamped(F.col("text")))
     return factcheck.check_citations(sections, stamped, style="timestamp")
