@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .ordered import (SPAN, buckets_if_large, islands, large_keys, neighbours, ordered_concat,
-                      ordinal_bucket, prior_max, running_sum, settle, time_bucket)
+from .ordered import (SPAN, islands, large_keys, neighbours, ordered_concat, ordinal_bucket,
+                      prior_max, running_sum, settle, time_bucket, time_bucket_if_large)
 
 MIN_TURN_SECONDS = 1.0
 MAX_GAP_SECONDS = 0.5
@@ -88,7 +88,7 @@ def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS,
     near = neighbours(
         points.unionByName(asks), ["recording_id", "side"],
         [F.col("t"), F.coalesce(F.col("turn_ord"), F.lit(-1))], F.col("ref"),
-        bucket=buckets_if_large(turns, ["recording_id"], time_bucket("t"), span),
+        bucket=time_bucket_if_large(turns, ["recording_id"], "start", span, of="t"),
         before="b", after="a").where("ref IS NULL")
     candidate = near.select(
         "recording_id", "turn_ord", "t", F.explode(F.array("b", "a")).alias("c")).where("c IS NOT NULL")
@@ -112,7 +112,7 @@ def coalesce_turns(turns: DataFrame, max_gap: float = MAX_GAP_SECONDS, span: int
     """
     order = [F.col("start"), F.col("start") - F.col("end"), F.col("turn_ord")]
     narrow = turns.select("recording_id", "turn_ord", "start", "end", "speaker")
-    bucket = buckets_if_large(narrow, ["recording_id"], time_bucket("start"), span)
+    bucket = time_bucket_if_large(narrow, ["recording_id"], "start", span)
     runs = islands(narrow, ["recording_id"], order, F.col("speaker"), bucket=bucket, out="run")
     if bucket is not None:
         runs = settle(runs)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 # Rows of an ordinal that share a bucket.
 SPAN = 1 << 16
-# Seconds of media time that share a bucket.
-BUCKET_SECONDS = 600.0
+# Least width of a time bucket, in seconds.
+SHORTEST_BUCKET = 1e-3
 
 # Longest key list that becomes a local relation.
 KEY_LIST = 10_000
@@ -33,7 +33,7 @@ def ordinal_bucket(ordinal: str | Column, span: int = SPAN) -> Column:
     return F.floor(c / span).cast("long")
 
 
-def time_bucket(seconds: str | Column, width: float = BUCKET_SECONDS) -> Column:
+def time_bucket(seconds: str | Column, width: float) -> Column:
     c = F.col(seconds) if isinstance(seconds, str) else seconds
     return F.floor(c / width).cast("long")
 
@@ -67,9 +67,17 @@ def large_keys(df: DataFrame, keys: Sequence[str], span: int = SPAN) -> DataFram
     return large if len(some) > KEY_LIST else df.sparkSession.createDataFrame(some, large.schema)
 
 
-def buckets_if_large(df: DataFrame, keys: Sequence[str], bucket: Column, span: int = SPAN) -> Column | None:
-    """``bucket`` if some group needs splitting, else None."""
-    return bucket if large_keys(df, keys, span) is not None else None
+def time_bucket_if_large(df: DataFrame, keys: Sequence[str], time: str, span: int = SPAN,
+                         of: str | None = None) -> Column | None:
+    """Bucket of time ``of`` (default ``time``) if some group needs splitting, else None.
+
+    The width follows the densest large group: at its mean density a bucket
+    holds ``span`` rows, however many rows a second the group has.
+    """
+    large = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max(time) - F.min(time)).alias("_length")).where(F.col("_n") > span)
+    width = large.agg(F.min(F.col("_length") * span / F.col("_n"))).head()[0]
+    return None if width is None else time_bucket(of or time, max(width, SHORTEST_BUCKET))
 
 
 def _over(keys: Sequence[str], bucket: Column | None, order: Sequence[Column]):

@@ -142,6 +142,7 @@ def _folder(spark):
     return os.path.join(base, f"stream-{uuid.uuid4().hex}")
 
 
+# A stream reads a folder or a pattern; the pattern names the one file of the table.
 def stream_clean(spark, sf):
     schema = inputs.table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]").select(
