@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.jsontext import elements, kind, strict_json, text_field
 from ..functions.labels import normalize_asker_role
-from ..functions.text import WS, is_blank, let, strip
+from ..functions.text import WS, let, strip
 
 # Fixed values.
 WHOLE_TITLE = "内容"

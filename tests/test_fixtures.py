@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import labels, text as tx, tokens
-from colloquy.operators import align, chunking, factcheck, glossary as gl, minutes, ordered, prompts, rendering
+from colloquy.operators import align, chunking, factcheck, glossary as gl, minutes, prompts, rendering
 from colloquy.operators.cleaning import clean_text
 from colloquy.operators.glossary import Term
 from colloquy.schemas import BLOCKS, QA_PAIRS, SECTIONS, SEGMENTS, TRANSCRIPTS, TURNS

@@ -1,7 +1,6 @@
 """A hot group split into buckets must give what one window over it gives."""
 
 import random
-from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
