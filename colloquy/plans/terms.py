@@ -23,7 +23,7 @@ HAN = (
     Term("电示事", "", (), ()),
     Term("例垫万", "", (), ()),
 )
-FUZZY = (Term("Einheitlich", "", ("eineinheitlich", "verkeitenschen")), Term("Thereof", "", ("theringthanof",)),
+FUZZY = (Term("Einheitlich", "", ("einheitlich", "verkeitenschen")), Term("Thereof", "", ("therethand",)),
          Term("示例电子", "", ("示例电子示例",)))
 
 
@@ -209,6 +209,19 @@ ORACLE = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY hit_start, term, kind DESC) AS rk
                    FROM both_)""") + "SELECT meeting_id, term, matched, hit_start, kind FROM ranked WHERE rk <= 50",
     "expand_glossary": _EXPAND + "SELECT * FROM open",
+    "expand_glossary_two_positions": _EXPAND.rstrip() + """,
+        single AS (SELECT term_ord, term, variant_ord, pos, term[:pos] || other || term[pos + 2:] AS variant
+                   FROM turned WHERE variant_ord <= 60),
+        again AS (SELECT o.term_ord, o.term, s.variant[:o.pos] || o.other || s.variant[o.pos + 2:] AS variant,
+                      min(row(s.variant_ord, o.pos, o.rank)) AS seen
+                  FROM options o JOIN single s ON s.term_ord = o.term_ord AND s.pos <> o.pos GROUP BY ALL),
+        counts AS (SELECT term_ord, count(*) AS n FROM single GROUP BY term_ord),
+        later AS (SELECT a.term_ord, term, n + row_number() OVER (PARTITION BY a.term_ord ORDER BY seen) AS variant_ord, variant
+                  FROM again a JOIN counts c ON c.term_ord = a.term_ord),
+        both_ AS (SELECT term_ord, term, variant_ord, variant FROM single
+                  UNION ALL SELECT * FROM later WHERE variant_ord <= 60)
+        SELECT 'parts' AS glossary_id, term_ord, term, variant_ord, variant FROM both_
+        WHERE variant <> replace(term, '电', '垫') AND variant <> replace(term, '立', '利')""",
     "variant_stats": _EXPAND + """SELECT glossary_id, term_ord, term, count(*) AS variants FROM open
         GROUP BY ALL""",
     "term_frequency": _FREQ + "SELECT * FROM freq WHERE occurrences > 0",
