@@ -16,7 +16,7 @@ from ..operators.rendering import Template, TemplateSection
 from ..streaming import jobs
 from . import inputs
 from .cleaning import FILLERS, sql_fillers
-from .factcheck import BOUNDARIES, POOL_CTES, chunk_ctes
+from .factcheck import BOUNDARIES, CHECKED_CITATIONS, CLAIMS, POOL_CTES, chunk_ctes
 from .inputs import with_
 from .terms import _HITS, LATIN
 
@@ -237,7 +237,44 @@ _SUMMARY = f"""SELECT meeting_id, length(text)::INTEGER AS raw_chars, length({_C
     CASE WHEN len(regexp_extract_all(text, '[?？]')) * 1000.0 / greatest(length(text), 1) < 1.5 THEN 'narration' ELSE 'qa' END AS type
     FROM transcripts"""
 
+_CITED = CHECKED_CITATIONS[CHECKED_CITATIONS.index("cited AS"):]
+_CITE_CTES, _CITE_SELECT = _CITED.rsplit("\n        SELECT meeting_id, sec_ord", 1)
+_REPORT_SQL = with_("transcripts", "sections", "qa_pairs", recursive=True, also=(
+    chunk_ctes("transcripts", 1000, 100).strip() + "," + POOL_CTES + "," + _CITE_CTES + f""",
+    cites AS (SELECT meeting_id, sec_ord{_CITE_SELECT}),
+    claims AS ({CLAIMS}),
+    {_IDS}, {_QA_DOC},
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY sec_ord) AS i FROM sections),
+    sec AS (SELECT meeting_id, count(*) AS n, string_agg('## ' || i || '. ' || title || {_REFS.format(c='citations')} || chr(10) || chr(10)
+                || CASE WHEN content = '' THEN '（无内容）' ELSE content END || chr(10), chr(10) ORDER BY i) AS s
+            FROM numbered GROUP BY meeting_id),
+    asked AS (SELECT meeting_id, count(*) AS n FROM qa_pairs GROUP BY meeting_id),
+    cover AS (SELECT t.meeting_id, count(chunk) AS total, count(*) FILTER (score < 0.5) AS missed,
+                  coalesce(sum(score) / count(chunk), 1.0::DOUBLE) AS ratio,
+                  coalesce(string_agg(chr(10) || '  - "' || left(chunk, 80) || '"', '' ORDER BY chunk_ord) FILTER (score < 0.5 AND m <= 5), '') AS snippets
+              FROM transcripts t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY meeting_id, score < 0.5 ORDER BY chunk_ord) AS m
+                                            FROM scored) s ON s.meeting_id = t.meeting_id GROUP BY t.meeting_id),
+    cl AS (SELECT meeting_id, count(*) AS issues, string_agg('- [待确认] [' || claim_type || '] ' || title || '：' || issue || '（"'
+               || left(claim_snippet, 60) || '"）', chr(10) ORDER BY claim_type DESC, ord) AS lines FROM claims GROUP BY meeting_id),
+    ci AS (SELECT meeting_id, string_agg(CASE WHEN NOT valid THEN '- [无效] `' || citation || '` 引用格式不识别'
+               WHEN coalesce(content, '') = '' THEN '- [通过] `' || citation || '`（来源标记）'
+               ELSE '- [通过] `' || citation || '` 对应原文：' || left(content, 50) END, chr(10) ORDER BY sec_ord, cit_ord) AS lines
+           FROM cites GROUP BY meeting_id),
+    every AS (SELECT meeting_id FROM ids UNION SELECT meeting_id FROM transcripts)""")) + """
+    SELECT e.meeting_id, 0::BIGINT AS piece_ord, concat_ws(chr(10), CASE WHEN i.meeting_id IS NOT NULL THEN '# 会议纪要' || chr(10) END,
+        s, substr(qa, 2), '---' || chr(10) || chr(10) || '## 事实校验报告' || chr(10) || chr(10) || '- **校验状态**：'
+            || CASE WHEN coalesce(ratio >= 0.9, true) AND coalesce(issues, 0) = 0 THEN '[通过]' ELSE '[异常]' END,
+        '- **内容覆盖率**：' || round_even(ratio * 100, 0)::BIGINT || '%（' || (total - missed) || '/' || total || ' 段被提取内容覆盖）'
+            || CASE WHEN ratio >= 0.9 THEN '' ELSE chr(10) || '- ⚠️ 覆盖率低于阈值 90%，可能存在内容遗漏，请核对以下未覆盖片段：' || snippets END,
+        '- 共检查 ' || coalesce(sec.n, 0) || ' 个章节、' || coalesce(asked.n, 0) || ' 个问答' || chr(10),
+        '### 引用检查' || chr(10) || ci.lines || chr(10), '### 无来源声明' || chr(10) || cl.lines || chr(10)) AS text
+    FROM every e LEFT JOIN ids i ON i.meeting_id = e.meeting_id LEFT JOIN sec ON sec.meeting_id = e.meeting_id
+    LEFT JOIN qa ON qa.meeting_id = e.meeting_id LEFT JOIN asked ON asked.meeting_id = e.meeting_id
+    LEFT JOIN cover ON cover.meeting_id = e.meeting_id LEFT JOIN ci ON ci.meeting_id = e.meeting_id
+    LEFT JOIN cl ON cl.meeting_id = e.meeting_id"""
+
 ORACLE = {
+    "render_report": _REPORT_SQL,
     "glossary_rules": """SELECT p_brand AS glossary_id, coalesce(string_agg('- 当出现「' || upper(p_name) || '、' || p_type
         || '」时，应纠正为「' || p_name || '」（' || p_type || '）', chr(10) ORDER BY p_partkey) FILTER (p_size < 25), '（无）') AS rules,
         0::BIGINT AS piece_ord FROM part GROUP BY p_brand""",

@@ -201,7 +201,7 @@ _REPORT = """,
                array_to_string((list(left(chunk, 80) ORDER BY chunk_ord) FILTER (score < 0.5))[1:5], '|') AS snippets
         FROM transcripts t LEFT JOIN scored s ON s.meeting_id = t.meeting_id GROUP BY t.meeting_id)"""
 _STITCH = chunk_ctes("transcripts", STITCH_CHARS, STITCH_OVERLAP).strip()
-_CLAIMS = f"""
+CLAIMS = f"""
     SELECT meeting_id, sec_ord AS ord, left(content, 100) AS claim_snippet, 'section' AS claim_type, title,
            CASE WHEN content = '' THEN '{factcheck.EMPTY_NO_SOURCE}' ELSE '{factcheck.NO_SOURCE}' END AS issue
     FROM sections WHERE len(citations) = 0
@@ -282,14 +282,14 @@ ORACLE = {
                c.cit_ord < 3 AS valid, line IS NOT NULL AS found
         FROM cites c LEFT JOIN hits h ON h.meeting_id = c.meeting_id AND h.sec_ord = c.sec_ord
              AND h.cit_ord = c.cit_ord""",
-    "unsupported_claims": with_("sections", "qa_pairs") + _CLAIMS,
+    "unsupported_claims": with_("sections", "qa_pairs") + CLAIMS,
     "coverage_chunks": _COVER + """SELECT meeting_id, chunk_ord, round(score, 6) AS score, score >= 0.5 AS covered
         FROM scored""",
     "coverage_report": _COVER.rstrip() + _REPORT + """
         SELECT meeting_id, total_chunks, uncovered_chunks, round(ratio, 6) AS ratio, ratio >= 0.9 AS ok,
                coalesce(snippets, '') AS snippets FROM report""",
     "fact_check_report": _COVER.rstrip() + _REPORT + f""",
-        claims AS ({_CLAIMS}),
+        claims AS ({CLAIMS}),
         ids AS (SELECT meeting_id FROM report UNION SELECT meeting_id FROM sections
                 UNION SELECT meeting_id FROM qa_pairs),
         c AS (SELECT meeting_id, count(*) AS issues FROM claims GROUP BY meeting_id),
@@ -303,3 +303,5 @@ ORACLE = {
         FROM ids i LEFT JOIN report r ON r.meeting_id = i.meeting_id LEFT JOIN c ON c.meeting_id = i.meeting_id
         LEFT JOIN s ON s.meeting_id = i.meeting_id LEFT JOIN q ON q.meeting_id = i.meeting_id""",
 }
+
+CHECKED_CITATIONS = ORACLE["check_citations"]
