@@ -431,3 +431,11 @@ def test_files(spark, tmp_path):
     doc = spark.createDataFrame([(1, 0, "a\nb")], "meeting_id bigint, piece_ord bigint, text string")
     out = files.write_documents(doc, str(tmp_path), "drafts")
     assert spark.read.text(out).count() == 2
+
+
+def test_resolve_review(spark):
+    front = '{"qa_pairs": [{"question": "旧问", "answer": "旧答"}], "sections": [{"title": "旧题", "content": "旧文"}]}'
+    drafts = [(1, f"---\n{front}\n---\n\n# 校验稿\n"), (2, f"---\n{front}\n---\n\n**Q**：新问\n**A**：新答\n")]
+    sections, asked = mo.resolve_review(spark.createDataFrame(drafts, TRANSCRIPTS))
+    assert sorted((r.meeting_id, r.question, r.answer) for r in asked.collect()) == [(1, "旧问", "旧答"), (2, "新问", "新答")]
+    assert sorted((r.meeting_id, r.title, r.content) for r in sections.collect()) == [(1, "旧题", "旧文"), (2, "旧题", "旧文")]
