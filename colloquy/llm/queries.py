@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing",)
+MODULES = ("topk", "bpe", "mixing")
 
 
 def _all(kind):
