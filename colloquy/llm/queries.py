@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topk", "bpe", "caps", "mixing")
+MODULES = ("topk", "bpe", "secrets", "pii", "caps", "mixing")
 
 
 def _all(kind):
