@@ -174,13 +174,17 @@ class Scorer:
         return best
 
     def of(self, text: str) -> tuple[float, float, float]:
-        """The two highest scores among different words, and the logarithm of how many score."""
+        """The two highest scores among different words, and how large a share of all words scores, on a logarithmic scale."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        found = [w for w in [known[t] if t in known else self.weight(t) for t in set(tokens_of(text))] if w > 0]
-        top = [*heapq.nlargest(2, found), 0.0, 0.0]
-        return top[0], top[1], math.log1p(len(found))
+        known, words = self.known, tokens_of(text)
+        score = {t: known[t] if t in known else self.weight(t) for t in set(words)}
+        found = {t: w for t, w in score.items() if w > 0}
+        if not found:
+            return 0.0, 0.0, 0.0
+        top = [*heapq.nlargest(2, found.values()), 0.0]
+        total = sum(found[t] for t in words if t in found)
+        return top[0], top[1], math.log1p(100 * total / (len(words) + 10))
 
 
 def contexts(docs: DataFrame, model, only) -> DataFrame:
