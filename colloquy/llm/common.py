@@ -17,18 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is that of ``spark.checkpoint.dir``. A local session without one
-    gets a temporary folder; a cluster must name a folder all machines share.
+    It is that of ``spark.checkpoint.dir``. A local session without one gets a
+    temporary folder; a cluster must name a folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith(("local[", "local")):
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there: its lineage ends."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -84,7 +84,7 @@ def print_of(sh: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp1, fp2, mins, sk`` of each document; a document without words has nulls."""
+    """``doc_id, h, fp1, fp2, mins, sk`` of each document, ``h`` the hash of its text; one without words has nulls."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -99,10 +99,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     rows.append((None, None, None, None))
             out = pd.DataFrame(rows, columns=["fp1", "fp2", "mins", "sk"], index=f.index)
             out["fp1"], out["fp2"] = out["fp1"].astype("Int64"), out["fp2"].astype("Int64")
-            yield pd.concat([f[["doc_id"]], out], axis=1)
+            yield pd.concat([f[["doc_id", "h"]], out], axis=1)
 
-    named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
-    out = named.mapInPandas(sign, "doc_id string, fp1 long, fp2 long, mins array<long>, sk array<long>")
+    named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    out = named.mapInPandas(sign, "doc_id string, h long, fp1 long, fp2 long, mins array<long>, sk array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -229,11 +229,22 @@ def similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> Da
     first = info.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = info.join(first, "component").select(
         F.col("fp1").alias("_1"), F.col("fp2").alias("_2"), "class_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    out = signed.select("doc_id", "fp1", "fp2").join(named, (F.col("fp1") == F.col("_1")) & (F.col("fp2") == F.col("_2")), "left")
-    return out.select("doc_id", "fp1", "fp2", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    out = signed.select("doc_id", "h", "fp1", "fp2").join(named, (F.col("fp1") == F.col("_1")) & (F.col("fp2") == F.col("_2")), "left")
+    return out.select("doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       (F.col("fp1").isNull() | F.col("doc_id").eqNullSafe(F.coalesce("class_id", "doc_id"))).alias("kept"))
 
 
+def without_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that with the smallest doc_id.
+
+    Rows that repeat a doc_id and text become one. Texts without words stay.
+    """
+    gone = similar(docs, least).where("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_g")).distinct()
+    marked = docs.withColumn("_h", F.xxhash64("text"))
+    kept = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+
+
 def op6_jaccard(spark, sf_dir) -> DataFrame:
     return similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import WORD, settled, table
 
 GRAM = 40
 WINDOW = 50
@@ -143,6 +143,13 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias("n_lines"), cut.alias("n_removed"))
 
 
+def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``docs`` without later repeated runs. A document of which no word is left goes too; ``n_chars`` follows the text."""
+    out = dedup_lines(docs, gram, window).where((F.col("n_removed") == 0) | F.rlike("text", F.lit(WORD)))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def op9_lines(spark, sf_dir) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

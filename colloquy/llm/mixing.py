@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS)
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_REPEATS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, *, carry=(), weights=WEIGHTS, most: int = MOST_REPEATS, slots: int = SLOTS) -> DataFrame:
     """``doc_id, size, source_size, target, taken``, one row per document.
 
     Slot i holds the golden-ratio point frac(i * phi). The source into whose
@@ -52,18 +52,18 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_REPEATS, slots: in
 
     A null text has size 0, a null source is a source. Documents of size 0 take
     nothing. Rows with equal doc_id are laid out in the order of their sizes.
-    The block length is the total by ``slots``, rounded up: a source comes
-    within a few blocks of its target.
+    The block length is the total by ``slots``, rounded up, and there are as many
+    slots as the total fills: a source comes within a few blocks of its target. Columns named in ``carry`` come along.
     """
     sized = settled(docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+        "doc_id", *carry, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     block = F.greatest(F.ceil(F.sum("source_size").over(every) / F.lit(slots)), F.lit(1)).cast("long")
     upto = F.sum("target").over(by_name) / F.sum("target").over(every)
-    shares = targets.withColumns({"sid": F.row_number().over(by_name), "block": block, "upto": upto}).withColumn(
-        "since", F.coalesce(F.lag("upto").over(by_name), F.lit(0.0)))
+    shares = targets.withColumns({"sid": F.row_number().over(by_name), "block": block, "upto": upto}).withColumns({
+        "since": F.coalesce(F.lag("upto").over(by_name), F.lit(0.0)), "filled": F.sum("source_size").over(every) / F.col("block")})
 
     # Points meet shares in cells of the unit interval: an equi-join however many sources there are.
     cells = 1 << 12
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_REPEATS, slots: in
     points = points.withColumn("cell", F.floor(F.col("p") * cells).cast("int"))
     spans = shares.where("upto > since").withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("since") * cells).cast("int"), F.least(F.floor(F.col("upto") * cells), F.lit(cells)).cast("int"))))
-    slot = points.join(spans, "cell").where("p >= since and p < upto")
+    slot = points.join(spans, "cell").where("p >= since and p < upto and id < filled")
     # The rank of a source's slot is the number of its slots in earlier stretches and before it in its own.
     stretch = 1 << 10
     slot = slot.select("sid", "id", "source_size", "block", F.floor(F.col("id") / stretch).alias("part"))
@@ -98,7 +98,29 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_REPEATS, slots: in
         "words", F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("blk") * F.col("block")))
     taken = pieces.join(takes, ["sid", "blk"]).groupBy("sid", "bucket", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return laid.join(taken, ["sid", "bucket", "row"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", *carry, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: ``docs`` with each document as often as it is taken.
+
+    The blocks of a source are taken in one order, so that within a source only
+    the document at the end of the last round is taken in part: its last copy
+    has its first words. A document that is not taken is left out, and so is one
+    without words. ``n_chars``, if there, is that of the text.
+    """
+    marked = docs.withColumn("_h", F.xxhash64("text"))
+    takes = mix(marked, carry=("_h",)).where("taken > 0").select(
+        F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "size", "taken").dropDuplicates(["_d", "_g"])
+    takes = takes.select("_d", "_g", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    both = marked.join(takes, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
+    copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    text = F.when(words == F.col("_size"), F.col("text")).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words), " "))
+    return copies.withColumn("_text", text).select(*[
+        F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c)
+        for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:
@@ -127,7 +149,7 @@ shares AS (SELECT *, greatest(ceil(total / {SLOTS}), 1)::BIGINT AS block,
 spans AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY sid), 0.0::DOUBLE) AS since FROM shares),
 points AS (SELECT i, i * {GOLDEN}::DOUBLE - floor(i * {GOLDEN}::DOUBLE) AS p FROM range({SLOTS}) t(i)),
 ranked AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS r, ceil(source_size / block::DOUBLE)::BIGINT AS nb
-  FROM points JOIN spans ON p >= since AND p < upto),
+  FROM points JOIN spans ON p >= since AND p < upto AND i < total / block),
 takes AS (SELECT sid, r % nb AS blk, count(*) AS times FROM ranked WHERE r < 3 * nb GROUP BY ALL),
 laid AS (SELECT d.*, s.sid, s.source_size, s.target, s.block, row_number() OVER () AS rid,
   sum(size) OVER (PARTITION BY s.sid ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS UNBOUNDED PRECEDING) - size AS start

@@ -326,6 +326,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` whose score is below ``threshold``."""
+    return docs.where(fit(docs, labels).score(F.col("text")) < threshold)
+
+
 def op7_toxicity(spark, sf_dir) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
