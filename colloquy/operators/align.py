@@ -124,26 +124,24 @@ def coalesce_turns(turns: DataFrame, max_gap: float = MAX_GAP_SECONDS, span: int
         F.min("start").alias("start"), F.max("end").alias("end"), F.first("speaker").alias("speaker"))
 
 
-def _spoken(assigned: DataFrame, span: int):
-    """Segments with text, their large recordings, and the bucket to scan them by."""
-    rows = assigned.withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''")
-    large = large_keys(assigned, ["recording_id"], span)
-    if large is None:
-        return rows, None, None
-    return settle(rows), large, ordinal_bucket("seg_ord", span)
+def _spoken(segments: DataFrame, turns: DataFrame, span: int):
+    """Segments with text and speaker, and the bucket to scan them by."""
+    rows = assign_speaker(segments, turns).withColumn("text", strip(F.coalesce("text", F.lit("")))).where("text <> ''")
+    if large_keys(segments, ["recording_id"], span) is None:
+        return rows, None
+    return settle(rows), ordinal_bucket("seg_ord", span)
 
 
 def group_by_speaker(segments: DataFrame, turns: DataFrame, span: int = SPAN) -> DataFrame:
     """Blocks of consecutive segments with one speaker (NULL counts as a speaker).
 
-    One row per block; the blocks of a recording of more than ``span`` segments
-    may come in several pieces, each with its own time range.
+    One row per block; recordings of more than ``span`` segments are scanned in buckets.
     """
-    rows, large, bucket = _spoken(assign_speaker(segments, turns), span)
+    rows, bucket = _spoken(segments, turns, span)
     numbered = islands(rows, ["recording_id"], [F.col("seg_ord")], F.col("speaker"),
                        bucket=bucket, out="block_ord")
     return ordered_concat(
-        numbered, ["recording_id", "block_ord"], [F.col("seg_ord")], F.col("text"), span=span, large=large,
+        numbered, ["recording_id", "block_ord"], [F.col("seg_ord")], F.col("text"),
         also={"start": F.min_by("start", "seg_ord"), "end": F.max("end"), "speaker": F.first("speaker")})
 
 
@@ -162,7 +160,7 @@ def labeled_transcript(segments: DataFrame, turns: DataFrame, names: Mapping[int
     Leading segments without a speaker are dropped. Joining the block texts of
     a recording by a blank line gives the labelled transcript.
     """
-    rows, large, bucket = _spoken(assign_speaker(segments, turns), span)
+    rows, bucket = _spoken(segments, turns, span)
     named = rows.withColumn(
         "label", F.when(F.col("speaker").isNotNull(), speaker_label(F.col("speaker"), names)))
     blocks = islands(named, ["recording_id"], [F.col("seg_ord")], F.col("label"), inherit_null=True,
@@ -173,7 +171,7 @@ def labeled_transcript(segments: DataFrame, turns: DataFrame, names: Mapping[int
     text = F.when(F.col("earlier").isNotNull(), F.col("text")).otherwise(
         F.concat(F.col("speaker_label"), F.lit(":\n"), F.col("text")))
     return ordered_concat(opening, ["recording_id", "block_ord", "speaker_label"],
-                          [F.col("seg_ord")], text, span=span, large=large)
+                          [F.col("seg_ord")], text)
 
 
 def merge_speakers(turns_text: DataFrame, span: int = SPAN) -> DataFrame:
@@ -184,7 +182,7 @@ def merge_speakers(turns_text: DataFrame, span: int = SPAN) -> DataFrame:
     numbered = islands(rows, ["meeting_id"], [F.col("turn_ord")], F.col("speaker"),
                        bucket=bucket, out="block_ord")
     return ordered_concat(numbered, ["meeting_id", "block_ord", "speaker"],
-                          [F.col("turn_ord")], F.col("text"), span=span, large=large)
+                          [F.col("turn_ord")], F.col("text"))
 
 
 def chunk_windows(recordings: DataFrame, chunk_seconds: float, overlap: float) -> DataFrame:

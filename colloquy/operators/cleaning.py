@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (DEFAULT_FILLERS, citation_style, merge_speaker_text,
+from ..functions.text import (DEFAULT_FILLERS, citation_style, let, merge_speaker_text,
                               normalize_numbers, remove_fillers, size_tier, transcript_type)
 from ..sources.exports import normalize_export_text
 
 
 def clean_text(c: Column, fillers: Sequence[str] = DEFAULT_FILLERS) -> Column:
-    """Export format, speaker blocks, fillers, numerals - in this order."""
-    return normalize_numbers(remove_fillers(merge_speaker_text(normalize_export_text(c)), fillers))
+    """Export format, speaker blocks, fillers, numerals - in this order, each computed once."""
+    return let(normalize_export_text(c), lambda plain: let(merge_speaker_text(plain), lambda merged: let(
+        remove_fillers(merged, fillers), normalize_numbers)))
 
 
 def clean(df: DataFrame, text: str = "text", fillers: Sequence[str] = DEFAULT_FILLERS) -> DataFrame:

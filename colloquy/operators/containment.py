@@ -17,15 +17,25 @@ from pyspark.sql import functions as F
 from .ordered import large_keys, ordered_concat
 
 POOL_SPAN = 4096
-SEAM_RUN = "^[0-9A-Za-z%~～\\-万亿年]{0,64}"
+# Characters that a number token may go on with, at the start of a text.
+SEAM_RUN = "^[0-9A-Za-z%~～\\-万亿年]*"
 
 
 def text_pool(parts: DataFrame, key: str, order: Sequence[Column], cut: Column, *, sep: str,
               span: int = POOL_SPAN) -> tuple[DataFrame, DataFrame | None]:
-    """Pool texts per key (pieces for large keys) and the large keys, if any."""
+    """Pool texts per key and ``piece_ord``, and the large keys, if any.
+
+    The parts of a large key stay in pieces by ``cut``, monotone in the order;
+    every other key is one piece.
+    """
     large = large_keys(parts, [key], span)
-    pieces = ordered_concat(parts, [key], order, F.col("text"), sep=sep, span=span, cut=cut, large=large)
-    return pieces, large
+    zero = F.lit(0).cast("long")
+    if large is None:
+        rows = parts.withColumn("piece_ord", zero)
+    else:
+        rows = parts.withColumn("_cut", cut.cast("long")).join(large.withColumn("_large", F.lit(True)), key, "left").withColumn(
+            "piece_ord", F.when(F.col("_large"), F.col("_cut")).otherwise(zero))
+    return ordered_concat(rows, [key, "piece_ord"], order, F.col("text"), sep=sep), large
 
 
 def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame | None, key: str, *,
@@ -68,23 +78,32 @@ def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame | None, key: s
 
 
 def mend_seams(pieces: DataFrame, large: DataFrame | None, key: str) -> DataFrame:
-    """Let tokens cross the cuts of large pools.
+    """Let tokens cross the cuts of large pools, however long they are.
 
-    Each piece of a large key hands its leading run of letters and digits, and
-    one character more to read, to the piece before it. Only those short heads
-    are compared; ordinary keys have no cuts and pass unchanged.
+    A piece that does not consist of one run of letters and digits is an anchor.
+    Each anchor hands its leading run to the anchor before it, with one character
+    more to read, and the pieces between them go there whole. So every run lies
+    in one row. Empty pieces are passed over. Ordinary keys have no cuts.
     """
     if large is None:
         return pieces
     hot = pieces.join(large, key, "left_semi")
-    run = F.regexp_extract("text", SEAM_RUN, 0)
-    heads = hot.select(key, "piece_ord", run.alias("_run"),
-                       F.substring("text", F.length(run) + 1, F.lit(1)).alias("_next"))
+    head = F.regexp_extract("text", SEAM_RUN, 0)
     w = Window.partitionBy(key).orderBy("piece_ord")
-    seams = heads.select(
-        key, "piece_ord", F.row_number().over(w).alias("_i"), F.length("_run").alias("_taken"),
-        F.coalesce(F.lead(F.concat("_run", "_next")).over(w), F.lit("")).alias("_given"))
-    own = F.when(F.col("_i") == 1, F.col("text")).otherwise(
-        F.substring("text", F.col("_taken") + 1, F.length("text")))
-    mended = hot.join(seams, [key, "piece_ord"]).withColumn("text", F.concat(own, "_given"))
-    return pieces.join(large, key, "left_anti").unionByName(mended.select(pieces.columns))
+    marked = hot.withColumn("_run", head).withColumn("_anchor", (F.length("_run") < F.length("text")).cast("int")).withColumn(
+        "_at", F.sum("_anchor").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    gifts = marked.where("text <> ''").select(
+        key, (F.col("_at") - F.col("_anchor")).alias("_at"), "piece_ord",
+        F.when(F.col("_anchor") == 1, F.concat("_run", F.substring("text", F.length("_run") + 1, F.lit(1))))
+        .otherwise(F.col("text")).alias("text"))
+    given = ordered_concat(gifts, [key, "_at"], [F.col("piece_ord")], F.col("text"), out="_given")
+    # What comes before the first anchor belongs to place 0, where no anchor is.
+    own = marked.select(key, "piece_ord", "nonblank", F.when(F.col("_anchor") == 1, F.col("_at")).alias("_place"),
+                        F.when(F.col("_anchor") == 1, F.substring("text", F.length("_run") + 1, F.length("text")))
+                        .otherwise(F.lit("")).alias("text"))
+    mended = own.alias("o").join(given.alias("g"), (F.col(f"o.{key}") == F.col(f"g.{key}")) & (F.col("_place") == F.col("_at")), "left") \
+        .select(f"o.{key}", "piece_ord", F.concat("text", F.coalesce("_given", F.lit(""))).alias("text"), "nonblank")
+    opening = given.where("_at = 0").select(
+        key, F.lit(-1).cast("long").alias("piece_ord"), F.col("_given").alias("text"), F.lit(False).alias("nonblank"))
+    whole = pieces.join(large, key, "left_anti").select(key, "piece_ord", "text", "nonblank")
+    return whole.unionByName(mended).unionByName(opening)

@@ -18,7 +18,6 @@ COVERAGE_CHUNK, COVERAGE_OVERLAP = 1000, 100
 COVERED_FROM = 0.5
 OK_RATIO = 0.90
 MIN_SCORED = 10
-SNIPPET = 200
 NO_SOURCE, EMPTY_NO_SOURCE = "无引用来源", "内容为空且无引用"
 
 
@@ -33,14 +32,13 @@ def _references(transcripts: DataFrame) -> DataFrame:
     paragraphs = F.filter(F.transform(F.split("text", "\n\n"), strip), lambda p: p != "")
     by_ordinal = transcripts.select("meeting_id", F.explode(F.array(
         F.struct(F.lit("line").alias("kind"), F.transform(lines, strip).alias("items")),
-        F.struct(F.lit("paragraph").alias("kind"), F.transform(
-            let(paragraphs, lambda p: F.when(F.size(p) > 0, p).otherwise(F.transform(lines, strip))),
-            lambda p: F.left(p, F.lit(SNIPPET))).alias("items")),
+        F.struct(F.lit("paragraph").alias("kind"), let(paragraphs, lambda p: F.when(F.size(p) > 0, p).otherwise(
+            F.transform(lines, strip))).alias("items")),
     )).alias("u")).select("meeting_id", "u.kind", F.posexplode("u.items").alias("i", "content"))
     by_time = (
         transcripts.where(F.col("text").rlike(TIME_OF_DAY))
         .select("meeting_id", F.posexplode(lines).alias("i", "line"))
-        .select("meeting_id", "i", F.left(strip(F.col("line")), F.lit(SNIPPET)).alias("content"),
+        .select("meeting_id", "i", strip(F.col("line")).alias("content"),
                 F.explode(F.array_distinct(F.regexp_extract_all(
                     "line", F.lit(f"(?=({TIME_OF_DAY}))"), F.lit(1)))).alias("ref"))
         .groupBy("meeting_id", "ref").agg(F.min_by("content", "i").alias("content"))
@@ -85,17 +83,17 @@ def check_citations(sections: DataFrame, transcripts: DataFrame, styles: DataFra
 
 # --------------------------------------------------------------------- claims
 def unsupported_claims(sections: DataFrame, qa_pairs: DataFrame) -> DataFrame:
-    """Sections without a citation and every non-blank question-answer pair."""
+    """Sections without a citation and every non-blank question-answer pair, with their whole texts."""
     content = F.coalesce("content", F.lit(""))
     bare = sections.where(F.coalesce(F.size("citations"), F.lit(0)) < 1).select(
-        "meeting_id", F.col("sec_ord").alias("ord"), F.left(content, F.lit(100)).alias("claim_snippet"),
+        "meeting_id", F.col("sec_ord").alias("ord"), content.alias("claim_snippet"),
         F.lit("section").alias("claim_type"), "title",
         F.when(content == "", EMPTY_NO_SOURCE).otherwise(NO_SOURCE).alias("issue"))
     text = strip(F.concat("question", F.lit(" "), "answer"))
     pairs = qa_pairs.where(text != "").select(
-        "meeting_id", F.col("qa_ord").alias("ord"), F.left(text, F.lit(100)).alias("claim_snippet"),
+        "meeting_id", F.col("qa_ord").alias("ord"), text.alias("claim_snippet"),
         F.lit("qa_pair").alias("claim_type"),
-        F.concat(F.lit("Q: "), F.left("question", F.lit(50))).alias("title"),
+        F.concat(F.lit("Q: "), "question").alias("title"),
         F.lit(NO_SOURCE).alias("issue"))
     return bare.unionByName(pairs)
 
@@ -181,12 +179,14 @@ def fact_check_report(coverage: DataFrame | None, sections: DataFrame, qa_pairs:
     claim. Confidence is the coverage ratio, or the share of sections and pairs
     without an issue where coverage is unknown.
     """
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("meeting_id").agg(F.count(F.lit(1)).alias(name))
-
-    counts = (count(sections, "sections_checked")
-              .join(count(qa_pairs, "qa_pairs_checked"), "meeting_id", "full")
-              .join(count(unsupported_claims(sections, qa_pairs), "issues"), "meeting_id", "full"))
+    def marks(df: DataFrame, section: int, issue: Column) -> DataFrame:
+        return df.select("meeting_id", F.lit(section).alias("section"), issue.cast("int").alias("issue"))
+
+    bare = F.coalesce(F.size("citations"), F.lit(0)) < 1
+    said = strip(F.concat("question", F.lit(" "), "answer")) != ""
+    counts = marks(sections, 1, bare).unionByName(marks(qa_pairs, 0, F.coalesce(said, F.lit(False)))).groupBy("meeting_id").agg(
+        F.sum("section").alias("sections_checked"), F.sum(1 - F.col("section")).alias("qa_pairs_checked"),
+        F.coalesce(F.sum("issue"), F.lit(0)).alias("issues"))
     if coverage is not None:
         counts = counts.join(coverage.select("meeting_id", "ratio", "ok"), "meeting_id", "full")
     else:

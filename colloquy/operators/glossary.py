@@ -7,6 +7,7 @@ are never collected or joined to it row by row.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -19,15 +20,10 @@ from ..schemas import GLOSSARY
 
 # Fixed values.
 ASCII_FORM = "[A-Za-z0-9][A-Za-z0-9 .\\-_+/%]*"
-MAX_HITS = 50
 REPEAT_THRESHOLD = 5
-MAX_VARIANTS = 120
-TOP_TERMS = 30
-REPORT_GROUPS = 20
 SNIPPET_WIDTH = 12
-HITS = "meeting_id bigint, term string, matched string, start int, end int, kind string, context string"
-# Any one character in a dictionary form; mark of a place in a text.
-WILD, MARK = "\x01", "\x02"
+# Any one character in a dictionary form; of the private use area, and no place in a text is compared with it.
+WILD = "\uf8ff"
 # Most glossary forms that one plan may carry.
 MAX_FORMS = 200_000
 
@@ -99,7 +95,27 @@ def _quote(s: str) -> str:
 
 
 def _literal_map(mapping: Mapping[str, str]) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in mapping]), F.array(*[F.lit(v) for v in mapping.values()]))
+    """A constant map, put into the plan as one literal however many entries it has."""
+    return F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
+
+
+def _no_hits(df: DataFrame) -> DataFrame:
+    return df.where("false").select("meeting_id", *[F.lit(None).cast(kind).alias(c) for c, kind in (
+        ("term", "string"), ("matched", "string"), ("start", "int"), ("end", "int"), ("kind", "string"), ("context", "string"))])
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """Where the pattern matches, overlapping matches included.
+
+    The text is split before each match; lengths of the stretches give the
+    places. A blank in front keeps a match at the start from being passed over.
+    """
+    stretches = F.split(F.concat(F.lit(" "), text), f"(?={pattern})")
+    return F.aggregate(
+        F.transform(F.slice(stretches, F.lit(1), F.size(stretches) - 1), F.length),
+        F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")),
+        lambda acc: acc["out"])
 
 
 # ------------------------------------------------------------- exact correction
@@ -138,7 +154,7 @@ def exact_hits(df: DataFrame, terms: Sequence[Term], text: str = "text",
     """
     mapping = correction_map(terms)
     if not mapping:
-        return df.sparkSession.createDataFrame([], HITS)
+        return _no_hits(df)
     pattern = dictionary_pattern(list(mapping))
     found = df.where(F.col(text).rlike(pattern)).select("meeting_id", _pieces(F.col(text), pattern).alias("p"))
 
@@ -183,48 +199,64 @@ def _occurrences(text: Column, needle: Column) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle))
 
 
-def _capped(hits: DataFrame, discovery: Sequence[str], max_hits: int) -> DataFrame:
-    """First ``max_hits`` hits of each transcript in discovery order."""
-    w = Window.partitionBy("meeting_id").orderBy(*discovery)
-    return hits.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_hits).drop("_rank", *discovery[:-1])
+def _capped(hits: DataFrame, discovery: Sequence[str], max_hits: int | None) -> DataFrame:
+    """All hits, or the first ``max_hits`` of each transcript in discovery order."""
+    if max_hits is not None:
+        w = Window.partitionBy("meeting_id").orderBy(*discovery)
+        hits = hits.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_hits).drop("_rank")
+    return hits.drop(*discovery[:-1])
 
 
-def scan_variants(df: DataFrame, terms: Sequence[Term], max_hits: int = MAX_HITS,
+def scan_variants(df: DataFrame, terms: Sequence[Term], max_hits: int | None = None,
                   repeat_threshold: int = REPEAT_THRESHOLD, text: str = "text") -> DataFrame:
     """Occurrences of generated variants, as warnings.
 
     A variant that occurs more often than both the threshold and its correct
     form is taken for an ordinary word and skipped - unless the correct form
-    never occurs. One pattern finds the transcripts worth a look.
+    never occurs. One pattern marks the places where a variant or correct form
+    starts; short windows at these places are joined to the forms, so that
+    neither the plan nor an exploded row grows with the glossary or the text.
     """
     mapping = variant_map(terms)
     if not mapping:
-        return df.sparkSession.createDataFrame([], HITS)
-    entries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("variant"), F.lit(c).alias("correct"))
-                        for i, (v, c) in enumerate(mapping.items())])
-    c = F.col(text)
-    present = (
-        df.where(c.rlike(dictionary_pattern(list(mapping), whole_words=False)[5:]))
-        .select("meeting_id", c.alias("_text"),
-                F.explode(F.filter(entries, lambda e: F.contains(F.col(text), e["variant"]))).alias("e")))
-    count, right = _occurrences(F.col("_text"), F.col("e.variant")), _occurrences(F.col("_text"), F.col("e.correct"))
-    kept = present.where(~((right > 0) & (count > F.greatest(F.lit(repeat_threshold), right))))
-    # Splitting at the literal leaves the stretches between the occurrences.
-    gaps = F.split("_text", F.concat(F.lit("\\Q"), F.col("e.variant"), F.lit("\\E")))
-    size = F.length("e.variant")
-    starts = F.aggregate(
-        F.slice(F.transform(gaps, F.length), F.lit(1), F.size(gaps) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, gap: F.struct((acc["at"] + gap + size).cast("int").alias("at"),
-                                  F.array_append(acc["out"], acc["at"] + gap).alias("out")),
+        return _no_hits(df)
+    forms = {v: (i, v, c) for i, (v, c) in enumerate(mapping.items())}
+    rights = {c: (None, c, c) for c in mapping.values() if c not in forms}
+    table = df.sparkSession.createDataFrame([*forms.values(), *rights.values()], "ord int, form string, correct string")
+    pattern = dictionary_pattern([*forms, *rights], whole_words=False)[5:]
+    sizes = sorted({len(f) for f in (*forms, *rights)})
+    chars = F.col("_cs")
+
+    def spot(at: Column) -> Column:
+        before = F.least(at, F.lit(SNIPPET_WIDTH))
+        around = F.array_join(F.slice(chars, at - before + 1, F.lit(sizes[-1] + 2 * SNIPPET_WIDTH)), "")
+        return F.struct(at.alias("start"), before.alias("left"), around.alias("around"))
+
+    spots = (
+        df.where(F.col(text).rlike(pattern)).select("meeting_id", F.split(text, "").alias("_cs"), _places(F.col(text), pattern).alias("_at"))
+        .select("meeting_id", F.explode(F.transform("_at", spot)).alias("s")).select("meeting_id", "s.*"))
+    windows = spots.select("*", F.explode(F.array_distinct(F.array(
+        *[slice_text(F.col("around"), F.col("left"), F.lit(n)) for n in sizes]))).alias("form"))
+    found = windows.join(table, "form").select(
+        "meeting_id", "ord", "form", "correct", F.struct(
+            "start", context_snippet(F.col("around"), F.col("left"), F.col("left") + F.length("form")).alias("context")).alias("s"))
+    # Occurrences of one form do not overlap: from left to right, the next begins where the last has ended.
+    size = F.length("form")
+    per_form = found.withColumn("_size", size).groupBy("meeting_id", "form").agg(
+        F.first("ord").alias("ord"), F.first("correct").alias("correct"), F.first("_size").alias("_size"), F.collect_list("s").alias("_all"))
+    taken = F.aggregate(
+        F.array_sort("_all"),
+        F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<start:int,context:string>>").alias("out")),
+        lambda acc, s: F.when(s["start"] >= acc["free"], F.struct(
+            (s["start"] + F.col("_size")).cast("int").alias("free"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc),
         lambda acc: acc["out"])
-    # Only the first hits of a variant can be among the first hits of the text.
-    spots = F.transform(F.slice(starts, 1, max_hits), lambda at: F.struct(
-        at.alias("start"), context_snippet(F.col("_text"), at, at + size).alias("context")))
-    rows = kept.select("meeting_id", "e", F.explode(spots).alias("s")).select(
-        "meeting_id", F.col("e.correct").alias("term"), F.col("e.variant").alias("matched"), "s.start",
-        (F.col("s.start") + size).alias("end"), F.lit("variant").alias("kind"), "s.context",
-        F.col("e.ord").alias("_ord"))
+    counted = per_form.withColumn("_hits", taken).withColumn("_n", F.size("_hits"))
+    right = counted.select("meeting_id", F.col("form").alias("correct"), F.col("_n").alias("_right"))
+    kept = counted.where("ord IS NOT NULL").join(right, ["meeting_id", "correct"], "left").where(
+        F.col("_right").isNull() | (F.col("_n") <= F.greatest(F.lit(repeat_threshold), "_right")))
+    rows = kept.select("meeting_id", "correct", "form", "ord", "_size", F.explode("_hits").alias("s")).select(
+        "meeting_id", F.col("correct").alias("term"), F.col("form").alias("matched"), "s.start",
+        (F.col("s.start") + F.col("_size")).alias("end"), F.lit("variant").alias("kind"), "s.context", F.col("ord").alias("_ord"))
     return _capped(rows, ["_ord", "start"], max_hits)
 
 
@@ -265,7 +297,7 @@ def _sound_keys(length: int) -> list[int]:
     return [0] if distance_threshold(length) == 0 else list(range(1, length + 1))
 
 
-def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int = MAX_HITS,
+def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int | None = None,
                   min_term_len: int = 2, text: str = "text") -> DataFrame:
     """Windows that sound like a term but are written differently, as warnings.
 
@@ -283,7 +315,7 @@ def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str
             words.setdefault(w, i)
     spark = df.sparkSession
     if not words:
-        return spark.createDataFrame([], HITS)
+        return _no_hits(df)
 
     def masked(c: Column, n: int, k: int) -> Column:
         sound = F.left(c, F.lit(n))
@@ -301,14 +333,6 @@ def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str
     forms = [s if k == 0 else s[:k - 1] + WILD + s[k:] for s in sounds for k in _sound_keys(len(s))]
     pattern = dictionary_pattern(list(dict.fromkeys(forms)), whole_words=False)[5:]
     longest = max(map(len, words))
-    marked = F.split(F.regexp_replace("_sound", f"(?={pattern})", MARK), MARK)
-    starts = F.aggregate(
-        F.transform(F.slice(marked, F.lit(1), F.size(marked) - 1), F.length),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"),
-                                F.array_append(acc["out"], acc["at"] + n).alias("out")),
-        lambda acc: acc["out"])
-
     # The surroundings are cut inside the row, so that no candidate carries the whole text.
     def candidate(at: Column) -> Column:
         before = F.least(at, F.lit(SNIPPET_WIDTH))
@@ -320,7 +344,7 @@ def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str
     near = (
         df.withColumn("_sound", syllable_text(F.col(text), pinyin)).where(F.col("_sound").rlike(pattern))
         .select("meeting_id", F.split(text, "").alias("_cs"), F.split("_sound", "").alias("_ss"),
-                starts.alias("_starts"))
+                _places(F.col("_sound"), pattern).alias("_starts"))
         .select("meeting_id", F.explode(F.transform("_starts", candidate)).alias("c"))
         .select("meeting_id", "c.*", F.explode(F.array(
             *[masked(F.col("c.sound"), n, k) for n, k in shapes])).alias("key")))
@@ -350,28 +374,32 @@ def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str
     return _capped(hits, ["_term", "_offset", "start"], max_hits)
 
 
-def scan_all(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int = MAX_HITS,
+def scan_all(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int | None = None,
              repeat_threshold: int = REPEAT_THRESHOLD) -> DataFrame:
-    """Variant warnings, and phonetic ones that no variant covers; capped by position."""
+    """Variant warnings, and phonetic ones that no variant covers; with ``max_hits`` the first by position."""
     variants = scan_variants(df, terms, max_hits, repeat_threshold)
     phonetic = scan_phonetic(df, terms, pinyin, max_hits)
     fresh = phonetic.join(variants.select("meeting_id", "start", "matched"),
                           ["meeting_id", "start", "matched"], "left_anti").select(variants.columns)
     w = Window.partitionBy("meeting_id").orderBy("start", "term", F.desc("kind"))
-    both = variants.unionByName(fresh).withColumn("_rank", F.row_number().over(w))
+    both = variants.unionByName(fresh)
+    if max_hits is None:
+        return both
+    both = both.withColumn("_rank", F.row_number().over(w))
     return both.where(F.col("_rank") <= max_hits).drop("_rank")
 
 
 # -------------------------------------------------------------------- expansion
-def expand_glossary(glossary: DataFrame, pinyin: DataFrame, max_variants: int = MAX_VARIANTS,
+def expand_glossary(glossary: DataFrame, pinyin: DataFrame, max_variants: int | None = None,
                     max_positions: int = 1, min_term_len: int = 2) -> DataFrame:
     """Homophone variants per term: ``glossary_id, term_ord, term, variant_ord, variant``.
 
     One Han position is replaced by each homophone, common characters first.
-    Positions take turns, so the cap keeps some of each. A second replaced
-    position is tried for the variants found, in their order. Confirmed
-    corrections are dropped after the cap.
+    Positions take turns, so that ``max_variants`` keeps some of each. A second
+    replaced position is tried for the variants found, in their order. Confirmed
+    corrections are dropped at the end.
     """
+    within = F.lit(True) if max_variants is None else F.col("variant_ord") <= max_variants
     keys = ["glossary_id", "term_ord"]
     term = strip(F.col("term"))
     chars = (
@@ -389,7 +417,7 @@ def expand_glossary(glossary: DataFrame, pinyin: DataFrame, max_variants: int =
 
     turn = Window.partitionBy(*keys).orderBy("rank", "pos")
     single = (
-        options.withColumn("variant_ord", F.row_number().over(turn)).where(F.col("variant_ord") <= max_variants)
+        options.withColumn("variant_ord", F.row_number().over(turn)).where(within)
         .withColumn("variant", put(F.col("term"), F.col("pos"), F.col("other"))))
     found = single.select(*keys, "term", "variant_ord", "variant")
     if max_positions >= 2:
@@ -402,7 +430,7 @@ def expand_glossary(glossary: DataFrame, pinyin: DataFrame, max_variants: int =
         counts = single.groupBy(*keys).agg(F.count("*").alias("n"))
         later = Window.partitionBy(*keys).orderBy("seen")
         double = firsts.join(counts, keys).withColumn(
-            "variant_ord", F.row_number().over(later) + F.col("n")).where(F.col("variant_ord") <= max_variants)
+            "variant_ord", F.row_number().over(later) + F.col("n")).where(within)
         found = found.unionByName(double.select(found.columns))
     confirmed = glossary.select(*keys, F.explode("corrections").alias("c")).select(
         *keys, strip(F.col("c")).alias("variant"))
@@ -434,20 +462,20 @@ def term_frequency(df: DataFrame, terms: Sequence[Term], text: str = "text") ->
         .select("meeting_id", "c.term_ord", "c.term", F.col("c.n").alias("occurrences")))
 
 
-def filter_terms(df: DataFrame, terms: Sequence[Term], top_n: int = TOP_TERMS, text: str = "text") -> DataFrame:
-    """The ``top_n`` most frequent terms of each transcript."""
+def filter_terms(df: DataFrame, terms: Sequence[Term], top_n: int | None = None, text: str = "text") -> DataFrame:
+    """The terms of each transcript by frequency: all, or the ``top_n`` first."""
     w = Window.partitionBy("meeting_id").orderBy(F.desc("occurrences"), "term_ord")
-    return term_frequency(df, terms, text).withColumn("rank", F.row_number().over(w)).where(
-        F.col("rank") <= top_n)
+    ranked = term_frequency(df, terms, text).withColumn("rank", F.row_number().over(w))
+    return ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
 
 
 def hit_summary(hits: DataFrame, discovery: Sequence[str] = ("start", "end"),
-                max_groups: int = REPORT_GROUPS) -> DataFrame:
+                max_groups: int | None = None) -> DataFrame:
     """Hits grouped by what was written for which term.
 
-    Per transcript and kind: the first ``max_groups`` groups in order of first
-    appearance with count and first context, the total number of hits and the
-    number of groups left out.
+    Per transcript and kind: the groups in order of first appearance with count
+    and first context, and the total number of hits. ``max_groups`` keeps the
+    first ones; ``more_groups`` says how many it leaves out.
     """
     first = F.struct(*discovery)
     groups = hits.groupBy("meeting_id", "kind", "matched", "term").agg(
@@ -456,8 +484,9 @@ def hit_summary(hits: DataFrame, discovery: Sequence[str] = ("start", "end"),
     ranked = groups.withColumns({
         "group_ord": F.row_number().over(per_kind.orderBy("seen", "matched", "term")),
         "kind_hits": F.sum("hits").over(per_kind),
-        "more_groups": F.greatest(F.count("*").over(per_kind) - max_groups, F.lit(0))})
-    return ranked.where(F.col("group_ord") <= max_groups).drop("seen")
+        "more_groups": F.lit(0).cast("long") if max_groups is None
+        else F.greatest(F.count("*").over(per_kind) - max_groups, F.lit(0))})
+    return (ranked if max_groups is None else ranked.where(F.col("group_ord") <= max_groups)).drop("seen")
 
 
 def corpus_hit_summary(hits: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def merge_blocks(blocks: DataFrame, span: int = FOLD_SPAN) -> DataFrame:
                            bucket=None if large is None else ordinal_bucket("ord"), out="n")
     return ordered_concat(
         numbered.withColumn("sec_ord", F.col("n") - 1), ["meeting_id", "sec_ord"], [F.col("ord")], F.col("text"),
-        sep="\n\n", out="content", large=large, also={"title": F.min_by("title", "ord")})
+        sep="\n\n", out="content", also={"title": F.min_by("title", "ord")})
 
 
 def dedupe_questions(pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of an ordinal that share a bucket.
@@ -38,17 +38,27 @@ def time_bucket(seconds: str | Column, width: float) -> Column:
     return F.floor(c / width).cast("long")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder.
 
-    Used where an expensive intermediate feeds several branches. A folder is
-    only chosen here if the session names none, as in local tests.
+    A cluster must name it in ``spark.checkpoint.dir``; only a local session,
+    whose tasks share the driver's disk, gets one of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colloquy-ckpt-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's shared folder.
+
+    Used where an expensive intermediate feeds several branches.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -203,28 +213,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[Column], valu
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: Column, *,
-                   sep: str = "", span: int = SPAN, out: str = "text", piece: str = "piece_ord",
-                   cut: Column | None = None, also: Mapping[str, Column] | None = None,
-                   large: DataFrame | None = None) -> DataFrame:
-    """Concatenate ``text`` in order, one row per group and piece.
-
-    ``large`` is what ``large_keys`` found for some of the keys; its groups are
-    cut into pieces of ``span`` consecutive values of the integer ``order[0]``
-    (or by ``cut``, monotone in the order), so no task gathers them whole.
-    Every other group is piece 0. The pieces in order, joined by ``sep``, are
-    the text. ``also`` adds aggregates per piece.
-    """
+                   sep: str = "", out: str = "text", also: Mapping[str, Column] | None = None) -> DataFrame:
+    """Concatenate ``text`` in order, one row per group at every size; ``also`` adds aggregates."""
     items = F.array_sort(F.collect_list(F.struct(_position(order).alias("_o"), text.alias("_t"))))
     extra = [c.alias(n) for n, c in (also or {}).items()]
-    zero = F.lit(0).cast("long")
-    if large is None:
-        grouped = df.groupBy(*keys).agg(items.alias("_l"), *extra).withColumn(piece, zero)
-    else:
-        cut = F.floor(order[0] / span) if cut is None else cut
-        rows = df.withColumn("_cut", cut.cast("long")).join(
-            large.withColumn("_large", F.lit(True)), large.columns, "left").withColumn(
-            piece, F.when(F.col("_large"), F.col("_cut")).otherwise(zero))
-        grouped = rows.groupBy(*keys, piece).agg(items.alias("_l"), *extra)
+    grouped = df.groupBy(*keys).agg(items.alias("_l"), *extra)
     return grouped.withColumn(out, F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).drop("_l")
 
 

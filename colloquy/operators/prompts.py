@@ -18,7 +18,7 @@ from ..sources.model_output import parse_model_result
 from .chunking import SECONDARY_BOUNDARIES, SENTENCE_BOUNDARIES, chunk_bounds, chunk_text
 from .factcheck import coverage_report
 from .glossary import Term
-from .ordered import large_keys, ordered_concat, settle
+from .ordered import ordered_concat, settle
 
 # Formats and limits.
 NONE = "（无）"
@@ -68,9 +68,7 @@ def glossary_rules(glossary: DataFrame) -> DataFrame:
     line = F.concat(F.lit(RULE[0]), F.array_join("corrections", "、"), F.lit(RULE[1]), "term", F.lit(RULE[2]),
                     F.coalesce("context", F.lit("")), F.lit(RULE[3]))
     lines = glossary.withColumn("_line", F.when(F.size("corrections") > 0, line))
-    large = large_keys(glossary, ["glossary_id"])
-    joined = ordered_concat(lines, ["glossary_id"], [F.col("term_ord")], F.col("_line"), sep="\n",
-                            out="rules", large=large)
+    joined = ordered_concat(lines, ["glossary_id"], [F.col("term_ord")], F.col("_line"), sep="\n", out="rules")
     return joined.withColumn("rules", F.when(F.col("rules") == "", NONE).otherwise(F.col("rules")))
 
 
@@ -125,13 +123,11 @@ def build_prompts(df: DataFrame, kind: str, as_of: date, terms: Sequence[Term] =
     date is an argument; nothing depends on when the job runs.
     """
     sizes = {"rewrite": (REWRITE_CHARS, REWRITE_OVERLAP), "block": (REWRITE_CHARS, REWRITE_OVERLAP),
-             "qa": (QA_CHARS, QA_OVERLAP)}
+             "qa": (QA_CHARS, QA_OVERLAP), "glossary": (GLOSSARY_CHARS, QA_OVERLAP)}
     if kind in sizes:
         rows = chunk_text(df, "text", *sizes[kind], boundaries).withColumnRenamed("chunk", "text")
     else:
         rows = df.withColumn("chunk_ord", F.lit(0))
-        if kind == "glossary":
-            rows = rows.withColumn("text", F.left("text", F.lit(GLOSSARY_CHARS)))
     if backgrounds is not None:
         rows = rows.join(background_text(backgrounds), "meeting_id", "left")
         background = F.coalesce("background", F.lit(_default_background()))

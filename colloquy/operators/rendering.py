@@ -2,7 +2,7 @@
 
 A renderer returns rows ``meeting_id, part, ord, text``: the document is the
 texts in order, joined by newlines. ``assemble`` turns them into one row per
-document; only a document of more than ``span`` rows comes in several pieces.
+document; a document too long for a row is written as its lines.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import asker_label, valid_timerange
-from .glossary import REPORT_GROUPS, hit_summary
+from .glossary import hit_summary
 from .ordered import SPAN, large_keys, ordered_concat, ordinal_bucket, running_sum
 
 # Fixed values of the documents.
@@ -54,11 +54,9 @@ def _meetings(*frames: DataFrame) -> DataFrame:
     return _union([f.select("meeting_id").distinct() for f in frames]).distinct()
 
 
-def assemble(lines: DataFrame, span: int = SPAN) -> DataFrame:
-    """``meeting_id, piece_ord, text``; pieces in order, joined by newlines, are the document."""
-    cut = F.col("part").cast("long") * (1 << 40) + F.floor(F.col("ord") / span)
-    return ordered_concat(lines, ["meeting_id"], [F.col("part"), F.col("ord")], F.col("text"), sep="\n",
-                          span=span, cut=cut, large=large_keys(lines, ["meeting_id"], span))
+def assemble(lines: DataFrame) -> DataFrame:
+    """``meeting_id, text``: the lines of each document in order, joined by newlines."""
+    return ordered_concat(lines, ["meeting_id"], [F.col("part"), F.col("ord")], F.col("text"), sep="\n")
 
 
 def _numbered(sections: DataFrame, span: int = SPAN) -> DataFrame:
@@ -110,8 +108,8 @@ def _report_lines(report, coverage, citations, claims, ok_ratio) -> list[DataFra
         lines.append(_line(report, 5, 0, F.concat(F.lit("- **置信度**："), _percent(F.col("confidence_score")))))
     else:
         covered = F.col("total_chunks") - F.col("uncovered_chunks")
-        snippets = F.array_join(F.transform(F.slice("uncovered", 1, 5), lambda s: F.concat(
-            F.lit('\n  - "'), F.left(s, F.lit(80)), F.lit('"'))), "")
+        snippets = F.array_join(F.transform("uncovered", lambda s: F.concat(
+            F.lit('\n  - "'), s, F.lit('"'))), "")
         warning = F.when(F.col("ok"), "").otherwise(F.concat(
             F.lit(f"\n- ⚠️ 覆盖率低于阈值 {ok_ratio * 100:.0f}%，可能存在内容遗漏，请核对以下未覆盖片段："), snippets))
         lines.append(_line(coverage.join(report.select("meeting_id"), "meeting_id", "left_semi"), 5, 0, F.concat(
@@ -121,13 +119,13 @@ def _report_lines(report, coverage, citations, claims, ok_ratio) -> list[DataFra
         cite = F.concat(F.lit("`"), "citation", F.lit("`"))
         text = F.when(~F.col("valid"), F.concat(F.lit("- [无效] "), cite, F.lit(" 引用格式不识别"))).when(
             F.coalesce("content", F.lit("")) == "", F.concat(F.lit("- [通过] "), cite, F.lit("（来源标记）"))).otherwise(
-            F.concat(F.lit("- [通过] "), cite, F.lit(" 对应原文："), F.left("content", F.lit(50))))
+            F.concat(F.lit("- [通过] "), cite, F.lit(" 对应原文："), "content"))
         ends = citations.select("meeting_id").distinct()
         lines += [_line(ends, 7, 0, F.lit("### 引用检查")),
-                  _line(citations, 8, F.col("sec_ord") * 1_000_000 + F.col("cit_ord"), text), _line(ends, 9, 0, F.lit(""))]
+                  _line(citations, 8, F.col("sec_ord").cast("long") * (1 << 31) + F.col("cit_ord"), text), _line(ends, 9, 0, F.lit(""))]
     if claims is not None:
         text = F.concat(F.lit("- [待确认] ["), "claim_type", F.lit("] "), "title", F.lit("："), "issue", F.lit('（"'),
-                        F.left("claim_snippet", F.lit(60)), F.lit('"）'))
+                        "claim_snippet", F.lit('"）'))
         ends = claims.select("meeting_id").distinct()
         kind = F.when(F.col("claim_type") == "section", 0).otherwise(1).cast("long")
         lines += [_line(ends, 10, 0, F.lit("### 无来源声明")),
@@ -206,7 +204,7 @@ def render_formal(template: Template, sections: DataFrame, pairs: DataFrame) ->
     return _union(lines)
 
 
-def render_term_report(hits: DataFrame, max_groups: int = REPORT_GROUPS) -> DataFrame:
+def render_term_report(hits: DataFrame, max_groups: int | None = None) -> DataFrame:
     """Corrections and warnings per kind, grouped by what was written.
 
     The first group of a kind brings the headings, the last one the remainder

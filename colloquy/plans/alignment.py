@@ -28,18 +28,18 @@ def coalesce_turns(spark, sf):
 
 def group_by_speaker(spark, sf):
     return align.group_by_speaker(inputs.segments(spark, sf), inputs.turns(spark, sf)).select(
-        "recording_id", "block_ord", "piece_ord", "speaker", "text",
+        "recording_id", "block_ord", "speaker", "text",
         F.round("start", 6).alias("block_start"), F.round("end", 6).alias("block_end"))
 
 
 def labeled_transcript(spark, sf):
     return align.labeled_transcript(inputs.segments(spark, sf), inputs.turns(spark, sf), NAMES).select(
-        "recording_id", "block_ord", "piece_ord", "text")
+        "recording_id", "block_ord", "text")
 
 
 def merge_speakers(spark, sf):
     return align.merge_speakers(inputs.turns_text(spark, sf)).select(
-        "meeting_id", "block_ord", "piece_ord", "speaker", "text")
+        "meeting_id", "block_ord", "speaker", "text")
 
 
 def _local_segments(spark, sf):
@@ -60,6 +60,11 @@ def stitch_segments(spark, sf):
         "recording_id", "chunk_ord", "seg_ord", F.round("start", 4).alias("seg_start"), "text")
 
 
+def stitch_segments_core(spark, sf):
+    return align.stitch_segments(_local_segments(spark, sf), CHUNK_SECONDS).select(
+        "recording_id", "chunk_ord", "seg_ord", F.round("start", 4).alias("seg_start"), "text")
+
+
 def dominant_share(spark, sf):
     return align.dominant_share(inputs.turns(spark, sf)).select(
         "recording_id", F.round("share", 6).alias("share"), "dominated")
@@ -71,7 +76,7 @@ def speaker_count(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     assign_speaker, merge_short_turns, coalesce_turns, group_by_speaker, labeled_transcript,
-    merge_speakers, stitch_segments, dominant_share, speaker_count)}
+    merge_speakers, stitch_segments, stitch_segments_core, dominant_share, speaker_count)}
 
 _ASSIGNED = f"""pairs AS (
     SELECT s.recording_id, s.seg_ord, t.speaker,
@@ -115,7 +120,7 @@ ORACLE = {
               WINDOW w AS (PARTITION BY recording_id ORDER BY seg_ord)),
         b AS (SELECT *, sum(changed) OVER (PARTITION BY recording_id ORDER BY seg_ord)::BIGINT AS block_ord
               FROM a)""") + """
-        SELECT recording_id, block_ord, 0::BIGINT AS piece_ord, any_value(speaker) AS speaker,
+        SELECT recording_id, block_ord, any_value(speaker) AS speaker,
                string_agg(text, '' ORDER BY seg_ord) AS text, round(arg_min(s0, seg_ord), 6) AS block_start,
                round(max(s1), 6) AS block_end FROM b GROUP BY recording_id, block_ord""",
     "labeled_transcript": with_("segments", "turns", also=_ASSIGNED + """,
@@ -128,7 +133,7 @@ ORACLE = {
               WINDOW w AS (PARTITION BY recording_id ORDER BY seg_ord)),
         d AS (SELECT *, sum(changed) OVER (PARTITION BY recording_id ORDER BY seg_ord)::BIGINT AS block_ord
               FROM c)""") + """
-        SELECT recording_id, block_ord, 0::BIGINT AS piece_ord,
+        SELECT recording_id, block_ord,
                any_value(label) || ':' || chr(10) || string_agg(text, '' ORDER BY seg_ord) AS text
         FROM d GROUP BY recording_id, block_ord""",
     "merge_speakers": with_("turns_text", also="""
@@ -137,7 +142,7 @@ ORACLE = {
               WINDOW w AS (PARTITION BY meeting_id ORDER BY turn_ord)),
         b AS (SELECT *, sum(changed) OVER (PARTITION BY meeting_id ORDER BY turn_ord)::BIGINT AS block_ord
               FROM a)""") + f"""
-        SELECT meeting_id, block_ord, 0::BIGINT AS piece_ord, any_value(speaker) AS speaker,
+        SELECT meeting_id, block_ord, any_value(speaker) AS speaker,
                string_agg({sql_strip('text')}, '' ORDER BY turn_ord) AS text
         FROM b GROUP BY meeting_id, block_ord""",
     "stitch_segments": with_("segments", also=f"""
@@ -161,3 +166,4 @@ ORACLE = {
     "speaker_count": with_("turns")
     + "SELECT recording_id, count(DISTINCT speaker) AS speakers FROM turns GROUP BY recording_id",
 }
+ORACLE["stitch_segments_core"] = ORACLE["stitch_segments"].removesuffix(" OR is_last")

@@ -45,7 +45,7 @@ def _payloads(spark, sf):
     line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
         i.cast("double").alias("start"), (i + 1).cast("double").alias("end"), x.alias("text")))
     return inputs.turns_text(spark, sf).select(
-        (F.col("meeting_id") * 1000 + F.col("turn_ord")).alias("recording_id"),
+        (F.col("meeting_id") * 2147483648 + F.col("turn_ord")).alias("recording_id"),
         F.lit(600.0).alias("offset"),
         F.when(F.col("speaker") == "user", F.col("text"))
         .otherwise(F.to_json(F.struct(line.alias("segments")))).alias("payload"))
@@ -260,13 +260,13 @@ ORACLE = {
         json_extract_string(json_object('text', text, 'n', turn_ord), '$.text') ELSE text END AS text
         FROM turns_text""",
     "parse_asr_segments": with_("turns_text", also=f"""
-        l AS (SELECT meeting_id * 1000 + turn_ord AS recording_id, i - 1 AS n, {sql_strip('ls[i]')} AS text
+        l AS (SELECT meeting_id * 2147483648 + turn_ord AS recording_id, i - 1 AS n, {sql_strip('ls[i]')} AS text
               FROM (SELECT *, string_split(text, chr(10)) AS ls,
                     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
                     FROM turns_text WHERE speaker <> 'user'))""") + """
         SELECT recording_id, n::INTEGER AS seg_ord, n + 600.0::DOUBLE AS seg_start, n + 601.0::DOUBLE AS seg_end,
                text, NULL AS reason FROM l WHERE text <> ''
-        UNION ALL SELECT meeting_id * 1000 + turn_ord, NULL, NULL, NULL, NULL, 'no_segments'
+        UNION ALL SELECT meeting_id * 2147483648 + turn_ord, NULL, NULL, NULL, NULL, 'no_segments'
         FROM turns_text WHERE speaker = 'user'""",
     "remove_fillers": with_("transcripts")
     + f"SELECT meeting_id, {sql_fillers('text', FILLERS)} AS text FROM transcripts",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from datetime import date
 
@@ -11,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import factcheck, prompts, rendering, reports
 from ..operators import glossary as gl
-from ..operators.ordered import settle
+from ..operators.ordered import settle, shared_folder
 from ..operators.rendering import Template, TemplateSection
+from ..sources import files
 from ..streaming import jobs
 from . import inputs
 from .cleaning import FILLERS, sql_fillers
@@ -70,7 +69,7 @@ def estimate_calls(spark, sf):
 
 def generate(spark, sf):
     turns = inputs.turns_text(spark, sf).select(
-        (F.col("meeting_id") * 100 + F.col("turn_ord")).alias("meeting_id"), "text")
+        (F.col("meeting_id") * 2147483648 + F.col("turn_ord")).alias("meeting_id"), "text")
     answers = prompts.generate(prompts.build_prompts(turns, "export_speech", AS_OF), prompts.echo)
     return answers.select("meeting_id", F.get_json_object("result", "$.sections[0].content").alias("content"), "error")
 
@@ -124,7 +123,13 @@ def render_formal(spark, sf):
 
 def render_term_report(spark, sf):
     return rendering.assemble(rendering.render_term_report(
-        gl.exact_hits(inputs.transcripts(spark, sf), LATIN), max_groups=3))
+        gl.exact_hits(inputs.transcripts(spark, sf), LATIN)))
+
+
+def document_round_trip(spark, sf):
+    """Texts written by the sink and read back."""
+    root = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    return files.read_documents(spark, files.write_documents(inputs.transcripts(spark, sf), root, "texts"))
 
 
 def run_summary(spark, sf):
@@ -138,8 +143,7 @@ def corpus_summary(spark, sf):
 
 def _folder(spark):
     """A fresh folder next to the session's checkpoints."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 # A stream reads a folder or a pattern; the pattern names the one file of the table.
@@ -153,21 +157,21 @@ def stream_clean(spark, sf):
 
 
 def stream_turns(spark, sf):
-    schema = inputs.table(spark, sf, "events").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(
-        F.col("user_id").alias("recording_id"), F.col("event_type").alias("speaker"), F.col("ts").cast("timestamp").alias("ts"))
+    events = inputs.table(spark, sf, "events")
+    columns = F.col("user_id").alias("recording_id"), F.col("event_type").alias("speaker"), F.col("ts").cast("timestamp").alias("ts")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select(*columns)
     sessions = jobs.stream_turns(arriving, "ts", "12 hours", "1 day")
     folder = _folder(spark)
-    # Sessions still open at the end of the input stay in the state.
     jobs.write_available(sessions, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema("recording_id bigint, speaker string, session_start timestamp, session_end timestamp, "
-                             "turns bigint").parquet(f"{folder}/out")
+    emitted = spark.read.schema("recording_id bigint, speaker string, session_start timestamp, session_end timestamp, "
+                                "turns bigint").parquet(f"{folder}/out")
+    return jobs.closed_turns(emitted, events.select(*columns), "ts", "12 hours")
 
 
 QUERIES = {f.__name__: f for f in (
     glossary_rules, hotword_prompt, background_text, build_prompts, estimate_calls, generate, import_results,
     render_minutes, render_report, minutes_to_json, render_review, match_template_sections, render_formal,
-    render_term_report, run_summary, corpus_summary, stream_clean, stream_turns)}
+    render_term_report, run_summary, corpus_summary, document_round_trip, stream_clean, stream_turns)}
 
 # ------------------------------------------------------------------------ oracle
 _RULES = prompts.rules_text(LATIN)
@@ -189,7 +193,7 @@ def _renamed(ctes: str, n: int) -> str:
 def _prompts_sql() -> str:
     long, qa = _renamed(chunk_ctes("transcripts", 4000, 200), 1), _renamed(chunk_ctes("transcripts", 8000, 400), 2)
     whole = "(SELECT meeting_id, 0 AS chunk_ord, {} AS chunk FROM transcripts)"
-    source = {"rewrite": "chunks1", "block": "chunks1", "qa": "chunks2", "glossary": whole.format("left(text, 8000)")}
+    source = {"rewrite": "chunks1", "block": "chunks1", "qa": "chunks2", "glossary": "chunks2"}
     selects = [f"SELECT meeting_id || ':{k}:' || chunk_ord AS prompt_id, meeting_id, chunk_ord, '{k}' AS kind, "
                f"md5({_prompt_sql(k)}) AS digest FROM {source.get(k, whole.format('text'))}" for k in KINDS]
     return with_("transcripts", recursive=True, also=long.strip() + "," + qa) + " UNION ALL ".join(selects)
@@ -217,8 +221,8 @@ _JSON = """
              FROM ids i LEFT JOIN js ON js.meeting_id = i.meeting_id LEFT JOIN jq ON jq.meeting_id = i.meeting_id)"""
 
 
-def _term_report(groups: int) -> str:
-    return f"""
+def _term_report() -> str:
+    return """
         g AS (SELECT meeting_id, matched, term, count(*) AS hits, arg_min(context, hit_start) AS context, min(hit_start) AS seen
               FROM hits GROUP BY meeting_id, matched, term),
         r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seen) AS n,
@@ -226,8 +230,7 @@ def _term_report(groups: int) -> str:
         report AS (SELECT meeting_id, '## 术语纠错' || chr(10) || chr(10) || '**已自动纠正 ' || any_value(total)
                 || ' 处**（术语表精确命中，确定性替换）' || chr(10) || chr(10)
                 || string_agg('- `' || matched || '` → **' || term || '**' || CASE WHEN hits > 1 THEN '（' || hits || ' 处）' ELSE '' END
-                    || '　' || context, chr(10) ORDER BY n) FILTER (n <= {groups}) || chr(10)
-                || CASE WHEN any_value(kinds) > {groups} THEN '- …… 另有 ' || (any_value(kinds) - {groups}) || ' 类' || chr(10) ELSE '' END AS text
+                    || '　' || context, chr(10) ORDER BY n) || chr(10) AS text
               FROM r GROUP BY meeting_id)"""
 
 
@@ -251,17 +254,17 @@ _REPORT_SQL = with_("transcripts", "sections", "qa_pairs", recursive=True, also=
     asked AS (SELECT meeting_id, count(*) AS n FROM qa_pairs GROUP BY meeting_id),
     cover AS (SELECT t.meeting_id, count(chunk) AS total, count(*) FILTER (score < 0.5) AS missed,
                   coalesce(sum(score) / count(chunk), 1.0::DOUBLE) AS ratio,
-                  coalesce(string_agg(chr(10) || '  - "' || left(chunk, 80) || '"', '' ORDER BY chunk_ord) FILTER (score < 0.5 AND m <= 5), '') AS snippets
+                  coalesce(string_agg(chr(10) || '  - "' || chunk || '"', '' ORDER BY chunk_ord) FILTER (score < 0.5), '') AS snippets
               FROM transcripts t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY meeting_id, score < 0.5 ORDER BY chunk_ord) AS m
                                             FROM scored) s ON s.meeting_id = t.meeting_id GROUP BY t.meeting_id),
     cl AS (SELECT meeting_id, count(*) AS issues, string_agg('- [待确认] [' || claim_type || '] ' || title || '：' || issue || '（"'
-               || left(claim_snippet, 60) || '"）', chr(10) ORDER BY claim_type DESC, ord) AS lines FROM claims GROUP BY meeting_id),
+               || claim_snippet || '"）', chr(10) ORDER BY claim_type DESC, ord) AS lines FROM claims GROUP BY meeting_id),
     ci AS (SELECT meeting_id, string_agg(CASE WHEN NOT valid THEN '- [无效] `' || citation || '` 引用格式不识别'
                WHEN coalesce(content, '') = '' THEN '- [通过] `' || citation || '`（来源标记）'
-               ELSE '- [通过] `' || citation || '` 对应原文：' || left(content, 50) END, chr(10) ORDER BY sec_ord, cit_ord) AS lines
+               ELSE '- [通过] `' || citation || '` 对应原文：' || content END, chr(10) ORDER BY sec_ord, cit_ord) AS lines
            FROM cites GROUP BY meeting_id),
     every AS (SELECT meeting_id FROM ids UNION SELECT meeting_id FROM transcripts)""")) + """
-    SELECT e.meeting_id, 0::BIGINT AS piece_ord, concat_ws(chr(10), CASE WHEN i.meeting_id IS NOT NULL THEN '# 会议纪要' || chr(10) END,
+    SELECT e.meeting_id, concat_ws(chr(10), CASE WHEN i.meeting_id IS NOT NULL THEN '# 会议纪要' || chr(10) END,
         s, substr(qa, 2), '---' || chr(10) || chr(10) || '## 事实校验报告' || chr(10) || chr(10) || '- **校验状态**：'
             || CASE WHEN coalesce(ratio >= 0.9, true) AND coalesce(issues, 0) = 0 THEN '[通过]' ELSE '[异常]' END,
         '- **内容覆盖率**：' || round_even(ratio * 100, 0)::BIGINT || '%（' || (total - missed) || '/' || total || ' 段被提取内容覆盖）'
@@ -276,8 +279,7 @@ _REPORT_SQL = with_("transcripts", "sections", "qa_pairs", recursive=True, also=
 ORACLE = {
     "render_report": _REPORT_SQL,
     "glossary_rules": """SELECT p_brand AS glossary_id, coalesce(string_agg('- 当出现「' || upper(p_name) || '、' || p_type
-        || '」时，应纠正为「' || p_name || '」（' || p_type || '）', chr(10) ORDER BY p_partkey) FILTER (p_size < 25), '（无）') AS rules,
-        0::BIGINT AS piece_ord FROM part GROUP BY p_brand""",
+        || '」时，应纠正为「' || p_name || '」（' || p_type || '）', chr(10) ORDER BY p_partkey) FILTER (p_size < 25), '（无）') AS rules FROM part GROUP BY p_brand""",
     "hotword_prompt": f"""WITH w AS (SELECT p_brand, p_name, min(p_partkey) AS o FROM part GROUP BY ALL),
         u AS (SELECT *, sum(length(p_name) + 1) OVER (PARTITION BY p_brand ORDER BY o) AS used FROM w)
         SELECT p_brand AS glossary_id, '{prompts.HOTWORD_LEAD}' || string_agg(p_name, '、' ORDER BY o) || '。' AS prompt
@@ -292,7 +294,7 @@ ORACLE = {
         a AS (SELECT meeting_id, count(*)::INTEGER AS q FROM chunks1 GROUP BY 1),
         b AS (SELECT meeting_id, count(*)::INTEGER AS s FROM chunks2 GROUP BY 1)""") + """
         SELECT meeting_id, unnest([q, s, q + s]) AS calls, unnest(['qa', 'speech', 'both']) AS fmt FROM a JOIN b USING (meeting_id)""",
-    "generate": with_("turns_text") + """SELECT meeting_id * 100 + turn_ord AS meeting_id, text AS content, NULL AS error
+    "generate": with_("turns_text") + """SELECT meeting_id * 2147483648 + turn_ord AS meeting_id, text AS content, NULL AS error
         FROM turns_text""",
     "import_results": with_("transcripts", "sections", recursive=True, also="""
         qa_pairs AS (SELECT 0 AS meeting_id, 0 AS qa_ord, '' AS question, '' AS answer WHERE false),""" +
@@ -307,21 +309,21 @@ ORACLE = {
         sec AS (SELECT meeting_id, string_agg('## ' || i || '. ' || title || {_REFS.format(c='citations')} || chr(10) || chr(10)
                     || CASE WHEN content = '' THEN '（无内容）' ELSE content END || chr(10), chr(10) ORDER BY i) AS s
                 FROM n GROUP BY meeting_id), {_QA_DOC}""") + """
-        SELECT i.meeting_id, 0::BIGINT AS piece_ord, '# 会议纪要' || chr(10) || coalesce(chr(10) || s, '') || coalesce(qa, '') AS text
+        SELECT i.meeting_id, '# 会议纪要' || chr(10) || coalesce(chr(10) || s, '') || coalesce(qa, '') AS text
         FROM ids i LEFT JOIN sec ON sec.meeting_id = i.meeting_id LEFT JOIN qa ON qa.meeting_id = i.meeting_id""",
     "minutes_to_json": with_("sections", "qa_pairs", also=f"{_IDS}, {_JSON.strip()}")
-    + "SELECT meeting_id, 0::BIGINT AS piece_ord, text FROM docs",
+    + "SELECT meeting_id, text FROM docs",
     "render_review": with_("transcripts", "sections", also=f"""
         pairs AS ({inputs.SQL['qa_pairs']}),
         qa_pairs AS (SELECT * REPLACE (CASE WHEN qa_ord = 0 THEN ' 09:32-09:35' ELSE '上午' END AS timerange) FROM pairs),
-        {_IDS}, {_JSON.strip()}, {_HITS.strip()}, {_term_report(gl.REPORT_GROUPS).strip()},
+        {_IDS}, {_JSON.strip()}, {_HITS.strip()}, {_term_report().strip()},
         sec AS (SELECT meeting_id, string_agg('### ' || title || chr(10) || content || chr(10), chr(10) ORDER BY sec_ord) AS s
                 FROM sections GROUP BY meeting_id),
         ask AS (SELECT meeting_id, string_agg(CASE WHEN qa_ord = 0 THEN '[09:32-09:35]' || chr(10) || chr(10) ELSE '' END
                     || '**Q**：' || question || chr(10) || '**A**：' || answer || chr(10), chr(10) ORDER BY qa_ord) AS q
                 FROM qa_pairs GROUP BY meeting_id),
         every AS (SELECT meeting_id FROM ids UNION SELECT meeting_id FROM report)""") + """
-        SELECT e.meeting_id, 0::BIGINT AS piece_ord, concat_ws(chr(10), CASE WHEN d.text IS NOT NULL THEN
+        SELECT e.meeting_id, concat_ws(chr(10), CASE WHEN d.text IS NOT NULL THEN
             '---' || chr(10) || d.text || chr(10) || '---' || chr(10) || chr(10) || '# 校验稿' || chr(10) END,
             '## 主题要点' || chr(10) || chr(10) || s, q, '---' || chr(10) || chr(10) || r.text) AS text
         FROM every e LEFT JOIN docs d ON d.meeting_id = e.meeting_id LEFT JOIN sec ON sec.meeting_id = e.meeting_id
@@ -336,10 +338,10 @@ ORACLE = {
         body AS (SELECT meeting_id, string_agg('## ' || (tmpl_ord + 1) || '. ' || tmpl_title || {_REFS.format(c='cites')}
                      || chr(10) || chr(10) || coalesce(nullif(content, ''), '（无内容）') || chr(10), chr(10) ORDER BY tmpl_ord) AS b
                  FROM slots GROUP BY meeting_id)""") + f"""
-        SELECT i.meeting_id, 0::BIGINT AS piece_ord, '# {TEMPLATE.description}' || chr(10) || chr(10) || b || coalesce(qa, '') AS text
+        SELECT i.meeting_id, '# {TEMPLATE.description}' || chr(10) || chr(10) || b || coalesce(qa, '') AS text
         FROM ids i JOIN body ON body.meeting_id = i.meeting_id LEFT JOIN qa ON qa.meeting_id = i.meeting_id""",
-    "render_term_report": with_("transcripts", also=_HITS.strip() + "," + _term_report(3))
-    + "SELECT meeting_id, 0::BIGINT AS piece_ord, text FROM report",
+    "render_term_report": with_("transcripts", also=_HITS.strip() + "," + _term_report())
+    + "SELECT meeting_id, text FROM report",
     "run_summary": with_("transcripts", "sections", "qa_pairs", also=f"base AS ({_SUMMARY})") + """
         SELECT b.*, (SELECT count(*) FROM sections s WHERE s.meeting_id = b.meeting_id) AS sections,
                (SELECT count(*) FROM qa_pairs q WHERE q.meeting_id = b.meeting_id) AS qa_pairs FROM base b""",
@@ -352,10 +354,10 @@ ORACLE = {
             WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
         s AS (SELECT *, sum(opens) OVER (PARTITION BY recording_id, speaker ORDER BY ts) AS n FROM e)
         SELECT recording_id, speaker, min(ts) AS session_start, max(ts) + INTERVAL 12 HOURS AS session_end, count(*) AS turns
-        FROM s GROUP BY recording_id, speaker, n
-        HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+        FROM s GROUP BY recording_id, speaker, n""",
     "stream_clean": with_("transcripts", also=f"""
         quiet AS (SELECT meeting_id, {_CLEANED} AS text FROM transcripts),"""
         + _HITS.split("hits AS")[0].rstrip().rstrip(",").replace("FROM transcripts", "FROM quiet")) + """
         SELECT meeting_id, string_agg(coalesce(correct, run), '' ORDER BY i) AS text FROM mapped GROUP BY meeting_id""",
 }
+ORACLE["document_round_trip"] = inputs.SQL["transcripts"]

@@ -94,7 +94,7 @@ def unsupported_claims(spark, sf):
 def coverage_chunks(spark, sf):
     return factcheck.coverage_chunks(
         inputs.transcripts(spark, sf), inputs.sections(spark, sf), inputs.qa_pairs(spark, sf), BOUNDARIES
-    ).select("meeting_id", "chunk_ord", F.round("score", 6).alias("score"), "covered")
+    ).withColumn("score", F.round("score", 6))
 
 
 def _coverage(spark, sf):
@@ -104,10 +104,9 @@ def _coverage(spark, sf):
 
 
 def coverage_report(spark, sf):
-    head = F.transform(F.slice("uncovered", 1, 5), lambda s: F.left(s, F.lit(80)))
     return _coverage(spark, sf).select(
         "meeting_id", "total_chunks", "uncovered_chunks", F.round("ratio", 6).alias("ratio"), "ok",
-        F.array_join(head, "|").alias("snippets"))
+        F.array_join("uncovered", "|").alias("snippets"))
 
 
 def fact_check_report(spark, sf):
@@ -198,15 +197,15 @@ _REPORT = """,
     report AS (
         SELECT t.meeting_id, count(chunk) AS total_chunks, count(*) FILTER (score < 0.5) AS uncovered_chunks,
                coalesce(sum(score) / count(chunk), 1.0::DOUBLE) AS ratio,
-               array_to_string((list(left(chunk, 80) ORDER BY chunk_ord) FILTER (score < 0.5))[1:5], '|') AS snippets
+               array_to_string(list(chunk ORDER BY chunk_ord) FILTER (score < 0.5), '|') AS snippets
         FROM transcripts t LEFT JOIN scored s ON s.meeting_id = t.meeting_id GROUP BY t.meeting_id)"""
 _STITCH = chunk_ctes("transcripts", STITCH_CHARS, STITCH_OVERLAP).strip()
 CLAIMS = f"""
-    SELECT meeting_id, sec_ord AS ord, left(content, 100) AS claim_snippet, 'section' AS claim_type, title,
+    SELECT meeting_id, sec_ord AS ord, content AS claim_snippet, 'section' AS claim_type, title,
            CASE WHEN content = '' THEN '{factcheck.EMPTY_NO_SOURCE}' ELSE '{factcheck.NO_SOURCE}' END AS issue
     FROM sections WHERE len(citations) = 0
-    UNION ALL SELECT meeting_id, qa_ord, left({sql_strip("question || ' ' || answer")}, 100), 'qa_pair',
-           'Q: ' || left(question, 50), '{factcheck.NO_SOURCE}' FROM qa_pairs
+    UNION ALL SELECT meeting_id, qa_ord, {sql_strip("question || ' ' || answer")}, 'qa_pair',
+           'Q: ' || question, '{factcheck.NO_SOURCE}' FROM qa_pairs
            WHERE {sql_strip("question || ' ' || answer")} <> ''"""
 _FIGURES = """'营收' || o_totalprice_whole || '万，毛利' || (o_custkey % 100) || ' %，'
     || CASE WHEN o_orderstatus = 'F' THEN right(year(o_orderdate)::VARCHAR, 2) ELSE year(o_orderdate)::VARCHAR END
@@ -263,7 +262,7 @@ ORACLE = {
               FROM cited c JOIN shelf s ON s.meeting_id = c.meeting_id)""") + f"""
         SELECT meeting_id, sec_ord, cit_ord::INTEGER AS cit_ord, citation,
             CASE WHEN n IS NULL THEN -1 WHEN mark = '×' THEN 0 ELSE n END AS line_index,
-            CASE WHEN n IS NULL THEN NULL WHEN mark = '×' THEN '' WHEN mark = '§' THEN left({sql_strip('ps[n]')}, 200)
+            CASE WHEN n IS NULL THEN NULL WHEN mark = '×' THEN '' WHEN mark = '§' THEN {sql_strip('ps[n]')}
                  ELSE {sql_strip('ls[n]')} END AS content,
             n IS NOT NULL AND (mark = '×' OR (mark = '§' AND n BETWEEN 1 AND len(ps))
                 OR (mark <> '§' AND n BETWEEN 1 AND len(ls))) AS valid,
@@ -278,12 +277,12 @@ ORACLE = {
                  FROM cites c JOIN stamped s ON s.meeting_id = c.meeting_id AND contains(line, left(citation, 8))
                  WHERE cit_ord < 3 GROUP BY ALL)""") + f"""
         SELECT c.meeting_id, c.sec_ord, c.cit_ord, citation, -1 AS line_index,
-               CASE WHEN c.cit_ord < 3 THEN coalesce(left({sql_strip('line')}, 200), '') END AS content,
+               CASE WHEN c.cit_ord < 3 THEN coalesce({sql_strip('line')}, '') END AS content,
                c.cit_ord < 3 AS valid, line IS NOT NULL AS found
         FROM cites c LEFT JOIN hits h ON h.meeting_id = c.meeting_id AND h.sec_ord = c.sec_ord
              AND h.cit_ord = c.cit_ord""",
     "unsupported_claims": with_("sections", "qa_pairs") + CLAIMS,
-    "coverage_chunks": _COVER + """SELECT meeting_id, chunk_ord, round(score, 6) AS score, score >= 0.5 AS covered
+    "coverage_chunks": _COVER + """SELECT meeting_id, chunk_ord, chunk, round(score, 6) AS score, score >= 0.5 AS covered
         FROM scored""",
     "coverage_report": _COVER.rstrip() + _REPORT + """
         SELECT meeting_id, total_chunks, uncovered_chunks, round(ratio, 6) AS ratio, ratio >= 0.9 AS ok,

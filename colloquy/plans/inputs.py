@@ -28,14 +28,13 @@ TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A text table that comes in fewer splits than there are
-    cores is spread over them; at scale it has more splits, and none is moved.
+    """A given table. A local session spreads a text table over its threads, as
+    its small files are one row group each; a cluster reads it as it is split.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+    if name in TEXT_KEYS and spark.sparkContext.master.startswith("local["):
         turn = ["turn"] if name == "conversations" else []
-        df = df.repartition(cores, TEXT_KEYS[name], *turn)
+        df = df.repartition(spark.sparkContext.defaultParallelism, TEXT_KEYS[name], *turn)
     return df
 
 

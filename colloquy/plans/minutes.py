@@ -22,7 +22,7 @@ def _results(spark, sf):
     section = F.struct(F.col("speaker").alias("title"), text.alias("content"))
     shape = F.col("turn_ord") % 4
     return inputs.turns_text(spark, sf).select(
-        (F.col("meeting_id") * 100 + F.col("turn_ord")).alias("meeting_id"), F.col("turn_ord").alias("chunk_ord"),
+        (F.col("meeting_id") * 2147483648 + F.col("turn_ord")).alias("meeting_id"), F.col("turn_ord").alias("chunk_ord"),
         F.when(shape == 0, F.to_json(F.struct(F.array(pair).alias("qa_pairs"))))
         .when(shape == 1, F.concat(F.lit("Result:\n"), F.to_json(F.struct(F.array(section, section).alias("sections"))),
                                    F.lit("\ndone")))
@@ -99,7 +99,7 @@ def resolve_review(spark, sf):
 
 def merge_blocks(spark, sf):
     return minutes.merge_blocks(inputs.blocks(spark, sf)).select(
-        "meeting_id", "sec_ord", "piece_ord", "title", "content")
+        "meeting_id", "sec_ord", "title", "content")
 
 
 def _chunked_pairs(spark, sf):
@@ -187,7 +187,7 @@ _ASKED = f"""SELECT meeting_id, n::INTEGER AS qa_ord, {sql_strip('left(line, 20)
 
 ORACLE = {
     "parse_model_result": with_("turns_text", also="""
-        t AS (SELECT meeting_id * 100 + turn_ord AS meeting_id, turn_ord % 4 AS shape, speaker, text FROM turns_text)""") + f"""
+        t AS (SELECT meeting_id * 2147483648 + turn_ord AS meeting_id, turn_ord % 4 AS shape, speaker, text FROM turns_text)""") + f"""
         SELECT meeting_id, 'pair' AS part, 0 AS ord, text AS head, 'A. ' || text AS body, '张总' AS asker FROM t WHERE shape = 0
         UNION ALL SELECT meeting_id, 'section', unnest([0, 1]), speaker, text, '' FROM t WHERE shape = 1
         UNION ALL SELECT meeting_id, 'section', 0, speaker, text, '' FROM t WHERE shape = 2
@@ -230,7 +230,7 @@ ORACLE = {
             SELECT k.meeting_id, k.n, CASE WHEN {sql_similar('w.head', 'k.title')} THEN w.head ELSE k.title END,
                    CASE WHEN {sql_similar('w.head', 'k.title')} THEN w.sec ELSE w.sec + 1 END
             FROM walk w JOIN kept k ON k.meeting_id = w.meeting_id AND k.n = w.n + 1)""") + """
-        SELECT w.meeting_id, sec::BIGINT AS sec_ord, 0::BIGINT AS piece_ord, arg_min(title, w.n) AS title,
+        SELECT w.meeting_id, sec::BIGINT AS sec_ord, arg_min(title, w.n) AS title,
                string_agg(text, chr(10) || chr(10) ORDER BY w.n) AS content
         FROM walk w JOIN kept k ON k.meeting_id = w.meeting_id AND k.n = w.n GROUP BY w.meeting_id, sec""",
     "dedupe_questions": with_("qa_pairs", also=f"""

@@ -27,6 +27,10 @@ FUZZY = (Term("Einheitlich", "", ("einheitlich", "verkeitenschen")), Term("There
          Term("示例电子", "", ("示例电子示例",)))
 
 
+PART_FORMS = (Term("Widget", "", ("wigdet", "widgett")), Term("Gizmo", "", ("gismo", "gitsmo")), Term("Economy", "", ("ekonomy",)),
+              Term("Ring", "", ("rink",)), Term("Standard", "", ("stanndart",)), Term("at", "", ("a",)))
+
+
 def apply_exact(spark, sf):
     return gl.apply_exact(inputs.transcripts(spark, sf), LATIN)
 
@@ -68,11 +72,11 @@ def _part_glossary(spark, sf):
 
 
 def expand_glossary(spark, sf):
-    return gl.expand_glossary(_part_glossary(spark, sf), inputs.pinyin(spark), max_variants=12)
+    return gl.expand_glossary(_part_glossary(spark, sf), inputs.pinyin(spark))
 
 
 def expand_glossary_two_positions(spark, sf):
-    return gl.expand_glossary(_part_glossary(spark, sf), inputs.pinyin(spark), max_variants=60, max_positions=2)
+    return gl.expand_glossary(_part_glossary(spark, sf), inputs.pinyin(spark), max_positions=2)
 
 
 def variant_stats(spark, sf):
@@ -84,11 +88,11 @@ def term_frequency(spark, sf):
 
 
 def filter_terms(spark, sf):
-    return gl.filter_terms(inputs.transcripts(spark, sf), LATIN, top_n=2)
+    return gl.filter_terms(inputs.transcripts(spark, sf), LATIN)
 
 
 def hit_summary(spark, sf):
-    return gl.hit_summary(gl.exact_hits(inputs.transcripts(spark, sf), LATIN), max_groups=3)
+    return gl.hit_summary(gl.exact_hits(inputs.transcripts(spark, sf), LATIN))
 
 
 def corpus_hit_summary(spark, sf):
@@ -99,10 +103,15 @@ def fuzzy_corrections(spark, sf):
     return gl.fuzzy_corrections(inputs.transcripts(spark, sf), FUZZY)
 
 
+def fuzzy_part_corrections(spark, sf):
+    parts = inputs.table(spark, sf, "part").select(F.col("p_partkey").alias("meeting_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return gl.fuzzy_corrections(parts, PART_FORMS, min_len=3)
+
+
 QUERIES = {f.__name__: f for f in (
     apply_exact, apply_exact_han, exact_hits, scan_variants, scan_phonetic, scan_all, expand_glossary,
     expand_glossary_two_positions, variant_stats, term_frequency, filter_terms, hit_summary,
-    corpus_hit_summary, fuzzy_corrections)}
+    corpus_hit_summary, fuzzy_corrections, fuzzy_part_corrections)}
 
 # ------------------------------------------------------------------------ oracle
 
@@ -140,7 +149,7 @@ _VARIANTS = f"""
     vhits AS (SELECT *, stop - length(variant) AS start, row_number() OVER (
                   PARTITION BY meeting_id ORDER BY n, stop) AS rn FROM spots),
     variants AS (SELECT meeting_id, correct AS term, variant AS matched, start AS hit_start, stop AS hit_end,
-                     'variant' AS kind, {_SNIP.format(s='start', e='stop')} AS context FROM vhits WHERE rn <= 50)"""
+                     'variant' AS kind, {_SNIP.format(s='start', e='stop')} AS context FROM vhits)"""
 _STAND = {ch: group[0] for group in inputs.PINYIN_GROUPS.values() for ch in group}
 _SOUND = f"translate({{}}, '{''.join(_STAND)}', '{''.join(_STAND.values())}')"
 _WORDS = "(VALUES " + ", ".join(f"({i}, '{t.term}')" for i, t in enumerate(HAN)) + ")"
@@ -166,7 +175,7 @@ _PHONETIC = f"""
                   PARTITION BY meeting_id ORDER BY n, offs, start) AS rn FROM found),
     phonetic AS (SELECT p.meeting_id, word AS term, w AS matched, start AS hit_start, stop AS hit_end,
                      'phonetic' AS kind, {_SNIP.format(s='start', e='stop')} AS context
-                 FROM phits p JOIN cjk c ON c.meeting_id = p.meeting_id WHERE rn <= 50)"""
+                 FROM phits p JOIN cjk c ON c.meeting_id = p.meeting_id)"""
 _PART_TERM = f"translate(lower(p_name), '{inputs.CJK_FROM}', '{inputs.CJK_TO}')"
 _EXPAND = with_("pinyin", also=f"""
     terms AS (SELECT p_partkey::INTEGER AS term_ord, {_PART_TERM} AS term FROM part),
@@ -177,7 +186,7 @@ _EXPAND = with_("pinyin", also=f"""
                 FROM spots s JOIN pinyin p ON p.ch = s.ch JOIN pinyin o ON o.syllable = p.syllable AND o.ch <> s.ch),
     turned AS (SELECT *, row_number() OVER (PARTITION BY term_ord ORDER BY rank, pos) AS variant_ord FROM options),
     expanded AS (SELECT 'parts' AS glossary_id, term_ord, term, variant_ord::INTEGER AS variant_ord,
-                     term[:pos] || other || term[pos + 2:] AS variant FROM turned WHERE variant_ord <= 12),
+                     term[:pos] || other || term[pos + 2:] AS variant FROM turned),
     open AS (SELECT * FROM expanded WHERE variant <> replace(term, '电', '垫') AND variant <> replace(term, '立', '利'))""")
 
 
@@ -207,11 +216,11 @@ ORACLE = {
             SELECT 1 FROM variants v WHERE v.meeting_id = p.meeting_id AND v.hit_start = p.hit_start
             AND v.matched = p.matched)),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY hit_start, term, kind DESC) AS rk
-                   FROM both_)""") + "SELECT meeting_id, term, matched, hit_start, kind FROM ranked WHERE rk <= 50",
+                   FROM both_)""") + "SELECT meeting_id, term, matched, hit_start, kind FROM ranked",
     "expand_glossary": _EXPAND + "SELECT * FROM open",
     "expand_glossary_two_positions": _EXPAND.rstrip() + """,
         single AS (SELECT term_ord, term, variant_ord, pos, term[:pos] || other || term[pos + 2:] AS variant
-                   FROM turned WHERE variant_ord <= 60),
+                   FROM turned),
         again AS (SELECT o.term_ord, o.term, s.variant[:o.pos] || o.other || s.variant[o.pos + 2:] AS variant,
                       min(row(s.variant_ord, o.pos, o.rank)) AS seen
                   FROM options o JOIN single s ON s.term_ord = o.term_ord AND s.pos <> o.pos GROUP BY ALL),
@@ -219,21 +228,29 @@ ORACLE = {
         later AS (SELECT a.term_ord, term, n + row_number() OVER (PARTITION BY a.term_ord ORDER BY seen) AS variant_ord, variant
                   FROM again a JOIN counts c ON c.term_ord = a.term_ord),
         both_ AS (SELECT term_ord, term, variant_ord, variant FROM single
-                  UNION ALL SELECT * FROM later WHERE variant_ord <= 60)
+                  UNION ALL SELECT * FROM later)
         SELECT 'parts' AS glossary_id, term_ord, term, variant_ord, variant FROM both_
         WHERE variant <> replace(term, '电', '垫') AND variant <> replace(term, '立', '利')""",
     "variant_stats": _EXPAND + """SELECT glossary_id, term_ord, term, count(*) AS variants FROM open
         GROUP BY ALL""",
     "term_frequency": _FREQ + "SELECT * FROM freq WHERE occurrences > 0",
     "filter_terms": _FREQ + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id
-        ORDER BY occurrences DESC, term_ord)::INTEGER AS rank FROM freq WHERE occurrences > 0) WHERE rank <= 2""",
+        ORDER BY occurrences DESC, term_ord)::INTEGER AS rank FROM freq WHERE occurrences > 0)""",
     "hit_summary": with_("transcripts", also=_HITS + """,
         g AS (SELECT meeting_id, kind, matched, term, count(*) AS hits, arg_min(context, hit_start) AS context,
                   min(hit_start) AS seen FROM hits GROUP BY meeting_id, kind, matched, term),
         r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, kind ORDER BY seen)::INTEGER AS group_ord,
                   sum(hits) OVER (PARTITION BY meeting_id, kind)::BIGINT AS kind_hits,
-                  greatest(count(*) OVER (PARTITION BY meeting_id, kind) - 3, 0) AS more_groups FROM g)""") + """
-        SELECT * EXCLUDE (seen) FROM r WHERE group_ord <= 3""",
+                  0::BIGINT AS more_groups FROM g)""") + """
+        SELECT * EXCLUDE (seen) FROM r""",
     "corpus_hit_summary": with_("transcripts", also=_HITS) + """SELECT kind, term, count(*) AS hits,
         count(DISTINCT meeting_id) AS meetings FROM hits GROUP BY ROLLUP (kind, term)""",
 }
+# Every window of a form's length within two edits; no form has Han letters.
+ORACLE["fuzzy_part_corrections"] = """
+    WITH forms AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"({i}, '{t.term}', '{w}')" for i, t in enumerate(PART_FORMS) for w in t.corrections if len(w) >= 3) + """) f(term_ord, term, form)),
+    texts AS (SELECT p_partkey AS meeting_id, lower(p_name || ' ' || p_type) AS low FROM part),
+    windows AS (SELECT meeting_id, term_ord, term, form, unnest(list_transform(range(1, length(low) - length(form) + 2),
+        lambda i: low[i:i + length(form) - 1])) AS w FROM texts, forms)
+    SELECT DISTINCT meeting_id, term_ord, term FROM windows WHERE levenshtein(w, form) <= 2"""

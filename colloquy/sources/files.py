@@ -22,10 +22,16 @@ except ImportError:  # pragma: no cover
 
 
 def read_transcripts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per ``.txt`` or ``.md`` file: ``source`` (its path) and ``text``."""
+    """One row per ``.txt`` or ``.md`` file: ``meeting_id`` (its name without the ending), ``source`` (its path), ``text``."""
     df = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
-    return df.where(F.lower("source").rlike("\\.(txt|md)$"))
+    name = F.regexp_extract("source", "(?i)([^/]*)\\.(?:txt|md)$", 1)
+    return df.where(F.lower("source").rlike("\\.(txt|md)$")).select(name.alias("meeting_id"), "source", "text")
+
+
+def read_documents(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
+    """What ``write_documents`` wrote: ``meeting_id, text``."""
+    return spark.read.schema(f"meeting_id {key_type}, text string").json(path)
 
 
 def _load(text: str):
@@ -114,12 +120,7 @@ def write_table(df: DataFrame, root: str, name: str, partition_by: Sequence[str]
 
 
 def write_documents(documents: DataFrame, root: str, suffix: str, mode: str = "overwrite") -> str:
-    """Assembled documents as text files in one folder per meeting, pieces in order within it.
-
-    Rows are placed by meeting and piece, so a long document is written by
-    several tasks.
-    """
+    """Assembled documents as JSON lines of ``meeting_id`` and ``text``, as many files as there are partitions."""
     path = os.path.join(root, suffix)
-    (documents.repartition("meeting_id", "piece_ord").sortWithinPartitions("meeting_id", "piece_ord")
-     .select("meeting_id", "piece_ord", "text").write.mode(mode).partitionBy("meeting_id", "piece_ord").text(path))
+    documents.select("meeting_id", "text").write.mode(mode).json(path)
     return path

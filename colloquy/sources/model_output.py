@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,17 +12,17 @@ from pyspark.sql.types import StringType
 
 from ..functions.jsontext import elements, kind, strict_json, text_field
 from ..functions.labels import normalize_asker_role
-from ..functions.text import WS, let, strip
+from ..functions.text import WHITESPACE, WS, let, strip
 
 # Fixed values.
 WHOLE_TITLE = "内容"
 DEFAULT_TYPE = "narration"
 TOPICS_HEADING = "## 主题要点"
 FENCED_OBJECT = "(?s)```(?:json)?" + WS + "*(\\{.*?\\})" + WS + "*```"
-Q_MARK, A_MARK = "(?:\\*\\*)?Q(?:\\d*)?(?:\\*\\*)?[：:]", "(?:\\*\\*)?A(?:\\d*)?(?:\\*\\*)?[：:]"
-QA_FORMAT = ("(?dsU)(?<!\\w)" + Q_MARK + "\\s*(.+?)(?=\\s*" + A_MARK + "\\s*)\\s*" + A_MARK
-             + "\\s*(.+?)(?=\\s*$|(?:\\r?\\n){2,}|\\s*(?<!\\w)" + Q_MARK + "\\s*)")
-BRACKET_FORMAT = "(?dsU)【问】\\s*(.+?)(?=\\s*【答】)\\s*【答】\\s*(.+?)(?=\\s*$|(?:\\r?\\n){2,}|\\s*【问】)"
+# A letter or bracket that opens a question or an answer; the first group holds what opens a question.
+LETTER_MARK = "(?U)(?:((?<!\\w)(?:\\*\\*)?Q)|(?:\\*\\*)?A)\\d*(?:\\*\\*)?[：:]"
+BRACKET_MARK = "(【问】)|【答】"
+BLANK_LINE = "(?:\\r?\\n){2}"
 Q_LINE, A_LINE, Q_OPEN = "(?U)^Q\\d*[：:]\\s*(.+)", "(?U)^A\\d*[：:]\\s*(.+)", "(?U)^Q\\d*[：:]\\s*"
 
 
@@ -99,28 +100,47 @@ def parse_topic_blocks(responses: DataFrame) -> DataFrame:
         .select("meeting_id", "chunk_ord", "block_ord", "b.type", "b.topic", "b.text"))
 
 
-@F.pandas_udf(StringType())
-def _json_fragment(texts: pd.Series) -> pd.Series:
-    """Longest prefix, from the first brace, that is JSON with at most one brace added."""
-    def recover(text):
-        at = -1 if text is None else text.find("{")
-        if at < 0:
-            return None
-        raw = text[at:]
-        try:
-            return raw[:json.JSONDecoder().raw_decode(raw)[1]]
-        except ValueError:
-            pass
-        for stop in range(len(raw), 0, -1):
-            candidate = raw[:stop] if raw[stop - 1] == "}" else raw[:stop] + "}"
-            try:
-                json.loads(candidate)
-                return candidate
-            except ValueError:
-                continue
+def _closed_object(text: str | None) -> str | None:
+    """The object that the first brace opens, up to its last whole member, and closed.
+
+    One walk over the members: each member that decodes moves the end on. What
+    follows the last whole member is dropped and a closing brace put there; right
+    after the closing brace of a member none is added.
+    """
+    start = -1 if text is None else text.find("{")
+    if start < 0:
         return None
+    decode, blanks = json.JSONDecoder().raw_decode, re.compile(r"[ \t\n\r]*")
+
+    def skip(i: int) -> int:
+        return blanks.match(text, i).end()
+
+    whole = at = skip(start + 1)
+    opener = True
+    try:
+        while not (opener and text[at] == "}"):
+            name, at = decode(text, at)
+            at = skip(at)
+            if not isinstance(name, str) or text[at] != ":":
+                break
+            at = skip(decode(text, skip(at + 1))[1])
+            if text[at - 1] != "}":
+                whole = at
+            opener = text[at] == "}"
+            if not opener:
+                if text[at] != ",":
+                    break
+                at = skip(at + 1)
+        else:
+            return text[start:at + 1]
+    except (ValueError, IndexError, RecursionError):  # the text ends or breaks off inside a member
+        pass
+    return text[start:whole] + "}"
+
 
-    return texts.map(recover)
+@F.pandas_udf(StringType())
+def _json_fragment(texts: pd.Series) -> pd.Series:
+    return texts.map(_closed_object)
 
 
 def parse_json_ladder(df: DataFrame, column: str = "result") -> DataFrame:
@@ -182,16 +202,43 @@ def review_sections(c: Column) -> Column:
     return F.when(at > 0, let(region, blocks)).otherwise(empty)
 
 
-def _pairs(questions: Column, answers: Column) -> Column:
-    return F.zip_with(questions, answers, lambda q, a: F.struct(strip(q).alias("question"), strip(a).alias("answer")))
+def _marked_pairs(c: Column, mark: str) -> Column:
+    """Array of (question, answer) from opening marks, in one fold over the stretches that they open.
+
+    A question lasts until an answer opens; an answer lasts until the next
+    question opens, and ends at a blank line. A stretch without any character
+    goes on through the next mark.
+    """
+    state = "struct<q:string,a:string,done:array<struct<question:string,answer:string>>>"
+
+    def close(s: Column) -> Column:
+        answer = strip(F.get(F.split(F.ltrim(s["a"], F.lit(WHITESPACE)), BLANK_LINE, 2), F.lit(0)))
+        return F.when(F.length(s["a"]) > 0, F.array_append(
+            s["done"], F.struct(strip(s["q"]).alias("question"), answer.alias("answer")))).otherwise(s["done"])
+
+    def entry(q: Column, a: Column, done: Column) -> Column:
+        return F.struct(q.alias("q"), a.alias("a"), done.alias("done")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        none = F.lit(None).cast("string")
+        opens = entry(x["text"], none, close(s))
+        more_question = entry(F.concat(s["q"], x["mark"], x["text"]), none, s["done"])
+        more_answer = entry(s["q"], F.concat(s["a"], x["mark"], x["text"]), s["done"])
+        return (F.when(s["q"].isNull(), F.when(x["asks"], entry(x["text"], none, s["done"])).otherwise(s))
+                .when(s["a"].isNull(), F.when(x["asks"] | (s["q"] == ""), more_question)
+                      .otherwise(entry(s["q"], x["text"], s["done"])))
+                .otherwise(F.when(x["asks"] & (s["a"] != ""), opens).otherwise(more_answer)))
+
+    marks, asks = (F.regexp_extract_all(c, F.lit(mark), F.lit(g)) for g in (0, 1))
+    texts = F.split(c, mark)
+    stretches = F.transform(marks, lambda m, i: F.struct(
+        m.alias("mark"), (F.get(asks, i) != "").alias("asks"), F.get(texts, i + 1).alias("text")))
+    start = entry(F.lit(None), F.lit(None), F.array())
+    return F.aggregate(stretches, start, step, close)
 
 
 def review_pairs(c: Column) -> Column:
     """Array of (question, answer); the first of four formats that yields any wins."""
-    def matched(pattern: str) -> Column:
-        return _pairs(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)),
-                      F.regexp_extract_all(c, F.lit(pattern), F.lit(2)))
-
     lines = F.filter(F.transform(F.split(strip(c), "\n"), strip),
                      lambda x: x.rlike(Q_OPEN) | x.rlike(A_LINE))
 
@@ -216,8 +263,8 @@ def review_pairs(c: Column) -> Column:
     heuristic = F.filter(F.transform(paragraphs, by_paragraph), lambda p: p.isNotNull())
     nonempty = lambda a: let(a, lambda x: F.when(F.size(x) > 0, x))
     empty = F.array().cast("array<struct<question:string,answer:string>>")
-    return F.coalesce(nonempty(matched(QA_FORMAT)), nonempty(let(lines, by_line)),
-                      nonempty(matched(BRACKET_FORMAT)), nonempty(heuristic), empty)
+    return F.coalesce(nonempty(_marked_pairs(c, LETTER_MARK)), nonempty(let(lines, by_line)),
+                      nonempty(_marked_pairs(c, BRACKET_MARK)), nonempty(heuristic), empty)
 
 
 def parse_review_qa(df: DataFrame, text: str = "text") -> DataFrame:

@@ -33,8 +33,23 @@ def stream_turns(arriving: DataFrame, time: str = "ts", gap: str = "30 seconds",
     others do not end it. Turns later than ``lateness`` are dropped, which also
     bounds the state.
     """
-    return (arriving.withWatermark(time, lateness)
-            .groupBy("recording_id", "speaker", F.session_window(time, gap).alias("session"))
+    return _sessions(arriving.withWatermark(time, lateness), time, gap)
+
+
+def _sessions(turns: DataFrame, time: str, gap: str) -> DataFrame:
+    return (turns.groupBy("recording_id", "speaker", F.session_window(time, gap).alias("session"))
             .agg(F.count("*").alias("turns"))
             .select("recording_id", "speaker", F.col("session.start").alias("session_start"),
                     F.col("session.end").alias("session_end"), "turns"))
+
+
+def closed_turns(emitted: DataFrame, turns: DataFrame, time: str = "ts", gap: str = "30 seconds") -> DataFrame:
+    """All sessions at the end of the input: what the stream emitted, and those still open in its state.
+
+    ``turns`` is the whole input as a batch.
+    """
+    keys = ["recording_id", "speaker", "session_start", "session_end"]
+    # Not as an anti join, which the optimizer would push below the merging of sessions.
+    seen = emitted.select(*keys, F.lit(True).alias("_seen"))
+    rest = _sessions(turns, time, gap).join(seen, keys, "left").where("_seen IS NULL").drop("_seen")
+    return emitted.unionByName(rest)

@@ -82,11 +82,7 @@ def test_block_texts(recording, operator):
 
     def texts(span):
         got = operator(segs, turns, span=span)
-        out = {}
-        for r in sorted(got.collect(), key=lambda r: (r.recording_id, r.block_ord, r.piece_ord)):
-            key = (r.recording_id, r.block_ord)
-            out[key] = out.get(key, "") + r.text
-        return out
+        return sorted((r.recording_id, r.block_ord, r.text) for r in got.collect())
 
     assert texts(SMALL) == texts(1 << 16)
 
@@ -160,11 +156,13 @@ def test_drop_redundant_token_join(spark):
         minutes.drop_redundant_qa(q, s), "meeting_id", "qa_ord")
 
 
-def test_long_document_comes_in_pieces(spark):
-    _, s, q = minutes_of(spark)
-    lines = rendering.render_minutes(s, q)
-    whole = {r.meeting_id: r.text for r in rendering.assemble(lines).collect()}
-    parts = {}
-    for r in sorted(rendering.assemble(lines, span=SMALL).collect(), key=lambda r: (r.meeting_id, r.piece_ord)):
-        parts.setdefault(r.meeting_id, []).append(r.text)
-    assert len(parts[1]) > 1 and {m: "\n".join(p) for m, p in parts.items()} == whole
+@pytest.mark.parametrize("span", [1, 2, 3, 7])
+def test_pieces_of_any_size_give_the_same_coverage(spark, span):
+    rng = random.Random(span)
+    part = lambda: rng.choice(["", "。。", "收入1", "2", "3", "万元", "甲", "乙丙", "12.5", "%", "-", "年", "123456789" * 12, "ab", "，"])
+    sections = [(m, i, "t", part(), []) for m in range(12) for i in range(rng.randrange(1, 25))]
+    said = [(m, "".join(part() for _ in range(40)) + "收入123万元，123万，共123万计123万") for m in range(12)]
+    t, s = spark.createDataFrame(said, TRANSCRIPTS), spark.createDataFrame(sections, SECTIONS)
+    q = spark.createDataFrame([(m, i, part(), part(), "", "", "") for m in range(0, 12, 2) for i in range(9)], QA_PAIRS)
+    columns = ("meeting_id", "chunk_ord", "score", "covered")
+    assert rows(factcheck.coverage_chunks(t, s, q, span=span), *columns) == rows(factcheck.coverage_chunks(t, s, q), *columns)
