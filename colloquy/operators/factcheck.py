@@ -22,29 +22,29 @@ NO_SOURCE, EMPTY_NO_SOURCE = "无引用来源", "内容为空且无引用"
 
 
 # ------------------------------------------------------------------ citations
-def _references(transcripts: DataFrame) -> DataFrame:
-    """Everything a citation can point at: ``meeting_id, kind, ref, content``.
+def _looked_up(asked: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``meeting_id, kind, ref, content`` of what ``asked`` (meeting_id, kind, ordinal, ref) points at.
 
-    Timestamps are keyed too: every clock time in a line, overlapping ones
-    included, points at the first line that holds it.
+    The different references of a meeting meet its transcript once and are looked
+    up inside the row; transcripts that nothing cites stay out. A clock time
+    points at the first line that holds it, overlapping times included.
     """
+    refs = asked.groupBy("meeting_id").agg(F.collect_set(F.struct("kind", "ordinal", "ref")).alias("refs"))
+
+    def content(shelf: Column, r: Column) -> Column:
+        timed = F.filter(shelf["lines"], lambda x: F.contains(x, r["ref"]) & F.array_contains(
+            F.regexp_extract_all(x, F.lit(f"(?=({TIME_OF_DAY}))"), F.lit(1)), r["ref"]))
+        return (F.when(r["kind"] == "line", strip(F.get(shelf["lines"], r["ordinal"] - 1)))
+                .when(r["kind"] == "paragraph", F.get(shelf["paragraphs"], r["ordinal"] - 1))
+                .otherwise(strip(F.get(timed, F.lit(0)))))
+
     lines = F.split("text", "\n")
-    paragraphs = F.filter(F.transform(F.split("text", "\n\n"), strip), lambda p: p != "")
-    by_ordinal = transcripts.select("meeting_id", F.explode(F.array(
-        F.struct(F.lit("line").alias("kind"), F.transform(lines, strip).alias("items")),
-        F.struct(F.lit("paragraph").alias("kind"), let(paragraphs, lambda p: F.when(F.size(p) > 0, p).otherwise(
-            F.transform(lines, strip))).alias("items")),
-    )).alias("u")).select("meeting_id", "u.kind", F.posexplode("u.items").alias("i", "content"))
-    by_time = (
-        transcripts.where(F.col("text").rlike(TIME_OF_DAY))
-        .select("meeting_id", F.posexplode(lines).alias("i", "line"))
-        .select("meeting_id", "i", strip(F.col("line")).alias("content"),
-                F.explode(F.array_distinct(F.regexp_extract_all(
-                    "line", F.lit(f"(?=({TIME_OF_DAY}))"), F.lit(1)))).alias("ref"))
-        .groupBy("meeting_id", "ref").agg(F.min_by("content", "i").alias("content"))
-        .select("meeting_id", F.lit("timestamp").alias("kind"), "ref", "content"))
-    return by_ordinal.select(
-        "meeting_id", "kind", (F.col("i") + 1).cast("string").alias("ref"), "content").unionByName(by_time)
+    paragraphs = let(F.filter(F.transform(F.split("text", "\n\n"), strip), lambda p: p != ""),
+                     lambda p: F.when(F.size(p) > 0, p).otherwise(F.transform(lines, strip)))
+    shelf = F.struct(lines.alias("lines"), paragraphs.alias("paragraphs"))
+    found = let(shelf, lambda s: F.transform("refs", lambda r: F.struct(r["kind"].alias("kind"), r["ref"].alias("ref"), content(s, r).alias("content"))))
+    return refs.join(transcripts.select("meeting_id", "text"), "meeting_id").select("meeting_id", F.explode(found).alias("f")).select(
+        "meeting_id", "f.kind", "f.ref", "f.content")
 
 
 def check_citations(sections: DataFrame, transcripts: DataFrame, styles: DataFrame | None = None,
@@ -66,7 +66,8 @@ def check_citations(sections: DataFrame, transcripts: DataFrame, styles: DataFra
         F.coalesce("_p.ts_start", F.col("_p.ordinal").cast("string")).alias("ref"))
     # Citations that refer to nothing skip the join: as one key they would pile up in one task.
     refers = F.col("kind").isin("timestamp", "paragraph", "line")
-    looked_up = parsed.where(refers).join(_references(transcripts), ["meeting_id", "kind", "ref"], "left")
+    asked = parsed.where(refers)
+    looked_up = asked.join(_looked_up(asked, transcripts), ["meeting_id", "kind", "ref"], "left")
     resolved = looked_up.unionByName(
         parsed.where(~refers).withColumn("content", F.lit(None).cast("string")).select(looked_up.columns))
     kind = F.col("kind")
