@@ -29,7 +29,7 @@ COORDINATES = 64
 # Larger buckets are split; after DEPTH choices a bucket's members are candidates of its first one.
 BUCKET = 32
 DEPTH = 3
-BLOCK = 256
+BLOCK = 1024
 SEED = 6
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)[:, None]
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sh = shingles(t, known) if isinstance(t, str) else ()
                 if len(sh):
                     m = minima(sh)
-                    rows.append((*print_of(sh), m.view(np.int64), sketch(m)))
+                    rows.append((*print_of(sh), m.astype(np.uint32).view(np.int32), sketch(m)))
                 else:
                     rows.append((None, None, None, None))
             out = pd.DataFrame(rows, columns=["fp1", "fp2", "mins", "sk"], index=f.index)
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pd.concat([f[["doc_id", "h"]], out], axis=1)
 
     named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    out = named.mapInPandas(sign, "doc_id string, h long, fp1 long, fp2 long, mins array<long>, sk array<long>")
+    out = named.mapInPandas(sign, "doc_id string, h long, fp1 long, fp2 long, mins array<int>, sk array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -137,26 +137,25 @@ def candidates(sets: DataFrame, least: float, recall: float) -> DataFrame:
     far = math.ceil(mean + 4 * math.sqrt(mean))
     out = None
     for depth in range(1, DEPTH + 1):
-        nodes = settled(nodes)
         size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
-        members = nodes.join(size, "node")
+        members = settled(nodes.join(size, "node"))
         small = members.where(F.col("n") <= BUCKET).select("id", "node").join(sets.select("id", "sk"), "id")
         pair = small.alias("x").join(small.alias("y"), "node").where("x.id < y.id") \
             .where(differing(F.col("x.sk"), F.col("y.sk")) <= far).select(F.col("x.id").alias("b"), F.col("y.id").alias("a"))
         out = pair if out is None else out.unionByName(pair)
         large = members.where(F.col("n") > BUCKET)
         if depth == DEPTH:
-            out = out.unionByName(large.where("id <> head").select(F.col("head").alias("b"), F.col("id").alias("a")))
-        else:
-            # On average 1 / least coordinates for each path, chosen by the path.
-            odds = int((1 << 20) / (least * COORDINATES))
-            chosen = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-                              lambda c: F.pmod(F.xxhash64("node", c), F.lit(1 << 20)) < odds)
-            one = F.array(F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int"))
-            path = size.where(F.col("n") > BUCKET).select("node", F.explode(F.when(F.size(chosen) > 0, chosen).otherwise(one)).alias("c"))
-            nodes = large.select("id", "node").join(path, "node").join(sets.select("id", "mins"), "id") \
-                .select("id", F.xxhash64("node", "c", F.get("mins", F.col("c"))).alias("node"))
-    return out.distinct()
+            return out.unionByName(large.where("id <> head").select(F.col("head").alias("b"), F.col("id").alias("a"))).distinct()
+        # On average 1 / least coordinates for each path, chosen by the path; one at least. The
+        # minima of a document travel once, to all its paths.
+        odds = int((1 << 20) / (least * COORDINATES))
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
+                          lambda c: F.pmod(F.xxhash64("node", c), F.lit(1 << 20)) < odds)
+        one = F.array(F.pmod(F.xxhash64("node"), F.lit(COORDINATES)).cast("int"))
+        paths = large.groupBy("id").agg(F.collect_list("node").alias("paths")).join(sets.select("id", "mins"), "id")
+        nodes = paths.select("id", "mins", F.explode("paths").alias("node")) \
+            .select("id", "mins", "node", F.explode(F.when(F.size(chosen) > 0, chosen).otherwise(one)).alias("c")) \
+            .select("id", F.xxhash64("node", "c", F.get("mins", F.col("c"))).alias("node"))
 
 
 def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
@@ -182,13 +181,17 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
             if len(ids) < 2:
                 continue
             size = np.array([len(s) for s in sets])
-            names, column = np.unique(np.concatenate(sets), return_inverse=True)
+            _, column, times_seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
             row, both = np.repeat(np.arange(len(ids)), size), np.zeros((len(ids), len(ids)))
+            # A shingle that one set alone has is in no intersection.
+            shared = times_seen > 1
+            keep, place = shared[column], np.cumsum(shared) - 1
+            row, column = row[keep], place[column[keep]]
             order = np.argsort(column, kind="stable")
             row, column = row[order], column[order]
-            for at in range(0, len(names), 8192):
-                lo, hi = np.searchsorted(column, [at, at + 8192])
-                has = np.zeros((len(ids), min(8192, len(names) - at)), np.float32)
+            for at in range(0, int(shared.sum()), 4096):
+                lo, hi = np.searchsorted(column, [at, at + 4096])
+                has = np.zeros((len(ids), 4096), np.float32)
                 has[row[lo:hi], column[lo:hi] - at] = 1
                 both += has @ has.T
             near = both >= least * (size[:, None] + size[None, :] - both) - 1e-9
