@@ -166,7 +166,7 @@ def test_apply_exact(spark, terms, text, want, hits):
 
 @pytest.mark.parametrize("word,text,want", [
     ("示例电子", "拜访示例垫子谈了排期", ["示例垫子"]), ("流片", "她发来六篇稿件", []), ("返投", "去年投入和的投向明细", []),
-    ("返投", "下季度反投进度", ["反投"]), ("示例电子", "示例，电的样品", []), ("示例电子", "示例电子", [])])
+    ("返投", "下季度反投进度", ["反投"]), ("返投", "下季\x02度反投进度", ["反投"]), ("示例电子", "示例，电的样品", []), ("示例电子", "示例电子", [])])
 def test_scan_phonetic(spark, word, text, want):
     got = gl.scan_phonetic(one(spark, text), [Term(word)], PINYIN).collect()
     assert [r.matched for r in got] == want
@@ -439,3 +439,16 @@ def test_resolve_review(spark):
     sections, asked = mo.resolve_review(spark.createDataFrame(drafts, TRANSCRIPTS))
     assert sorted((r.meeting_id, r.question, r.answer) for r in asked.collect()) == [(1, "旧问", "旧答"), (2, "新问", "新答")]
     assert sorted((r.meeting_id, r.title, r.content) for r in sections.collect()) == [(1, "旧题", "旧文"), (2, "旧题", "旧文")]
+
+
+def test_variants_overlap_only_each_other(spark):
+    terms = [Term("abab", "", (), ("aa", "aaa")), Term("x.y", "", (), ("x\\Ey",))]
+    hits = gl.scan_variants(one(spark, "aaaa x\\Ey aa"), terms).orderBy("matched", "start").collect()
+    assert [(h.matched, h.start, h.end) for h in hits] == [("aa", 0, 2), ("aa", 2, 4), ("aa", 10, 12), ("aaa", 0, 3), ("x\\Ey", 5, 9)]
+
+
+def test_json_prefix_is_found_in_one_pass():
+    cases = {'x {"a": 1, "b": {"c": 2': '{"a": 1}', '{"a": {"b": 1}': "{}", '{"a": {"b": 1} ': '{"a": {"b": 1} }', "no": None,
+             '{"a": "}"} tail': '{"a": "}"}', '{"a": [1, 2], "b': '{"a": [1, 2]}', "{": "{}"}
+    assert {t: mo._closed_object(t) for t in cases} == cases
+    assert mo._closed_object('{"a": 1, "b": "' + "x" * 1_000_000) == '{"a": 1}'
