@@ -75,6 +75,15 @@ def citation_parse(spark, sf):
     return cited.select("citation", p["kind"].alias("kind"), p["ordinal"].alias("ordinal"))
 
 
+def citation_parse_timestamps(spark, sf):
+    """Clock times and ranges of every section, read in the timestamp style."""
+    n = F.col("sec_ord") * 7
+    cites = F.explode(F.array(clock(n), F.concat(clock(n), F.lit("-"), clock(n + 7)), F.lit("§3")))
+    cited = inputs.sections(spark, sf).select(cites.alias("citation")).distinct()
+    p = parse_citation(F.col("citation"), F.lit("timestamp"))
+    return cited.select("citation", p["kind"].alias("kind"), p["ts_start"].alias("ts_start"), p["ts_end"].alias("ts_end"))
+
+
 def check_citations(spark, sf):
     return factcheck.check_citations(inputs.sections(spark, sf), inputs.transcripts(spark, sf))
 
@@ -117,7 +126,7 @@ def fact_check_report(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     normalize_match, char_bigrams, number_tokens, token_ratios, chunk_text, stitch_text,
-    trim_rewrite_overlap, citation_parse, check_citations, check_timestamp_citations,
+    trim_rewrite_overlap, citation_parse, citation_parse_timestamps, check_citations, check_timestamp_citations,
     unsupported_claims, coverage_chunks, coverage_report, fact_check_report)}
 
 # ------------------------------------------------------------------------ oracle
@@ -252,6 +261,12 @@ ORACLE = {
             WHEN regexp_matches(citation, '^[Ll][0-9]+') THEN 'line'
             WHEN regexp_matches(citation, '^×[0-9]+') THEN 'unknown' ELSE 'invalid' END AS kind,
             nullif(regexp_extract(citation, '^[§Ll×]([0-9]+)', 1), '')::INTEGER AS ordinal FROM c""",
+    "citation_parse_timestamps": with_("sections", also=f"""
+        c AS (SELECT DISTINCT unnest([{_STAMP.format('sec_ord * 7')},
+            {_STAMP.format('sec_ord * 7')} || '-' || {_STAMP.format('(sec_ord * 7 + 7)')}, '§3']) AS citation FROM sections)""") + """
+        SELECT citation, CASE WHEN starts_with(citation, '§') THEN 'invalid' ELSE 'timestamp' END AS kind,
+            CASE WHEN NOT starts_with(citation, '§') THEN left(citation, 8) END AS ts_start,
+            CASE WHEN contains(citation, '-') THEN right(citation, 8) END AS ts_end FROM c""",
     "check_citations": with_("transcripts", "sections", also=f"""
         cited AS (SELECT meeting_id, sec_ord, i - 1 AS cit_ord, citations[i] AS citation FROM (
             SELECT *, unnest(range(1, len(citations) + 1)) AS i FROM sections)),

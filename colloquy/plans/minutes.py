@@ -78,7 +78,7 @@ def _reviews(spark, sf):
 
 
 def split_front_matter(spark, sf):
-    return mo.split_front_matter(_reviews(spark, sf)).select("meeting_id", "front", F.length("body").alias("body_length"))
+    return mo.split_front_matter(_reviews(spark, sf)).select("meeting_id", "front", "body")
 
 
 def parse_review_sections(spark, sf):
@@ -211,9 +211,9 @@ ORACLE = {
                      string_agg('**Q' || (n + 1) || '**：' || left(line, 20) || chr(10) || '**A**：' || line,
                                 chr(10) || chr(10) ORDER BY n) AS pairs FROM paras GROUP BY meeting_id)""") + """
         SELECT doc_id AS meeting_id, '{"qa_pairs":[{"question":"' || lang || '","answer":"' || source || '"}]}' AS front,
-            length(chr(10) || '# 校验稿' || chr(10) || CASE WHEN lang = 'en' THEN '' ELSE chr(10) || '## 主题要点' || chr(10) || chr(10)
+            chr(10) || '# 校验稿' || chr(10) || CASE WHEN lang = 'en' THEN '' ELSE chr(10) || '## 主题要点' || chr(10) || chr(10)
                 || coalesce(topics, '') || chr(10) || chr(10) || '## 问答' || chr(10) END || chr(10)
-                || CASE WHEN lang = 'de' THEN '' ELSE coalesce(pairs, '') END)::INTEGER AS body_length
+                || CASE WHEN lang = 'de' THEN '' ELSE coalesce(pairs, '') END AS body
         FROM documents LEFT JOIN said ON meeting_id = doc_id""",
     "parse_review_qa": with_("doc_lines", also=_PARAS) + _ASKED,
     "resolve_review": with_("doc_lines", also=_PARAS + f",sec AS ({_TOPICS}), ask AS ({_ASKED})") + """

@@ -58,8 +58,8 @@ def scan_phonetic(spark, sf):
 
 
 def scan_all(spark, sf):
-    return gl.scan_all(inputs.cjk_transcripts(spark, sf), HAN, _sounds(spark)).select(
-        "meeting_id", "term", "matched", F.col("start").alias("hit_start"), "kind")
+    return gl.scan_all(inputs.cjk_transcripts(spark, sf), HAN, _sounds(spark)).withColumnsRenamed(
+        {"start": "hit_start", "end": "hit_end"})
 
 
 def _part_glossary(spark, sf):
@@ -214,9 +214,7 @@ ORACLE = {
     "scan_all": with_("cjk", also=_VARIANTS + "," + _PHONETIC + """,
         both_ AS (SELECT * FROM variants UNION ALL SELECT p.* FROM phonetic p WHERE NOT EXISTS (
             SELECT 1 FROM variants v WHERE v.meeting_id = p.meeting_id AND v.hit_start = p.hit_start
-            AND v.matched = p.matched)),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY hit_start, term, kind DESC) AS rk
-                   FROM both_)""") + "SELECT meeting_id, term, matched, hit_start, kind FROM ranked",
+            AND v.matched = p.matched))""") + "SELECT * FROM both_",
     "expand_glossary": _EXPAND + "SELECT * FROM open",
     "expand_glossary_two_positions": _EXPAND.rstrip() + """,
         single AS (SELECT term_ord, term, variant_ord, pos, term[:pos] || other || term[pos + 2:] AS variant
