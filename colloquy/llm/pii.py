@@ -47,7 +47,11 @@ SPELLED_DIGIT = re.compile(rf"(?i)\b(?:{_digit})\b")
 PLUS = re.compile(r"(?i)\bplus[\s]{1,3}(?=[0-9])")
 AT_SIGN = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}")
 DOT_SIGN = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|punto|point)\s{0,3}[\])}>]\s{0,3}")
-SPOKEN = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]+(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]+)+")
+# An address in plain words ends in a known domain; what is in brackets needs none.
+DOMAINS = ("com org net edu gov mil int info biz io co ai app dev me tv uk de fr es it nl eu ch at be ca us au jp cn in br ru pl se "
+           "test example").split()
+SPOKEN = re.compile(r"(?i)(?<=[A-Za-z0-9])(\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]+(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]+)*"
+                    rf"(?:\s{{1,3}}dot\s{{1,3}}|\.)(?:{'|'.join(DOMAINS)})\b")
 SPOKEN_DOT = re.compile(r"(?i)\s{1,3}dot\s{1,3}")
 SPOKEN_POINT = re.compile(r"(?i)(?<=[0-9])\s{1,3}dot\s{1,3}(?=[0-9])")
 SPOKEN_LOCAL = re.compile(r"(?i)(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9]+@)")
