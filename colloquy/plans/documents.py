@@ -174,7 +174,10 @@ QUERIES = {f.__name__: f for f in (
     render_term_report, run_summary, corpus_summary, document_round_trip, stream_clean, stream_turns)}
 
 # ------------------------------------------------------------------------ oracle
-_RULES = prompts.rules_text(LATIN)
+_RULES = """- 当出现「tion、tions」时，应纠正为「TION」（a suffix）
+- 当出现「that、thth、hat」时，应纠正为「That」（a pronoun）
+- 当出现「schein、einein、Schein」时，应纠正为「Schein」（a noun）
+- 当出现「the、tion」时，应纠正为「The」（an article）"""
 _TODAY = "2026年1月31日"
 _DEFAULT = "公司：访谈对象\n行业：未知\n参与者：访谈方与被访谈方\n会议目的：调研访谈"
 

