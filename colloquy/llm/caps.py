@@ -28,10 +28,10 @@ SEED = 20
 
 
 def usable(vector: Column) -> Column:
-    """Components as doubles; null unless all are finite and one is not zero."""
+    """The vector; null unless all components are finite and one is not zero."""
     d = F.transform(vector, lambda x: x.cast("double"))
     finite = F.forall(d, lambda x: F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False)))
-    return F.when(finite & F.exists(d, lambda x: x != 0), d)
+    return F.when(finite & F.exists(d, lambda x: x != 0), vector)
 
 
 def codes(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def in_filters(vectors: DataFrame, width: int) -> DataFrame:
                 x = unit(g["v"], width)
                 yield g.assign(fs=decode(x, width, least))
 
-    return vectors.mapInPandas(assign, "id long, v array<double>, times long, fs array<int>")
+    return vectors.mapInPandas(assign, f"id long, v {dict(vectors.dtypes)['v']}, times long, fs array<int>")
 
 
 def unit(vectors: pd.Series, width: int) -> np.ndarray:
@@ -108,9 +108,12 @@ def links(vectors: DataFrame, width: int, least: float = LEAST_COSINE) -> DataFr
     """
     listed = settled(in_filters(vectors, width))
     rows = listed.select("id", F.explode("fs").alias("f"))
-    sizes = rows.groupBy("f").agg(F.count("*").alias("rows")).where("rows > 1")
-    spread = settled(listed.select("id", "v", "times", "fs", F.explode("fs").alias("f")).join(sizes, "f"))
-    dealt = block_pairs(spread, "f", "id", "rows", BLOCK)
+    sizes = settled(rows.groupBy("f").agg(F.count("*").alias("rows")).where("rows > 1"))
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
+    # The sizes come to a vector as a list, so that vectors are multiplied just before they are compared.
+    met = rows.join(sizes, "f").groupBy("id").agg(F.collect_list(F.struct("f", "rows")).alias("met"))
+    spread = listed.join(met, "id").select("id", "v", "times", "fs", F.explode("met").alias("m")).select("id", "v", "times", "fs", "m.*")
+    dealt = block_pairs(spread, "f", "id", "rows", BLOCK, total)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         out = []

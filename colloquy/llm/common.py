@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Characters that separate words, and the runs between them.
@@ -38,6 +38,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc``, a struct of all columns, and ``h``, the hash of the text: no name of ``docs`` can clash with others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("h"))
+
+
+def unpacked(docs: DataFrame, **replaced: Column) -> list[Column]:
+    """The columns of ``docs`` from a packed row, some of them replaced."""
+    return [replaced.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node that is not its own component's smallest.
 
@@ -56,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a")
         e = settled(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -79,10 +89,10 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_pairs(df: DataFrame, key: str, id_col: str, rows: str, block: int) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, id_col: str, rows: str, block: int, total: int) -> DataFrame:
     """Deal groups out to tasks: columns ``task, i, j, blk`` are added.
 
-    ``rows`` names the column with the group's size. Groups of up to ``block``
+    ``rows`` names the column with the group's size; all have ``total`` rows. Groups of up to ``block``
     rows share tasks. A larger one is cut into blocks, and a task has two
     blocks of it, so that all pairs meet and no task has more than two blocks.
     """
@@ -91,7 +101,6 @@ def block_pairs(df: DataFrame, key: str, id_col: str, rows: str, block: int) ->
     out = df.withColumn("_cuts", cuts).withColumn("blk", F.when(F.col("_cuts") > 1, blk).otherwise(0))
     met = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
     out = out.withColumn("_other", met).withColumn("i", F.least("blk", "_other")).withColumn("j", F.greatest("blk", "_other"))
-    total = df.agg(F.count("*")).head()[0]
     tasks = max(32, total // (4 * block))
     alone = F.pmod(F.xxhash64(F.col(key)), F.lit(tasks)).cast("long")
     cut = F.xxhash64(F.col(key), F.col("i"), F.col("j"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, roots, settled, table
+from .common import block_pairs, components, packed, roots, settled, table, unpacked
 
 SHINGLE = 5
 LEAST = 0.8
@@ -97,9 +97,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     rows.append((*print_of(sh), m.astype(np.uint32).view(np.int32), sketch(m)))
                 else:
                     rows.append((None, None, None, None))
-            out = pd.DataFrame(rows, columns=["fp1", "fp2", "mins", "sk"], index=f.index)
-            out["fp1"], out["fp2"] = out["fp1"].astype("Int64"), out["fp2"].astype("Int64")
-            yield pd.concat([f[["doc_id", "h"]], out], axis=1)
+            # As nullable integers from the start: next to a null, plain ones would lose digits.
+            fp1, fp2 = (pd.array([r[i] for r in rows], dtype="Int64") for i in (0, 1))
+            yield pd.DataFrame({"doc_id": f["doc_id"].array, "h": f["h"].array, "fp1": fp1, "fp2": fp2,
+                                "mins": [r[2] for r in rows], "sk": [r[3] for r in rows]})
 
     named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     out = named.mapInPandas(sign, "doc_id string, h long, fp1 long, fp2 long, mins array<int>, sk array<long>")
@@ -158,15 +159,16 @@ def candidates(sets: DataFrame, least: float, recall: float) -> DataFrame:
             .select("id", F.xxhash64("node", "c", F.get("mins", F.col("c"))).alias("node"))
 
 
-def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """``a, b, n`` of exact comparisons within groups.
+def verified(docs: DataFrame, members: DataFrame, least: float, total: int) -> DataFrame:
+    """``a, b, n, whole`` of exact comparisons within groups.
 
-    ``members`` has ``id, doc_id, fp1, fp2, times, grp, rows``. Links of ``a``
-    come to ``n`` more documents, and ``b`` is linked with it.
+    ``members`` has ``id, doc_id, fp1, fp2, times, grp, rows``, and ``total`` rows. Links of ``a``
+    come to ``n`` more documents, and ``b`` is linked with it; if ``whole``, the
+    group was in one task, and ``b`` is the smallest id that links reach.
     """
     named = members.withColumnRenamed("doc_id", "_doc")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(named, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    dealt = block_pairs(rows.select("id", "text", "fp1", "fp2", "times", "grp", "rows"), "grp", "id", "rows", BLOCK)
+    dealt = block_pairs(rows.select("id", "text", "fp1", "fp2", "times", "grp", "rows"), "grp", "id", "rows", BLOCK, total)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         known, out = WordHashes(), []
@@ -199,11 +201,14 @@ def verified(docs: DataFrame, members: DataFrame, least: float) -> DataFrame:
             blk, ids = np.array(blk), np.array(ids)
             counted = near & (blk[:, None] != blk[None, :]) if i != j else near
             some = near.any(axis=1)
-            out.append(pd.DataFrame({"a": ids, "b": ids[roots(near)], "n": counted @ np.array(times)})[some])
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
+            out.append(pd.DataFrame({"a": ids, "b": ids[roots(near)], "n": counted @ np.array(times), "whole": part["rows"].iloc[0] <= size_of_task})[some])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": [], "whole": []}).astype(
+            {"a": "int64", "b": "int64", "n": "int64", "whole": bool})
 
-    return dealt.select("task", "grp", "i", "j", "blk", "id", "text", "fp1", "fp2", "times").groupBy("task").applyInPandas(
-        compare, "a long, b long, n long")
+    size_of_task = BLOCK
+
+    return dealt.select("task", "grp", "i", "j", "blk", "id", "text", "fp1", "fp2", "times", "rows").groupBy("task").applyInPandas(
+        compare, "a long, b long, n long, whole boolean")
 
 
 def similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
@@ -220,14 +225,16 @@ def similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL) -> Da
         F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), F.first("mins").alias("mins"), F.first("sk").alias("sk"))
         .withColumn("id", F.monotonically_increasing_id()))
     group = components(candidates(sets, least, recall))
-    grouped = group.unionByName(group.select(F.col("component").alias("node"), "component").distinct())
+    grouped = settled(group.unionByName(group.select(F.col("component").alias("node"), "component").distinct()))
     sized = grouped.join(grouped.groupBy("component").agg(F.count("*").alias("rows")), "component")
     members = sets.select("id", "doc_id", "fp1", "fp2", "times").join(
         sized.select(F.col("node").alias("id"), F.col("component").alias("grp"), "rows"), "id")
-    found = settled(verified(docs, members, least))
+    found = settled(verified(docs, members, least, grouped.count()))
     direct = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    reached = found.where("whole and a <> b").select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        components(found.where("not whole").select("a", "b")).withColumnRenamed("node", "id"))
     info = sets.select("id", "fp1", "fp2", "doc_id", "times").join(direct, "id", "left") \
-        .join(components(found.select("a", "b")).withColumnRenamed("node", "id"), "id", "left") \
+        .join(reached, "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
     first = info.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = info.join(first, "component").select(
@@ -242,10 +249,10 @@ def without_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     Rows that repeat a doc_id and text become one. Texts without words stay.
     """
-    gone = similar(docs, least).where("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_g")).distinct()
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    kept = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    gone = similar(docs, least).where("not kept").select(F.col("doc_id").alias("gone_doc"), F.col("h").alias("gone_h")).distinct()
+    rows = packed(docs).withColumn("key", F.col("doc.doc_id"))
+    kept = rows.join(gone, F.col("key").eqNullSafe(F.col("gone_doc")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    return kept.dropDuplicates(["key", "h"]).select(*unpacked(docs))
 
 
 def op6_jaccard(spark, sf_dir) -> DataFrame:

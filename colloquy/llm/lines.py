@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, settled, table
+from .common import WORD, packed, settled, table, unpacked
 
 GRAM = 40
 WINDOW = 50
@@ -130,24 +130,32 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     two names are replaced). A null text stays null, with no lines. Rows that
     repeat a doc_id and its text are one document and get the same result.
     """
-    runs = repeated_runs(docs, gram, window).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("runs").alias("_runs"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*columns).join(
-        runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])))
-    out = joined.withColumn("_kept", F.when(F.col("_runs").isNotNull(), kept))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    cut = F.when(F.col("_kept").isNotNull(), F.size(lines) - F.size("_kept")).otherwise(0).cast("long")
-    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], n_lines.alias("n_lines"), cut.alias("n_removed"))
+    runs = repeated_runs(docs.select("doc_id", "text"), gram, window).select(
+        F.col("doc_id").alias("run_doc"), F.col("h").alias("run_h"), "runs")
+    joined = packed(docs).join(
+        runs, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("run_doc")) & (F.col("h") == F.col("run_h")), "left")
+    text = F.col("doc.text")
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i < r["end"])))
+    out = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
+    cut = F.col("kept").isNotNull()
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    removed = F.when(cut, F.size(lines) - F.size("kept")).otherwise(0).cast("long")
+    columns = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
+    return out.select(*unpacked(columns, text=F.when(cut, F.array_join("kept", "\n")).otherwise(text)),
+                      n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``docs`` without later repeated runs. A document of which no word is left goes too; ``n_chars`` follows the text."""
-    out = dedup_lines(docs, gram, window).where((F.col("n_removed") == 0) | F.rlike("text", F.lit(WORD)))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    # Its counts go by the text, so that a column of the same name stays.
+    out = dedup_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text"), gram, window)
+    out = out.where((F.col("n_removed") == 0) | F.rlike("text", F.lit(WORD)))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.coalesce(length, F.col("doc.n_chars"))
+    return out.select(*unpacked(docs, **changed))
 
 
 def op9_lines(spark, sf_dir) -> DataFrame:

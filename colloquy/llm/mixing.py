@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settled, table
+from .common import WORD, packed, settled, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -109,18 +109,15 @@ def mixed(docs: DataFrame) -> DataFrame:
     has its first words. A document that is not taken is left out, and so is one
     without words. ``n_chars``, if there, is that of the text.
     """
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    takes = mix(marked, carry=("_h",)).where("taken > 0").select(
-        F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "size", "taken").dropDuplicates(["_d", "_g"])
-    takes = takes.select("_d", "_g", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    both = marked.join(takes, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
-    copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    text = F.when(words == F.col("_size"), F.col("text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words), " "))
-    return copies.withColumn("_text", text).select(*[
-        F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns])
+    takes = mix(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("h")), carry=("h",)).where("taken > 0")
+    takes = takes.select(F.col("doc_id").alias("take_doc"), F.col("h").alias("take_h"), "size", "taken").dropDuplicates(["take_doc", "take_h"])
+    both = packed(docs).join(takes, F.col("doc.doc_id").eqNullSafe(F.col("take_doc")) & (F.col("h") == F.col("take_h")))
+    copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    text = F.when(words == F.col("size"), F.col("doc.text")).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words), " "))
+    out = copies.withColumn("text", text)
+    return out.select(*unpacked(docs, text=F.col("text"), n_chars=F.length("text").cast("long")))
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

@@ -10,8 +10,6 @@ the boundary have equal scores, and the smallest ids among them are taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

@@ -188,16 +188,20 @@ class Scorer:
 
 
 def contexts(docs: DataFrame, model, only) -> DataFrame:
-    """``feature, n``: in how many different contexts (words beside it) a feature occurs in ``docs``.
+    """``feature, first, n``: in how many different contexts (words beside it) a feature occurs.
 
-    Copies of a text add no contexts. ``only`` limits the features to a broadcast set.
+    ``first`` counts those of texts that are not ``second``, ``n`` all. Copies of
+    a text add no contexts. ``only`` limits the features to a broadcast set.
     """
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer, wanted = Restorer(model.value), only and only.value
         for f in frames:
             rows = set()
-            for t in f["text"]:
+            for t, second in zip(f["text"], f["second"], strict=True):
+                if len(rows) > 100_000:
+                    yield frame(rows)
+                    rows = set()
                 if not isinstance(t, str):
                     continue
                 words = ["", *(w for x in tokens_of(t) for w in restorer.restore(x).split()), ""]
@@ -205,30 +209,39 @@ def contexts(docs: DataFrame, model, only) -> DataFrame:
                     mine = [x for x in features(words[i]) if wanted is None or x in wanted]
                     if mine:
                         near = xxhash.xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1
-                        rows.update((x, near) for x in mine)
-            yield pd.DataFrame(list(rows), columns=["feature", "near"]).astype({"feature": str, "near": "int64"})
+                        rows.update((x, near, not second) for x in mine)
+            yield frame(rows)
 
-    return docs.mapInPandas(spread, "feature string, near long").distinct().groupBy("feature").agg(F.count("*").alias("n"))
+    def frame(rows: set) -> pd.DataFrame:
+        return pd.DataFrame(list(rows), columns=["feature", "near", "first"]).astype({"feature": str, "near": "int64", "first": bool})
 
+    once = docs.mapInPandas(spread, "feature string, near long, first boolean").groupBy("feature", "near").agg(F.max("first").alias("first"))
+    return once.groupBy("feature").agg(F.count_if("first").alias("first"), F.count("*").alias("n"))
 
-def word_weights(toxic: DataFrame, clean: DataFrame, model) -> dict[str, float]:
+
+def word_weights(sample: DataFrame, model) -> tuple[dict[str, float], dict[str, float]]:
     """Lower bounds of the log odds of the words and beginnings that mark toxic texts.
 
-    Both samples are bounded, and so is what they give.
+    Once from the texts that are not ``second``, once from all. The sample is
+    bounded, and so is what it gives.
     """
-    context = toxic.sparkSession.sparkContext
-    n_toxic, n_clean = toxic.count(), clean.count()
-    if not n_toxic or not n_clean:
-        return {}
-    seen = {r["feature"]: r["n"] for r in contexts(toxic, model, None).where(f"n >= {LEAST_CONTEXTS}").toLocalIterator()}
-    other = {r["feature"]: r["n"] for r in contexts(clean, model, context.broadcast(frozenset(seen))).toLocalIterator()}
-    out = {}
-    for f, t in seen.items():
-        c = other.get(f, 0)
-        bound = math.log((t + 0.5) / n_toxic) - math.log((c + 0.5) / n_clean) - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if bound > 1:
-            out[f] = bound
-    return dict(heapq.nlargest(VOCABULARY, out.items(), key=lambda x: (x[1], x[0])))
+    context = sample.sparkSession.sparkContext
+    size = {(r["toxic"], r["second"]): r["count"] for r in sample.groupBy("toxic", "second").count().collect()}
+    of = lambda toxic: sample.where(F.col("toxic") == toxic).select("text", "second")
+    seen = {r["feature"]: (r["first"], r["n"]) for r in contexts(of(1), model, None).where(f"n >= {LEAST_CONTEXTS}").toLocalIterator()}
+    other = {r["feature"]: (r["first"], r["n"]) for r in contexts(of(0), model, context.broadcast(frozenset(seen))).toLocalIterator()} \
+        if seen else {}
+    weights = []
+    for part, kinds in enumerate(((False,), (False, True))):
+        n_toxic, n_clean = (sum(size.get((k, s), 0) for s in kinds) for k in (1, 0))
+        out = {}
+        for f, counts in seen.items() if n_toxic and n_clean else ():
+            t, c = counts[part], other.get(f, (0, 0))[part]
+            bound = math.log((t + 0.5) / n_toxic) - math.log((c + 0.5) / n_clean) - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+            if t >= LEAST_CONTEXTS and bound > 1:
+                out[f] = bound
+        weights.append(dict(heapq.nlargest(VOCABULARY, out.items(), key=lambda x: (x[1], x[0]))))
+    return weights[0], weights[1]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -295,8 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
                      .select("text", "toxic", (fold(F.col("doc_id")) > FOLDS // 2).alias("second")).repartition(16, F.xxhash64("text")))
     model = spark.sparkContext.broadcast(log_model(trigram_counts(docs)))
-    kind = lambda toxic, also="true": sample.where(f"toxic = {toxic} and {also}").select("text")
-    half = word_weights(kind(1, "not second"), kind(0, "not second"), model)
+    half, weights = word_weights(sample, model)
     scorer = spark.sparkContext.broadcast((model.value, half))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,7 +323,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     total = sum(n.values())
     if not half or len(set(rows[:, 3])) < 2:
         return Model(spark.sparkContext.broadcast((model.value, half)), None, n.get(1, 0) / total if total else 0.0)
-    weights = word_weights(kind(1), kind(0), model)
     return Model(spark.sparkContext.broadcast((model.value, weights)), fit_logistic(rows[:, :3], rows[:, 3]), 0.0)
 
 
