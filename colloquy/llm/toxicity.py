@@ -244,15 +244,19 @@ def word_weights(sample: DataFrame, model) -> tuple[dict[str, float], dict[str,
     return weights[0], weights[1]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Coefficients, the constant first, by Newton's method; no coefficient is below zero."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, weight: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients, the constant first, by Newton's method; no coefficient is below zero.
+
+    A row counts as ``weight`` rows, or as one.
+    """
+    weight = np.ones(len(x)) if weight is None else weight
     x, active = np.column_stack([np.ones(len(x)), x]), list(range(x.shape[1] + 1))
     while True:
         z, b = x[:, active], np.zeros(len(active))
         penalty = np.diag([1e-6] + [ridge] * (len(active) - 1))
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ b)
+            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (weight * (y - p)) - penalty @ b)
             b = b + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
                 break
@@ -295,8 +299,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     The character model counts all texts. Of each class a hash of doc_id picks
     about SAMPLE texts. The logistic model is fitted on half of the folds, with
-    word scores from the other half; the final word scores are from all. Without
-    texts of both classes every score is the share of toxic ones.
+    word scores from the other half; the final word scores are from all. A row of
+    the sample counts as many times as its class was thinned, so that the rate of
+    toxic texts is that of all labels. Without texts of both classes every score
+    is the share of toxic ones.
     """
     spark = docs.sparkSession
     marked = settled(labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -304,6 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE[1] / max(1, n.get(1, 0)))).otherwise(min(1.0, SAMPLE[0] / max(1, n.get(0, 0))))
     picked = settled(marked.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)))
+    kept = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     # At most about the sum of SAMPLE rows of two numbers.
     sample = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
                      .select("text", "toxic", (fold(F.col("doc_id")) > FOLDS // 2).alias("second")).repartition(16, F.xxhash64("text")))
@@ -323,7 +330,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     total = sum(n.values())
     if not half or len(set(rows[:, 3])) < 2:
         return Model(spark.sparkContext.broadcast((model.value, half)), None, n.get(1, 0) / total if total else 0.0)
-    return Model(spark.sparkContext.broadcast((model.value, weights)), fit_logistic(rows[:, :3], rows[:, 3]), 0.0)
+    thinned = np.array([n.get(k, 0) / max(1, kept.get(k, 0)) for k in (0, 1)])
+    coefficients = fit_logistic(rows[:, :3], rows[:, 3], weight=thinned[rows[:, 3].astype(int)])
+    return Model(spark.sparkContext.broadcast((model.value, weights)), coefficients, 0.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
