@@ -10,6 +10,8 @@ from .common import WORD, packed, settled, table, unpacked
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SLOTS = 1 << 18
+# A source whose target is under so many blocks is taken word by word.
+FINE = 1 << 10
 GOLDEN = 0.6180339887498949
 BUCKET_DIGITS = 3
 
@@ -53,7 +55,10 @@ def mix(docs: DataFrame, *, carry=(), weights=WEIGHTS, most: int = MOST_REPEATS,
     A null text has size 0, a null source is a source. Documents of size 0 take
     nothing. Rows with equal doc_id are laid out in the order of their sizes.
     The block length is the total by ``slots``, rounded up, and there are as many
-    slots as the total fills: a source comes within a few blocks of its target. Columns named in ``carry`` come along.
+    slots as the total fills: a source comes within a few blocks of its target.
+    A source whose target is less than FINE such blocks would miss it by slots if a
+    block has more than a word: it is cut into blocks of one word and takes as
+    many as its target, rounded. Columns named in ``carry`` come along.
     """
     sized = settled(docs.select(
         "doc_id", *carry, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
@@ -63,13 +68,14 @@ def mix(docs: DataFrame, *, carry=(), weights=WEIGHTS, most: int = MOST_REPEATS,
     block = F.greatest(F.ceil(F.sum("source_size").over(every) / F.lit(slots)), F.lit(1)).cast("long")
     upto = F.sum("target").over(by_name) / F.sum("target").over(every)
     shares = targets.withColumns({"sid": F.row_number().over(by_name), "block": block, "upto": upto}).withColumns({
-        "since": F.coalesce(F.lag("upto").over(by_name), F.lit(0.0)), "filled": F.sum("source_size").over(every) / F.col("block")})
+        "since": F.coalesce(F.lag("upto").over(by_name), F.lit(0.0)), "filled": F.sum("source_size").over(every) / F.col("block"),
+        "fine": (F.col("block") > 1) & (F.col("target") < F.col("block") * FINE)})
 
     # Points meet shares in cells of the unit interval: an equi-join however many sources there are.
     cells = 1 << 12
     points = docs.sparkSession.range(slots).withColumn("p", F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN))
     points = points.withColumn("cell", F.floor(F.col("p") * cells).cast("int"))
-    spans = shares.where("upto > since").withColumn("cell", F.explode(F.sequence(
+    spans = shares.where("upto > since and not fine").withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("since") * cells).cast("int"), F.least(F.floor(F.col("upto") * cells), F.lit(cells)).cast("int"))))
     slot = points.join(spans, "cell").where("p >= since and p < upto and id < filled")
     # The rank of a source's slot is the number of its slots in earlier stretches and before it in its own.
@@ -86,7 +92,7 @@ def mix(docs: DataFrame, *, carry=(), weights=WEIGHTS, most: int = MOST_REPEATS,
     # Where each document starts in its source's shuffled order: sums of buckets of the order, then inside a bucket.
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     laid = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    names = shares.select(F.col("source").alias("name"), "sid", "source_size", "target", "block")
+    names = shares.select(F.col("source").alias("name"), "sid", "source_size", "target", "block", "fine")
     laid = laid.join(names, F.col("source").eqNullSafe(F.col("name")))
     filled = laid.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     starts = filled.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
@@ -94,11 +100,16 @@ def mix(docs: DataFrame, *, carry=(), weights=WEIGHTS, most: int = MOST_REPEATS,
     laid = laid.join(starts, ["sid", "bucket"]).withColumn("row", F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("key", "size"))) \
         .withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
-    pieces = laid.where("size > 0").withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
+    pieces = laid.where("size > 0 and not fine").withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
         "words", F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("blk") * F.col("block")))
     taken = pieces.join(takes, ["sid", "blk"]).groupBy("sid", "bucket", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # Blocks of one word: whole rounds of the source, and its first words once more.
+    wanted = F.round("target").cast("long")
+    rounds = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0)
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), wanted - rounds * F.col("source_size") - F.col("start")))
+    by_word = F.when(F.col("fine"), rounds * F.col("size") + rest)
     return laid.join(taken, ["sid", "bucket", "row"], "left").select(
-        "doc_id", *carry, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", *carry, "size", "source_size", "target", F.coalesce(by_word, "taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:

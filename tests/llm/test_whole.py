@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import toxicity
+from colloquy.llm import mixing, toxicity
 
 
 def test_the_sample_keeps_the_rate_of_rejected_documents(spark, monkeypatch):
@@ -24,3 +24,19 @@ def test_the_sample_keeps_the_rate_of_rejected_documents(spark, monkeypatch):
     assert 0.04 < whole < 0.06
     monkeypatch.setattr(toxicity, "SAMPLE", {1: 400, 0: 600})
     assert abs(rate() - whole) < 0.01
+
+
+def test_tiny_sources_beside_a_huge_one_reach_their_targets(spark):
+    # One source of 100 000 words, 40 of 10 words each in two documents; a block has 101 words.
+    rows = [(i, "word " * 1000, "a") for i in range(100)]
+    rows += [(1000 + i, "tiny " * (4 + 2 * (i % 2)), f"b{i // 2:02}") for i in range(80)] + [(5000, "no source", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, carry=("source",), slots=1000).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert len(got) == 42
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= (0.5 if r["source"] != "a" else 0.01 * r["target"])
+        assert r["taken"] <= 3 * r["size"]
+    # A target between whole rounds: the first words of the shuffled order once more, none other.
+    few = mixing.mix(docs, carry=("source",), weights=(4000, 1, 2), slots=1000).where("source = 'b00'").collect()
+    assert sum(r["taken"] for r in few) == round(few[0]["target"]) and len({r["target"] for r in few}) == 1
