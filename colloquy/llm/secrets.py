@@ -28,7 +28,10 @@ ASSIGN = re.compile(
     + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]" + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Only padding belongs to a token, so NAME=VALUE is two.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+# A value may stand behind a path or a prefix: parts of a token in each of the encodings that have such signs, and in those that don't.
+PARTS = tuple(re.compile(p) for p in (r"[^/]{16,}", r"[^_-]{16,}", r"[^/_-]{16,}"))
 LEAST_ASSIGNED = 6
 
 # Encodings from the smallest alphabet on, each in its own order.
@@ -57,6 +60,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """``start, end`` of the tokens of a text and of their parts, a longer one before those in it."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        parts = {(a, b)}
+        if any(c in "/_-" for c in m[0]):
+            parts.update(x.span() for p in PARTS for x in p.finditer(text, a, b) if len(x[0].rstrip("=")) >= LENGTHS[0])
+        out += sorted(parts, key=lambda s: (s[0], -s[1]))
+    return out
+
+
 def character_codes(text: str) -> np.ndarray:
     """Printable ASCII as 1 to 95, all else 0."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -178,6 +193,19 @@ def discoveries(counts: dict[tuple[int, int], int], rate: float) -> dict[int, in
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def outermost(found: pd.Series) -> pd.Series:
+    """Spans that lie in no other one; a longer one comes before those in it."""
+    out = []
+    for spans in found:
+        kept, last = [], -1
+        for s in spans:
+            if s["end"] > last:
+                kept.append({"start": s["start"], "kind": 3, "end": s["end"]})
+                last = s["end"]
+        out.append(kept)
+    return pd.Series(out)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """``doc_id``, the pattern spans ``base`` and the tested tokens ``tokens`` of each text."""
     shipped = docs.sparkSession.sparkContext.broadcast(Battery(pair_counts(docs)))
@@ -191,11 +219,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                 t = t if isinstance(t, str) else ""
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in base_spans(t)])
                 found = []
-                for m in CANDIDATE.finditer(t):
-                    p = battery.p_value(m[0])
+                for a, b in candidates(t):
+                    p = battery.p_value(t[a:b])
                     # A token that looks unlike random is still one of the tests.
-                    found.append({"start": m.start(), "end": m.end(), "length": length_class(len(m[0])),
-                                  "step": 0 if p is None else step(p)})
+                    found.append({"start": a, "end": b, "length": length_class(b - a), "step": 0 if p is None else step(p)})
                 tokens.append(found)
             yield pd.DataFrame({"base": base, "tokens": tokens})
 
@@ -206,16 +233,16 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """``doc_id, base, added``: spans of the patterns and of tokens found random.
 
     Spans are in code points, the end exclusive. A null text is empty. All
-    tokens of all texts are tests; within a class of length the expected share
-    of ordinary tokens among the spans added is at most ``rate``.
+    tokens of all texts and their parts are tests; within a class of length the
+    expected share of ordinary tokens among those found is at most ``rate``. A
+    part of a found token is not added again.
     """
     rows = settled(scanned(docs.select("doc_id", "text")))
     t = rows.select(F.explode("tokens").alias("t")).groupBy("t.length", "t.step").agg(F.count("*").alias("n"))
     least = discoveries({(r["length"], r["step"]): r["n"] for r in t.collect()}, rate)
     limit = F.create_map(*[F.lit(x) for c in range(len(LENGTHS) + 1) for x in (c, max(least.get(c, 1 << 30), 1))])
-    added = F.transform(F.filter("tokens", lambda t: t["step"] >= F.element_at(limit, t["length"])),
-                        lambda t: F.struct(t["start"], F.lit(3).alias("kind"), t["end"]))
-    return rows.select("doc_id", "base", added.alias("added"))
+    found = F.filter("tokens", lambda t: t["step"] >= F.element_at(limit, t["length"]))
+    return rows.select("doc_id", "base", F.pandas_udf(outermost, SPAN)(found).alias("added"))
 
 
 def listed(spans, kinds=KINDS):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import mixing, toxicity
+from colloquy.llm import mixing, secrets, toxicity
 
 
 def test_the_sample_keeps_the_rate_of_rejected_documents(spark, monkeypatch):
@@ -40,3 +40,26 @@ def test_tiny_sources_beside_a_huge_one_reach_their_targets(spark):
     # A target between whole rounds: the first words of the shuffled order once more, none other.
     few = mixing.mix(docs, carry=("source",), weights=(4000, 1, 2), slots=1000).where("source = 'b00'").collect()
     assert sum(r["taken"] for r in few) == round(few[0]["target"]) and len({r["target"] for r in few}) == 1
+
+
+def test_values_behind_names_and_paths_are_found(spark):
+    rnd = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda more="", n=44: "".join(rnd.choice(letters + more) for _ in range(n))
+    ways = [("ACCESS_KEY_OF_THE_SERVICE={}", ""), ("https://example.org/a?client_id={}", "-_"), ("&sig={}==", "+/"), ("a_name=={}", ""),
+            ("/hooks/services/workspace/incoming/{}/messages", "-_"), ("prefix_of_the_service_live_{}", "+/"), ("one-service-or-another-{}", "")]
+    prose = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(140).collect()]
+    rows = []
+    for i, p in enumerate(prose):
+        way, more = ways[i % len(ways)]
+        v = value(more)
+        rows.append((i, f"{p[:1500]} see {way.format(v)} and incomprehensibilities-notwithstanding=counterrevolutionaries/internationalisation "
+                        "words_that_are_written_like_this are ordinary", v))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    got = {r["doc_id"]: r["added"] for r in secrets.find_secrets(docs).collect()}
+    for w in range(len(ways)):
+        mine = [r for r in rows if r[0] % len(ways) == w]
+        assert sum(any(v in t[a["start"]:a["end"]] for a in got[i]) for i, t, v in mine) >= 0.85 * len(mine), ways[w]
+    assert not any(x in t[a["start"]:a["end"]] for i, t, _ in rows for a in got[i] for x in ("incompreh", "counterrev", "internat", "written"))
+    for spans in got.values():
+        assert not any(a != b and a["start"] <= b["start"] and b["end"] <= a["end"] for a in spans for b in spans)
