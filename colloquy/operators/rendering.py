@@ -2,7 +2,7 @@
 
 A renderer returns rows ``meeting_id, part, ord, text``: the document is the
 texts in order, joined by newlines. ``assemble`` turns them into one row per
-document; a document too long for a row is written as its lines.
+document, which must fit into a row.
 """
 
 from __future__ import annotations
