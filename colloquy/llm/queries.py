@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topk", "bpe", "secrets", "pii", "caps", "jaccard", "toxicity", "tokens", "lines", "mixing")
+MODULES = ("topk", "bpe", "secrets", "pii", "caps", "jaccard", "toxicity", "tokens", "lines", "mixing", "infill")
 
 
 def _all(kind):
