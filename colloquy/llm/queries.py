@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topk", "bpe", "secrets", "pii", "caps", "jaccard", "toxicity", "tokens", "lines", "mixing", "chat", "infill")
+MODULES = ("topk", "bpe", "secrets", "pii", "caps", "jaccard", "toxicity", "tokens", "lines", "mixing", "repair", "chat", "infill")
 
 
 def _all(kind):
