@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, RANKS, codec_of, ship
@@ -20,69 +20,66 @@ from .common import table
 RULES = ("start", "majority", "split")
 
 
-def token_spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def characters(raw: np.ndarray) -> np.ndarray:
+    """The character that each byte of a text is of."""
+    return np.cumsum((raw & 0xC0) != 0x80) - 1
+
+
+def token_spans(char: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and the end (exclusive) of each token, given the tokens' lengths in bytes.
 
     A character of several bytes may belong to several tokens; each has it in its span.
     """
     end = np.cumsum(lengths)
-    start = end - lengths
-    if text.isascii():
-        return start, end
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    char = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character that each byte is of
-    return char[start], char[end - 1] + 1
+    return char[end - lengths], char[end - 1] + 1
 
 
 def allocate(start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray, rule: str) -> tuple[np.ndarray, float]:
     """Tokens of each section, and those of none; sections are ascending and don't overlap.
 
     start: a token belongs to the section of its first character. majority: to
-    the section with most of its characters, the earlier one of equals. split: to
-    each section by its share of the token's characters. What lies in no section
-    is treated as a section by these rules and counted apart.
+    the section with most of its characters, the earlier one of equals, and to
+    none if more of them lie outside all sections than in any one. split: to each
+    section, and to none, by the share of the token's characters.
     """
     n = len(left)
-    counts, outside = np.zeros(n), 0.0
+    if not n:
+        return np.zeros(0), float(len(start))
     at = np.searchsorted(left, start, side="right") - 1
-    inside = (at >= 0) & (start < right[np.maximum(at, 0)]) if n else np.zeros(len(start), bool)
-    whole = inside & (end <= right[np.maximum(at, 0)]) if n else inside
-    following = left[np.minimum(at + 1, n - 1)] if n else start
-    free = ~inside & ((at + 1 >= n) | (end <= following))
+    k = np.maximum(at, 0)
+    inside = (at >= 0) & (start < right[k])
     if rule == "start":
-        whole, free = inside, ~inside
-    counts += np.bincount(at[whole], minlength=n)[:n] if n else 0
-    outside += float(free.sum())
-    for i in np.flatnonzero(~whole & ~free):
-        s, e, k = int(start[i]), int(end[i]), max(int(at[i]), 0)
-        shares, pos = [], s
-        while k < n and left[k] < e:
-            if left[k] > pos:
-                shares.append((-1, int(left[k]) - pos))
-                pos = int(left[k])
-            if right[k] > pos:
-                shares.append((k, min(e, int(right[k])) - pos))
-                pos = min(e, int(right[k]))
-            k += 1
-        if pos < e:
-            shares.append((-1, e - pos))
-        if rule == "majority":
-            shares = [(max(shares, key=lambda x: x[1])[0], 1)]
-        total = sum(w for _, w in shares)
-        for k, w in shares:
-            if k < 0:
-                outside += w / total
-            else:
-                counts[k] += w / total
-    return counts, outside
-
-
-def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each line with the newline that ends it."""
-    size = np.fromiter((len(x) + 1 for x in text.split("\n")), np.int64)
-    size[-1] -= 1
-    right = np.cumsum(size)
-    return right - size, right
+        return np.bincount(at[inside], minlength=n).astype(float), float((~inside).sum())
+    last = np.searchsorted(left, end, side="left") - 1  # the last section that starts before the token's end
+    whole = inside & (end <= right[k])
+    free = ~inside & (last == at)
+    counts, outside = np.bincount(at[whole], minlength=n).astype(float), float(free.sum())
+    rest = np.flatnonzero(~whole & ~free)
+    if not len(rest):
+        return counts, outside
+    # Each other token with every section that it may touch.
+    s, e, k = start[rest], end[rest], k[rest]
+    width = last[rest] - k + 1
+    row = np.repeat(np.arange(len(rest)), width)
+    first = np.cumsum(width) - width
+    section = np.arange(len(row)) - first[row] + k[row]
+    shared = np.maximum(np.minimum(e[row], right[section]) - np.maximum(s[row], left[section]), 0)
+    beyond = (e - s) - np.add.reduceat(shared, first)
+    if rule == "split":
+        counts += np.bincount(section, shared / (e - s)[row], n)
+        return counts, outside + float((beyond / (e - s)).sum())
+    most = np.maximum.reduceat(shared, first)
+    best = np.flatnonzero(shared == most[row])
+    best = best[np.unique(row[best], return_index=True)[1]]
+    in_one = most >= beyond
+    counts += np.bincount(section[best[in_one]], minlength=n)
+    return counts, outside + float((~in_one).sum())
+
+
+def line_sections(raw: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line with the newline that ends it, in characters."""
+    right = np.append(char[np.flatnonzero(raw == 10)] + 1, char[-1] + 1 if len(char) else 0)
+    return np.append(0, right[:-1]), right
 
 
 def attribute(docs: DataFrame, sections: str | None = None, rule: str = "majority", *,
@@ -93,48 +90,64 @@ def attribute(docs: DataFrame, sections: str | None = None, rule: str = "majorit
     characters, of sections that don't overlap, in any order; without it the lines
     are the sections. The row of section -1 is there if its count is not 0. The
     rows of a document add up to its tokens. A null text is empty: its lines are
-    one empty section. Sections beyond the text have no tokens.
+    one empty section. Sections beyond the text have no tokens, null ones are left
+    out. A row of ``docs`` that is repeated is counted each time, one without id
+    has rows without id; other columns are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     key, shipped = ship(docs.sparkSession, path, pattern)
 
-    def of_text(codec, sizes, text, given):
-        text = text if isinstance(text, str) else ""
-        if given is None:
-            left, right = line_sections(text)
-        else:
-            both = sorted((int(s["start"]), int(s["end"])) for s in given if s is not None)
-            left, right = (np.array([b[i] for b in both], np.int64) for i in (0, 1))
+    def of_text(codec, sizes, text: str, given):
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        char = characters(raw)
+        left, right = line_sections(raw, char) if given is None else given
         ids = np.frombuffer(codec.encode(text), "<u4")
-        counts, outside = allocate(*token_spans(text, sizes[ids]), left, right, rule)
-        rows = [{"section": i, "start": int(a), "end": int(b), "n_tokens": float(n)}
-                for i, (a, b, n) in enumerate(zip(left, right, counts, strict=True))]
-        return [*rows, {"section": -1, "start": 0, "end": 0, "n_tokens": outside}] if outside else rows
+        counts, outside = allocate(*token_spans(char, sizes[ids]), left, right, rule)
+        number = np.arange(len(left))
+        return (np.append(number, -1), np.append(left, 0), np.append(right, 0), np.append(counts, outside)) if outside \
+            else (number, left, right, counts)
 
-    def run_lines(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def lists(texts: pa.Array, given) -> pa.Array:
         codec = codec_of(key, shipped)
         sizes = np.array([len(t) for t in codec.tokens], np.int64)
-        for s in texts:
-            yield pd.Series([of_text(codec, sizes, t, None) for t in s])
+        found = [of_text(codec, sizes, t, g) for t, g in zip(texts.to_pylist(), given, strict=True)]
+        ends = np.cumsum([0, *(len(x[0]) for x in found)]).astype(np.int32)
+        flat = [np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in range(4)]
+        columns = [pa.array(x.astype(np.int32)) for x in flat[:3]] + [pa.array(flat[3].astype(float))]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["section", "start", "end", "n_tokens"]))
 
-    def run_given(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        codec = codec_of(key, shipped)
-        sizes = np.array([len(t) for t in codec.tokens], np.int64)
-        for texts, given in pairs:
-            yield pd.Series([of_text(codec, sizes, t, [] if g is None else g) for t, g in zip(texts, given, strict=True)])
+    def of_lines(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield lists(texts, [None] * len(texts))
+
+    def of_given(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, *bounds in batches:
+            yield lists(texts, list(zip(*([np.array(x, np.int64) for x in b.to_pylist()] for b in bounds), strict=True)))
 
     kind = "array<struct<section:int,start:int,end:int,n_tokens:double>>"
-    spans = F.pandas_udf(run_lines, kind)("text") if sections is None else F.pandas_udf(run_given, kind)("text", sections)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = F.arrow_udf(of_lines, kind)(text) if sections is None else F.arrow_udf(of_given, kind)(text, *bounds_of(F.col(sections)))
     out = docs.select("doc_id", F.explode(spans).alias("s"))
     count = F.col("s.n_tokens") if rule == "split" else F.col("s.n_tokens").cast("long")
     return out.select("doc_id", "s.section", "s.start", "s.end", count.alias("n_tokens"))
 
 
+def bounds_of(sections: Column) -> list[Column]:
+    """Starts and ends of sections, ascending."""
+    plain = F.transform(F.filter(sections, lambda s: s.isNotNull()),
+                        lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
+    known = F.coalesce(F.array_sort(plain), F.array().cast("array<struct<start:long,end:long>>"))
+    return [F.transform(known, lambda s: s["start"]), F.transform(known, lambda s: s["end"])]
+
+
 def with_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    """``doc_id, text, sections`` of texts and a table of ``doc_id, start, end``; a document may have none."""
-    own = sections.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("sections"))
-    return docs.select("doc_id", "text").join(own, "doc_id", "left")
+    """``doc_id, text, sections`` of texts and a table of ``doc_id, start, end``; a document may have none.
+
+    Rows without id belong together.
+    """
+    own = sections.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("sections"))
+    return docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def op8_tokens(spark, sf_dir) -> DataFrame:

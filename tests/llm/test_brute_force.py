@@ -244,7 +244,7 @@ def test_attribution_against_characters(spark, codec):
     for t in random_texts(400, 9):
         ids = np.frombuffer(codec.encode(t), "<u4")
         sizes = np.array([len(codec.tokens[i]) for i in ids], np.int64)
-        start, end = tokens.token_spans(t, sizes)
+        start, end = tokens.token_spans(tokens.characters(np.frombuffer(t.encode(), np.uint8)), sizes)
         cuts = sorted(rnd.sample(range(len(t) + 1), min(len(t) + 1, 2 * rnd.randrange(0, 4))))
         left, right = np.array(cuts[0::2], np.int64)[:len(cuts) // 2], np.array(cuts[1::2], np.int64)
         owner = {c: k for k, (a, b) in enumerate(zip(left, right, strict=True)) for c in range(a, b)}
@@ -262,10 +262,9 @@ def test_attribution_against_characters(spark, codec):
                     for k in of:
                         want[k] += 1 / len(of)
                 else:
-                    want[max(dict.fromkeys(of), key=of.count)] += 1
+                    want[max(set(of), key=lambda k: (of.count(k), k >= 0, -k))] += 1
             counts, outside = tokens.allocate(start, end, left, right, rule)
-            if rule != "majority":
-                assert np.allclose([outside, *counts], [want[k] for k in range(-1, len(left))])
+            assert np.allclose([outside, *counts], [want[k] for k in range(-1, len(left))])
             assert np.isclose(outside + counts.sum(), len(ids))
 
 
@@ -278,6 +277,32 @@ def test_sections_of_a_table(spark):
     assert got[1, 0] >= 1 and sum(n for (d, _), n in got.items() if d == 1) == total[1] and got[2, -1] == total[2]
 
 
+def test_majority_adds_up_what_lies_outside():
+    spans = lambda *x: (np.array([a for a, _ in x]), np.array([b for _, b in x]))
+    counts, outside = tokens.allocate(*spans((0, 5)), *spans((1, 3)), "majority")
+    assert counts.tolist() == [0] and outside == 1
+    counts, outside = tokens.allocate(*spans((0, 4), (4, 8)), *spans((1, 3), (4, 6), (6, 8)), "majority")
+    assert counts.tolist() == [1, 1, 0] and outside == 0
+
+
+def test_lines_with_null_repeated_and_clashing_rows(spark, encoding):
+    rows = [(1, "a line\n\nand é €\n"), (1, "a line\n\nand é €\n"), (None, "no id\nhere"), (2, None), (3, "\n" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("s", "section", "start", "n_tokens")})
+    got = {}
+    for r in tokens.attribute(docs).collect():
+        got.setdefault((r["doc_id"], r["section"]), []).append((r["start"], r["end"], r["n_tokens"]))
+    assert all(len(v) == (2 if k[0] == 1 else 1) for k, v in got.items())
+    for i, t in {(1, rows[0][1]), (None, rows[2][1]), (2, ""), (3, rows[4][1])}:
+        ends = [m.end() for m in re.finditer("\n", t)] + [len(t)]
+        assert [got[i, k][0][:2] for k in range(len(ends))] == list(zip([0, *ends], ends))
+        assert sum(got[i, k][0][2] for k in range(len(ends))) == len(encoding.encode_ordinary(t))
+    parts = spark.createDataFrame([(None, 0, 5), (1, 0, 6), (1, 20, 90)], "doc_id long, start int, end int")
+    for rule in tokens.RULES:
+        out = tokens.attribute(tokens.with_sections(docs, parts), "sections", rule).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+        total = {1: 2 * len(encoding.encode_ordinary(rows[0][1])), None: len(encoding.encode_ordinary(rows[2][1])), 3: len(encoding.encode_ordinary(rows[4][1]))}
+        assert {r["doc_id"]: round(r["n"], 6) for r in out} == total
+
+
 def test_held_out_toxicity(spark):
     rows = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
