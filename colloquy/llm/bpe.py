@@ -14,20 +14,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from .common import table
+from .common import portions, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Pre-tokens whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -132,14 +132,15 @@ def encoder(spark: SparkSession, path: str = RANKS, pattern: str = PATTERN):
     """A column function: text to ``ids`` (little-endian 32-bit integers) and ``decoded`` (bytes), both binary."""
     key, shipped = ship(spark, path, pattern)
 
-    @F.pandas_udf("ids binary, decoded binary")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(key, shipped)
-        for s in texts:
-            ids = [codec.encode(t if isinstance(t, str) else "") for t in s]
-            yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(x) for x in ids]})
+        for texts in batches:
+            for part in portions(texts):
+                ids = [codec.encode(t or "") for t in part.to_pylist()]
+                decoded = [codec.decode(x) for x in ids]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["ids", "decoded"])
 
-    return encode
+    return F.arrow_udf(encode, "ids binary, decoded binary")
 
 
 def encoded(docs: DataFrame, *, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,17 @@ def unpacked(docs: DataFrame, **replaced: Column) -> list[Column]:
     return [replaced.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
 
 
+def portions(texts: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Runs of texts of about ``most`` bytes, so that a batch of long texts is not held several times; a longer text is one by itself."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(texts):
+        j = min(len(texts), max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
+        yield texts.slice(i, j - i)
+        i = j
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node that is not its own component's smallest.
 

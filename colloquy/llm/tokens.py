@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, RANKS, codec_of, ship
-from .common import table
+from .common import portions, table
 
 RULES = ("start", "majority", "split")
 
@@ -119,7 +119,8 @@ def attribute(docs: DataFrame, sections: str | None = None, rule: str = "majorit
 
     def of_lines(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield lists(texts, [None] * len(texts))
+            for part in portions(texts):
+                yield lists(part, [None] * len(part))
 
     def of_given(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, *bounds in batches:

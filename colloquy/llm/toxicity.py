@@ -13,25 +13,26 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import portions, settled, table
 
 # Labelled texts that the classifier is fitted on, at most about so many of each class, and the words it keeps.
 SAMPLE = {1: 4_000, 0: 8_000}
-VOCABULARY = 4_096
 LEAST_CONTEXTS = 3
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 THRESHOLD = 0.5
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+GATHERED = 50_000
 
 # Letters of the character model; 0 is what separates words, the last code any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -58,35 +59,29 @@ def letter_codes(text: str) -> np.ndarray:
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """How often each three characters follow each other in all texts; a table of fixed size."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE ** 3, np.int64)
-        for f in frames:
-            part, size = [], 0
-            for t in [*f["text"], None]:
-                if isinstance(t, str):
-                    part.append(t)
-                    size += len(t)
-                if part and (t is None or size > 1_000_000):
-                    c = letter_codes(" " + "  ".join(part) + " ")
-                    total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE ** 3)
-                    part, size = [], 0
+        for batch in batches:
+            for part in portions(batch.column(0), 1 << 18):
+                c = letter_codes(" " + "  ".join(part.to_pylist()) + " ")
+                total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE ** 3)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"three": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["three", "n"])
 
     out = np.zeros(SIZE ** 3)
-    for r in docs.where("text is not null").select("text").mapInPandas(count, "three long, n long") \
+    for r in docs.where("text is not null").select("text").mapInArrow(count, "three long, n long") \
             .groupBy("three").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["three"]] = r["n"]
     return out.reshape(SIZE, SIZE, SIZE)
 
 
-def log_model(counts: np.ndarray) -> list[float]:
-    """Log probability of a character after two, each order smoothed by the one below; flat."""
+def log_model(counts: np.ndarray) -> array:
+    """Log probability of a character after two, each order smoothed by the one below; flat, in four bytes each."""
     p = (counts.sum(axis=(0, 1)) + 0.1) / (counts.sum() + 0.1 * SIZE)
     two = counts.sum(axis=0)
     p = (two + 5 * p[None, :]) / (two.sum(axis=1, keepdims=True) + 5)
     p = (counts + 5 * p[None, :, :]) / (counts.sum(axis=2, keepdims=True) + 5)
-    return np.log(p).ravel().tolist()
+    return array("f", np.log(p).ravel().astype(np.float32).tobytes())
 
 
 def arcs(c: str, n: int) -> list[tuple[str, float]]:
@@ -102,7 +97,7 @@ def arcs(c: str, n: int) -> list[tuple[str, float]]:
 class Restorer:
     """Restores disguised words under a character model."""
 
-    def __init__(self, model: list[float]):
+    def __init__(self, model: array):
         self.model = model
 
     def word(self, token: str) -> str:
@@ -161,7 +156,7 @@ def features(word: str) -> list[str]:
 class Scorer:
     """Word scores of a text."""
 
-    def __init__(self, model: list[float], weights: dict[str, float]):
+    def __init__(self, model: array, weights: dict[str, float]):
         self.restorer, self.weights, self.known = Restorer(model), weights, {}
 
     def weight(self, token: str) -> float:
@@ -194,28 +189,27 @@ def contexts(docs: DataFrame, model, only) -> DataFrame:
     a text add no contexts. ``only`` limits the features to a broadcast set.
     """
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, wanted = Restorer(model.value), only and only.value
-        for f in frames:
-            rows = set()
-            for t, second in zip(f["text"], f["second"], strict=True):
-                if len(rows) > 100_000:
-                    yield frame(rows)
-                    rows = set()
-                if not isinstance(t, str):
-                    continue
-                words = ["", *(w for x in tokens_of(t) for w in restorer.restore(x).split()), ""]
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, wanted, rows = Restorer(model.value), only and only.value, set()
+        for batch in batches:
+            for t, second in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = ["", *(w for x in tokens_of(t.as_py() or "") for w in restorer.restore(x).split()), ""]
                 for i in range(1, len(words) - 1):
                     mine = [x for x in features(words[i]) if wanted is None or x in wanted]
                     if mine:
                         near = xxhash.xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1
                         rows.update((x, near, not second) for x in mine)
-            yield frame(rows)
+                        if len(rows) > GATHERED:
+                            yield frame(rows)
+                            rows.clear()
+        yield frame(rows)
 
-    def frame(rows: set) -> pd.DataFrame:
-        return pd.DataFrame(list(rows), columns=["feature", "near", "first"]).astype({"feature": str, "near": "int64", "first": bool})
+    def frame(rows: set) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        kinds = {"feature": pa.string(), "near": pa.int64(), "first": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    once = docs.mapInPandas(spread, "feature string, near long, first boolean").groupBy("feature", "near").agg(F.max("first").alias("first"))
+    once = docs.select("text", "second").mapInArrow(spread, "feature string, near long, first boolean").groupBy("feature", "near").agg(F.max("first").alias("first"))
     return once.groupBy("feature").agg(F.count_if("first").alias("first"), F.count("*").alias("n"))
 
 
@@ -229,8 +223,11 @@ def word_weights(sample: DataFrame, model) -> tuple[dict[str, float], dict[str,
     size = {(r["toxic"], r["second"]): r["count"] for r in sample.groupBy("toxic", "second").count().collect()}
     of = lambda toxic: sample.where(F.col("toxic") == toxic).select("text", "second")
     seen = {r["feature"]: (r["first"], r["n"]) for r in contexts(of(1), model, None).where(f"n >= {LEAST_CONTEXTS}").toLocalIterator()}
-    other = {r["feature"]: (r["first"], r["n"]) for r in contexts(of(0), model, context.broadcast(frozenset(seen))).toLocalIterator()} \
-        if seen else {}
+    other = {}
+    if seen:
+        wanted = context.broadcast(frozenset(seen))
+        other = {r["feature"]: (r["first"], r["n"]) for r in contexts(of(0), model, wanted).toLocalIterator()}
+        wanted.unpersist()
     weights = []
     for part, kinds in enumerate(((False,), (False, True))):
         n_toxic, n_clean = (sum(size.get((k, s), 0) for s in kinds) for k in (1, 0))
@@ -240,7 +237,7 @@ def word_weights(sample: DataFrame, model) -> tuple[dict[str, float], dict[str,
             bound = math.log((t + 0.5) / n_toxic) - math.log((c + 0.5) / n_clean) - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
             if t >= LEAST_CONTEXTS and bound > 1:
                 out[f] = bound
-        weights.append(dict(heapq.nlargest(VOCABULARY, out.items(), key=lambda x: (x[1], x[0]))))
+        weights.append(out)
     return weights[0], weights[1]
 
 
@@ -273,25 +270,27 @@ def fold(doc_id: Column) -> Column:
 
 
 class Model:
-    """A fitted classifier: the broadcast scorer parts and the logistic coefficients."""
+    """A fitted classifier: the broadcast character model and word scores, and the logistic coefficients.
 
-    def __init__(self, parts, coefficients: np.ndarray | None, rate: float):
-        self.parts, self.coefficients, self.rate = parts, coefficients, rate
+    Without coefficients every score is ``rate``.
+    """
+
+    def __init__(self, model, weights, coefficients: np.ndarray | None, rate: float):
+        self.model, self.weights, self.coefficients, self.rate = model, weights, coefficients, rate
 
     def score(self, text: Column) -> Column:
         """Probability that a text is toxic; a null text is an empty one."""
-        parts, b, rate = self.parts, self.coefficients, self.rate
+        model, weights, b, rate = self.model, self.weights, self.coefficients, self.rate
+        if b is None:
+            return F.lit(rate)
 
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            scorer = Scorer(*parts.value)
-            for s in texts:
-                if b is None:
-                    yield pd.Series([rate] * len(s), dtype=float)
-                    continue
-                x = np.array([scorer.of(t if isinstance(t, str) else "") for t in s]).reshape(-1, 3)
-                yield pd.Series(1 / (1 + np.exp(-np.clip(b[0] + x @ b[1:], -30, 30))))
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            scorer = Scorer(model.value, weights.value)
+            for texts in batches:
+                x = np.array([scorer.of(t.as_py() or "") for t in texts]).reshape(-1, 3)
+                yield pa.array(1 / (1 + np.exp(-np.clip(b[0] + x @ b[1:], -30, 30))))
 
-        return F.pandas_udf(run, "double")(text)
+        return F.arrow_udf(run, "double")(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -316,23 +315,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                      .select("text", "toxic", (fold(F.col("doc_id")) > FOLDS // 2).alias("second")).repartition(16, F.xxhash64("text")))
     model = spark.sparkContext.broadcast(log_model(trigram_counts(docs)))
     half, weights = word_weights(sample, model)
-    scorer = spark.sparkContext.broadcast((model.value, half))
+    halves = spark.sparkContext.broadcast(half)
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Scorer(*scorer.value)
-        for f in frames:
-            x = np.array([s.of(t if isinstance(t, str) else "") for t in f["text"]]).reshape(-1, 3)
-            yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": f["toxic"].to_numpy(float)})
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scorer(model.value, halves.value)
+        for batch in batches:
+            x = np.array([s.of(t.as_py() or "") for t in batch.column(0)]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i].copy()) for i in range(3)), batch.column(1).cast(pa.float64())], list("abcy"))
 
     # As many rows as the sample has, of four numbers.
-    rows = sample.where("second").select("text", "toxic").mapInPandas(measure, "a double, b double, c double, y double") \
+    rows = sample.where("second").select("text", "toxic").mapInArrow(measure, "a double, b double, c double, y double") \
         .orderBy("a", "b", "c", "y").toPandas().to_numpy()
+    halves.unpersist()
     total = sum(n.values())
     if not half or len(set(rows[:, 3])) < 2:
-        return Model(spark.sparkContext.broadcast((model.value, half)), None, n.get(1, 0) / total if total else 0.0)
+        return Model(model, None, None, n.get(1, 0) / total if total else 0.0)
     thinned = np.array([n.get(k, 0) / max(1, kept.get(k, 0)) for k in (0, 1)])
     coefficients = fit_logistic(rows[:, :3], rows[:, 3], weight=thinned[rows[:, 3].astype(int)])
-    return Model(spark.sparkContext.broadcast((model.value, weights)), coefficients, 0.0)
+    return Model(model, spark.sparkContext.broadcast(weights), coefficients, 0.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
