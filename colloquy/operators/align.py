@@ -9,44 +9,69 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .ordered import (SPAN, islands, large_keys, neighbours, ordered_concat, ordinal_bucket,
-                      prior_max, running_sum, settle, time_bucket, time_bucket_if_large)
+                      prior_max, running_sum, settle, time_bucket_if_large)
 
 MIN_TURN_SECONDS = 1.0
 MAX_GAP_SECONDS = 0.5
 DOMINANCE_WARN = 0.9
-# Width of the equi-join cells of the interval join, in seconds.
-CELL_SECONDS = 30.0
+# Lengths of the levels of the interval join are powers of it, in seconds.
+STEP = 8
 UNNAMED_SPEAKER = "说话人"
 
 
-def _cells(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(time_bucket(start, width), time_bucket(end, width)))
+def _level(start: Column, end: Column) -> Column:
+    """The least power of STEP seconds, from 0, that is no shorter than an interval."""
+    length = F.greatest(end - start, F.lit(1.0))
+    rough = F.ceil(F.log(float(STEP), length)).cast("int")
+    # The logarithm of a power may be rounded down.
+    return F.when(F.pow(F.lit(float(STEP)), rough) < length, rough + 1).otherwise(rough)
 
 
-def assign_speaker(segments: DataFrame, turns: DataFrame, cell: float = CELL_SECONDS) -> DataFrame:
+def _node(time: Column, level: Column) -> Column:
+    return F.floor(time / F.pow(F.lit(float(STEP)), level)).cast("long")
+
+
+def touching(probe: DataFrame, stored: DataFrame, longer: bool = False) -> DataFrame:
+    """Pairs of intervals of a recording that touch and of which the stored one has no lower level.
+
+    Both have ``recording_id`` and an interval, ``p0, p1`` and ``q0, q1``; other
+    columns must differ in name. An interval is stored once, at the node of its level
+    where it starts; a probe looks at the nodes of each level where an interval that
+    touches it can start, which are three at most. So neither a very long interval
+    nor many short ones are copied often, and a pair meets once. ``longer`` leaves
+    out stored intervals of the probe's own level.
+    """
+    own = _level(F.col("p0"), F.col("p1")) + int(longer)
+    kept = stored.where("q0 <= q1").withColumn("_level", _level(F.col("q0"), F.col("q1")))
+    kept = kept.withColumn("_node", _node(F.col("q0"), F.col("_level")))
+    # A dozen levels at most: the thirteenth is longer than two thousand years.
+    present = sorted(r[0] for r in kept.select("_level").distinct().collect())
+    levels = F.array(*map(F.lit, present)) if present else F.array().cast("array<int>")
+    seeking = probe.where("p0 <= p1").withColumn("_level", F.explode(F.filter(levels, lambda n: n >= own)))
+    nodes = F.sequence(_node(F.col("p0"), F.col("_level")) - 1, _node(F.col("p1"), F.col("_level")))
+    return seeking.withColumn("_node", F.explode(nodes)).join(kept, ["recording_id", "_level", "_node"]).where(
+        "p0 <= q1 AND q0 <= p1").drop("_level", "_node")
+
+
+def assign_speaker(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """Speaker of the turn that overlaps each segment most; ties take the earliest turn.
 
-    Both sides are spread over the time cells they touch, so the join is an
-    equi-join on ``(recording_id, cell)`` and only neighbours in time are ever
-    compared. A pair that meets in several cells does no harm to an arg-max,
-    which aggregates map-side. Texts do not take part.
+    Segments meet turns at least as long, turns meet longer segments; both are
+    equi-joins, whose hot nodes adaptive execution can split. The arg-max
+    aggregates map-side. Texts do not take part.
     """
-    s = (segments.where("start < end")
-         .select("recording_id", "seg_ord", F.col("start").alias("s0"), F.col("end").alias("s1"),
-                 _cells(F.col("start"), F.col("end"), cell).alias("cell")))
-    t = (turns.where("start < end")
-         .select("recording_id", "turn_ord", "speaker", F.col("start").alias("t0"),
-                 F.col("end").alias("t1"), _cells(F.col("start"), F.col("end"), cell).alias("cell")))
-    overlap = F.least("s1", "t1") - F.greatest("s0", "t0")
-    best = (
-        s.join(t, ["recording_id", "cell"]).where("s0 < t1 AND t0 < s1")
-        .groupBy("recording_id", "seg_ord")
-        .agg(F.max_by("speaker", F.struct(overlap, -F.col("turn_ord"))).alias("speaker")))
+    s = segments.where("start < end").select("recording_id", "seg_ord", F.col("start").alias("p0"), F.col("end").alias("p1"))
+    t = turns.where("start < end").select("recording_id", "turn_ord", "speaker", F.col("start").alias("q0"), F.col("end").alias("q1"))
+    swapped = {"p0": "q0", "p1": "q1"}
+    back = {"q0": "p0", "q1": "p1"}
+    pairs = touching(s, t).unionByName(touching(t.withColumnsRenamed(back), s.withColumnsRenamed(swapped), longer=True))
+    overlap = F.least("p1", "q1") - F.greatest("p0", "q0")
+    best = pairs.where(overlap > 0).groupBy("recording_id", "seg_ord").agg(
+        F.max_by("speaker", F.struct(overlap, -F.col("turn_ord"))).alias("speaker"))
     return segments.join(best, ["recording_id", "seg_ord"], "left")
 
 
-def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS,
-                      cell: float = CELL_SECONDS, span: int = SPAN) -> DataFrame:
+def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS, span: int = SPAN) -> DataFrame:
     """Give each fragment the speaker of a long turn; times do not change.
 
     A long turn that contains the fragment wins, the shortest first. Otherwise
@@ -58,13 +83,11 @@ def merge_short_turns(turns: DataFrame, min_duration: float = MIN_TURN_SECONDS,
     kept = turns.where(duration >= min_duration)
     fragments = turns.where(duration < min_duration)
 
-    k = kept.select("recording_id", "speaker", F.col("start").alias("k0"), F.col("end").alias("k1"),
-                    F.struct(duration.alias("d"), F.col("turn_ord").alias("o")).alias("rank"),
-                    _cells(F.col("start"), F.col("end"), cell).alias("cell"))
-    f = fragments.select("recording_id", "turn_ord", F.col("start").alias("f0"),
-                         F.col("end").alias("f1"), time_bucket("start", cell).alias("cell"))
+    k = kept.select("recording_id", "speaker", F.col("start").alias("q0"), F.col("end").alias("q1"),
+                    F.struct(duration.alias("d"), F.col("turn_ord").alias("o")).alias("rank"))
+    f = fragments.select("recording_id", "turn_ord", F.col("start").alias("p0"), F.col("end").alias("p1"))
     inside = (
-        f.join(k, ["recording_id", "cell"]).where("k0 <= f0 AND f1 <= k1")
+        touching(f, k).where("q0 <= p0 AND p1 <= q1")
         .groupBy("recording_id", "turn_ord").agg(F.min_by("speaker", "rank").alias("outer_speaker")))
 
     # End points of long turns ('S' starts, 'E' ends), earliest turn per point,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, lstrip, slice_text
-from .ordered import bucketed_fold
+from .ordered import previous, settle
 
 # Preferred cut characters, best first, and the window they are sought in.
 SENTENCE_BOUNDARIES = ("\n", "。", "！", "？")
@@ -78,31 +79,65 @@ def chunk_text(df: DataFrame, text: str = "text", max_chars: int = 2000, overlap
         .withColumn("chunk_start", F.col("_b.start")).withColumn("chunk", F.col("_b.chunk")).drop("_b"))
 
 
-def shared_edge(tail: Column, head: Column, longest: int, shortest: int) -> Column:
-    """Length of the longest suffix of ``tail`` that is a prefix of ``head``, else 0."""
+def shared_edges(tail: Column, head: Column, longest: int, shortest: int) -> Column:
+    """Lengths, the greatest first, at which the end of ``tail`` is the beginning of ``head``."""
     top = F.least(F.length(tail), F.length(head), F.lit(longest))
     lengths = F.when(top >= shortest, F.sequence(top, F.lit(shortest), F.lit(-1))).otherwise(
         F.array().cast("array<int>"))
-    hits = F.filter(lengths, lambda k: F.right(tail, k) == F.left(head, k))
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit(0))
+    return F.coalesce(F.filter(lengths, lambda k: F.right(tail, k) == F.left(head, k)), F.array().cast("array<int>"))
 
 
-def stitch_text(chunks: DataFrame, min_overlap: int = STITCH_MIN, span: int = STITCH_SPAN,
-                bucket_span: int = 256) -> DataFrame:
+def stitch_text(chunks: DataFrame, min_overlap: int = STITCH_MIN, span: int = STITCH_SPAN) -> DataFrame:
     """Remove from each chunk text what repeats the end of the text before it.
 
     ``chunks`` has ``recording_id, chunk_ord, text``. The comparison is with the
-    *trimmed* previous text, whose last characters are the fold's state.
+    *trimmed* previous text. What is left of that is an end of it, so its length
+    alone decides which of the raw texts' shared edges counts: the longest that
+    fits. Nearly always the same one does, whatever was trimmed before; only the
+    other chunks are looked at one after the other, by lengths alone.
     """
-    def step(state: Column, text: Column) -> tuple[Column, Column]:
-        shared = F.when(state.isNull(), 0).otherwise(
-            shared_edge(state, F.left(text, F.lit(span)), span, min_overlap))
-        kept = F.when(shared > 0, lstrip(F.substring(text, shared + 1, F.length(text)))).otherwise(text)
-        return F.right(kept, F.lit(span)), kept
-
-    return bucketed_fold(chunks, ["recording_id"], "chunk_ord", F.col("text"), state_type="string",
-                         step=step, out_type="string", span=bucket_span
-                         ).withColumnRenamed("output", "text")
+    text = F.col("text")
+    edges = previous(chunks.select("recording_id", "chunk_ord", "text"), ["recording_id"], "chunk_ord", F.right(text, F.lit(span)), out="_p") \
+        .withColumn("edges", shared_edges(F.col("_p.v"), F.left(text, F.lit(span)), span, min_overlap))
+    # What is left for each choice: the whole text, or the rest behind an edge.
+    left = F.concat(F.array(F.coalesce(F.length(text), F.lit(0))),
+                    F.transform("edges", lambda k: F.length(lstrip(F.substring(text, k + 1, F.length(text))))))
+    known = previous(edges.select("recording_id", "chunk_ord", "edges", left.alias("left")), ["recording_id"], "chunk_ord", F.col("left"), out="_l")
+    fits = lambda n: F.coalesce(F.get(F.filter("edges", lambda k: k <= n), F.lit(0)), F.lit(0))
+    choices = F.array_distinct(F.transform(F.coalesce("_l.v", F.array().cast("array<int>")), fits))
+    rows = settle(known.select("recording_id", "chunk_ord", "edges", "left", F.when(F.size("edges") == 0, 0).when(
+        F.size(choices) == 1, choices[0]).alias("shared")))
+    before = rows.where("shared IS NOT NULL")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recording, length = None, 0
+        for b in batches:
+            take, out = [], []
+            names = ("recording_id", "shared", "edges", "left")
+            for i, (r, shared, fit, left) in enumerate(zip(*(b.column(c).to_pylist() for c in names), strict=True)):
+                if r != recording:
+                    recording, length = r, 0
+                if shared is None:
+                    shared = next((k for k in fit if k <= length), 0)
+                    take.append(i)
+                    out.append(shared)
+                length = left[0 if shared == 0 else fit.index(shared) + 1]
+            kept = b.select(["recording_id", "chunk_ord"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], ["recording_id", "chunk_ord", "shared"])
+
+    # A chunk that is open follows the one before it, open or not.
+    ahead = previous(rows.select("recording_id", (-F.col("chunk_ord")).alias("back"), "chunk_ord", "edges", "left", "shared"),
+                     ["recording_id"], "back", F.col("shared").isNull(), out="_next").where("shared IS NULL OR _next.v")
+    streamed = ahead.repartition("recording_id").sortWithinPartitions("recording_id", "chunk_ord").select(
+        "recording_id", "chunk_ord", "shared", "edges", "left")
+    kinds = chunks.schema
+    solved = streamed.mapInArrow(follow, f"recording_id {kinds['recording_id'].dataType.simpleString()}, "
+                                         f"chunk_ord {kinds['chunk_ord'].dataType.simpleString()}, shared int")
+    both = before.select("recording_id", "chunk_ord", "shared").unionByName(solved)
+    found = both.select(F.col("recording_id").alias("_r"), F.col("chunk_ord").alias("_c"), "shared")
+    met = chunks.join(found, (F.col("recording_id") == F.col("_r")) & (F.col("chunk_ord") == F.col("_c")))
+    kept = F.when(F.col("shared") > 0, lstrip(F.substring(text, F.col("shared") + 1, F.length(text)))).otherwise(text)
+    return met.select("recording_id", "chunk_ord", kept.alias("text"))
 
 
 def trim_rewrite_overlap(chunks: DataFrame, longest: int = STITCH_SPAN, shortest: int = TRIM_MIN,

@@ -1,29 +1,30 @@
 """Glossary operators: exact correction, variant and phonetic detection, expansion.
 
-A glossary is a small table that people maintain; it is held on the driver as
-``Term`` rows, and what a scan needs of it travels inside the plan. Transcripts
-are never collected or joined to it row by row.
+A glossary is a table of terms with their forms, or a list of ``Term``. Scans find
+the forms of a table of any size by ``dictionary``, with a plan that does not grow
+with it; only ``apply_exact`` on a list puts the forms into an expression.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK_CLASSES, context_snippet, has_cjk, is_han, let, slice_text, strip
+from ..functions.text import CJK_CLASSES, has_cjk, is_han, let, slice_text, strip
 from ..schemas import GLOSSARY
+from .dictionary import WILD, apart, case_table, matches, table_of, translated
+from .ordered import settle
 
 # Fixed values.
 ASCII_FORM = "[A-Za-z0-9][A-Za-z0-9 .\\-_+/%]*"
 REPEAT_THRESHOLD = 5
 SNIPPET_WIDTH = 12
-# Any one character in a dictionary form; of the private use area, and no place in a text is compared with it.
-WILD = "\uf8ff"
 # Most glossary forms that one plan may carry.
 MAX_FORMS = 200_000
 
@@ -42,6 +43,13 @@ def glossary_table(spark: SparkSession, terms: Sequence[Term], glossary_id: str
     return spark.createDataFrame(rows, GLOSSARY)
 
 
+Glossary = Sequence[Term] | DataFrame
+
+
+def as_table(spark: SparkSession, terms: Glossary) -> DataFrame:
+    return terms if isinstance(terms, DataFrame) else glossary_table(spark, terms)
+
+
 def terms_of(df: DataFrame) -> list[Term]:
     """Driver rows of a glossary table, in term order; refuses a table that is no glossary."""
     rows = df.orderBy("term_ord").limit(MAX_FORMS + 1).collect()
@@ -82,7 +90,7 @@ def dictionary_pattern(forms: Sequence[str], whole_words: bool = True) -> str:
         return ""
 
     def emit(node: dict) -> str:
-        ways = [("." if ch == WILD else _quote(ch)) + emit(child) for ch, child in node.items() if ch != ""]
+        ways = [_quote(ch) + emit(child) for ch, child in node.items() if ch != ""]
         if "" in node:
             ways.append(closing(node[""]))
         return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
@@ -99,25 +107,6 @@ def _literal_map(mapping: Mapping[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
 
 
-def _no_hits(df: DataFrame) -> DataFrame:
-    return df.where("false").select("meeting_id", *[F.lit(None).cast(kind).alias(c) for c, kind in (
-        ("term", "string"), ("matched", "string"), ("start", "int"), ("end", "int"), ("kind", "string"), ("context", "string"))])
-
-
-def _places(text: Column, pattern: str) -> Column:
-    """Where the pattern matches, overlapping matches included.
-
-    The text is split before each match; lengths of the stretches give the
-    places. A blank in front keeps a match at the start from being passed over.
-    """
-    stretches = F.split(F.concat(F.lit(" "), text), f"(?={pattern})")
-    return F.aggregate(
-        F.transform(F.slice(stretches, F.lit(1), F.size(stretches) - 1), F.length),
-        F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")),
-        lambda acc: acc["out"])
-
-
 # ------------------------------------------------------------- exact correction
 def _pieces(c: Column, pattern: str) -> Column:
     """What the pattern found and the stretches between."""
@@ -141,64 +130,70 @@ def apply_exact_text(c: Column, terms: Sequence[Term]) -> Column:
     return F.when(c.rlike(pattern), let(_pieces(c, pattern), rebuild)).otherwise(c)
 
 
-def apply_exact(df: DataFrame, terms: Sequence[Term], text: str = "text") -> DataFrame:
-    return df.withColumn(text, apply_exact_text(F.col(text), terms))
-
+def apply_exact(df: DataFrame, terms: Glossary, text: str = "text") -> DataFrame:
+    """``df`` with every registered wrong form replaced.
 
-def exact_hits(df: DataFrame, terms: Sequence[Term], text: str = "text",
-               width: int = SNIPPET_WIDTH) -> DataFrame:
+    A list of terms is put into one expression, which a stream takes as well; of
+    a table the hits are found first and then put into their texts.
+    """
+    if not isinstance(terms, DataFrame):
+        return df.withColumn(text, apply_exact_text(F.col(text), terms))
+    hits = exact_hits(df.select("meeting_id", text), terms, text).groupBy(F.col("meeting_id").alias("_id")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "term"))).alias("_hits"))
+    met = df.join(hits, F.col("meeting_id").eqNullSafe(F.col("_id")), "left")
+    part = lambda c: F.coalesce(F.transform("_hits", lambda h: h[c]), F.array())
+    fixed = F.when(F.col("_hits").isNull(), F.col(text)).otherwise(_spliced(F.coalesce(text, F.lit("")), part("start"), part("end"), part("term")))
+    return met.withColumn(text, fixed).select(*df.columns)
+
+
+def _spliced(text: Column, starts: Column, ends: Column, terms: Column) -> Column:
+    """The text with the stretches between starts and ends replaced by the terms."""
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for t, *spans in zip(*(b.to_pylist() for b in batch), strict=True):
+                parts, at = [], 0
+                for s, e, term in zip(*spans, strict=True):
+                    parts += [t[at:int(s)], term]
+                    at = int(e)
+                out.append("".join([*parts, t[at:]]))
+            yield pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(text, starts, ends, terms)
+
+
+def _claimed(glossary: DataFrame, column: str, fold: bool) -> DataFrame:
+    """``key, form, term, term_ord, pos``: forms of a list column; a form belongs to the first term that claims it."""
+    forms = glossary.select("glossary_id", "term_ord", "term", F.posexplode(column).alias("pos", "form")) \
+        .withColumn("form", strip(F.col("form"))).where((F.col("form") != "") & (F.col("form") != F.col("term")))
+    forms = forms.withColumn("key", translated(F.col("form"), case_table() if fold else None))
+    first = F.min(F.struct("glossary_id", "term_ord", "pos", "term", "form")).alias("f")
+    return forms.groupBy("key").agg(first).select("key", "f.form", "f.term", "f.term_ord", "f.pos")
+
+
+def _around(width: int) -> Column:
+    """A match between marks with up to ``width`` characters on each side, on one line."""
+    shown = F.concat(F.right("before", F.lit(width)), F.lit("【"), "matched", F.lit("】"), F.left("after", F.lit(width)))
+    return F.translate(shown, "\n", " ")
+
+
+def exact_hits(df: DataFrame, terms: Glossary, text: str = "text", width: int = SNIPPET_WIDTH) -> DataFrame:
     """One row per replacement, with offsets in the text before replacement.
 
-    Only the hits leave the row: the lengths around them give the offsets by a
-    running sum within the transcript, and their context is cut in place.
+    Case is ignored. Of overlapping forms the leftmost counts, of those with the
+    same start the longest. ASCII forms need neighbours that are no letters or
+    digits. The glossary may have any number of forms.
     """
-    mapping = correction_map(terms)
-    if not mapping:
-        return _no_hits(df)
-    pattern = dictionary_pattern(list(mapping))
-    found = df.where(F.col(text).rlike(pattern)).select("meeting_id", _pieces(F.col(text), pattern).alias("p"))
-
-    # Rest and found alternate; context never needs more than the nearest pieces.
-    def context(p: Column) -> Column:
-        flat = F.flatten(F.transform(p["rest"], lambda r, i: F.array(
-            r, F.coalesce(F.get(p["found"], i), F.lit("")))))
-
-        def around(m: Column, i: Column) -> Column:
-            first = F.greatest(2 * i + 2 - 2 * width - 1, F.lit(1))
-            left = F.array_join(F.slice(flat, first, 2 * i + 2 - first), "")
-            right = F.array_join(F.slice(flat, 2 * i + 3, F.lit(2 * width + 1)), "")
-            snippet = F.concat(F.right(left, F.lit(width)), F.lit("【"), m, F.lit("】"), F.left(right, F.lit(width)))
-            return F.struct(m.alias("matched"), F.length(F.get(p["rest"], i)).alias("gap"),
-                            F.translate(snippet, "\n", " ").alias("context"))
-
-        return F.transform(p["found"], around)
-
-    rows = found.select("meeting_id", F.posexplode(context(F.col("p"))).alias("i", "h"))
-    before = Window.partitionBy("meeting_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    length = F.length("h.matched")
-    end = F.sum(F.col("h.gap") + length).over(before).cast("int")
-    term = F.element_at(_literal_map(mapping), F.lower("h.matched"))
-    return rows.select("meeting_id", term.alias("term"), F.col("h.matched").alias("matched"),
-                       (end - length).alias("start"), end.alias("end"), F.lit("exact").alias("kind"),
-                       F.col("h.context").alias("context")).where("term IS NOT NULL")
+    forms = _claimed(as_table(df.sparkSession, terms), "corrections", fold=True)
+    forms = forms.select("key", "term", F.col("form").rlike(rf"^{ASCII_FORM}\z").alias("ascii"))
+    found = matches(df.select("meeting_id", text), forms, table=case_table(), surround=max(width, 1), text=text)
+    free = ~F.col("before").rlike(r"[A-Za-z0-9]\z") & ~F.col("after").rlike("^[A-Za-z0-9]")
+    hits = apart(found.where(~F.col("ascii") | free), ["meeting_id"], longest_first=True)
+    return hits.select("meeting_id", "term", "matched", "start", (F.col("start") + F.length("matched")).alias("end"),
+                       F.lit("exact").alias("kind"), _around(width).alias("context"))
 
 
 # ------------------------------------------------------------ variant detection
-def variant_map(terms: Sequence[Term]) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for t in terms:
-        for v in t.auto_variants:
-            v = (v or "").strip()
-            if v and v != t.term:
-                out.setdefault(v, t.term)
-    return out
-
-
-def _occurrences(text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    return F.floor((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle))
-
-
 def _capped(hits: DataFrame, discovery: Sequence[str], max_hits: int | None) -> DataFrame:
     """All hits, or the first ``max_hits`` of each transcript in discovery order."""
     if max_hits is not None:
@@ -207,56 +202,29 @@ def _capped(hits: DataFrame, discovery: Sequence[str], max_hits: int | None) ->
     return hits.drop(*discovery[:-1])
 
 
-def scan_variants(df: DataFrame, terms: Sequence[Term], max_hits: int | None = None,
+def scan_variants(df: DataFrame, terms: Glossary, max_hits: int | None = None,
                   repeat_threshold: int = REPEAT_THRESHOLD, text: str = "text") -> DataFrame:
     """Occurrences of generated variants, as warnings.
 
     A variant that occurs more often than both the threshold and its correct
     form is taken for an ordinary word and skipped - unless the correct form
-    never occurs. One pattern marks the places where a variant or correct form
-    starts; short windows at these places are joined to the forms, so that
-    neither the plan nor an exploded row grows with the glossary or the text.
+    never occurs. Variants and correct forms are found together; occurrences of
+    one form do not overlap.
     """
-    mapping = variant_map(terms)
-    if not mapping:
-        return _no_hits(df)
-    forms = {v: (i, v, c) for i, (v, c) in enumerate(mapping.items())}
-    rights = {c: (None, c, c) for c in mapping.values() if c not in forms}
-    table = df.sparkSession.createDataFrame([*forms.values(), *rights.values()], "ord int, form string, correct string")
-    pattern = dictionary_pattern([*forms, *rights], whole_words=False)[5:]
-    sizes = sorted({len(f) for f in (*forms, *rights)})
-    chars = F.col("_cs")
-
-    def spot(at: Column) -> Column:
-        before = F.least(at, F.lit(SNIPPET_WIDTH))
-        around = F.array_join(F.slice(chars, at - before + 1, F.lit(sizes[-1] + 2 * SNIPPET_WIDTH)), "")
-        return F.struct(at.alias("start"), before.alias("left"), around.alias("around"))
-
-    spots = (
-        df.where(F.col(text).rlike(pattern)).select("meeting_id", F.split(text, "").alias("_cs"), _places(F.col(text), pattern).alias("_at"))
-        .select("meeting_id", F.explode(F.transform("_at", spot)).alias("s")).select("meeting_id", "s.*"))
-    windows = spots.select("*", F.explode(F.array_distinct(F.array(
-        *[slice_text(F.col("around"), F.col("left"), F.lit(n)) for n in sizes]))).alias("form"))
-    found = windows.join(table, "form").select(
-        "meeting_id", "ord", "form", "correct", F.struct(
-            "start", context_snippet(F.col("around"), F.col("left"), F.col("left") + F.length("form")).alias("context")).alias("s"))
-    # Occurrences of one form do not overlap: from left to right, the next begins where the last has ended.
-    size = F.length("form")
-    per_form = found.withColumn("_size", size).groupBy("meeting_id", "form").agg(
-        F.first("ord").alias("ord"), F.first("correct").alias("correct"), F.first("_size").alias("_size"), F.collect_list("s").alias("_all"))
-    taken = F.aggregate(
-        F.array_sort("_all"),
-        F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<start:int,context:string>>").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["free"], F.struct(
-            (s["start"] + F.col("_size")).cast("int").alias("free"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"])
-    counted = per_form.withColumn("_hits", taken).withColumn("_n", F.size("_hits"))
-    right = counted.select("meeting_id", F.col("form").alias("correct"), F.col("_n").alias("_right"))
-    kept = counted.where("ord IS NOT NULL").join(right, ["meeting_id", "correct"], "left").where(
-        F.col("_right").isNull() | (F.col("_n") <= F.greatest(F.lit(repeat_threshold), "_right")))
-    rows = kept.select("meeting_id", "correct", "form", "ord", "_size", F.explode("_hits").alias("s")).select(
-        "meeting_id", F.col("correct").alias("term"), F.col("form").alias("matched"), "s.start",
-        (F.col("s.start") + F.col("_size")).alias("end"), F.lit("variant").alias("kind"), "s.context", F.col("ord").alias("_ord"))
+    variants = _claimed(as_table(df.sparkSession, terms), "auto_variants", fold=False).drop("form")
+    rights = variants.select(F.col("term").alias("key")).distinct().join(variants.select("key"), "key", "left_anti")
+    forms = variants.select("key", F.col("key").alias("form"), "term", "term_ord", "pos").unionByName(
+        rights.select("key", F.col("key").alias("form"), F.col("key").alias("term")), allowMissingColumns=True)
+    found = matches(df.select("meeting_id", text), forms, surround=SNIPPET_WIDTH, text=text)
+    hits = settle(apart(found, ["meeting_id", "form"]).select("meeting_id", "form", "term", "term_ord", "pos", "start", _around(SNIPPET_WIDTH).alias("context")))
+    counts = hits.groupBy("meeting_id", "form").agg(F.count("*").alias("_n"), F.first("term").alias("term"), F.first("pos").alias("pos"))
+    right = counts.select("meeting_id", F.col("form").alias("term"), F.col("_n").alias("_right"))
+    # What is left out is known per text and form, which is less than the hits.
+    skipped = counts.where("pos IS NOT NULL").join(right, ["meeting_id", "term"]).where(
+        F.col("_n") > F.greatest(F.lit(repeat_threshold), "_right")).select("meeting_id", "form")
+    rows = hits.where("pos IS NOT NULL").join(skipped, ["meeting_id", "form"], "left_anti").select(
+        "meeting_id", "term", F.col("form").alias("matched"), "start", (F.col("start") + F.length("form")).alias("end"),
+        F.lit("variant").alias("kind"), "context", F.struct("term_ord", "pos").alias("_ord"))
     return _capped(rows, ["_ord", "start"], max_hits)
 
 
@@ -288,93 +256,47 @@ def pinyin_map(pinyin: DataFrame) -> dict[str, str]:
     return {r["ch"]: r["syllable"] for r in rows}
 
 
-def distance_threshold(length: int) -> int:
-    return 0 if length <= 2 else 1
-
-
-def _sound_keys(length: int) -> list[int]:
-    """Places that may differ: none (0) for short terms, each one for longer terms."""
-    return [0] if distance_threshold(length) == 0 else list(range(1, length + 1))
-
-
-def scan_phonetic(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int | None = None,
+def scan_phonetic(df: DataFrame, terms: Glossary, pinyin: Mapping[str, str], max_hits: int | None = None,
                   min_term_len: int = 2, text: str = "text") -> DataFrame:
     """Windows that sound like a term but are written differently, as warnings.
 
-    At equal length a distance of one syllable is one differing place. So one
-    pattern over the sounds, with one free place in longer terms, marks where a
-    window may start; only those leave the row. Each is joined to the terms on
-    its sounds with one place masked, and the remaining conditions are tested:
+    At equal length a distance of one syllable is one differing place. So a term
+    is looked up by its sounds with each place left open in turn (by all of them,
+    if it is short), and the remaining conditions are tested on what was found:
     same script, Han where the term is, enough shared characters, and at least
     one of them at the same place.
     """
-    words: dict[str, int] = {}
-    for i, t in enumerate(terms):
-        w = (t.term or "").strip()
-        if len(w) >= min_term_len and not re.fullmatch(ASCII_FORM, w):
-            words.setdefault(w, i)
-    spark = df.sparkSession
-    if not words:
-        return _no_hits(df)
-
-    def masked(c: Column, n: int, k: int) -> Column:
-        sound = F.left(c, F.lit(n))
-        return F.concat(F.lit(f"{n}.{k}."), sound if k == 0 else F.overlay(sound, F.lit("_"), k, 1))
-
-    shapes = [(n, k) for n in sorted({len(w) for w in words}) for k in _sound_keys(n)]
-    said = spark.createDataFrame([(w, i) for w, i in words.items()], "term string, term_ord int").withColumn(
-        "term_sound", syllable_text(F.col("term"), pinyin))
-    keys = said.select("*", F.explode(F.array_compact(F.array(*[
-        F.when(F.length("term") == n, F.struct(masked(F.col("term_sound"), n, k).alias("key"), F.lit(k).alias("k")))
-        for n, k in shapes]))).alias("m")).select("term", "term_ord", "term_sound", "m.key", "m.k")
-
-    stand = {ch: s for ch, s in zip(*_sound_alphabet(pinyin))}
-    sounds = ["".join(stand.get(ch, ch) for ch in w) for w in words]
-    forms = [s if k == 0 else s[:k - 1] + WILD + s[k:] for s in sounds for k in _sound_keys(len(s))]
-    pattern = dictionary_pattern(list(dict.fromkeys(forms)), whole_words=False)[5:]
-    longest = max(map(len, words))
-    # The surroundings are cut inside the row, so that no candidate carries the whole text.
-    def candidate(at: Column) -> Column:
-        before = F.least(at, F.lit(SNIPPET_WIDTH))
-        around = F.slice(F.col("_cs"), at - before + 1, F.lit(longest + 2 * SNIPPET_WIDTH))
-        return F.struct(at.alias("start"), before.alias("left"), F.array_join(around, "").alias("around"),
-                        F.array_join(F.slice(F.col("_ss"), at + 1, F.lit(longest)), "").alias("sound"))
-
-    start, size = F.col("start"), F.length("term")
-    near = (
-        df.withColumn("_sound", syllable_text(F.col(text), pinyin)).where(F.col("_sound").rlike(pattern))
-        .select("meeting_id", F.split(text, "").alias("_cs"), F.split("_sound", "").alias("_ss"),
-                _places(F.col("_sound"), pattern).alias("_starts"))
-        .select("meeting_id", F.explode(F.transform("_starts", candidate)).alias("c"))
-        .select("meeting_id", "c.*", F.explode(F.array(
-            *[masked(F.col("c.sound"), n, k) for n, k in shapes])).alias("key")))
-    pairs = near.join(keys, "key").withColumns({
-        "window": slice_text(F.col("around"), F.col("left"), size), "sound": F.left("sound", size)}
-    ).where(F.length("window") == size)
+    letters = table_of(dict(zip(*_sound_alphabet(pinyin), strict=True)))
+    words = as_table(df.sparkSession, terms).select(strip(F.col("term")).alias("term"), "term_ord").where(
+        (F.length("term") >= min_term_len) & ~F.col("term").rlike(rf"^{ASCII_FORM}\z")).groupBy("term").agg(F.min("term_ord").alias("term_ord"))
+    said = words.withColumn("term_sound", translated(F.col("term"), letters))
+    size = F.length("term")
+    opened = F.when(size <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), size))
+    forms = said.select("*", F.explode(opened).alias("k")).withColumn(
+        "key", F.when(F.col("k") == 0, F.col("term_sound")).otherwise(F.overlay("term_sound", F.lit(WILD), F.col("k"), F.lit(1))))
+    pairs = matches(df.select("meeting_id", text), forms, table=letters, surround=SNIPPET_WIDTH, text=text)
 
     def same_places(a: str, b: str) -> Column:
         other = F.split(b, "")
         return F.transform(F.split(a, ""), lambda ch, i: ch == F.get(other, i))
 
-    # A pair equal in all sounds meets under every mask: keep the first.
-    differs = F.array_position(same_places("sound", "term_sound"), False)
-    aligned = F.array_position(same_places("window", "term"), True)
-    shared = F.size(F.array_intersect(F.split("window", ""), F.split("term", "")))
-    first_mask = F.when(F.col("k") == 0, True).when(differs == 0, F.col("k") == 1).otherwise(differs == F.col("k"))
+    # A pair equal in all sounds meets whatever place is open: keep the first.
+    differs = F.array_position(same_places("said", "term_sound"), False)
+    aligned = F.array_position(same_places("matched", "term"), True)
+    shared = F.size(F.array_intersect(F.split("matched", ""), F.split("term", "")))
+    first_open = F.when(F.col("k") == 0, True).when(differs == 0, F.col("k") == 1).otherwise(differs == F.col("k"))
     suspicious = (
-        (F.col("window") != F.col("term")) & first_mask & (aligned > 0)
-        & (has_cjk(F.col("window")) == has_cjk(F.col("term")))
-        & (~is_han(F.col("term")) | is_han(F.col("window")))
+        (F.col("matched") != F.col("term")) & first_open & (aligned > 0)
+        & (has_cjk(F.col("matched")) == has_cjk(F.col("term")))
+        & (~is_han(F.col("term")) | is_han(F.col("matched")))
         & (shared >= F.greatest(F.lit(1), F.floor(size / 2))))
     hits = pairs.where(suspicious).select(
-        "meeting_id", "term", F.col("window").alias("matched"), "start", (start + size).alias("end"),
-        F.lit("phonetic").alias("kind"),
-        context_snippet(F.col("around"), F.col("left"), F.col("left") + size).alias("context"),
-        F.col("term_ord").alias("_term"), aligned.alias("_offset"))
+        "meeting_id", "term", "matched", "start", (F.col("start") + size).alias("end"), F.lit("phonetic").alias("kind"),
+        _around(SNIPPET_WIDTH).alias("context"), F.col("term_ord").alias("_term"), aligned.alias("_offset"))
     return _capped(hits, ["_term", "_offset", "start"], max_hits)
 
 
-def scan_all(df: DataFrame, terms: Sequence[Term], pinyin: Mapping[str, str], max_hits: int | None = None,
+def scan_all(df: DataFrame, terms: Glossary, pinyin: Mapping[str, str], max_hits: int | None = None,
              repeat_threshold: int = REPEAT_THRESHOLD) -> DataFrame:
     """Variant warnings, and phonetic ones that no variant covers; with ``max_hits`` the first by position."""
     variants = scan_variants(df, terms, max_hits, repeat_threshold)
@@ -444,25 +366,22 @@ def variant_stats(expanded: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- counts, reports
-def _form_count(lowered: Column, t: Term) -> Column:
-    forms = [f.lower() for f in (t.term, *t.corrections) if f]
-    total = F.lit(0).cast("long")
-    for f in forms:
-        total = total + _occurrences(lowered, F.lit(f))
-    return total
+def term_frequency(df: DataFrame, terms: Glossary, text: str = "text") -> DataFrame:
+    """Occurrences of each term and its corrections per transcript; zero counts dropped.
 
-
-def term_frequency(df: DataFrame, terms: Sequence[Term], text: str = "text") -> DataFrame:
-    """Occurrences of each term and its corrections per transcript; zero counts dropped."""
-    counts = F.array(*[F.struct(F.lit(i).alias("term_ord"), F.lit(t.term).alias("term"),
-                                _form_count(F.col("_low"), t).alias("n")) for i, t in enumerate(terms)])
-    return (
-        df.select("meeting_id", F.lower(text).alias("_low"))
-        .select("meeting_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c"))
-        .select("meeting_id", "c.term_ord", "c.term", F.col("c.n").alias("occurrences")))
+    Case is ignored. Occurrences of one form do not overlap; a form that a term
+    has twice counts twice, and one that several terms have counts for each.
+    """
+    listed = as_table(df.sparkSession, terms).select(
+        "term_ord", "term", F.explode(F.concat(F.array("term"), F.coalesce("corrections", F.array()))).alias("form")).where("form <> ''")
+    own = listed.withColumn("form", translated(F.col("form"), case_table())).groupBy("term_ord", "term", "form").agg(F.count("*").alias("_times"))
+    forms = own.select("form").distinct().withColumn("key", F.col("form"))
+    found = matches(df.select("meeting_id", text), forms, table=case_table(), text=text)
+    counts = apart(found.select("meeting_id", "form", "start", "matched"), ["meeting_id", "form"]).groupBy("meeting_id", "form").agg(F.count("*").alias("_n"))
+    return counts.join(own, "form").groupBy("meeting_id", "term_ord", "term").agg(F.sum(F.col("_n") * F.col("_times")).alias("occurrences"))
 
 
-def filter_terms(df: DataFrame, terms: Sequence[Term], top_n: int | None = None, text: str = "text") -> DataFrame:
+def filter_terms(df: DataFrame, terms: Glossary, top_n: int | None = None, text: str = "text") -> DataFrame:
     """The terms of each transcript by frequency: all, or the ``top_n`` first."""
     w = Window.partitionBy("meeting_id").orderBy(F.desc("occurrences"), "term_ord")
     ranked = term_frequency(df, terms, text).withColumn("rank", F.row_number().over(w))

@@ -2,50 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import UNTITLED, normalize_topic, topics_similar
+from ..functions.labels import UNTITLED, normalize_topic
 from ..functions.text import is_blank, strip
 from ..functions.tokens import char_bigrams, question_key, squeeze
 from .containment import POOL_SPAN, pool_hits, text_pool
-from .ordered import SPAN, bucketed_fold, large_keys, ordered_concat, ordinal_bucket, running_sum
+from .ordered import numbered, ordered_concat, settle
 
 # Fixed values.
 REDUNDANT_FROM = 0.7
 REDUNDANT_MIN_CHARS = 20
-FOLD_SPAN = 2048
+# Blocks of a stretch, as a power of two.
+FOLD_SHIFT = 10
 # Keeps bigrams of neighbouring sections apart; occurs in no text.
 GAP = "\x00"
 
 
-def merge_blocks(blocks: DataFrame, span: int = FOLD_SPAN) -> DataFrame:
+def similar_titles(a: str, b: str) -> bool:
+    """One normalised title contains the other; an empty one is like none."""
+    return bool(a and b) and (a in b or b in a)
+
+
+def title_runs(titles: Sequence[str]) -> tuple[list[str], list[str], list[int]]:
+    """What a stretch of blocks does to the running title, whatever that is.
+
+    The first block that is not like the running title opens a section, and from
+    there on all is settled. It is the first block with its title, so the different
+    titles in their order, each with the running title at the end and the number of
+    sections opened if that block opens one, tell all.
+    """
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(titles):
+        places.setdefault(t, []).append(i)
+    firsts = {t: at[0] for t, at in places.items()}
+
+    @cache
+    def follower(title: str, at: int) -> int:
+        """The next block that is not like this title."""
+        unlike = (where for other, where in places.items() if not similar_titles(title, other))
+        return min((where[k] for where in unlike if (k := bisect_right(where, at)) < len(where)), default=len(titles))
+
+    ends: dict[int, tuple[str, int]] = {}
+    for start in sorted(firsts.values(), reverse=True):
+        chain = [start]
+        while chain[-1] not in ends and (after := follower(titles[chain[-1]], chain[-1])) < len(titles):
+            chain.append(after)
+        last = chain[-1]
+        ends.setdefault(last, (titles[last], 1))
+        for at, after in zip(chain[-2::-1], chain[:0:-1], strict=True):
+            ends[at] = (ends[after][0], ends[after][1] + 1)
+    out = [(t, *ends[i]) for t, i in firsts.items()]
+    return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
+
+
+def merge_blocks(blocks: DataFrame, shift: int = FOLD_SHIFT) -> DataFrame:
     """Sections from topic blocks in order: neighbours on a similar topic are merged.
 
     Pairs and blank blocks are skipped. A block is compared with the *first*
-    title of the running section, so this is a sequential fold - over titles
-    only. Texts follow by the section number.
+    title of the running section. Titles in order are cut into stretches of
+    ``2^shift``; each tells what it does to any running title (``title_runs``), one
+    row per stretch hands the title on, and the stretches number their sections.
     """
     kept = blocks.where((F.coalesce("type", F.lit("narration")) != "qa") & ~is_blank(F.col("text")))
-    width = kept.agg(F.coalesce(F.max("block_ord"), F.lit(0)) + 1).head()[0]
     title = normalize_topic(F.col("topic"))
-    rows = kept.select(
-        "meeting_id", (F.col("chunk_ord").cast("long") * width + F.col("block_ord")).alias("ord"),
-        F.when(title == "", UNTITLED).otherwise(title).alias("title"), strip(F.col("text")).alias("text"))
-
-    def step(head: Column, title: Column) -> tuple[Column, Column]:
-        joins = F.coalesce(topics_similar(head, title), F.lit(False)) & head.isNotNull()
-        return F.when(joins, head).otherwise(title), (~joins).cast("int")
-
-    opens = bucketed_fold(rows, ["meeting_id"], "ord", F.col("title"), state_type="string", step=step,
-                          out_type="int", span=span).withColumnRenamed("output", "opens")
-    joined = rows.join(opens, ["meeting_id", "ord"])
-    large = large_keys(rows, ["meeting_id"], SPAN)
-    numbered = running_sum(joined, ["meeting_id"], [F.col("ord")], F.col("opens"),
-                           bucket=None if large is None else ordinal_bucket("ord"), out="n")
-    return ordered_concat(
-        numbered.withColumn("sec_ord", F.col("n") - 1), ["meeting_id", "sec_ord"], [F.col("ord")], F.col("text"),
-        sep="\n\n", out="content", also={"title": F.min_by("title", "ord")})
+    rows = kept.select("meeting_id", "chunk_ord", "block_ord", F.when(title == "", UNTITLED).otherwise(title).alias("title"),
+                       strip(F.col("text")).alias("text"))
+    place = ["meeting_id", "chunk_ord", "block_ord"]
+    order = numbered(rows.select(*place, normalize_topic(F.col("title")).alias("key")), [F.col(c) for c in place])
+    stretch = F.struct("g", "key")
+    stretches = settle(order.groupBy("meeting_id", F.shiftright("g", shift).alias("stretch")).agg(F.array_sort(F.collect_list(stretch)).alias("rows"))
+                       .select("meeting_id", F.col("rows")[0]["g"].alias("first"), F.transform("rows", lambda r: r["key"]).alias("titles")))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = zip(*(title_runs(t) for t in b.column(2).to_pylist()), strict=True) if b.num_rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, pa.list_(k)) for c, k in zip(
+                columns, (pa.string(), pa.string(), pa.int32()), strict=True))], ["meeting_id", "first", "titles", "ends", "opened"])
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting, head, n = None, None, 0
+        for b in batches:
+            heads, counts = [], []
+            for m, titles, ends, opened in zip(*(b.column(c).to_pylist() for c in ("meeting", "titles", "ends", "opened")), strict=True):
+                if m != meeting:
+                    meeting, head, n = m, None, 0
+                heads.append(head)
+                counts.append(n)
+                at = next((i for i, t in enumerate(titles) if head is None or not similar_titles(head, t)), None)
+                if at is not None:
+                    head, n = ends[at], n + opened[at]
+            yield pa.RecordBatch.from_arrays([b.column("first"), pa.array(heads, pa.string()), pa.array(counts, pa.int64())], ["first", "head", "n"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, titles, head, n in zip(*(b.column(c).to_pylist() for c in ("first", "titles", "head", "n")), strict=True):
+                out = []
+                for t in titles:
+                    if head is None or not similar_titles(head, t):
+                        head, n = t, n + 1
+                    out.append(n - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(out)), pa.int64()), pa.array(out, pa.int64())], ["g", "sec_ord"])
+
+    kind = rows.schema["meeting_id"].dataType.simpleString()
+    told = stretches.mapInArrow(summarise, f"meeting_id {kind}, first long, titles array<string>, ends array<string>, opened array<int>")
+    # A null meeting is one, too.
+    named = told.select(F.to_json(F.struct("meeting_id")).alias("meeting"), "first", "titles", "ends", "opened")
+    heads = named.repartition("meeting").sortWithinPartitions("meeting", "first").mapInArrow(hand_on, "first long, head string, n long")
+    sections = stretches.join(heads, "first").select("first", "titles", "head", "n").mapInArrow(number, "g long, sec_ord long")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    placed = order.join(sections, "g").select(*[F.col(c).alias(f"_{c}") for c in place], "sec_ord")
+    joined = rows.join(placed, same[0] & same[1] & same[2]).select(*rows.columns, "sec_ord")
+    return ordered_concat(joined, ["meeting_id", "sec_ord"], [F.col("chunk_ord"), F.col("block_ord")], F.col("text"),
+                          sep="\n\n", out="content", also={"title": F.min_by("title", F.struct("chunk_ord", "block_ord"))})
 
 
 def dedupe_questions(pairs: DataFrame) -> DataFrame:

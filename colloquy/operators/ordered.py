@@ -12,7 +12,7 @@ group and joins the carried state back. The wide data is then shuffled by
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -221,51 +221,24 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return grouped.withColumn(out, F.array_join(F.transform("_l", lambda x: x["_t"]), sep)).drop("_l")
 
 
-def bucketed_fold(df: DataFrame, keys: Sequence[str], ordinal: str, item: Column, *,
-                  state_type: str, step: Callable[[Column, Column], tuple[Column, Column]],
-                  out_type: str, span: int = 2048) -> DataFrame:
-    """Sequential fold per group, run bucket by bucket.
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "g") -> DataFrame:
+    """``df`` with a number that ascends in the given order, settled.
 
-    ``step(state, item) -> (state, output)``; the state is NULL at first. Each
-    bucket of ``span`` ordinals is one row and folds alone. A group of several
-    buckets is solved by repetition: every bucket folds from the state its
-    predecessor ended in last time, until no carried state changes. Each round
-    is parallel over buckets; the fixed point is the sequential result.
-    Returns ``keys, ordinal, output``.
+    A range partitioning cuts a large group at any place, so rows of one group
+    have consecutive numbers except where a partition ends; equal rows get their
+    numbers in any order.
     """
-    keys = list(keys)
-    by = [*keys, _B]
-    rows = (
-        df.select(*keys, F.col(ordinal).cast("long").alias("_i"), item.alias("_item"))
-        .withColumn(_B, ordinal_bucket("_i", span))
-        .groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_item"))).alias("_items")))
-
-    def fold(carried: Column) -> Column:
-        start = F.struct(carried.cast(state_type).alias("state"),
-                         F.array().cast(f"array<{out_type}>").alias("out"))
+    return settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id()))
 
-        def advance(acc: Column, x: Column) -> Column:
-            state, output = step(acc["state"], x["_item"])
-            return F.struct(state.cast(state_type).alias("state"),
-                            F.array_append(acc["out"], output.cast(out_type)).alias("out"))
 
-        return F.aggregate("_items", start, advance)
+def previous(df: DataFrame, keys: Sequence[str], ordinal: str, value: Column, *, out: str) -> DataFrame:
+    """``value`` of the row before, in a struct ``out.v``; ``out`` is null on the first row of a group.
 
-    several = df.where(ordinal_bucket(ordinal, span) > 0).limit(1).count() > 0
-    if not several:
-        folded = rows.withColumn("_r", fold(F.lit(None)))
-    else:
-        rows = settle(rows)
-        carried = rows.select(*by, F.lit(None).cast(state_type).alias("_s"))
-        while True:
-            folded = settle(rows.join(carried, by).withColumn("_r", fold(F.col("_s"))))
-            follow = Window.partitionBy(*keys).orderBy(_B)
-            update = folded.select(
-                *by, F.lag("_r.state").over(follow).alias("_s"), F.col("_s").alias("_was"))
-            if update.where(~F.col("_s").eqNullSafe(F.col("_was"))).limit(1).count() == 0:
-                break
-            carried = update.drop("_was")
-    return folded.select(
-        *keys, F.explode(F.arrays_zip(
-            F.col("_items._i").alias("i"), F.col("_r.out").alias("o"))).alias("_z")
-    ).select(*keys, F.col("_z.i").alias(ordinal), F.col("_z.o").alias("output"))
+    Windows run over ``SPAN`` ordinals; what is left of them, a row each, follows.
+    """
+    by = [*keys, _B]
+    tagged = df.withColumn(_B, ordinal_bucket(ordinal, SPAN)).withColumn("_x", F.struct(value.alias("v")))
+    inside = tagged.withColumn(out, F.lag("_x").over(Window.partitionBy(*by).orderBy(ordinal)))
+    last = tagged.groupBy(*by).agg(F.max_by("_x", F.col(ordinal)).alias("_x"))
+    carried = last.select(*by, F.lag("_x").over(Window.partitionBy(*keys).orderBy(_B)).alias("_c"))
+    return inside.join(carried, by, "left").withColumn(out, F.coalesce(out, "_c")).drop(_B, "_x", "_c")

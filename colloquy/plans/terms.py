@@ -27,6 +27,9 @@ FUZZY = (Term("Einheitlich", "", ("einheitlich", "verkeitenschen")), Term("There
          Term("示例电子", "", ("示例电子示例",)))
 
 
+# Syllables of the invented prose; a hexadecimal digit is one of them.
+SYLLABLES = ("the", "an", "er", "on", "in", "en", "ou", "re", "ei", "sch", "un", "th", "le", "ion", "que", "nd")
+FORMS_PER_PART = 8
 PART_FORMS = (Term("Widget", "", ("wigdet", "widgett")), Term("Gizmo", "", ("gismo", "gitsmo")), Term("Economy", "", ("ekonomy",)),
               Term("Ring", "", ("rink",)), Term("Standard", "", ("stanndart",)), Term("at", "", ("a",)))
 
@@ -108,10 +111,55 @@ def fuzzy_part_corrections(spark, sf):
     return gl.fuzzy_corrections(parts, PART_FORMS, min_len=3)
 
 
+def _spelled(n):
+    """Four syllables for a number."""
+    digits = F.split(F.lpad(F.hex(n), 4, "0"), "")
+    return F.array_join(F.transform(digits, lambda d: F.get(F.array(*map(F.lit, SYLLABLES)), F.conv(d, 16, 10).cast("int"))), "")
+
+
+def _han(n, size):
+    """A number in the Han letters of the derived texts, which are thirteen."""
+    return F.translate(F.lpad(F.conv(n.cast("string"), 10, 13), size, "0"), "0123456789ABC", inputs.CJK_TO)
+
+
+def _large_glossary(spark, sf):
+    """Every part is a term of several Latin forms and several Han ones: eight forms of each kind for each part."""
+    key = F.col("p_partkey")
+    more = lambda first, form: F.transform(F.sequence(F.lit(first), F.lit(FORMS_PER_PART - 1)),
+                                           lambda j: form(key * FORMS_PER_PART + j))
+    return inputs.table(spark, sf, "part").select(
+        F.lit("parts").alias("glossary_id"), key.cast("int").alias("term_ord"), _han(key * FORMS_PER_PART, 5).alias("term"),
+        F.lit("").alias("context"), more(0, _spelled).alias("corrections"), more(1, lambda n: _han(n, 5)).alias("auto_variants"))
+
+
+def large_exact_hits(spark, sf):
+    return gl.exact_hits(inputs.transcripts(spark, sf), _large_glossary(spark, sf)).withColumnsRenamed({"start": "hit_start", "end": "hit_end"})
+
+
+def large_apply_exact(spark, sf):
+    return gl.apply_exact(inputs.transcripts(spark, sf), _large_glossary(spark, sf))
+
+
+def large_scan_variants(spark, sf):
+    return gl.scan_variants(inputs.cjk_transcripts(spark, sf), _large_glossary(spark, sf)).withColumnsRenamed({"start": "hit_start", "end": "hit_end"})
+
+
+def large_scan_phonetic(spark, sf):
+    terms = inputs.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("int").alias("term_ord"), _han(F.col("p_partkey") * 2411 % 13 ** 6, 6).alias("term"))
+    return gl.scan_phonetic(inputs.cjk_transcripts(spark, sf), terms, _sounds(spark)).withColumnsRenamed({"start": "hit_start", "end": "hit_end"})
+
+
+def large_term_frequency(spark, sf):
+    glossary = _large_glossary(spark, sf).withColumn("corrections", F.col("auto_variants"))
+    return gl.term_frequency(inputs.cjk_transcripts(spark, sf), glossary)
+
+
 QUERIES = {f.__name__: f for f in (
     apply_exact, apply_exact_han, exact_hits, scan_variants, scan_phonetic, scan_all, expand_glossary,
     expand_glossary_two_positions, variant_stats, term_frequency, filter_terms, hit_summary,
-    corpus_hit_summary, fuzzy_corrections, fuzzy_part_corrections)}
+    corpus_hit_summary, fuzzy_corrections, fuzzy_part_corrections, large_exact_hits, large_apply_exact, large_scan_variants,
+    large_scan_phonetic, large_term_frequency)}
 
 # ------------------------------------------------------------------------ oracle
 
@@ -254,3 +302,63 @@ ORACLE["fuzzy_part_corrections"] = """
     windows AS (SELECT meeting_id, term_ord, term, form, unnest(list_transform(range(1, length(low) - length(form) + 2),
         lambda i: low[i:i + length(form) - 1])) AS w FROM texts, forms)
     SELECT DISTINCT meeting_id, term_ord, term FROM windows WHERE levenshtein(w, form) <= 2"""
+
+# The large glossary: a term has the numbers from p_partkey * 8 on, in syllables and in Han letters.
+_SPELLED = ("array_to_string(list_transform(string_split(lpad(to_hex(x), 4, '0'), ''), lambda d: ["
+            + ", ".join(f"'{x}'" for x in SYLLABLES) + "][strpos('0123456789ABCDEF', d)]), '')")
+
+
+def _han_sql(n: str, size: int) -> str:
+    return f"translate(lpad(upper(to_base({n}, 13)), {size}, '0'), '0123456789ABC', '{inputs.CJK_TO}')"
+
+
+_LARGE = f"""
+    numbers AS (SELECT p_partkey::INTEGER AS term_ord, j::INTEGER AS j, (p_partkey * {FORMS_PER_PART} + j)::BIGINT AS x,
+                    {_han_sql(f'p_partkey * {FORMS_PER_PART}', 5)} AS term FROM part, range({FORMS_PER_PART}) r(j)),
+    spelled AS (SELECT form, arg_min(term, x) AS correct FROM (SELECT *, {_SPELLED} AS form FROM numbers) GROUP BY form),
+    runs AS (SELECT meeting_id, i, rs[i] AS run FROM (
+        SELECT meeting_id, rs, unnest(range(1, len(rs) + 1)) AS i FROM (
+            SELECT meeting_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS rs FROM transcripts))),
+    mapped AS (SELECT meeting_id, i, run, correct,
+                   (sum(length(run)) OVER (PARTITION BY meeting_id ORDER BY i))::INTEGER AS stop
+               FROM runs LEFT JOIN spelled ON form = lower(run))"""
+_FIVE = f"""
+    numbers AS (SELECT p_partkey::INTEGER AS term_ord, j::INTEGER AS j, {_han_sql(f'p_partkey * {FORMS_PER_PART}', 5)} AS term,
+                    {_han_sql(f'p_partkey * {FORMS_PER_PART} + j', 5)} AS form FROM part, range({FORMS_PER_PART}) r(j)),
+    cs AS (SELECT DISTINCT meeting_id, c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] AS form FROM (
+        SELECT meeting_id, c, unnest(range(1, len(c) - 3)) AS i FROM (SELECT meeting_id, string_split(text, '') AS c FROM cjk))),
+    met AS (SELECT meeting_id, text, term_ord, j, term, form, string_split(text, form) AS ps
+            FROM cs JOIN numbers USING (form) JOIN cjk USING (meeting_id))"""
+_SIX = "c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] || c[i + 5]"
+ORACLE |= {
+    "large_exact_hits": with_("transcripts", also=_LARGE) + f"""
+        SELECT m.meeting_id, correct AS term, run AS matched, stop - length(run) AS hit_start, stop AS hit_end,
+            'exact' AS kind, {_SNIP.format(s='(stop - length(run))', e='stop')} AS context
+        FROM mapped m JOIN transcripts t ON t.meeting_id = m.meeting_id WHERE correct IS NOT NULL""",
+    "large_apply_exact": with_("transcripts", also=_LARGE) + """
+        SELECT meeting_id, string_agg(coalesce(correct, run), '' ORDER BY i) AS text FROM mapped GROUP BY meeting_id""",
+    "large_scan_variants": with_("cjk", also=_FIVE + """,
+        rights AS (SELECT meeting_id, term, len(ps) - 1 AS n FROM met WHERE j = 0),
+        kept AS (SELECT m.* FROM met m LEFT JOIN rights r ON r.meeting_id = m.meeting_id AND r.term = m.term
+                 WHERE j > 0 AND NOT (r.n IS NOT NULL AND len(ps) - 1 > greatest(5, r.n))),
+        spots AS (SELECT meeting_id, term, form, text,
+                      (sum(length(ps[i]) + 5) OVER (PARTITION BY meeting_id, form ORDER BY i))::INTEGER AS stop
+                  FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM kept))""") + f"""
+        SELECT meeting_id, term, form AS matched, stop - 5 AS hit_start, stop AS hit_end, 'variant' AS kind,
+            {_SNIP.format(s='(stop - 5)', e='stop')} AS context FROM spots""",
+    "large_scan_phonetic": with_("cjk", also=f"""
+        cs AS (SELECT meeting_id, (i - 1)::INTEGER AS start, {_SIX} AS w FROM (
+            SELECT meeting_id, c, unnest(range(1, len(c) - 4)) AS i FROM (SELECT meeting_id, string_split(text, '') AS c FROM cjk))),
+        words AS (SELECT term, {_SOUND.format('term')} AS sound FROM (SELECT DISTINCT {_han_sql('p_partkey * 2411 % 4826809', 6)} AS term FROM part)),
+        keys AS (SELECT term, k, sound[:k - 1] || '_' || sound[k + 1:] AS key FROM words, range(1, 7) r(k)),
+        wins AS (SELECT w, k, sw[:k - 1] || '_' || sw[k + 1:] AS key FROM (
+            SELECT DISTINCT w, {_SOUND.format('w')} AS sw FROM cs WHERE regexp_full_match(w, '[\\x{{4e00}}-\\x{{9fff}}]+')), range(1, 7) r(k)),
+        found AS (SELECT DISTINCT term, w FROM wins JOIN keys USING (k, key) WHERE w <> term
+            AND (w[1] = term[1] OR w[2] = term[2] OR w[3] = term[3] OR w[4] = term[4] OR w[5] = term[5] OR w[6] = term[6])
+            AND len(list_intersect(list_distinct(string_split(w, '')), list_distinct(string_split(term, '')))) >= 3)""") + f"""
+        SELECT p.meeting_id, term, w AS matched, start AS hit_start, start + 6 AS hit_end, 'phonetic' AS kind,
+            {_SNIP.format(s='start', e='(start + 6)')} AS context
+        FROM cs p JOIN found USING (w) JOIN cjk c ON c.meeting_id = p.meeting_id""",
+    "large_term_frequency": with_("cjk", also=_FIVE) + """
+        SELECT meeting_id, term_ord, term, sum(len(ps) - 1)::BIGINT AS occurrences FROM met GROUP BY ALL""",
+}

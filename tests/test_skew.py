@@ -76,6 +76,43 @@ def test_merge_short_turns(recording):
     assert rows(whole.where("recording_id = 1"), "turn_ord", "speaker") == sorted(want, key=repr)
 
 
+def most_overlapped(seg, turns):
+    best, most = None, 0.0
+    for t in turns:
+        both = min(seg[1], t[1]) - max(seg[0], t[0])
+        if both > most:
+            best, most = t[2], both
+    return best
+
+
+def test_assign_speaker_at_every_level(spark):
+    rng = random.Random(11)
+    length = lambda: rng.choice([0.0, 0.01, 1.0, 7.99, 8.0, 8.01, 64.0, 512.0, 31_536_000.0, rng.random() * 100])
+    at = lambda: rng.choice([rng.random() * 200 - 50, rng.randrange(0, 640, 8) * 1.0, 0.0])
+    make = lambda n: [(lambda a: (a, a + length()))(at()) for _ in range(n)]
+    segs, turns = make(300), [(*x, rng.randrange(5)) for x in make(200)]
+    s = spark.createDataFrame([(1, i, *x, "") for i, x in enumerate(segs)] + [(2, 0, 0.0, 9.0, "")], SEGMENTS)
+    t = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], TURNS)
+    got = {(r.recording_id, r.seg_ord): r.speaker for r in align.assign_speaker(s, t).collect()}
+    assert got == {(2, 0): None, **{(1, i): most_overlapped(x, turns) for i, x in enumerate(segs)}}
+
+
+def test_assign_speaker_of_a_dense_minute_and_a_year(spark):
+    """A hundred thousand overlapping segments in one minute, under a few turns and one of a year."""
+    n = 100_000
+    minute = spark.range(n).select(F.lit(1).cast("long").alias("recording_id"), F.col("id").cast("int").alias("seg_ord"),
+                                   (F.col("id") % 5000 / 100).alias("start"), (F.col("id") % 5000 / 100 + 10 + F.col("id") % 7).alias("end"), F.lit("").alias("text"))
+    year = spark.createDataFrame([(1, n, 0.0, 31_536_000.0, "")], SEGMENTS)
+    turns = [(0.0, 20.0, 0), (18.5, 40.0, 1), (39.0, 41.0, 2), (41.0, 31_000_000.0, 3)]
+    t = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], TURNS)
+    found = align.assign_speaker(minute.unionByName(year), t).groupBy("start", "end", "speaker").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in found) == n + 1
+    assert all(r.speaker == most_overlapped((r.start, r.end), turns) for r in found)
+    pairs = align.touching(minute.select("recording_id", "seg_ord", F.col("start").alias("p0"), F.col("end").alias("p1")),
+                           t.select("recording_id", "speaker", F.col("start").alias("q0"), F.col("end").alias("q1")))
+    assert pairs.count() == pairs.distinct().count() <= len(turns) * n
+
+
 @pytest.mark.parametrize("operator", [align.group_by_speaker, align.labeled_transcript])
 def test_block_texts(recording, operator):
     segs, turns = recording
@@ -106,8 +143,8 @@ def test_merge_blocks_fixed_point(spark):
     data = [(1, i // 3, i % 3, "narration", rng.choice(["a", "ab", "b", "bc", "abc"]), f"t{i}") for i in range(200)]
     df = spark.createDataFrame(data + [(2, 0, 0, "narration", "z", "only")], BLOCKS)
     columns = ("meeting_id", "sec_ord", "title", "content")
-    got = rows(minutes.merge_blocks(df, span=7), *columns)
-    assert got == rows(minutes.merge_blocks(df), *columns)
+    got = rows(minutes.merge_blocks(df, shift=2), *columns)
+    assert got == rows(minutes.merge_blocks(df), *columns) == rows(minutes.merge_blocks(df, shift=0), *columns)
     head, sections = None, 0
     for row in data:
         if head is None or not (head in row[4] or row[4] in head):
@@ -120,8 +157,6 @@ def test_stitch_text_fixed_point(spark):
     text = "".join(rng.choice("abcdef ") for _ in range(4000))
     data = [(1, i, text[i * 40:i * 40 + rng.choice([12, 60, 90])]) for i in range(90)]
     df = spark.createDataFrame(data, "recording_id bigint, chunk_ord int, text string")
-    assert rows(chunking.stitch_text(df, bucket_span=4), "chunk_ord", "text") == rows(
-        chunking.stitch_text(df), "chunk_ord", "text")
     previous, want = None, []
     for _, i, t in data:
         if previous is not None:
@@ -132,6 +167,56 @@ def test_stitch_text_fixed_point(spark):
     assert rows(chunking.stitch_text(df), "chunk_ord", "text") == sorted(want, key=repr)
 
 
+def test_title_runs_tell_every_fold():
+    rng = random.Random(2)
+    for _ in range(400):
+        titles = [rng.choice(["", "a", "ab", "b", "bc", "abc", "c"]) for _ in range(rng.randrange(1, 12))]
+        firsts, ends, opened = minutes.title_runs(titles)
+        for head in (None, "", "a", "ab", "b", "bc", "abc", "c", "zz"):
+            now, n = head, 0
+            for t in titles:
+                if now is None or not minutes.similar_titles(now, t):
+                    now, n = t, n + 1
+            at = next((i for i, t in enumerate(firsts) if head is None or not minutes.similar_titles(head, t)), None)
+            assert (now, n) == ((head, 0) if at is None else (ends[at], opened[at]))
+
+
+def test_merge_blocks_of_one_long_chunk_on_one_topic(spark):
+    df = spark.range(100_000).select(
+        F.lit(1).cast("long").alias("meeting_id"), F.lit(0).alias("chunk_ord"), F.col("id").cast("int").alias("block_ord"), F.lit("narration").alias("type"),
+        F.when(F.col("id") % 3 == 0, "topic").otherwise("topics").alias("topic"), F.col("id").cast("string").alias("text"))
+    df = df.unionByName(spark.createDataFrame([(2, 5, 0, "narration", "b", "x"), (2, 1, 7, "narration", "a", "y"), (None, 0, 0, "narration", "c", "z")], BLOCKS))
+    got = {(r.meeting_id, r.sec_ord): (r.title, r.n) for r in minutes.merge_blocks(df).select(
+        "meeting_id", "sec_ord", "title", F.length("content").alias("n")).collect()}
+    size = sum(len(str(i)) for i in range(100_000)) + 2 * 99_999
+    assert got == {(1, 0): ("topic", size), (2, 0): ("a", 1), (2, 1): ("b", 1), (None, 0): ("c", 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stitch_text_of_short_chunks(spark, monkeypatch, seed):
+    """Chunks that are shorter than their overlaps, so that what was trimmed before decides."""
+    monkeypatch.setattr(ordered, "SPAN", 8)
+    rng = random.Random(seed)
+    data = []
+    for rec in range(6):
+        text = "".join(rng.choice("ab ") for _ in range(60)) if rec % 2 else "ab " * 30
+        at = 0
+        for i in range(40):
+            data.append((rec, 3 * i, text[at:at + rng.choice([2, 4, 7, 20])]))
+            at = (at + rng.choice([0, 1, 3])) % 50
+    df = spark.createDataFrame(data, "recording_id bigint, chunk_ord int, text string")
+    want, previous, of = [], None, None
+    for rec, i, t in data:
+        if rec != of:
+            previous, of = None, rec
+        if previous is not None:
+            shared = next((k for k in range(min(len(previous), len(t), 6), 0, -1) if previous[-k:] == t[:k]), 0)
+            t = t[shared:].lstrip() if shared else t
+        want.append((rec, i, t))
+        previous = t[-6:]
+    assert rows(chunking.stitch_text(df, min_overlap=1, span=6), "recording_id", "chunk_ord", "text") == sorted(want, key=repr)
+
+
 def minutes_of(spark):
     rng = random.Random(9)
     words = ["营收12", "亿元", "产能", "良率95", "%", "2026年", "客户", "abc", "de", "3"]
