@@ -9,9 +9,11 @@ from .common import WORD, packed, settled, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+# Blocks that all sources have together, and those that each has at least unless they would be shorter than a word.
 SLOTS = 1 << 18
-# A source whose target is under so many blocks is taken word by word.
-FINE = 1 << 10
+LEAST_BLOCKS = 1 << 10
+# In so many times the wanted slots every source finds its own: the golden ratio returns to an interval of length x within 2.62 / x points.
+ROUNDS = 3
 GOLDEN = 0.6180339887498949
 BUCKET_DIGITS = 3
 
@@ -47,69 +49,67 @@ def mix(docs: DataFrame, *, carry=(), weights=WEIGHTS, most: int = MOST_REPEATS,
     """``doc_id, size, source_size, target, taken``, one row per document.
 
     Slot i holds the golden-ratio point frac(i * phi). The source into whose
-    share of the cumulative targets the point falls fills the slot with its next
-    block; all blocks have equally many words. A source's blocks are cut from
-    its documents in an order shuffled by the md5 of doc_id, and start again
-    when they are used up, but no block is taken more than ``most`` times.
-
+    share of the unit interval the point falls fills the slot with its next
+    block, until it has as many slots as its target has blocks. A source's blocks
+    are cut from its documents in an order shuffled by the md5 of doc_id, have
+    equally many words, and start again when they are used up, but no block is
+    taken more than ``most`` times.
+
+    The length of a source's blocks is its target by its part of ``slots``, at
+    least a word; shares are by numbers of blocks. So a source of any size comes
+    within a few thousandths of its target, and a tiny one to the word.
     A null text has size 0, a null source is a source. Documents of size 0 take
-    nothing. Rows with equal doc_id are laid out in the order of their sizes.
-    The block length is the total by ``slots``, rounded up, and there are as many
-    slots as the total fills: a source comes within a few blocks of its target.
-    A source whose target is less than FINE such blocks would miss it by slots if a
-    block has more than a word: it is cut into blocks of one word and takes as
-    many as its target, rounded. Columns named in ``carry`` come along.
+    nothing. Rows with equal doc_id are laid out in the order of their sizes, then of
+    a hash of their texts. Columns named in ``carry`` come along.
     """
     sized = settled(docs.select(
-        "doc_id", *carry, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+        "doc_id", *carry, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("text").alias("tie")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    # One row per source in these windows.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
-    block = F.greatest(F.ceil(F.sum("source_size").over(every) / F.lit(slots)), F.lit(1)).cast("long")
-    upto = F.sum("target").over(by_name) / F.sum("target").over(every)
-    shares = targets.withColumns({"sid": F.row_number().over(by_name), "block": block, "upto": upto}).withColumns({
-        "since": F.coalesce(F.lag("upto").over(by_name), F.lit(0.0)), "filled": F.sum("source_size").over(every) / F.col("block"),
-        "fine": (F.col("block") > 1) & (F.col("target") < F.col("block") * FINE)})
+    part = F.greatest(F.floor(F.lit(slots) / F.count("*").over(every)), F.lit(LEAST_BLOCKS))
+    shares = targets.withColumns({"sid": F.row_number().over(by_name), "block": F.greatest(F.ceil(F.col("target") / part), F.lit(1)).cast("long")})
+    shares = shares.withColumn("wanted", F.round(F.col("target") / F.col("block")).cast("long"))
+    shares = settled(shares.withColumn("upto", F.sum("wanted").over(by_name) / F.sum("wanted").over(every))
+                     .withColumn("since", F.coalesce(F.lag("upto").over(by_name), F.lit(0.0))))
+    total = shares.agg(F.coalesce(F.sum("wanted"), F.lit(0))).head()[0]
 
     # Points meet shares in cells of the unit interval: an equi-join however many sources there are.
     cells = 1 << 12
-    points = docs.sparkSession.range(slots).withColumn("p", F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN))
+    points = docs.sparkSession.range(ROUNDS * total).withColumn("p", F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN))
     points = points.withColumn("cell", F.floor(F.col("p") * cells).cast("int"))
-    spans = shares.where("upto > since and not fine").withColumn("cell", F.explode(F.sequence(
+    spans = shares.where("upto > since").withColumn("cell", F.explode(F.sequence(
         F.floor(F.col("since") * cells).cast("int"), F.least(F.floor(F.col("upto") * cells), F.lit(cells)).cast("int"))))
-    slot = points.join(spans, "cell").where("p >= since and p < upto and id < filled")
+    slot = points.join(spans, "cell").where("p >= since and p < upto")
     # The rank of a source's slot is the number of its slots in earlier stretches and before it in its own.
     stretch = 1 << 10
-    slot = slot.select("sid", "id", "source_size", "block", F.floor(F.col("id") / stretch).alias("part"))
+    slot = slot.select("sid", "id", "source_size", "block", "wanted", F.floor(F.col("id") / stretch).alias("part"))
     per_part = slot.groupBy("sid", "part").agg(F.count("*").alias("n"))
     before = per_part.select("sid", "part", (F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n")).alias("off"))
     rank = F.row_number().over(Window.partitionBy("sid", "part").orderBy("id")) - 1
     ranked = slot.withColumn("r", rank).join(before, ["sid", "part"]).withColumn("r", F.col("r") + F.col("off"))
     n_blocks = F.ceil(F.col("source_size") / F.col("block"))
-    takes = ranked.where(F.col("r") < n_blocks * most).groupBy("sid", F.pmod(F.col("r"), n_blocks).cast("long").alias("blk")) \
+    takes = ranked.where((F.col("r") < F.col("wanted")) & (F.col("r") < n_blocks * most)).groupBy("sid", F.pmod(F.col("r"), n_blocks).cast("long").alias("blk")) \
         .agg(F.count("*").alias("times"))
 
     # Where each document starts in its source's shuffled order: sums of buckets of the order, then inside a bucket.
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     laid = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    names = shares.select(F.col("source").alias("name"), "sid", "source_size", "target", "block", "fine")
+    names = shares.select(F.col("source").alias("name"), "sid", "source_size", "target", "block")
     laid = laid.join(names, F.col("source").eqNullSafe(F.col("name")))
     filled = laid.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     starts = filled.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = laid.join(starts, ["sid", "bucket"]).withColumn("row", F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("key", "size"))) \
-        .withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "size", "tie")
+    laid = laid.join(starts, ["sid", "bucket"]).withColumn("row", F.row_number().over(inside)).withColumn(
+        "start", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
-    pieces = laid.where("size > 0 and not fine").withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
+    pieces = laid.where("size > 0").withColumn("blk", F.explode(F.sequence(first, last))).withColumn(
         "words", F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("blk") * F.col("block")))
     taken = pieces.join(takes, ["sid", "blk"]).groupBy("sid", "bucket", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    # Blocks of one word: whole rounds of the source, and its first words once more.
-    wanted = F.round("target").cast("long")
-    rounds = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0)
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), wanted - rounds * F.col("source_size") - F.col("start")))
-    by_word = F.when(F.col("fine"), rounds * F.col("size") + rest)
     return laid.join(taken, ["sid", "bucket", "row"], "left").select(
-        "doc_id", *carry, "size", "source_size", "target", F.coalesce(by_word, "taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", *carry, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -118,10 +118,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     The blocks of a source are taken in one order, so that within a source only
     the document at the end of the last round is taken in part: its last copy
     has its first words. A document that is not taken is left out, and so is one
-    without words. ``n_chars``, if there, is that of the text.
+    without words. Rows of the same id and text share what they take, rounded down.
+    ``n_chars``, if there, is that of the text.
     """
-    takes = mix(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("h")), carry=("h",)).where("taken > 0")
-    takes = takes.select(F.col("doc_id").alias("take_doc"), F.col("h").alias("take_h"), "size", "taken").dropDuplicates(["take_doc", "take_h"])
+    takes = mix(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("h")), carry=("h",))
+    takes = takes.groupBy(F.col("doc_id").alias("take_doc"), F.col("h").alias("take_h")).agg(
+        F.max("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken")).where("taken > 0")
     both = packed(docs).join(takes, F.col("doc.doc_id").eqNullSafe(F.col("take_doc")) & (F.col("h") == F.col("take_h")))
     copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
@@ -152,13 +154,15 @@ rated AS (SELECT *, (total - stopped) / w_left AS rate FROM ordered),
 free AS (SELECT min(n) AS n FROM rated WHERE stop >= rate * w),
 targets AS (SELECT sid, source, source_size, total, CASE WHEN n < (SELECT n FROM free) THEN stop
   ELSE (SELECT rate FROM rated WHERE n = (SELECT n FROM free)) * w END AS target FROM rated),
-shares AS (SELECT *, greatest(ceil(total / {SLOTS}), 1)::BIGINT AS block,
-  sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS upto FROM targets),
+blocked AS (SELECT *, greatest(ceil(target / greatest({SLOTS} // count(*) OVER (), {LEAST_BLOCKS})), 1)::BIGINT AS block FROM targets),
+wanting AS (SELECT *, round(target / block)::BIGINT AS wanted FROM blocked),
+shares AS (SELECT *, (sum(wanted) OVER (ORDER BY sid))::DOUBLE / (sum(wanted) OVER ())::DOUBLE AS upto FROM wanting),
 spans AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY sid), 0.0::DOUBLE) AS since FROM shares),
-points AS (SELECT i, i * {GOLDEN}::DOUBLE - floor(i * {GOLDEN}::DOUBLE) AS p FROM range({SLOTS}) t(i)),
-ranked AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS r, ceil(source_size / block::DOUBLE)::BIGINT AS nb
-  FROM points JOIN spans ON p >= since AND p < upto AND i < total / block),
-takes AS (SELECT sid, r % nb AS blk, count(*) AS times FROM ranked WHERE r < 3 * nb GROUP BY ALL),
+points AS (SELECT i, i * {GOLDEN}::DOUBLE - floor(i * {GOLDEN}::DOUBLE) AS p
+  FROM (SELECT unnest(range((SELECT {ROUNDS} * sum(wanted)::BIGINT FROM wanting))) AS i)),
+ranked AS (SELECT sid, wanted, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS r, ceil(source_size / block::DOUBLE)::BIGINT AS nb
+  FROM points JOIN spans ON p >= since AND p < upto),
+takes AS (SELECT sid, r % nb AS blk, count(*) AS times FROM ranked WHERE r < wanted AND r < 3 * nb GROUP BY ALL),
 laid AS (SELECT d.*, s.sid, s.source_size, s.target, s.block, row_number() OVER () AS rid,
   sum(size) OVER (PARTITION BY s.sid ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS UNBOUNDED PRECEDING) - size AS start
   FROM sized d JOIN spans s ON d.source IS NOT DISTINCT FROM s.source),

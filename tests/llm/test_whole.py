@@ -42,6 +42,33 @@ def test_tiny_sources_beside_a_huge_one_reach_their_targets(spark):
     assert sum(r["taken"] for r in few) == round(few[0]["target"]) and len({r["target"] for r in few}) == 1
 
 
+def test_the_schedule_is_that_of_the_oracle_with_tiny_and_huge_sources(spark):
+    import duckdb
+
+    rows = [(i, "word " * (50 + 7 * i % 90), "huge") for i in range(3000)] + [(10_000 + i, "few words " * (i % 3), f"tiny{i % 4}") for i in range(20)]
+    rows += [(20_000, "no source at all", None), (20_001, None, None), (20_002, "alone", "one"), (20_003, "", "empty")]
+    rows += [(30_000 + i, "middling " * 40, "middle") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(tuple(r) for r in mixing.mix(docs).collect())
+    con = duckdb.connect()
+    given = docs.toPandas()  # noqa: F841
+    con.execute("CREATE TABLE d AS SELECT doc_id::BIGINT AS doc_id, text, source FROM given")
+    want = sorted(con.execute(mixing.mixing_sql("d")).fetchall())
+    assert [r[:3] + (round(r[3], 6), r[4]) for r in got] == [r[:3] + (round(r[3], 6), r[4]) for r in want]
+    by = {}
+    for (_, _, source), r in zip(sorted(rows, key=lambda r: r[0]), got, strict=True):
+        by.setdefault(source, [0, r[3]])[0] += r[4]
+    assert all(abs(t - target) <= max(1, 0.003 * target) for t, target in by.values()), by
+
+
+def test_rows_of_one_id_share_what_they_take(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e f", "x"), (2, "g h i", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(tuple(r) for r in mixing.mix(d, carry=("text",)).collect()) for d in (docs, docs.repartition(3), docs.orderBy("text"))]
+    assert runs[0] == runs[1] == runs[2]
+    assert sorted(r["text"] for r in mixing.mixed(docs).collect()) == sorted(t for _, t, _ in rows)
+
+
 def test_values_behind_names_and_paths_are_found(spark):
     rnd = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
