@@ -8,6 +8,7 @@ vectors that share a filter are compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +19,22 @@ from pyspark.sql import functions as F
 from .common import block_pairs, components, roots, settled, table
 
 LEAST_COSINE = 0.95
-# Half codes of 256 give 65 536 directions. A vector lies in about FILTERS of their caps.
-CODE = 256
+# Each half code has at least so many vectors, and the square root of the number of vectors: with as many directions
+# as vectors, a direction has a bounded number of them on average.
+LEAST_CODE = 256
+# A vector lies in about so many caps; a finer code has narrower caps, of which a pair shares fewer.
 FILTERS = 24
+FINER = 0.05
 # A vector in fewer caps takes its nearest directions instead.
 LEAST_FILTERS = 12
 BLOCK = 1024
 SEED = 20
 
 
+def code_size(vectors: int) -> int:
+    return max(LEAST_CODE, math.isqrt(max(vectors, 1) - 1) + 1)
+
+
 def usable(vector: Column) -> Column:
     """The vector; null unless all components are finite and one is not zero."""
     d = F.transform(vector, lambda x: x.cast("double"))
@@ -34,34 +42,39 @@ def usable(vector: Column) -> Column:
     return F.when(finite & F.exists(d, lambda x: x != 0), vector)
 
 
-def codes(width: int) -> tuple[np.ndarray, np.ndarray]:
+def codes(width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit half vectors of the two codes."""
     rng, half = np.random.default_rng(SEED), (width + 1) // 2
     out = []
     for w in (half, max(1, width - half)):
-        c = rng.standard_normal((CODE, w))
+        c = rng.standard_normal((size, w))
         out.append(c / np.linalg.norm(c, axis=1, keepdims=True))
     return out[0], out[1]
 
 
-def threshold(width: int) -> float:
-    """The product that a random unit vector exceeds with FILTERS of the directions."""
-    rng, (a, b) = np.random.default_rng(SEED + 1), codes(width)
-    x = rng.standard_normal((400, width))
+def threshold(width: int, size: int) -> float:
+    """The product that a random unit vector exceeds with about FILTERS of the directions."""
+    rng, (a, b) = np.random.default_rng(SEED + 1), codes(width, size)
+    x = rng.standard_normal((max(16, min(400, 100_000 // size)), width))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     h, pad = a.shape[1], b.shape[1]
-    s1, s2 = x[:, :h] @ a.T, np.pad(x, ((0, 0), (0, max(0, h + pad - width))))[:, h:h + pad] @ b.T
-    sums = (s1[:, :, None] + s2[:, None, :]).ravel()
-    return float(np.quantile(sums, 1 - FILTERS / CODE ** 2))
+    s1, s2 = np.sort(x[:, :h] @ a.T, axis=1), np.pad(x, ((0, 0), (0, max(0, h + pad - width))))[:, h:h + pad] @ b.T
+    wanted = FILTERS * (size / LEAST_CODE) ** (2 * FINER) * len(x)
+    low, high = -2.0, 2.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        above = sum(size * size - int(np.searchsorted(p, middle - q).sum()) for p, q in zip(s1, s2, strict=True))
+        low, high = (middle, high) if above > wanted else (low, middle)
+    return low
 
 
-def decode(x: np.ndarray, width: int, least: float) -> list[np.ndarray]:
+def decode(x: np.ndarray, width: int, size: int, least: float) -> list[np.ndarray]:
     """For each unit vector the ascending numbers of its filters.
 
     Only the nearest half vectors of each code can add up to the threshold;
     their combinations are tried, which is complete.
     """
-    a, b = codes(width)
+    a, b = codes(width, size)
     h = a.shape[1]
     x = np.pad(x, ((0, 0), (0, max(0, h + b.shape[1] - width))))
     s1, s2 = x[:, :h] @ a.T, x[:, h:] @ b.T
@@ -74,22 +87,22 @@ def decode(x: np.ndarray, width: int, least: float) -> list[np.ndarray]:
         if len(p) < LEAST_FILTERS:
             near = s1[i, :LEAST_FILTERS, None] + s2[i, None, :LEAST_FILTERS]
             p, q = np.unravel_index(np.argsort(-near, axis=None, kind="stable")[:LEAST_FILTERS], near.shape)
-        out.append(np.sort(o1[i, p].astype(np.int64) * CODE + o2[i, q]).astype(np.int32))
+        out.append(np.sort(o1[i, p].astype(np.int64) * size + o2[i, q]))
     return out
 
 
-def in_filters(vectors: DataFrame, width: int) -> DataFrame:
+def in_filters(vectors: DataFrame, width: int, size: int) -> DataFrame:
     """``id, v, times`` with the filters of each vector in ``fs``."""
-    least = threshold(width)
+    least = threshold(width, size)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 512):
                 g = f.iloc[at:at + 512].reset_index(drop=True)
                 x = unit(g["v"], width)
-                yield g.assign(fs=decode(x, width, least))
+                yield g.assign(fs=decode(x, width, size, least))
 
-    return vectors.mapInPandas(assign, f"id long, v {dict(vectors.dtypes)['v']}, times long, fs array<int>")
+    return vectors.mapInPandas(assign, f"id long, v {dict(vectors.dtypes)['v']}, times long, fs array<long>")
 
 
 def unit(vectors: pd.Series, width: int) -> np.ndarray:
@@ -106,7 +119,7 @@ def links(vectors: DataFrame, width: int, least: float = LEAST_COSINE) -> DataFr
 
     A pair that shares several filters counts in the first of them alone.
     """
-    listed = settled(in_filters(vectors, width))
+    listed = settled(in_filters(vectors, width, code_size(vectors.count())))
     rows = listed.select("id", F.explode("fs").alias("f"))
     sizes = settled(rows.groupBy("f").agg(F.count("*").alias("rows")).where("rows > 1"))
     total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
@@ -152,7 +165,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     Equal vectors are one vector that counts several times. Vectors that are
     null, zero, or hold null or non-finite components link with nothing and are
     their own component. Vectors of different lengths are continued by zeros.
-    Rows with equal vec_id count as different vectors.
+    Rows with equal vec_id count as different vectors. A row without vec_id links
+    like any other; a component's id is null if no row of it has one, and of rows
+    without id those of such components are kept.
     """
     rows = settled(vectors.select(F.col("vec_id").cast("long"), usable(F.col("embedding")).alias("v")))
     width = rows.agg(F.max(F.size("v"))).head()[0]
@@ -161,16 +176,19 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     if width is None or width < 1:
         return alone
     good = rows.where("v is not null").withColumn("h", F.xxhash64("v"))
-    classes = settled(good.groupBy("h", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")))
+    # Classes have numbers of their own, as ids may be null.
+    classes = settled(good.groupBy("h", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
+                      .withColumn("id", F.monotonically_increasing_id()))
     found = settled(links(classes.select("id", "v", "times"), width, least))
     direct = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = components(found.select("a", "b"))
     info = classes.join(direct, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").select(
         "h", F.col("v").alias("v2"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"))
-    out = good.join(info.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & (F.col("v") == F.col("v2")))
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")) \
-        .unionByName(alone)
+        F.coalesce("component", "id").alias("component"), "least")
+    named = info.groupBy("component").agg(F.min("least").alias("component_id"))
+    info = info.join(named, "component").select(F.col("h").alias("h2"), "v2", "n_links", "component_id")
+    out = good.join(info, (F.col("h") == F.col("h2")) & (F.col("v") == F.col("v2")))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def op5_caps(spark, sf_dir) -> DataFrame:

@@ -156,6 +156,23 @@ def test_links_against_all_pairs(spark):
     assert all(got[i]["n_links"] <= near[i].sum() for i in got)
 
 
+@pytest.mark.parametrize(("width", "size"), [(48, 256), (64, 256), (128, 256), (64, 1500)])
+def test_pairs_just_above_the_threshold_share_a_filter(width, size):
+    rng = np.random.default_rng(width + size)
+    n = 250
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((n, width)))
+    side = rng.standard_normal((n, width))
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    cosine = rng.uniform(0.95, 0.96, (n, 1))
+    b = cosine * a + np.sqrt(1 - cosine ** 2) * side
+    least = caps.threshold(width, size)
+    one, two = (caps.decode(x, width, size, least) for x in (a, b))
+    shared = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(one, two, strict=True)])
+    assert shared >= 0.97
+    assert 8 < np.mean([len(p) for p in one]) < 80
+
+
 def test_large_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(caps, "BLOCK", 16)
     test_links_against_all_pairs(spark)
