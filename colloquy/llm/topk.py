@@ -111,7 +111,7 @@ class Block:
             n = count(above)[:, None]
             # too many: look among those with the bit; too few: take them and look among the rest
             open_, taken = np.where(n > k, open_ & s, open_ & ~s), np.where(n > k, taken, above)
-        out_q, out_v, out_s = [], [], []
+        out_n, out_v, out_s = [], [], []
         unpack = lambda x: np.flatnonzero(np.unpackbits(x.view(np.uint8), bitorder="little"))
         for q in range(len(queries)):
             rows = unpack(taken[q])
@@ -120,9 +120,10 @@ class Block:
             score = np.zeros(len(rows), np.int64)
             for at, s in enumerate(total):
                 score += ((s[q, word] >> bit) & np.uint64(1)).astype(np.int64) << at
-            out_q.append(np.full(len(rows), query_ids[q])), out_v.append(self.ids[rows]), out_s.append(score + offset[q])
+            out_n.append(np.full(len(rows), q)), out_v.append(self.ids[rows]), out_s.append(score + offset[q])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pd.DataFrame({"query_id": cat(out_q), "vec_id": cat(out_v), "score": cat(out_s)})
+        n = cat(out_n).astype(np.int64)
+        return pd.DataFrame({"n": n, "query_id": query_ids[n], "vec_id": cat(out_v), "score": cat(out_s)})
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -137,31 +138,40 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     ``rows`` has ``vec_id`` and integer ``q``, ``queries`` has ``query_id`` and
     ``q``. A row with the query's id is no candidate. Ties go to the smaller
-    vec_id. Shorter vectors count as continued by zeros. An index block and a
-    bounded share of the queries meet in a task, which returns k rows a query;
-    the k best of all blocks follow by rank.
+    vec_id. Shorter vectors count as continued by zeros. Equal rows (of the same id
+    and vector) are one; rows of one id with different vectors are different
+    queries, each with ranks of its own, and different candidates. If a score could
+    exceed 62 bits, a ValueError is raised. An index block and a bounded share of
+    the queries meet in a task, which returns k rows a query; the k best of all
+    blocks follow by rank.
     """
-    rows = settled(rows.select(F.col("vec_id").cast("long"), "q"))
-    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).head()
-    queries = settled(queries.select(F.col("query_id").cast("long"), "q"))
-    asked, wide = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).head()
+    rows = settled(rows.select(F.col("vec_id").cast("long"), "q").distinct())
+    queries = settled(queries.select(F.col("query_id").cast("long"), "q").distinct().withColumn("number", F.monotonically_increasing_id()))
+    # Sums of 38 digits, so that the test itself cannot overflow.
+    size = F.transform("q", lambda x: F.abs(x.cast("decimal(20,0)")))
+    added = F.aggregate(size, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    n, width, most = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0)), F.coalesce(F.max(F.array_max(size)), F.lit(0))).head()
+    asked, wide, sums = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0)), F.coalesce(F.max(added), F.lit(0))).head()
+    if int(most) * int(sums) >= 1 << 62:
+        raise ValueError("components so large that a score may exceed 62 bits")
     width, blocks = max(width, wide), max(1, -(-n // BLOCK))
     shares = max(1, -(-asked // QUERIES_A_TASK), min(-(-asked // BATCH), -(-LEAST_TASKS // blocks)))
     index = rows.select("vec_id", "q", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks)).alias("block"),
                         F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    spread = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share"),
+    spread = queries.select("number", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share"),
                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"number": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         block = Block(left["vec_id"].to_numpy(), matrix(left["q"], width))
-        ids, q = right["query_id"].to_numpy(), matrix(right["q"], width)
-        return pd.concat([block.top(ids[a:a + BATCH], q[a:a + BATCH], k) for a in range(0, len(ids), BATCH)])
+        numbers, ids, q = right["number"].to_numpy(), right["query_id"].to_numpy(), matrix(right["q"], width)
+        found = [block.top(ids[a:a + BATCH], q[a:a + BATCH], k) for a in range(0, len(ids), BATCH)]
+        return pd.concat([f.assign(number=numbers[f["n"] + BATCH * i]) for i, f in enumerate(found)])[["number", "query_id", "vec_id", "score"]]
 
     met = index.groupBy("block", "share").cogroup(spread.groupBy("block", "share")).applyInPandas(
-        compare, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        compare, "number long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("number").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int"), "vec_id", "score")
 

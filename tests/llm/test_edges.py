@@ -92,6 +92,30 @@ def test_odd_vectors_in_search(spark):
     assert topk.search(v, empty.withColumnRenamed("vec_id", "query_id")).collect() == []
 
 
+def test_repeated_ids_large_components_and_clashing_columns_in_search(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.5, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantised(F.col("embedding")).alias("q"))
+    clash = v.withColumns({c: F.lit(1) for c in ("number", "block", "share", "rank", "score", "n")})
+    for d in (v, clash):
+        got = topk.search(d, d.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), 2).collect()
+        assert sorted(tuple(r) for r in got) == [(0, 1, 1, 4096), (0, 1, 2, 4096), (0, 2, 1, 2048), (0, 2, 2, 2048)]
+    large = spark.createDataFrame([(0, [3e17, 1.0]), (1, [3e17, 1.0])], "vec_id long, embedding array<double>") \
+        .select("vec_id", topk.quantised(F.col("embedding")).alias("q"))
+    with pytest.raises(ValueError, match="62 bits"):
+        topk.search(large, large.withColumnRenamed("vec_id", "query_id"))
+
+
+def test_links_beside_rows_without_ids(spark):
+    big = 2 ** 60
+    rows = [(big + 1, [1.0, 0.0]), (big + 3, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [0.0, 2.0]), (5, [-1.0, -1.0]), (None, [-1.0, -1.001]), (5, [-1.0, -1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clash = v.withColumns({c: F.lit("x") for c in ("id", "v", "h", "times", "component", "least", "fs", "n_links", "kept")})
+    want = {(big + 1, 1, big + 1, True), (big + 3, 1, big + 1, False), (None, 1, None, True), (5, 2, 5, True), (None, 2, 5, False)}
+    for d in (v, clash):
+        got = caps.near_vectors(d).collect()
+        assert len(got) == len(rows) and {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == want
+
+
 def test_odd_vectors_in_links(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.01], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [float("nan"), 1.0], 0), (6, [None, 1.0], 0),
             (7, [1.0, 0.0], 0), (8, [0.0, -3.0], 0), (9, [], 0)]
