@@ -157,15 +157,12 @@ def stream_clean(spark, sf):
 
 
 def stream_turns(spark, sf):
-    events = inputs.table(spark, sf, "events")
-    columns = F.col("user_id").alias("recording_id"), F.col("event_type").alias("speaker"), F.col("ts").cast("timestamp").alias("ts")
-    arriving = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select(*columns)
-    sessions = jobs.stream_turns(arriving, "ts", "12 hours", "1 day")
+    schema = inputs.table(spark, sf, "events").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select(
+        F.col("user_id").alias("recording_id"), F.col("event_type").alias("speaker"), F.col("ts").cast("timestamp").alias("ts"))
     folder = _folder(spark)
-    jobs.write_available(sessions, f"{folder}/out", f"{folder}/state").awaitTermination()
-    emitted = spark.read.schema("recording_id bigint, speaker string, session_start timestamp, session_end timestamp, "
-                                "turns bigint").parquet(f"{folder}/out")
-    return jobs.closed_turns(emitted, events.select(*columns), "ts", "12 hours")
+    jobs.write_available(jobs.stream_turns(arriving, "ts", "12 hours", "1 day"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.sessions_of(spark.read.schema(jobs.SESSION_LOG).parquet(f"{folder}/out")).drop("open")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -351,7 +348,7 @@ ORACLE = {
     "corpus_summary": with_("transcripts", also=f"base AS ({_SUMMARY})") + """
         SELECT tier, type, count(*) AS meetings, sum(raw_chars)::BIGINT AS raw_chars, sum(cleaned_chars)::BIGINT AS cleaned_chars
         FROM base GROUP BY ROLLUP (tier, type)""",
-    # Sessions that ended a day before the last turn; later ones are still open.
+    # Closed sessions and open ones.
     "stream_turns": """WITH e AS (SELECT user_id AS recording_id, event_type AS speaker, ts,
             coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOURS, true)::INT AS opens FROM events
             WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),

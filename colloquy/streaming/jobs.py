@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import DEFAULT_FILLERS
 from ..operators.cleaning import clean
 from ..operators.glossary import Term, apply_exact
 
+SESSION_LOG = ("recording_id bigint, speaker string, kind string, session_start timestamp, session_end timestamp, "
+               "turns bigint, version bigint")
+
 
 def stream_clean(arriving: DataFrame, terms: Sequence[Term] = (), fillers: Sequence[str] = DEFAULT_FILLERS,
                  text: str = "text") -> DataFrame:
@@ -26,30 +32,82 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
             .trigger(availableNow=True).start())
 
 
-def stream_turns(arriving: DataFrame, time: str = "ts", gap: str = "30 seconds", lateness: str = "10 minutes") -> DataFrame:
-    """Speaking sessions per recording and speaker from arriving turns.
+def stream_turns(arriving: DataFrame, time: str = "ts", gap: str = "30 seconds", lateness: str = "10 minutes",
+                 idle: str | None = None) -> DataFrame:
+    """Speaking sessions per recording and speaker from arriving turns, as a log of ``SESSION_LOG`` rows.
 
     A session ends after ``gap`` of silence of that speaker; interruptions by
-    others do not end it. Turns later than ``lateness`` are dropped, which also
-    bounds the state.
-    """
-    return _sessions(arriving.withWatermark(time, lateness), time, gap)
-
-
-def _sessions(turns: DataFrame, time: str, gap: str) -> DataFrame:
-    return (turns.groupBy("recording_id", "speaker", F.session_window(time, gap).alias("session"))
-            .agg(F.count("*").alias("turns"))
-            .select("recording_id", "speaker", F.col("session.start").alias("session_start"),
-                    F.col("session.end").alias("session_end"), "turns"))
-
-
-def closed_turns(emitted: DataFrame, turns: DataFrame, time: str = "ts", gap: str = "30 seconds") -> DataFrame:
-    """All sessions at the end of the input: what the stream emitted, and those still open in its state.
-
-    ``turns`` is the whole input as a batch.
+    others do not end it. The state of a speaker holds the sessions that a turn may
+    still change. Whenever turns arrive, those sessions are written as ``open``,
+    with the time of the batch as their version; a session that ends more than
+    ``lateness`` before the latest turn is written as ``closed`` once and leaves the
+    state, when its speaker is heard again or has been silent for ``idle``. (Without
+    ``idle`` a silent speaker's last sessions stay; with it a query that is to stop
+    at the end of its input doesn't stop.) A turn later than that is written as
+    ``late`` and changes no session. ``sessions_of`` and ``late_turns`` read the log.
     """
-    keys = ["recording_id", "speaker", "session_start", "session_end"]
-    # Not as an anti join, which the optimizer would push below the merging of sessions.
-    seen = emitted.select(*keys, F.lit(True).alias("_seen"))
-    rest = _sessions(turns, time, gap).join(seen, keys, "left").where("_seen IS NULL").drop("_seen")
-    return emitted.unionByName(rest)
+    silence = _micros(arriving, gap)
+    wait = idle and max(1, _micros(arriving, idle) // 1000)
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.getCurrentWatermarkMs() * 1000
+        starts, ends, turns = (np.array(x, np.int64) for x in state.get) if state.exists else (np.zeros(0, np.int64) for _ in range(3))
+        late, changed = [], False
+        for f in () if state.hasTimedOut else frames:
+            at = f["at"].to_numpy(np.int64)
+            late += at[at < known].tolist()
+            at = at[at >= known]
+            changed |= len(at) > 0
+            starts, ends, turns = _merged(np.append(starts, at), np.append(ends, at + silence), np.append(turns, np.ones(len(at), np.int64)))
+        done = ends < known
+        rows = [("late", t, t, 1) for t in late]
+        rows += [("closed", *r) for r in zip(starts[done], ends[done], turns[done], strict=True)]
+        if changed or done.any():
+            rows += [("open", *r) for r in zip(starts[~done], ends[~done], turns[~done], strict=True)]
+        if done.all():
+            state.remove()
+        else:
+            state.update((starts[~done].tolist(), ends[~done].tolist(), turns[~done].tolist()))
+            if wait:
+                state.setTimeoutDuration(wait)
+        if rows:
+            out = pd.DataFrame(rows, columns=["kind", "session_start", "session_end", "turns"])
+            out.insert(0, "speaker", key[1])
+            out.insert(0, "recording_id", key[0])
+            yield out.assign(version=state.getCurrentProcessingTimeMs())
+
+    # With a time-out by event time late rows would not come through.
+    kind = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
+    log = (arriving.withWatermark(time, lateness).select("recording_id", "speaker", time, F.unix_micros(time).alias("at"))
+           .groupBy("recording_id", "speaker")
+           .applyInPandasWithState(follow, "recording_id long, speaker string, kind string, session_start long, session_end long, turns long, version long",
+                                   "starts array<long>, ends array<long>, turns array<long>", "append", kind))
+    return log.withColumns({c: F.timestamp_micros(c) for c in ("session_start", "session_end")})
+
+
+def _micros(df: DataFrame, interval: str) -> int:
+    """Microseconds of an interval such as ``30 seconds``."""
+    return df.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {interval})").head()[0]
+
+
+def _merged(starts: np.ndarray, ends: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sessions that touch are one."""
+    order = np.lexsort((ends, starts))
+    starts, ends, turns = starts[order], np.maximum.accumulate(ends[order]) if len(order) else ends, turns[order]
+    first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1])) if len(order) else order
+    last = np.append(first[1:], len(starts)) - 1 if len(order) else order
+    return starts[first], ends[last], np.add.reduceat(turns, first) if len(order) else turns
+
+
+def sessions_of(log: DataFrame) -> DataFrame:
+    """The sessions that a log of ``stream_turns`` knows: closed ones, and open ones as last written for their speaker."""
+    key = ["recording_id", "speaker"]
+    last = log.where("kind <> 'late'").groupBy(*key).agg(F.max("version").alias("_last")).withColumnsRenamed({k: f"_{k}" for k in key})
+    same = F.col("recording_id").eqNullSafe(F.col("_recording_id")) & F.col("speaker").eqNullSafe(F.col("_speaker"))
+    return log.where("kind <> 'late'").join(last, same).where("kind = 'closed' OR version = _last").select(
+        *key, "session_start", "session_end", "turns", (F.col("kind") == "open").alias("open"))
+
+
+def late_turns(log: DataFrame) -> DataFrame:
+    """Turns that came too late to change a session."""
+    return log.where("kind = 'late'").select("recording_id", "speaker", F.col("session_start").alias("ts"))
