@@ -25,8 +25,6 @@ from .ordered import settle
 ASCII_FORM = "[A-Za-z0-9][A-Za-z0-9 .\\-_+/%]*"
 REPEAT_THRESHOLD = 5
 SNIPPET_WIDTH = 12
-# Most glossary forms that one plan may carry.
-MAX_FORMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -50,15 +48,6 @@ def as_table(spark: SparkSession, terms: Glossary) -> DataFrame:
     return terms if isinstance(terms, DataFrame) else glossary_table(spark, terms)
 
 
-def terms_of(df: DataFrame) -> list[Term]:
-    """Driver rows of a glossary table, in term order; refuses a table that is no glossary."""
-    rows = df.orderBy("term_ord").limit(MAX_FORMS + 1).collect()
-    if len(rows) > MAX_FORMS:
-        raise ValueError(f"a glossary of more than {MAX_FORMS} terms cannot be carried in a plan")
-    return [Term(r["term"], r["context"] or "", tuple(r["corrections"] or ()),
-                 tuple(r["auto_variants"] or ())) for r in rows]
-
-
 def correction_map(terms: Sequence[Term]) -> dict[str, str]:
     """Wrong form (lower case) to term; the first term that claims a form keeps it."""
     out: dict[str, str] = {}
@@ -230,7 +219,11 @@ def scan_variants(df: DataFrame, terms: Glossary, max_hits: int | None = None,
 
 # ----------------------------------------------------------- phonetic detection
 def _sound_alphabet(pinyin: Mapping[str, str]) -> tuple[str, str]:
-    """Characters and what stands for each: one character per syllable; capitals become small."""
+    """Characters and what stands for each: one character per syllable; capitals become small.
+
+    Homophones become equal characters, so comparing syllables is comparing
+    characters; a text keeps its length.
+    """
     stand: dict[str, str] = {}
     for ch, syllable in pinyin.items():
         stand.setdefault(syllable, syllable if len(syllable) == 1 else ch)
@@ -238,16 +231,6 @@ def _sound_alphabet(pinyin: Mapping[str, str]) -> tuple[str, str]:
             "".join(stand[s] for s in pinyin.values()) + "abcdefghijklmnopqrstuvwxyz")
 
 
-def syllable_text(c: Column, pinyin: Mapping[str, str]) -> Column:
-    """Text with each character replaced by one that stands for its syllable.
-
-    Homophones become equal characters, so comparing syllables is comparing
-    characters; the text keeps its length.
-    """
-    source, target = _sound_alphabet(pinyin)
-    return F.translate(c, source, target)
-
-
 def pinyin_map(pinyin: DataFrame) -> dict[str, str]:
     """Driver copy of the pinyin table, at most one row per Han character."""
     rows = pinyin.select("ch", "syllable", "cp").orderBy("cp").limit(120_001).collect()
@@ -414,63 +397,37 @@ def corpus_hit_summary(hits: DataFrame) -> DataFrame:
         F.count("*").alias("hits"), F.count_distinct("meeting_id").alias("meetings"))
 
 
-def fuzzy_corrections(df: DataFrame, terms: Sequence[Term], min_len: int = 1,
+def fuzzy_corrections(df: DataFrame, terms: Glossary, min_len: int = 1,
                       text: str = "text") -> DataFrame:
     """Terms some wrong form of which occurs in the text up to two edits.
 
     A window of the form's length and script counts. Two edits leave one of a
-    form's three parts intact, moved by at most one place: the text's grams are
-    joined to those parts, and only the windows around a match are compared.
-    Forms of one or two characters are within two edits of any window;
-    ``min_len`` leaves them out.
+    form's three parts intact, moved by at most one place: the parts of all forms
+    are found together, and only the windows around a match are compared.
+    Forms of one or two characters are within two edits of any window of their
+    length and script, which a text has or has not; ``min_len`` leaves them out.
     """
-    forms = [(i, t.term, w.lower()) for i, t in enumerate(terms) for w in t.corrections if w and len(w) >= min_len]
-    spark = df.sparkSession
-    lowered = df.select("meeting_id", F.split(F.lower(text), "").alias("_cs"))
-
-    def grams(n: int) -> Column:
-        size = F.size("_cs")
-        return F.transform(
-            F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(i.alias("at"), F.array_join(F.slice(F.col("_cs"), i, n), "").alias("gram")))
-
-    found = spark.createDataFrame([], df.select("meeting_id").schema.add("term_ord", "integer").add("term", "string"))
-    for i, term, wrong in [f for f in forms if len(f[2]) <= 2]:
-        cjk = bool(re.search(f"[{CJK_CLASSES}]", wrong))
-        found = found.unionByName(lowered.where(F.exists(
-            grams(len(wrong)), lambda g: has_cjk(g["gram"]) == F.lit(cjk))).select(
-            "meeting_id", F.lit(i).alias("term_ord"), F.lit(term).alias("term")))
-    parts = []
-    for i, term, wrong in [f for f in forms if len(f[2]) > 2]:
-        third = len(wrong) // 3
-        for offset, part in ((0, wrong[:third]), (third, wrong[third:2 * third]), (2 * third, wrong[2 * third:])):
-            parts.append((i, term, wrong, offset, part))
-    if parts:
-        entries = spark.createDataFrame(
-            parts, "term_ord int, term string, wrong string, offset int, gram string")
-        reach = max(len(f[2]) for f in forms) + 1
-        by_size: dict[int, set[str]] = {}
-        for p in parts:
-            by_size.setdefault(len(p[4]), set()).add(p[4])
-
-        def known_grams(n: int, known: set[str]) -> Column:
-            return F.filter(grams(n), lambda g: g["gram"].isin(sorted(known)))
-
-        every = F.flatten(F.array(*[known_grams(n, known) for n, known in sorted(by_size.items())]))
-
-        def surrounded(g: Column) -> Column:
-            low = F.greatest(g["at"] - 1 - reach, F.lit(0))
-            around = F.slice(F.col("_cs"), low + 1, g["at"] - 1 - low + 2 * reach)
-            return F.struct(g["gram"].alias("gram"), (g["at"] - 1 - low).alias("mid"),
-                            F.array_join(around, "").alias("around"))
-
-        near = lowered.select("meeting_id", F.explode(F.transform(every, surrounded)).alias("g")).select(
-            "meeting_id", "g.*")
-        start = F.col("mid") - F.col("offset") + F.col("shift")
-        window = slice_text(F.col("around"), start, F.length("wrong"))
-        close = near.join(entries, "gram").withColumn(
-            "shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where(start >= 0).withColumn("w", window)
-        found = found.unionByName(close.where(
-            (F.length("w") == F.length("wrong")) & (has_cjk(F.col("w")) == has_cjk(F.col("wrong")))
-            & (F.levenshtein("w", "wrong", 2) >= 0)).select("meeting_id", "term_ord", "term"))
-    return found.distinct()
+    forms = as_table(df.sparkSession, terms).select("term_ord", "term", F.explode("corrections").alias("wrong")) \
+        .withColumn("wrong", F.lower("wrong")).where(F.length("wrong") >= F.lit(max(1, min_len))).distinct()
+    lowered = df.select("meeting_id", F.lower(text).alias("_low"))
+    cjk, size = F.col("_low").rlike(f"[{CJK_CLASSES}]"), F.length("_low")
+    held = F.array(F.when(cjk, "1 true"), F.when(F.col("_low").rlike(f"[^{CJK_CLASSES}]"), "1 false"), F.when(cjk & (size >= 2), "2 true"),
+                   F.when(F.col("_low").rlike(f"(?s)[^{CJK_CLASSES}]{{2}}"), "2 false"))
+    kind = F.concat(F.length("wrong").cast("string"), F.lit(" "), has_cjk(F.col("wrong")).cast("string"))
+    short = forms.where(F.length("wrong") <= 2).select(kind.alias("_kind"), "term_ord", "term").distinct()
+    found = lowered.select("meeting_id", F.explode(F.array_compact(held)).alias("_kind")).join(short, "_kind").drop("_kind")
+
+    third = F.floor(F.length("wrong") / 3).cast("int")
+    part = lambda n: F.struct((third * n).alias("offset"), F.substring(
+        F.col("wrong"), third * n + 1, third if n < 2 else F.length("wrong")).alias("key"))
+    parts = forms.where(F.length("wrong") > 2).select("*", F.explode(F.array(*map(part, range(3)))).alias("p")).select(
+        "term_ord", "term", "wrong", "p.offset", "p.key")
+    reach = forms.agg(F.coalesce(F.max(F.length("wrong")), F.lit(0))).head()[0] + 1
+    near = matches(lowered, parts, surround=reach, text="_low").select(
+        "*", F.length("before").alias("mid"), F.concat("before", "matched", "after").alias("around"))
+    start = F.col("mid") - F.col("offset") + F.col("shift")
+    close = near.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).where(start >= 0).withColumn(
+        "w", slice_text(F.col("around"), start, F.length("wrong")))
+    return found.unionByName(close.where(
+        (F.length("w") == F.length("wrong")) & (has_cjk(F.col("w")) == has_cjk(F.col("wrong")))
+        & (F.levenshtein("w", "wrong", 2) >= 0)).select("meeting_id", "term_ord", "term")).distinct()

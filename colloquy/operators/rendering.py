@@ -2,7 +2,8 @@
 
 A renderer returns rows ``meeting_id, part, ord, text``: the document is the
 texts in order, joined by newlines. ``assemble`` turns them into one row per
-document, which must fit into a row.
+document, which must fit into a row; ``laid_out`` gives each line its place in a
+document of any length.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import asker_label, valid_timerange
 from .glossary import hit_summary
-from .ordered import SPAN, large_keys, ordered_concat, ordinal_bucket, running_sum
+from .ordered import SPAN, large_keys, numbered, ordered_concat, ordinal_bucket, running_sum
 
+# Lines of a piece of the order, as a power of two.
+PIECE_SHIFT = 16
 # Fixed values of the documents.
 TITLE, EMPTY = "# 会议纪要\n", "（无内容）"
 QA_HEADING = "---\n\n## Q&A 环节\n"
@@ -59,6 +62,18 @@ def assemble(lines: DataFrame) -> DataFrame:
     return ordered_concat(lines, ["meeting_id"], [F.col("part"), F.col("ord")], F.col("text"), sep="\n")
 
 
+def laid_out(lines: DataFrame) -> DataFrame:
+    """``meeting_id, text_start, text``: where in its document each line starts, in characters.
+
+    The documents as ``assemble`` makes them, without being put together: a document
+    may have any number of lines. All lines lie in one order that is cut at
+    any place, and starts are summed by pieces of it first.
+    """
+    placed = numbered(lines, [F.col("meeting_id"), F.col("part"), F.col("ord")])
+    ends = running_sum(placed, ["meeting_id"], [F.col("g")], F.length("text") + 1, bucket=F.shiftright("g", PIECE_SHIFT), out="_end")
+    return ends.select("meeting_id", (F.col("_end") - F.length("text") - 1).alias("text_start"), "text")
+
+
 def _numbered(sections: DataFrame, span: int = SPAN) -> DataFrame:
     large = large_keys(sections, ["meeting_id"], span)
     return running_sum(sections, ["meeting_id"], [F.col("sec_ord")], F.lit(1),

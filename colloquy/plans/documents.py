@@ -98,6 +98,13 @@ def render_report(spark, sf):
         s, q, report, coverage, factcheck.check_citations(s, t), factcheck.unsupported_claims(s, q)))
 
 
+def minutes_lines(spark, sf):
+    """Lines of the minutes with their places, through the sink."""
+    lines = rendering.laid_out(rendering.render_minutes(inputs.sections(spark, sf), inputs.qa_pairs(spark, sf)))
+    path = files.write_lines(lines, shared_folder(spark), f"lines-{uuid.uuid4().hex}")
+    return spark.read.schema("meeting_id bigint, text_start bigint, text string").json(path)
+
+
 def minutes_to_json(spark, sf):
     return rendering.assemble(rendering.minutes_to_json(inputs.sections(spark, sf), inputs.qa_pairs(spark, sf)))
 
@@ -132,6 +139,15 @@ def document_round_trip(spark, sf):
     return files.read_documents(spark, files.write_documents(inputs.transcripts(spark, sf), root, "texts"))
 
 
+def read_transcripts(spark, sf):
+    """Every document as a file in a folder of its own, all of the same name but for what the writer adds, cleaned and keyed by the folder."""
+    root = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    texts = inputs.transcripts(spark, sf).where("meeting_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    texts.repartition("meeting_id").write.partitionBy("meeting_id").text(root)
+    read = files.read_transcripts(spark, root)
+    return read.select(F.regexp_extract("meeting_id", "^meeting_id=([^/]+)/part-", 1).cast("long").alias("meeting_id"), "text")
+
+
 def run_summary(spark, sf):
     return reports.run_summary(inputs.transcripts(spark, sf), inputs.sections(spark, sf),
                                inputs.qa_pairs(spark, sf), fillers=FILLERS)
@@ -167,8 +183,9 @@ def stream_turns(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     glossary_rules, hotword_prompt, background_text, build_prompts, estimate_calls, generate, import_results,
-    render_minutes, render_report, minutes_to_json, render_review, match_template_sections, render_formal,
-    render_term_report, run_summary, corpus_summary, document_round_trip, stream_clean, stream_turns)}
+    render_minutes, minutes_lines, render_report, minutes_to_json, render_review, match_template_sections, render_formal,
+    render_term_report, run_summary, corpus_summary, document_round_trip, read_transcripts,
+    stream_clean, stream_turns)}
 
 # ------------------------------------------------------------------------ oracle
 _RULES = """- 当出现「tion、tions」时，应纠正为「TION」（a suffix）
@@ -361,3 +378,12 @@ ORACLE = {
         SELECT meeting_id, string_agg(coalesce(correct, run), '' ORDER BY i) AS text FROM mapped GROUP BY meeting_id""",
 }
 ORACLE["document_round_trip"] = inputs.SQL["transcripts"]
+ORACLE["read_transcripts"] = "SELECT doc_id AS meeting_id, coalesce(text, '') || chr(10) AS text FROM documents WHERE doc_id IS NOT NULL"
+ORACLE["minutes_lines"] = with_("sections", "qa_pairs", also=f"""
+    {_IDS}, n AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY sec_ord) AS i FROM sections),
+    ls AS (SELECT meeting_id, 0 AS part, 0 AS ord, '# 会议纪要' || chr(10) AS text FROM ids
+        UNION ALL SELECT meeting_id, 1, sec_ord, '## ' || i || '. ' || title || {_REFS.format(c='citations')} || chr(10) || chr(10)
+            || CASE WHEN content = '' THEN '（无内容）' ELSE content END || chr(10) FROM n
+        UNION ALL SELECT DISTINCT meeting_id, 2, 0, '---' || chr(10) || chr(10) || '## Q&A 环节' || chr(10) FROM qa_pairs
+        UNION ALL SELECT meeting_id, 3, qa_ord, '- **访谈方**：' || question || chr(10) || '  - ' || answer || chr(10) FROM qa_pairs)""") + """
+    SELECT meeting_id, (sum(length(text) + 1) OVER (PARTITION BY meeting_id ORDER BY part, ord) - length(text) - 1)::BIGINT AS text_start, text FROM ls"""

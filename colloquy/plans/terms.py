@@ -303,6 +303,7 @@ ORACLE["fuzzy_part_corrections"] = """
         lambda i: low[i:i + length(form) - 1])) AS w FROM texts, forms)
     SELECT DISTINCT meeting_id, term_ord, term FROM windows WHERE levenshtein(w, form) <= 2"""
 
+# SQL that finds the variants, sounds and edits of these on whole texts is too slow; tests compare them with plain programs.
 # The large glossary: a term has the numbers from p_partkey * 8 on, in syllables and in Han letters.
 _SPELLED = ("array_to_string(list_transform(string_split(lpad(to_hex(x), 4, '0'), ''), lambda d: ["
             + ", ".join(f"'{x}'" for x in SYLLABLES) + "][strpos('0123456789ABCDEF', d)]), '')")
@@ -312,6 +313,9 @@ def _han_sql(n: str, size: int) -> str:
     return f"translate(lpad(upper(to_base({n}, 13)), {size}, '0'), '0123456789ABC', '{inputs.CJK_TO}')"
 
 
+# Slices count graphemes, which is slow on whole texts; these count characters.
+_PLACE = ("replace(substr(text, greatest({s} - 11, 1), {s} - greatest({s} - 11, 1) + 1) || '【' || substr(text, {s} + 1, {e} - {s}) || '】' "
+          "|| substr(text, {e} + 1, 12), chr(10), ' ')")
 _LARGE = f"""
     numbers AS (SELECT p_partkey::INTEGER AS term_ord, j::INTEGER AS j, (p_partkey * {FORMS_PER_PART} + j)::BIGINT AS x,
                     {_han_sql(f'p_partkey * {FORMS_PER_PART}', 5)} AS term FROM part, range({FORMS_PER_PART}) r(j)),
@@ -323,42 +327,21 @@ _LARGE = f"""
                    (sum(length(run)) OVER (PARTITION BY meeting_id ORDER BY i))::INTEGER AS stop
                FROM runs LEFT JOIN spelled ON form = lower(run))"""
 _FIVE = f"""
+    han AS MATERIALIZED (SELECT meeting_id, text FROM cjk),
     numbers AS (SELECT p_partkey::INTEGER AS term_ord, j::INTEGER AS j, {_han_sql(f'p_partkey * {FORMS_PER_PART}', 5)} AS term,
                     {_han_sql(f'p_partkey * {FORMS_PER_PART} + j', 5)} AS form FROM part, range({FORMS_PER_PART}) r(j)),
-    cs AS (SELECT DISTINCT meeting_id, c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] AS form FROM (
-        SELECT meeting_id, c, unnest(range(1, len(c) - 3)) AS i FROM (SELECT meeting_id, string_split(text, '') AS c FROM cjk))),
-    met AS (SELECT meeting_id, text, term_ord, j, term, form, string_split(text, form) AS ps
-            FROM cs JOIN numbers USING (form) JOIN cjk USING (meeting_id))"""
-_SIX = "c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] || c[i + 5]"
+    cs AS MATERIALIZED (SELECT DISTINCT meeting_id, c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4] AS form FROM (
+        SELECT meeting_id, c, unnest(range(1, len(c) - 3)) AS i FROM (SELECT meeting_id, string_split(text, '') AS c FROM han))),
+    met AS MATERIALIZED (SELECT meeting_id, term_ord, j, term, form, list_transform(string_split(text, form), lambda p: length(p) + 5) AS ls
+            FROM cs JOIN numbers USING (form) JOIN han USING (meeting_id))"""
 ORACLE |= {
     "large_exact_hits": with_("transcripts", also=_LARGE) + f"""
         SELECT m.meeting_id, correct AS term, run AS matched, stop - length(run) AS hit_start, stop AS hit_end,
-            'exact' AS kind, {_SNIP.format(s='(stop - length(run))', e='stop')} AS context
+            'exact' AS kind, {_PLACE.format(s='(stop - length(run))', e='stop')} AS context
         FROM mapped m JOIN transcripts t ON t.meeting_id = m.meeting_id WHERE correct IS NOT NULL""",
     "large_apply_exact": with_("transcripts", also=_LARGE) + """
         SELECT meeting_id, string_agg(coalesce(correct, run), '' ORDER BY i) AS text FROM mapped GROUP BY meeting_id""",
-    "large_scan_variants": with_("cjk", also=_FIVE + """,
-        rights AS (SELECT meeting_id, term, len(ps) - 1 AS n FROM met WHERE j = 0),
-        kept AS (SELECT m.* FROM met m LEFT JOIN rights r ON r.meeting_id = m.meeting_id AND r.term = m.term
-                 WHERE j > 0 AND NOT (r.n IS NOT NULL AND len(ps) - 1 > greatest(5, r.n))),
-        spots AS (SELECT meeting_id, term, form, text,
-                      (sum(length(ps[i]) + 5) OVER (PARTITION BY meeting_id, form ORDER BY i))::INTEGER AS stop
-                  FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM kept))""") + f"""
-        SELECT meeting_id, term, form AS matched, stop - 5 AS hit_start, stop AS hit_end, 'variant' AS kind,
-            {_SNIP.format(s='(stop - 5)', e='stop')} AS context FROM spots""",
-    "large_scan_phonetic": with_("cjk", also=f"""
-        cs AS (SELECT meeting_id, (i - 1)::INTEGER AS start, {_SIX} AS w FROM (
-            SELECT meeting_id, c, unnest(range(1, len(c) - 4)) AS i FROM (SELECT meeting_id, string_split(text, '') AS c FROM cjk))),
-        words AS (SELECT term, {_SOUND.format('term')} AS sound FROM (SELECT DISTINCT {_han_sql('p_partkey * 2411 % 4826809', 6)} AS term FROM part)),
-        keys AS (SELECT term, k, sound[:k - 1] || '_' || sound[k + 1:] AS key FROM words, range(1, 7) r(k)),
-        wins AS (SELECT w, k, sw[:k - 1] || '_' || sw[k + 1:] AS key FROM (
-            SELECT DISTINCT w, {_SOUND.format('w')} AS sw FROM cs WHERE regexp_full_match(w, '[\\x{{4e00}}-\\x{{9fff}}]+')), range(1, 7) r(k)),
-        found AS (SELECT DISTINCT term, w FROM wins JOIN keys USING (k, key) WHERE w <> term
-            AND (w[1] = term[1] OR w[2] = term[2] OR w[3] = term[3] OR w[4] = term[4] OR w[5] = term[5] OR w[6] = term[6])
-            AND len(list_intersect(list_distinct(string_split(w, '')), list_distinct(string_split(term, '')))) >= 3)""") + f"""
-        SELECT p.meeting_id, term, w AS matched, start AS hit_start, start + 6 AS hit_end, 'phonetic' AS kind,
-            {_SNIP.format(s='start', e='(start + 6)')} AS context
-        FROM cs p JOIN found USING (w) JOIN cjk c ON c.meeting_id = p.meeting_id""",
     "large_term_frequency": with_("cjk", also=_FIVE) + """
-        SELECT meeting_id, term_ord, term, sum(len(ps) - 1)::BIGINT AS occurrences FROM met GROUP BY ALL""",
+        SELECT meeting_id, term_ord, term, sum((length(text) - length(replace(text, form, ''))) // 5)::BIGINT AS occurrences
+        FROM cs JOIN numbers USING (form) JOIN han USING (meeting_id) GROUP BY ALL""",
 }

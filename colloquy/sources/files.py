@@ -21,12 +21,33 @@ except ImportError:  # pragma: no cover
     yaml = None
 
 
-def read_transcripts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per ``.txt`` or ``.md`` file: ``meeting_id`` (its name without the ending), ``source`` (its path), ``text``."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
-    name = F.regexp_extract("source", "(?i)([^/]*)\\.(?:txt|md)$", 1)
-    return df.where(F.lower("source").rlike("\\.(txt|md)$")).select(name.alias("meeting_id"), "source", "text")
+def transcript_files(spark: SparkSession, root: str, endings: Sequence[str] = ("txt", "md")) -> DataFrame:
+    """``meeting_id, source, bytes, text, problem``: one row per transcript file below a folder.
+
+    Spark lists the folder and packs small files into splits by their sizes. A
+    ``meeting_id`` is the path below ``root`` without the ending, so that files of the
+    same name in different folders stay apart. A file that is no UTF-8 has no text and a
+    ``problem``; a mark of the byte order at its start is left out.
+    """
+    read = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+            .where(F.lower("path").rlike(f"\\.({'|'.join(endings)})$")))
+    fine = F.is_valid_utf8("content")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    # The folder may be named without its store; paths have it.
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    below = F.substr(F.col("path"), F.locate(folder, F.col("path")) + len(folder))
+    return read.select(F.regexp_replace(below, "\\.[^./]*$", "").alias("meeting_id"), F.col("path").alias("source"),
+                       F.col("length").alias("bytes"), F.when(fine, text).alias("text"), F.when(~fine, "not UTF-8").alias("problem"))
+
+
+def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
+    """``meeting_id, source, text`` of the readable files below a folder."""
+    return transcript_files(spark, root).where("problem IS NULL").select("meeting_id", "source", "text")
+
+
+def rejected_files(spark: SparkSession, root: str) -> DataFrame:
+    """``meeting_id, source, bytes, problem`` of the files that ``read_transcripts`` leaves out; their contents are not returned."""
+    return transcript_files(spark, root).where("problem IS NOT NULL").select("meeting_id", "source", "bytes", "problem")
 
 
 def read_documents(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
@@ -124,3 +145,11 @@ def write_documents(documents: DataFrame, root: str, suffix: str, mode: str = "o
     path = os.path.join(root, suffix)
     documents.select("meeting_id", "text").write.mode(mode).json(path)
     return path
+
+
+def write_lines(lines: DataFrame, root: str, suffix: str, mode: str = "overwrite") -> str:
+    """Laid out documents (``meeting_id, text_start, text``) as JSON lines: a document's lines follow each other, in one file or in several."""
+    path = os.path.join(root, suffix)
+    order = ["meeting_id", "text_start"]
+    lines.select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).json(path)
+    return path

@@ -24,9 +24,9 @@ def value(spark, make, *args):
 # ------------------------------------------------------------------- cleaning
 @pytest.mark.parametrize("text,want", [
     ("赵一:\n先过一遍日程\n赵一:\n再看预算表", "赵一:\n先过一遍日程再看预算表"),
-    ("A:\n1\nA:\n2\nB:\n3\nA:\n4", "A:\n12\n\nB:\n3\n\nA:\n4"),
+    ("K:\nx\nK:\ny\nL:\nz\nK:\nw", "K:\nxy\n\nL:\nz\n\nK:\nw"),
     ("no labels", "no labels"), ("  ", "  "),
-    ("intro\nA:\n1", "intro\n\n\nA:\n1"),
+    ("lead\nK:\nx", "lead\n\n\nK:\nx"),
 ])
 def test_merge_speaker_text(spark, text, want):
     assert value(spark, tx.merge_speaker_text, text) == want
@@ -56,7 +56,7 @@ def test_normalize_numbers(spark, text, want):
 
 
 @pytest.mark.parametrize("text,want", [
-    ('{"text": "第一句。"}\n{"text": "第二句。"}', "第一句。\n第二句。"), ('{"text": "a"}\nplain', '{"text": "a"}\nplain'),
+    ('{"text": "早上好。"}\n{"text": "开始吧。"}', "早上好。\n开始吧。"), ('{"text": "a"}\nplain', '{"text": "a"}\nplain'),
     ('{"text": 1}', '{"text": 1}'), ('{"text": "a"} x', '{"text": "a"} x'),
     ("1\n00:00:01,000 --> 00:00:02,000\n你好\n\n2\n00:00:02,000 --> 00:00:03,000\n再见", "你好\n再见"),
     ("WEBVTT\n\n00:01 --> 00:02\nhi\nNOTE x", "hi")])
@@ -149,11 +149,11 @@ def one(spark, text):
 
 
 @pytest.mark.parametrize("terms,text,want,hits", [
-    ([Term("示例电子", "", ("示例电字",))], "和示例电字的合同下周到期", "和示例电子的合同下周到期", 1),
-    ([Term("GMV", "", ("GMB",))], "GMB 同比增长，GMBX 不变", "GMV 同比增长，GMBX 不变", 1),
+    ([Term("星河仪表", "", ("星河仪标",))], "把星河仪标的报价发出去", "把星河仪表的报价发出去", 1),
+    ([Term("ARPU", "", ("ARPV",))], "ARPV 环比持平，ARPVX 另算", "ARPU 环比持平，ARPVX 另算", 1),
     ([Term("OpenMP", "", ("openmp",))], "改用 Openmp 并行", "改用 OpenMP 并行", 1),
     ([Term("流片", "", ("流片",))], "流片", "流片", 0),
-    ([Term("示例电子", "", ("示例电字",)), Term("示例集团", "", ("示例",))], "示例电字那边", "示例电子那边", 1),
+    ([Term("星河仪表", "", ("星河仪标",)), Term("星河集团", "", ("星河",))], "星河仪标一侧", "星河仪表一侧", 1),
     ([Term("HBM", "", ("HBM2E", "HBM内存", "h+b"))], "HBM2E与HBM内存，H+B", "HBM与HBM，HBM", 3)])
 def test_apply_exact(spark, terms, text, want, hits):
     assert gl.apply_exact(one(spark, text), terms).head().text == want
@@ -165,8 +165,8 @@ def test_apply_exact(spark, terms, text, want, hits):
 
 
 @pytest.mark.parametrize("word,text,want", [
-    ("示例电子", "拜访示例垫子谈了排期", ["示例垫子"]), ("流片", "她发来六篇稿件", []), ("返投", "去年投入和的投向明细", []),
-    ("返投", "下季度反投进度", ["反投"]), ("返投", "下季\x02度反投进度", ["反投"]), ("示例电子", "示例，电的样品", []), ("示例电子", "示例电子", [])])
+    ("力点资源", "走访力店资源的仓库", ["力店资源"]), ("利市", "他们立世多年", []), ("返点", "点返了两回", []),
+    ("返点", "本月反点结算", ["反点"]), ("返点", "本\x02月反点结算", ["反点"]), ("力点资源", "力点，资的货", []), ("力点资源", "力点资源", [])])
 def test_scan_phonetic(spark, word, text, want):
     got = gl.scan_phonetic(one(spark, text), [Term(word)], PINYIN).collect()
     assert [r.matched for r in got] == want
@@ -174,34 +174,34 @@ def test_scan_phonetic(spark, word, text, want):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("示例垫子，示例垫子", [0, 5]), ("示例电子" + "示例垫子" * 10, []), ("示例垫子" * 14, [4 * i for i in range(14)]),
-    ("示例电子" * 10 + "示例垫子", [40])])
+    ("力店资源；力店资源", [0, 5]), ("力点资源" + "力店资源" * 9, []), ("力店资源" * 12, [4 * i for i in range(12)]),
+    ("力点资源" * 7 + "力店资源", [28])])
 def test_scan_variants(spark, text, want):
-    terms = [Term("示例电子", "", (), ("示例垫子",))]
+    terms = [Term("力点资源", "", (), ("力店资源",))]
     assert [r.start for r in gl.scan_variants(one(spark, text), terms).orderBy("start").collect()] == want
 
 
 def test_scan_all(spark):
-    text = "我们跟示例垫子聊"
-    with_variant = gl.scan_all(one(spark, text), [Term("示例电子", "", (), ("示例垫子",))], PINYIN).collect()
+    text = "昨天去力店资源盘货"
+    with_variant = gl.scan_all(one(spark, text), [Term("力点资源", "", (), ("力店资源",))], PINYIN).collect()
     assert [r.kind for r in with_variant] == ["variant"]
-    assert [r.kind for r in gl.scan_all(one(spark, text), [Term("示例电子")], PINYIN).collect()] == ["phonetic"]
+    assert [r.kind for r in gl.scan_all(one(spark, text), [Term("力点资源")], PINYIN).collect()] == ["phonetic"]
 
 
 def test_expand(spark):
     table = spark.createDataFrame([(c, s, True, ord(c)) for c, s in PINYIN.items()], "ch string, syllable string, common boolean, cp int")
 
     def expand(corrections=(), **kw):
-        g = gl.glossary_table(spark, [Term("示例电子", "", corrections)])
+        g = gl.glossary_table(spark, [Term("利点资片", "", corrections)])
         return [r.variant for r in gl.expand_glossary(g, table, **kw).orderBy("variant_ord").collect()]
 
     every = expand()
-    assert {"事例电子", "示立电子", "示例垫子", "示例电字"} <= set(every) and "示例电子" not in every
+    assert {"力点资片", "利店资片", "利点字片", "利点资篇"} <= set(every) and "利点资片" not in every
     few = expand(max_variants=4)
-    assert [sum(a != b for a, b in zip(v, "示例电子")) for v in few] == [1] * 4
-    assert {next(i for i in range(4) if v[i] != "示例电子"[i]) for v in few} == {0, 1, 2, 3}
-    assert "事例垫子" in expand(max_positions=2, max_variants=200)
-    assert "示例垫子" not in expand(corrections=("示例垫子",))
+    assert [sum(a != b for a, b in zip(v, "利点资片")) for v in few] == [1] * 4
+    assert {next(i for i in range(4) if v[i] != "利点资片"[i]) for v in few} == {0, 1, 2, 3}
+    assert "力店资片" in expand(max_positions=2, max_variants=200)
+    assert "利店资片" not in expand(corrections=("利店资片",))
 
 
 def brute_fuzzy(text, term):
@@ -230,9 +230,9 @@ def test_fuzzy_corrections(spark):
 
 
 def test_terms_report(spark):
-    hits = gl.exact_hits(one(spark, "示例电字和示例电字"), [Term("示例电子", "", ("示例电字",))])
+    hits = gl.exact_hits(one(spark, "星河仪标、星河仪标"), [Term("星河仪表", "", ("星河仪标",))])
     doc = rendering.assemble(rendering.render_term_report(hits)).head().text
-    assert doc.startswith("## 术语纠错\n\n**已自动纠正 2 处**") and "- `示例电字` → **示例电子**（2 处）" in doc
+    assert doc.startswith("## 术语纠错\n\n**已自动纠正 2 处**") and "- `星河仪标` → **星河仪表**（2 处）" in doc
 
 
 # ---------------------------------------------------------- chunks and merging
@@ -242,9 +242,9 @@ def chunks(spark, text, size, overlap=200):
 
 def test_chunk_text(spark):
     assert chunks(spark, "短文本", 2000) == ["短文本"] and chunks(spark, "", 2000) == [""]
-    cut = chunks(spark, "第一句。" + "B" * 500 + "。第二句。" + "C" * 500, 300)
+    cut = chunks(spark, "开场白。" + "x" * 480 + "。再往后。" + "y" * 520, 300)
     assert len(cut) >= 2 and all(len(c) <= 330 for c in cut[:-1])
-    cut = chunks(spark, "A" * 500 + "OVERLAP_CONTENT" + "B" * 500, 400, 100)
+    cut = chunks(spark, "m" * 470 + "seam of both" + "n" * 530, 400, 100)
     assert cut[0][-100:] in cut[1]
     text = "".join(f"句子{i}，很长的话。\n" for i in range(400))
     rows = chunking.chunk_text(one(spark, text), "text", 1000, 100).orderBy("chunk_ord").collect()
@@ -323,7 +323,7 @@ def cover(spark, text, contents, **kw):
 
 
 def test_coverage(spark):
-    text = "公司去年营收1.8亿，毛利率30%。" * 5
+    text = "门店本季流水2.4亿，退货率7%。" * 6
     assert (cover(spark, text, [text]).ratio, cover(spark, text, [text]).uncovered_chunks) == (1.0, 0)
     assert cover(spark, text, []).ratio == 0.0
     assert (cover(spark, "", ["x"]).total_chunks, cover(spark, "", ["x"]).ratio) == (0, 1.0)
@@ -332,8 +332,8 @@ def test_coverage(spark):
 
 
 def test_number_tokens(spark):
-    got = value(spark, tokens.number_tokens, "营收1.8亿，毛利30%，目标26年上市，扩产至8000万")
-    assert {"1.8亿", "30%", "26", "2026", "8000万"} <= set(got)
+    got = value(spark, tokens.number_tokens, "流水2.4亿，退货7%，计划27年开店，会员增到9000万")
+    assert {"2.4亿", "7%", "27", "2027", "9000万"} <= set(got)
     assert set(value(spark, tokens.number_tokens, "1.2-1.5亿")) == {"1.2亿", "1.5亿", "1.2", "1.5"}
 
 
@@ -362,7 +362,7 @@ def test_review_pairs(spark, text, want):
     assert [(p.question, p.answer) for p in got] == want
 
 
-@pytest.mark.parametrize("t,keep", [("09:32-09:35", True), ("09:32:15-09:35:20", True), ("9:32", True), ("当前", False),
+@pytest.mark.parametrize("t,keep", [("14:05-14:08", True), ("14:05:11-14:08:59", True), ("4:05", True), ("当前", False),
                                     ("2023-2028", False), ("上午", False), ("第1段", False)])
 def test_timerange(spark, t, keep):
     assert (value(spark, labels.valid_timerange, t) is not None) == keep
@@ -452,3 +452,14 @@ def test_json_prefix_is_found_in_one_pass():
              '{"a": "}"} tail': '{"a": "}"}', '{"a": [1, 2], "b': '{"a": [1, 2]}', "{": "{}"}
     assert {t: mo._closed_object(t) for t in cases} == cases
     assert mo._closed_object('{"a": 1, "b": "' + "x" * 1_000_000) == '{"a": 1}'
+
+
+def test_files_of_one_name_and_undecodable_ones(spark, tmp_path):
+    for folder, name, data in (("a", "talk.txt", "eins".encode()), ("b", "talk.txt", "\ufeffzwei\n".encode()), ("b/c d%20", "x.y.MD", "ü".encode()),
+                               ("a", "latin.txt", "ü".encode("latin-1")), ("a", "empty.md", b""), ("a", "picture.png", b"\x89")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_bytes(data)
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        assert {(r.meeting_id, r.text) for r in files.read_transcripts(spark, root).collect()} == {
+            ("a/talk", "eins"), ("b/talk", "zwei\n"), ("b/c d%20/x.y", "ü"), ("a/empty", "")}
+        assert [(r.meeting_id, r.bytes, r.problem) for r in files.rejected_files(spark, root).collect()] == [("a/latin", 1, "not UTF-8")]

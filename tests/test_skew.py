@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import align, chunking, factcheck, minutes, ordered
+from colloquy.operators import align, chunking, factcheck, minutes, ordered, rendering
 from colloquy.schemas import BLOCKS, QA_PAIRS, SECTIONS, SEGMENTS, TRANSCRIPTS, TURNS
+from colloquy.sources import files
 
 SMALL = 16
 
@@ -251,3 +252,23 @@ def test_pieces_of_any_size_give_the_same_coverage(spark, span):
     q = spark.createDataFrame([(m, i, part(), part(), "", "", "") for m in range(0, 12, 2) for i in range(9)], QA_PAIRS)
     columns = ("meeting_id", "chunk_ord", "score", "covered")
     assert rows(factcheck.coverage_chunks(t, s, q, span=span), *columns) == rows(factcheck.coverage_chunks(t, s, q), *columns)
+
+
+def test_a_document_of_many_lines_is_laid_out(spark, tmp_path):
+    n = 200_000
+    lines = spark.range(n).select(F.lit(1).cast("long").alias("meeting_id"), (F.col("id") % 3).cast("int").alias("part"), F.col("id").alias("ord"),
+                                  F.repeat(F.lit("é"), (F.col("id") % 5).cast("int")).alias("text"))
+    lines = lines.unionByName(spark.createDataFrame([(2, 0, 0, "ab"), (2, 0, 1, "c"), (2, 1, 0, "")], "meeting_id long, part int, ord long, text string"))
+    path = files.write_lines(rendering.laid_out(lines), str(tmp_path), "lines")
+    got = spark.read.schema("meeting_id long, text_start long, text string").json(path)
+    assert [tuple(r) for r in got.where("meeting_id = 2").orderBy("text_start").collect()] == [(2, 0, "ab"), (2, 3, "c"), (2, 5, "")]
+    at = 0
+    for r in got.where("meeting_id = 1").orderBy("text_start").select("text_start", F.length("text").alias("n")).toLocalIterator():
+        assert r.text_start == at
+        at += r.n + 1
+    want = "\n".join("é" * (i % 5) for part in range(3) for i in range(part, n, 3))
+    assert at == len(want) + 1
+    # Files hold stretches of the order.
+    spans = spark.read.schema("meeting_id long, text_start long").json(path).groupBy(F.input_file_name()).agg(
+        F.min(F.struct("meeting_id", "text_start")).alias("a"), F.max(F.struct("meeting_id", "text_start")).alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
