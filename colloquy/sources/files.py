@@ -27,7 +27,8 @@ def transcript_files(spark: SparkSession, root: str, endings: Sequence[str] = ("
     Spark lists the folder and packs small files into splits by their sizes. A
     ``meeting_id`` is the path below ``root`` without the ending, so that files of the
     same name in different folders stay apart. A file that is no UTF-8 has no text and a
-    ``problem``; a mark of the byte order at its start is left out.
+    ``problem``; a mark of the byte order at its start is left out. A file of no bytes
+    gives no row.
     """
     read = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
             .where(F.lower("path").rlike(f"\\.({'|'.join(endings)})$")))
