@@ -177,9 +177,10 @@ def exact_hits(df: DataFrame, terms: Glossary, text: str = "text", width: int =
     forms = forms.select("key", "term", F.col("form").rlike(rf"^{ASCII_FORM}\z").alias("ascii"))
     found = matches(df.select("meeting_id", text), forms, table=case_table(), surround=max(width, 1), text=text)
     free = ~F.col("before").rlike(r"[A-Za-z0-9]\z") & ~F.col("after").rlike("^[A-Za-z0-9]")
-    hits = apart(found.where(~F.col("ascii") | free), ["meeting_id"], longest_first=True)
+    placed = found.where(~F.col("ascii") | free).select("meeting_id", "term", "matched", "start", _around(width).alias("context"))
+    hits = apart(placed, ["meeting_id"], longest_first=True)
     return hits.select("meeting_id", "term", "matched", "start", (F.col("start") + F.length("matched")).alias("end"),
-                       F.lit("exact").alias("kind"), _around(width).alias("context"))
+                       F.lit("exact").alias("kind"), "context")
 
 
 # ------------------------------------------------------------ variant detection
@@ -205,7 +206,8 @@ def scan_variants(df: DataFrame, terms: Glossary, max_hits: int | None = None,
     forms = variants.select("key", F.col("key").alias("form"), "term", "term_ord", "pos").unionByName(
         rights.select("key", F.col("key").alias("form"), F.col("key").alias("term")), allowMissingColumns=True)
     found = matches(df.select("meeting_id", text), forms, surround=SNIPPET_WIDTH, text=text)
-    hits = settle(apart(found, ["meeting_id", "form"]).select("meeting_id", "form", "term", "term_ord", "pos", "start", _around(SNIPPET_WIDTH).alias("context")))
+    placed = found.select("meeting_id", "form", "term", "term_ord", "pos", "start", "matched", _around(SNIPPET_WIDTH).alias("context"))
+    hits = settle(apart(placed, ["meeting_id", "form"]).drop("matched"))
     counts = hits.groupBy("meeting_id", "form").agg(F.count("*").alias("_n"), F.first("term").alias("term"), F.first("pos").alias("pos"))
     right = counts.select("meeting_id", F.col("form").alias("term"), F.col("_n").alias("_right"))
     # What is left out is known per text and form, which is less than the hits.
