@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, lstrip, slice_text
+from ..functions.text import lstrip
 from .ordered import previous, settle
 
 # Preferred cut characters, best first, and the window they are sought in.
@@ -21,70 +21,75 @@ TRIM_MIN = 6
 TRIM_GUARD = 10
 
 
-def chunk_bounds(text: Column, max_chars: int = 2000, overlap: int = 200,
-                 boundaries: Sequence[str] = SENTENCE_BOUNDARIES + SECONDARY_BOUNDARIES) -> Column:
-    """Array of ``(start, stop)`` code-point ranges of the chunks of ``text``.
-
-    Each cut depends on the one before, so this is a fold; it carries offsets
-    only. The number of steps is bounded by the smallest possible advance.
-    """
-    n = F.length(text)
-    advance = max_chars - CUT_WINDOW - overlap
-    steps = F.ceil(n / advance).cast("int") + 1 if advance > 0 else F.greatest(n, F.lit(1))
-    ranges = "array<struct<start:int,stop:int>>"
-
-    def span(start: Column, stop: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))
-
-    def cut_after(start: Column) -> Column:
-        region_start = F.greatest(start + (max_chars - CUT_WINDOW), start)
-        backwards = F.reverse(slice_text(text, region_start, start + max_chars - region_start))
+def cut_ranges(text: str, max_chars: int, overlap: int, boundaries: Sequence[str]) -> list[tuple[int, int]]:
+    """Code-point ranges of the chunks of a text. Each cut depends on the one before, so they are made in order, in one pass."""
+    n, start, out = len(text), 0, []
+    if n <= max_chars:
+        return [(0, n)]
+    while start < n:
+        if start + max_chars >= n:
+            out.append((start, n))
+            break
+        backwards = text[max(start + max_chars - CUT_WINDOW, start):start + max_chars][::-1]
+        cuts = (start + max_chars - d for d in map(backwards.find, boundaries) if d >= 0)
+        cut = next((c for c in cuts if c - 1 > start), start + max_chars)
+        out.append((start, cut))
+        start = cut - overlap if cut - overlap > start else cut
+    return out
 
-        def last_boundary(rev: Column) -> Column:
-            cuts = []
-            for mark in boundaries:
-                distance = F.instr(rev, mark)
-                cut = start + max_chars + 1 - distance
-                cuts.append(F.when((distance > 0) & (cut - 1 > start), cut))
-            return F.coalesce(*cuts, start + max_chars)
 
-        return let(backwards, last_boundary)
-
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["start"]
-
-        def place(cut: Column) -> Column:
-            follow = F.when(cut - overlap > start, cut - overlap).otherwise(cut)
-            return F.struct(follow.cast("int").alias("start"),
-                            F.array_append(acc["out"], span(start, cut)).alias("out"))
-
-        final = F.struct(n.cast("int").alias("start"),
-                         F.array_append(acc["out"], span(start, n)).alias("out"))
-        return (F.when(start >= n, acc).when(start + max_chars >= n, final)
-                .otherwise(let(cut_after(start), place)))
+def chunk_bounds(text: Column, max_chars: int = 2000, overlap: int = 200,
+                 boundaries: Sequence[str] = SENTENCE_BOUNDARIES + SECONDARY_BOUNDARIES) -> Column:
+    """Array of ``(start, stop)`` code-point ranges of the chunks of ``text``."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        for b in batches:
+            yield pa.array([None if t is None else [{"start": s, "stop": e} for s, e in cut_ranges(t, max_chars, overlap, boundaries)]
+                            for t in (x.as_py() for x in b)], kind)
 
-    zero = F.struct(F.lit(0).cast("int").alias("start"), F.array().cast(ranges).alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(1), steps), zero, step, lambda acc: acc["out"])
-    return F.when(n <= max_chars, F.array(span(F.lit(0), n))).otherwise(folded)
+    return F.arrow_udf(run, "array<struct<start:int,stop:int>>")(text)
 
 
 def chunk_text(df: DataFrame, text: str = "text", max_chars: int = 2000, overlap: int = 200,
                boundaries: Sequence[str] = SENTENCE_BOUNDARIES + SECONDARY_BOUNDARIES) -> DataFrame:
     """One row per chunk: ``chunk_ord``, ``chunk_start`` and the chunk as ``chunk``."""
-    # Chunks are cut inside the row, so that no chunk carries the whole text.
-    cut = F.transform(chunk_bounds(F.col(text), max_chars, overlap, boundaries), lambda b: F.struct(
-        b["start"].alias("start"), slice_text(F.col(text), b["start"], b["stop"] - b["start"]).alias("chunk")))
+    # Chunks are cut inside the row, so that no chunk carries the whole text; all of them in one pass over it.
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            offsets, starts, chunks = [0], [], []
+            for t in (x.as_py() for x in b):
+                for s, e in [] if t is None else cut_ranges(t, max_chars, overlap, boundaries):
+                    starts.append(s)
+                    chunks.append(t[s:e])
+                offsets.append(len(starts))
+            cut = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(chunks, pa.string())], ["start", "chunk"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cut)
+
+    cut = F.arrow_udf(run, "array<struct<start:int,chunk:string>>")(F.col(text))
     return (
         df.select("*", F.posexplode(cut).alias("chunk_ord", "_b")).drop(text)
         .withColumn("chunk_start", F.col("_b.start")).withColumn("chunk", F.col("_b.chunk")).drop("_b"))
 
 
+def edges_of(tail: str | None, head: str | None, longest: int, shortest: int) -> list[int]:
+    """Lengths, the greatest first, at which the end of ``tail`` is the beginning of ``head``."""
+    if tail is None or head is None or min(len(tail), len(head), longest) < shortest:
+        return []
+    out, start, opening = [], max(0, len(tail) - longest, len(tail) - len(head)), head[:shortest]
+    while (at := tail.find(opening, start)) >= 0:
+        if head.startswith(tail[at:]):
+            out.append(len(tail) - at)
+        start = at + 1
+    return out
+
+
 def shared_edges(tail: Column, head: Column, longest: int, shortest: int) -> Column:
     """Lengths, the greatest first, at which the end of ``tail`` is the beginning of ``head``."""
-    top = F.least(F.length(tail), F.length(head), F.lit(longest))
-    lengths = F.when(top >= shortest, F.sequence(top, F.lit(shortest), F.lit(-1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.coalesce(F.filter(lengths, lambda k: F.right(tail, k) == F.left(head, k)), F.array().cast("array<int>"))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for tails, heads in batches:
+            yield pa.array([edges_of(t, h, longest, shortest) for t, h in zip(tails.to_pylist(), heads.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(tail, head)
 
 
 def stitch_text(chunks: DataFrame, min_overlap: int = STITCH_MIN, span: int = STITCH_SPAN) -> DataFrame:
@@ -140,6 +145,21 @@ def stitch_text(chunks: DataFrame, min_overlap: int = STITCH_MIN, span: int = ST
     return met.select("recording_id", "chunk_ord", kept.alias("text"))
 
 
+def end_of_repeat(tail: str | None, text: str | None, longest: int, shortest: int, guard: int) -> int | None:
+    """Where the longest end of ``tail`` that begins in ``text`` before its last ``guard`` characters ends there, if there is one."""
+    if tail is None or text is None or (size := min(len(tail), len(text), longest)) < shortest:
+        return None
+    # An end is in the text if a longer one is: halve to the longest that is anywhere in it, then look where they begin.
+    few, many = shortest - 1, size
+    while few < many:
+        half = (few + many + 1) // 2
+        few, many = (half, many) if tail[len(tail) - half:] in text else (few, half - 1)
+    for k in range(few, shortest - 1, -1):
+        if 0 <= (at := text.find(tail[len(tail) - k:])) < len(text) - guard:
+            return at + k
+    return None
+
+
 def trim_rewrite_overlap(chunks: DataFrame, longest: int = STITCH_SPAN, shortest: int = TRIM_MIN,
                          guard: int = TRIM_GUARD) -> DataFrame:
     """Drop from each chunk everything through the repeated end of the raw chunk before it.
@@ -153,13 +173,12 @@ def trim_rewrite_overlap(chunks: DataFrame, longest: int = STITCH_SPAN, shortest
     ends = chunks.select("meeting_id", (F.col("chunk_ord") + 1).alias("chunk_ord"),
                          F.right("text", F.lit(longest)).alias("_tail"))
 
-    text, tail = F.col("text"), F.col("_tail")
-    top = F.least(F.length(tail), F.length(text), F.lit(longest))
-    sizes = F.when(top >= shortest, F.sequence(top, F.lit(shortest), F.lit(-1))).otherwise(
-        F.array().cast("array<int>"))
-    usable = F.filter(sizes, lambda k: (F.position(F.right(tail, k), text) > 0)
-                      & (F.position(F.right(tail, k), text) - 1 < F.length(text) - guard))
-    size = F.get(usable, F.lit(0))
-    rest = F.substring(text, F.position(F.right(tail, size), text) + size, F.length(text))
-    trimmed = F.when(size.isNull() | (rest == ""), text).otherwise(rest)
-    return chunks.join(ends, ["meeting_id", "chunk_ord"], "left").withColumn("text", trimmed).drop("_tail")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for tails, texts in batches:
+            yield pa.array([end_of_repeat(e, t, longest, shortest, guard) for e, t in zip(tails.to_pylist(), texts.to_pylist(), strict=True)], pa.int32())
+
+    text = F.col("text")
+    behind = F.arrow_udf(run, "int")(F.col("_tail"), text)
+    met = chunks.join(ends, ["meeting_id", "chunk_ord"], "left").withColumn("_behind", behind)
+    rest = F.substring(text, F.col("_behind") + 1, F.length(text))
+    return met.withColumn("text", F.when(F.col("_behind") < F.length(text), rest).otherwise(text)).drop("_tail", "_behind")

@@ -1,5 +1,11 @@
 """Plans and steps that must not grow faster than their tables."""
 
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from colloquy.operators import chunking
 from colloquy.operators import glossary as gl
 from colloquy.plans import inputs
 
@@ -20,3 +26,61 @@ def test_expansion_broadcasts_no_glossary(spark, tmp_path):
         for n in range(3):
             ordinals = [r["variant_ord"] for r in rows if r["term_ord"] == n]
             assert len(set(ordinals)) == len(ordinals)
+
+
+def _folded_cuts(text, size, overlap, marks):
+    """The cuts as one definition step after the other, on code points."""
+    out, start = [], 0
+    if len(text) <= size:
+        return [(0, len(text))]
+    while start < len(text):
+        stop = len(text)
+        if start + size < len(text):
+            low = max(start + size - chunking.CUT_WINDOW, start)
+            places = [i + 1 for m in marks for i in sorted((i for i in range(low, start + size) if text[i] == m and i > start), reverse=True)[:1]]
+            stop = places[0] if places else start + size
+        out.append((start, stop))
+        if stop == len(text) and start + size >= len(text):
+            break
+        start = stop - overlap if stop - overlap > start else stop
+    return out
+
+
+def test_cuts_of_long_texts_take_one_pass(spark):
+    """A text 300 times the usual length: cuts by offsets from its beginning took minutes."""
+    pick = random.Random(3)
+    texts = ["".join(pick.choice("ab, .\U0001F600示\n") for _ in range(n)) for n in (0, 1, 99, 400, 401, 2000, 5000)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "meeting_id int, text string")
+    for size, overlap in ((400, 60), (120, 50), (1000, 100)):
+        bounds = rows.select("meeting_id", chunking.chunk_bounds(F.col("text"), size, overlap, (".", ",")).alias("b")).collect()
+        pieces = chunking.chunk_text(rows, "text", size, overlap, (".", ",")).collect()
+        for i, t in enumerate(texts):
+            want = None if t is None else _folded_cuts(t, size, overlap, (".", ","))
+            assert next(r.b for r in bounds if r.meeting_id == i) == want
+            assert sorted((r.chunk_ord, r.chunk_start, r.chunk) for r in pieces if r.meeting_id == i) == [
+                (j, s, t[s:e]) for j, (s, e) in enumerate(want or [])]
+    long = spark.range(1).select(F.lit(1).alias("meeting_id"), F.expr("repeat('示 the, ', 1000000)").alias("text"))
+    begun = time.monotonic()
+    assert chunking.chunk_text(long, "text", 400, 60, (".", ",")).count() > 15_000
+    assert time.monotonic() - begun < 30
+
+
+def test_shared_edges_and_repeats_as_by_trying_every_length():
+    pick = random.Random(5)
+    for _ in range(3000):
+        tail, text = ("".join(pick.choice("ab") for _ in range(pick.randrange(14))) for _ in range(2))
+        longest, shortest, guard = pick.randrange(3, 12), pick.randrange(1, 4), pick.randrange(4)
+        sizes = range(min(len(tail), len(text), longest), shortest - 1, -1)
+        assert chunking.edges_of(tail[-longest:], text[:longest], longest, shortest) == [k for k in sizes if tail[len(tail) - k:] == text[:k]]
+        found = ((text.find(tail[len(tail) - k:]), k) for k in sizes)
+        assert chunking.end_of_repeat(tail, text, longest, shortest, guard) == next((at + k for at, k in found if 0 <= at < len(text) - guard), None)
+
+
+def test_trimming_a_repeat_takes_no_longer_than_its_chunk(spark):
+    """A chunk in which no end of the one before it is found: every length was sought, from the greatest."""
+    rows = spark.range(40_000).select(F.lit(1).alias("meeting_id"), F.col("id").cast("int").alias("chunk_ord"),
+                                      F.concat(F.repeat(F.lit("the "), F.lit(400)), F.lpad("id", 9, "0")).alias("text"))
+    begun = time.monotonic()
+    trimmed = chunking.trim_rewrite_overlap(rows)
+    assert trimmed.where(F.length("text") < 1609).count() == 0
+    assert time.monotonic() - begun < 20
