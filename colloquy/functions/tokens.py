@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +25,27 @@ def normalize_match(c: Column) -> Column:
     return F.regexp_replace(c, "[^一-鿿A-Za-z0-9%\\-]+", "")
 
 
+def match_codes(text: str) -> np.ndarray:
+    """The code points that ``normalize_match`` keeps."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = c | 32
+    return c[((c >= 0x4E00) & (c <= 0x9FFF)) | ((small >= 97) & (small <= 122)) | ((c >= 48) & (c <= 57)) | (c == 37) | (c == 45)]
+
+
+def match_tokens(c: Column) -> Column:
+    """Struct ``norm`` (the text by ``normalize_match``) and ``pairs``: its distinct bigrams as numbers, in no order."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            norms, sets = [], []
+            for t in b.to_pylist():
+                codes = None if t is None else match_codes(t)
+                norms.append(None if t is None else codes.tobytes().decode("utf-32-le"))
+                sets.append(None if t is None else np.unique(codes[:-1].astype(np.int64) << 21 | codes[1:]))
+            yield pa.StructArray.from_arrays([pa.array(norms, pa.string()), pa.array(sets, pa.list_(pa.int64()))], ["norm", "pairs"])
+
+    return F.arrow_udf(run, "struct<norm:string,pairs:array<bigint>>")(c)
+
+
 def squeeze(c: Column) -> Column:
     """Drop all whitespace."""
     return F.regexp_replace(c, WS + "+", "")

@@ -61,7 +61,7 @@ def pool_hits(items: DataFrame, pool: DataFrame, large: DataFrame | None, key: s
     hot_pool = pool.join(large, key, "left_semi")
 
     def of_kind(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+        return F.transform(F.col(kind), lambda t: F.struct(F.lit(kind).alias("kind"), t.cast("string").alias("token")))
 
     tagged = F.explode_outer(F.flatten(F.array(*map(of_kind, kinds))))
     tokens = hot_pool.select(key, tagged.alias("t")).select(key, "t.kind", "t.token").distinct()

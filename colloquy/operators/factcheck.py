@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import citation_parse
 from ..functions.text import TIME_OF_DAY, is_blank, let, strip
-from ..functions.tokens import char_bigrams, normalize_match, number_tokens
+from ..functions.tokens import match_tokens, normalize_match, number_tokens
 from .chunking import SECONDARY_BOUNDARIES, SENTENCE_BOUNDARIES, chunk_text
 from .containment import POOL_SPAN, mend_seams, pool_hits, text_pool
 
@@ -117,18 +117,18 @@ def _scored_chunks(transcripts: DataFrame, sections: DataFrame, qa_pairs: DataFr
     order = [F.col("kind"), F.col("ord"), F.col("sub")]
     cut = F.col("kind").cast("long") * (1 << 40) + F.floor(F.col("ord") / span)
     pieces, large = text_pool(parts, "meeting_id", order, cut, sep="\n", span=span)
-    flagged = pieces.withColumn("nonblank", ~is_blank(F.col("text"))).withColumn(
-        "text", normalize_match(F.col("text")))
-    pool = mend_seams(flagged, large, "meeting_id").select(
-        "meeting_id", "nonblank", char_bigrams(F.col("text")).alias("bigrams"),
-        number_tokens(F.col("text")).alias("numbers"))
+    flagged = pieces.withColumn("nonblank", ~is_blank(F.col("text")))
+    if large is not None:  # tokens that cross a cut are mended in normalized text
+        flagged = mend_seams(flagged.withColumn("text", normalize_match(F.col("text"))), large, "meeting_id")
+    pool = flagged.withColumn("_m", match_tokens(F.col("text"))).select(
+        "meeting_id", "nonblank", F.col("_m.pairs").alias("bigrams"), number_tokens(F.col("_m.norm")).alias("numbers"))
 
     def expand(items: DataFrame) -> DataFrame:
         chunks = chunk_text(items, "text", COVERAGE_CHUNK, COVERAGE_OVERLAP, boundaries)
-        return (chunks.withColumn("_norm", normalize_match(F.col("chunk")))
-                .withColumn("norm_length", F.length("_norm"))
-                .withColumn("bigrams", char_bigrams(F.col("_norm")))
-                .withColumn("numbers", number_tokens(F.col("_norm"))).drop("_norm"))
+        return (chunks.withColumn("_m", match_tokens(F.col("chunk")))
+                .withColumn("norm_length", F.length("_m.norm"))
+                .withColumn("bigrams", F.col("_m.pairs"))
+                .withColumn("numbers", number_tokens(F.col("_m.norm"))).drop("_m"))
 
     scored = pool_hits(transcripts.select("meeting_id", "text"), pool, large, "meeting_id",
                        expand=expand, ids=["chunk_ord"], kinds=["bigrams", "numbers"])

@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import chunking
+from colloquy.functions import tokens
+from colloquy.operators import chunking, factcheck
 from colloquy.operators import glossary as gl
 from colloquy.plans import inputs
 
@@ -84,3 +85,27 @@ def test_trimming_a_repeat_takes_no_longer_than_its_chunk(spark):
     trimmed = chunking.trim_rewrite_overlap(rows)
     assert trimmed.where(F.length("text") < 1609).count() == 0
     assert time.monotonic() - begun < 20
+
+
+def test_tokens_of_a_score_are_those_of_the_expressions(spark):
+    pick = random.Random(7)
+    texts = ["".join(pick.choice("aZ09%-示 ,é\U0001F600\n年") for _ in range(n)) for n in (0, 1, 2, 3, 50, 800)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        tokens.match_tokens(F.col("text")).alias("m"), tokens.normalize_match(F.col("text")).alias("norm")).withColumn(
+        "bigrams", tokens.char_bigrams(F.col("norm")))
+    for r in rows.collect():
+        assert r.m.norm == r.norm
+        assert (r.bigrams and {ord(b[0]) << 21 | ord(b[1]) for b in r.bigrams}) == (r.m.pairs and set(r.m.pairs))
+        assert r.bigrams is None or len(r.bigrams) == len(r.m.pairs)
+
+
+def test_scoring_a_long_meeting_takes_seconds(spark):
+    """Eight million characters, whose marks and bigrams were a match of an expression each."""
+    text = F.expr("repeat('the and, of it - ', 500000)")
+    t = spark.range(8).select(F.col("id").alias("meeting_id"), text.alias("text"))
+    s = spark.range(8).select(F.col("id").alias("meeting_id"), F.lit(0).alias("sec_ord"), F.lit("a").alias("title"), text.alias("content"),
+                              F.array().cast("array<string>").alias("citations"))
+    q = inputs.qa_pairs(spark, "/root/testdata/sf0.001").where("false")
+    begun = time.monotonic()
+    assert {r.covered for r in factcheck.coverage_chunks(t, s, q, (".", ",")).select("covered").distinct().collect()} == {True}
+    assert time.monotonic() - begun < 20
