@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -192,49 +194,62 @@ def review_sections(c: Column) -> Column:
     region = F.get(F.split(F.substring(c, at + len(TOPICS_HEADING), F.length(c)), chapter, 2), F.lit(0))
 
     def blocks(r: Column) -> Column:
-        titles, texts = F.regexp_extract_all(r, F.lit(heading), F.lit(1)), F.split(r, heading)
-        all_titles = F.concat(F.array(F.lit("")), titles)
-        return F.filter(F.transform(all_titles, lambda t, i: F.struct(
-            strip(t).alias("title"), strip(F.get(texts, i)).alias("content"))),
+        titles = F.concat(F.array(F.lit("")), F.regexp_extract_all(r, F.lit(heading), F.lit(1)))
+        # Both lists are made once; inside a lambda each would be made for every title.
+        return F.filter(F.transform(F.arrays_zip(titles.alias("title"), F.split(r, heading).alias("content")), lambda b: F.struct(
+            strip(b["title"]).alias("title"), strip(b["content"]).alias("content"))),
             lambda b: (b["title"] != "") | (b["content"] != ""))
 
     empty = F.array().cast("array<struct<title:string,content:string>>")
     return F.when(at > 0, let(region, blocks)).otherwise(empty)
 
 
+def _pairs_of(marks: list[str], asks: list[str], texts: list[str]) -> list[dict[str, str]]:
+    """Question and answer pairs of one text, from its marks, what opens a question in each, and the stretches between."""
+    question = answer = None
+    out: list[dict[str, str]] = []
+
+    def close() -> None:
+        said = "".join(answer or ())
+        if said:
+            said = re.split(BLANK_LINE, said.lstrip(WHITESPACE), maxsplit=1)[0].strip(WHITESPACE)
+            out.append({"question": "".join(question).strip(WHITESPACE), "answer": said})
+
+    for mark, ask, text in zip(marks, asks, texts[1:]):
+        if question is None:
+            question = [text] if ask else None
+        elif answer is None:
+            if ask or not any(question):
+                question += [mark, text]
+            else:
+                answer = [text]
+        elif ask and any(answer):
+            close()
+            question, answer = [text], None
+        else:
+            answer += [mark, text]
+    close()
+    return out
+
+
 def _marked_pairs(c: Column, mark: str) -> Column:
-    """Array of (question, answer) from opening marks, in one fold over the stretches that they open.
+    """Array of (question, answer) from opening marks, in one pass over the stretches that they open.
 
     A question lasts until an answer opens; an answer lasts until the next
     question opens, and ends at a blank line. A stretch without any character
     goes on through the next mark.
     """
-    state = "struct<q:string,a:string,done:array<struct<question:string,answer:string>>>"
-
-    def close(s: Column) -> Column:
-        answer = strip(F.get(F.split(F.ltrim(s["a"], F.lit(WHITESPACE)), BLANK_LINE, 2), F.lit(0)))
-        return F.when(F.length(s["a"]) > 0, F.array_append(
-            s["done"], F.struct(strip(s["q"]).alias("question"), answer.alias("answer")))).otherwise(s["done"])
-
-    def entry(q: Column, a: Column, done: Column) -> Column:
-        return F.struct(q.alias("q"), a.alias("a"), done.alias("done")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        none = F.lit(None).cast("string")
-        opens = entry(x["text"], none, close(s))
-        more_question = entry(F.concat(s["q"], x["mark"], x["text"]), none, s["done"])
-        more_answer = entry(s["q"], F.concat(s["a"], x["mark"], x["text"]), s["done"])
-        return (F.when(s["q"].isNull(), F.when(x["asks"], entry(x["text"], none, s["done"])).otherwise(s))
-                .when(s["a"].isNull(), F.when(x["asks"] | (s["q"] == ""), more_question)
-                      .otherwise(entry(s["q"], x["text"], s["done"])))
-                .otherwise(F.when(x["asks"] & (s["a"] != ""), opens).otherwise(more_answer)))
+    kind = pa.list_(pa.struct([("question", pa.string()), ("answer", pa.string())]))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if None in row else _pairs_of(*row) for row in zip(*(x.to_pylist() for x in batch), strict=True)], kind)
 
+    c = F.when(c.rlike(mark), c)  # without a mark there is no pair: null here, none for the caller
     marks, asks = (F.regexp_extract_all(c, F.lit(mark), F.lit(g)) for g in (0, 1))
-    texts = F.split(c, mark)
-    stretches = F.transform(marks, lambda m, i: F.struct(
-        m.alias("mark"), (F.get(asks, i) != "").alias("asks"), F.get(texts, i + 1).alias("text")))
-    start = entry(F.lit(None), F.lit(None), F.array())
-    return F.aggregate(stretches, start, step, close)
+    # Called nondeterministic, it is computed once where it stands: a filter on its pairs does not move it.
+    pairs = F.arrow_udf(run, "array<struct<question:string,answer:string>>").asNondeterministic()
+    return pairs(marks, asks, F.split(c, mark))
 
 
 def review_pairs(c: Column) -> Column:
@@ -268,7 +283,7 @@ def review_pairs(c: Column) -> Column:
 
 
 def parse_review_qa(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select("meeting_id", F.posexplode(review_pairs(F.col(text))).alias("qa_ord", "p")).select(
+    return df.select("meeting_id", review_pairs(F.col(text)).alias("_pairs")).select("meeting_id", F.posexplode("_pairs").alias("qa_ord", "p")).select(
         "meeting_id", "qa_ord", "p.question", "p.answer")
 
 

@@ -9,6 +9,7 @@ from colloquy.functions import tokens
 from colloquy.operators import chunking, factcheck
 from colloquy.operators import glossary as gl
 from colloquy.plans import inputs
+from colloquy.sources import model_output as mo
 
 
 def test_expansion_broadcasts_no_glossary(spark, tmp_path):
@@ -109,3 +110,24 @@ def test_scoring_a_long_meeting_takes_seconds(spark):
     begun = time.monotonic()
     assert {r.covered for r in factcheck.coverage_chunks(t, s, q, (".", ",")).select("covered").distinct().collect()} == {True}
     assert time.monotonic() - begun < 20
+
+
+def test_a_long_draft_takes_seconds(spark):
+    """20 000 topics and pairs in one draft: each topic and each pair split the whole text again."""
+    n = 20_000
+    text = "---\n{}\n---\n## 主题要点\n" + "".join(f"### t{i}\nc{i}\n\n" for i in range(n)) + "## 问答\n" + "".join(
+        f"**Q{i}**：q{i}\n**A**：a{i}\n\n" for i in range(n))
+    begun = time.monotonic()
+    sections, pairs = mo.resolve_review(spark.createDataFrame([(1, text)], "meeting_id int, text string"))
+    assert [(r.title, r.content) for r in sections.orderBy("sec_ord").collect()] == [(f"t{i}", f"c{i}") for i in range(n)]
+    assert [(r.question, r.answer) for r in pairs.orderBy("qa_ord").collect()] == [(f"q{i}", f"a{i}") for i in range(n)]
+    assert time.monotonic() - begun < 30
+
+
+def test_marks_open_and_close_as_told(spark):
+    texts = ["Q：\nQ1：a\nA：\nA：x\n\ny Q：b", "A：x Q：q A： \n Q：r\nA：s\r\n\r\nt", "Q：q", "no mark", None, "【问】 u【答】v\n\nw【答】【问】z【答】"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select(
+        "id", mo._marked_pairs(F.col("text"), mo.LETTER_MARK).alias("l"), mo._marked_pairs(F.col("text"), mo.BRACKET_MARK).alias("b")).orderBy("id").collect()
+    pairs = [[tuple(p) for p in r.l or []] for r in rows]
+    assert pairs == [[("Q1：a", "A：x")], [("q", ""), ("r", "s")], [], [], [], []]
+    assert [tuple(p) for p in rows[5].b] == [("u", "v")]
