@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -31,8 +31,11 @@ PIECE = 1 << 17
 GATE = 3
 # Bits of the filter for each form, and the least and greatest exponent of their number (8 MB).
 BITS_PER_FORM, LEAST_BITS, MOST_BITS = 16, 16, 26
-# Forms up to this number go to every task; more are shuffled.
-BROADCAST_FORMS = 20_000
+# Forms up to this number, and of so many characters in all, go to every task; more are shuffled.
+BROADCAST_FORMS = 500_000
+BROADCAST_CHARS = 10_000_000
+# Rows of windows that leave a task together.
+ROWS = 1 << 14
 # A key that more than one in so many windows have is spread over tasks; there are at most so many such keys.
 HOT_SHARE = 1_000
 HOT_ROWS = 10_000
@@ -183,6 +186,16 @@ def filter_of(forms: DataFrame, shapes: Sequence[tuple[int, int]], gate: int, co
     return Filter(words, bits)
 
 
+def _few(seen: Row) -> bool:
+    return seen["n"] <= BROADCAST_FORMS and (seen["chars"] or 0) <= BROADCAST_CHARS
+
+
+def rows_stay(texts: DataFrame, forms: DataFrame, ident: str = "meeting_id") -> bool:
+    """Whether ``matches`` leaves the hits of an ``ident`` in one partition: the forms go to every task, and no two texts share one."""
+    seen = forms.where("key <> ''").agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("chars")).head()
+    return _few(seen) and not texts.groupBy(ident).agg(F.count("*").alias("_n")).where("_n > 1").head(1)
+
+
 def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = None, surround: int = 0, text: str = "text") -> DataFrame:
     """Every occurrence of every form, overlapping ones too.
 
@@ -193,7 +206,8 @@ def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = No
     match nothing.
     """
     forms = forms.where("key <> ''")
-    seen = forms.agg(F.count("*").alias("n"), F.collect_set(F.struct(F.length("key"), F.locate(WILD, F.col("key")))).alias("shapes")).head()
+    seen = forms.agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("chars"),
+                     F.collect_set(F.struct(F.length("key"), F.locate(WILD, F.col("key")))).alias("shapes")).head()
     shapes = sorted(tuple(s) for s in seen["shapes"])
     kept = [c for c in texts.columns if c != text]
     schema = StructType([texts.schema[c] for c in kept]).add("start", IntegerType()).add("key", StringType())
@@ -223,7 +237,7 @@ def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = No
                         rows.append(row)
                         for column, v in zip(out, (s, key, t[s:s + n], w, t[max(0, s - surround):s], t[s + n:s + n + surround]), strict=True):
                             column.append(v)
-                if len(rows) > PIECE:
+                if len(rows) > ROWS:
                     yield batch(b, rows, out)
                     rows, out = [], [[] for _ in range(6)]
             yield batch(b, rows, out)
@@ -235,7 +249,7 @@ def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = No
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
     windows = texts.select(*kept, text).mapInArrow(scan, schema)
-    if seen["n"] <= BROADCAST_FORMS:
+    if _few(seen):
         return windows.join(F.broadcast(forms), "key").drop("key").select(*kept, *[c for c in forms.columns if c != "key"], "start", "matched",
                                                                           "said", "before", "after")
     return spread_join(settle(windows), forms, "key", "start").select(
@@ -255,10 +269,11 @@ def spread_join(rows: DataFrame, forms: DataFrame, key: str, by: str) -> DataFra
     return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"]).drop("_salt")
 
 
-def apart(hits: DataFrame, within: Sequence[str], *, longest_first: bool = False) -> DataFrame:
+def apart(hits: DataFrame, within: Sequence[str], *, longest_first: bool = False, stay: bool = False) -> DataFrame:
     """Of overlapping hits of a group (``within``) the leftmost, then the next that begins behind its end, and so on.
 
-    Hits stream through their tasks in order; no group is held.
+    Hits stream through their tasks in order; no group is held. Hits that are dealt by
+    their group already (``rows_stay``) are not shuffled.
     """
     order = [*within, "start", *([F.desc(F.length("matched"))] if longest_first else [])]
 
@@ -275,4 +290,5 @@ def apart(hits: DataFrame, within: Sequence[str], *, longest_first: bool = False
                     take.append(i)
             yield b.take(pa.array(take, pa.int64()))
 
-    return hits.repartition(within[0]).sortWithinPartitions(*order).mapInArrow(choose, hits.schema)
+    dealt = hits if stay else hits.repartition(within[0])
+    return dealt.sortWithinPartitions(*order).mapInArrow(choose, hits.schema)

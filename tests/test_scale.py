@@ -131,3 +131,20 @@ def test_marks_open_and_close_as_told(spark):
     pairs = [[tuple(p) for p in r.l or []] for r in rows]
     assert pairs == [[("Q1：a", "A：x")], [("q", ""), ("r", "s")], [], [], [], []]
     assert [tuple(p) for p in rows[5].b] == [("u", "v")]
+
+
+def test_hits_of_many_forms_stay_with_their_texts(spark):
+    """30 000 forms: the windows were written to disk, shuffled to their forms and shuffled back to their texts."""
+    terms = spark.range(30_000).select(F.lit("g").alias("glossary_id"), F.col("id").cast("int").alias("term_ord"), F.concat(F.lit("T"), "id").alias("term"),
+                                       F.lit("").alias("context"), F.array(F.concat(F.lit("w"), "id")).alias("corrections"),
+                                       F.array(F.concat(F.lit("v"), "id")).alias("auto_variants"))
+    texts = spark.createDataFrame([(1, "w1 v22 w22 v22"), (2, "w333 v4"), (None, "w5")], "meeting_id int, text string")
+    twice = texts.union(texts)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    hits = gl.exact_hits(texts, terms)
+    assert "Repartition" not in plan(hits) and "Exchange" not in plan(hits) and "SortMergeJoin" not in plan(hits)
+    rows = lambda df: sorted((r.meeting_id or 0, r.start, r.term) for r in df.collect())
+    assert rows(hits) == [(0, 0, "T5"), (1, 0, "T1"), (1, 7, "T22"), (2, 0, "T333")]
+    assert rows(gl.exact_hits(twice, terms)) == rows(hits)
+    assert sorted((r.meeting_id or 0, r.term, r.occurrences) for r in gl.term_frequency(texts, terms).collect()) == [
+        (r.meeting_id or 0, r.term, r.occurrences) for r in gl.term_frequency(twice, terms).orderBy(F.coalesce("meeting_id", F.lit(0)), "term").collect()]
