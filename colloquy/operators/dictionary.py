@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
@@ -36,6 +37,8 @@ BROADCAST_FORMS = 500_000
 BROADCAST_CHARS = 10_000_000
 # Rows of windows that leave a task together.
 ROWS = 1 << 14
+# Different windows that a task remembers to have passed on.
+SEEN = 1 << 18
 # A key that more than one in so many windows have is spread over tasks; there are at most so many such keys.
 HOT_SHARE = 1_000
 HOT_ROWS = 10_000
@@ -190,56 +193,102 @@ def _few(seen: Row) -> bool:
     return seen["n"] <= BROADCAST_FORMS and (seen["chars"] or 0) <= BROADCAST_CHARS
 
 
+def few(forms: DataFrame) -> bool:
+    """Whether forms go to every task."""
+    return _few(forms.where("key <> ''").agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("chars")).head())
+
+
 def rows_stay(texts: DataFrame, forms: DataFrame, ident: str = "meeting_id") -> bool:
     """Whether ``matches`` leaves the hits of an ``ident`` in one partition: the forms go to every task, and no two texts share one."""
-    seen = forms.where("key <> ''").agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("chars")).head()
-    return _few(seen) and not texts.groupBy(ident).agg(F.count("*").alias("_n")).where("_n > 1").head(1)
+    return few(forms) and not texts.groupBy(ident).agg(F.count("*").alias("_n")).where("_n > 1").head(1)
 
 
-def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = None, surround: int = 0, text: str = "text") -> DataFrame:
-    """Every occurrence of every form, overlapping ones too.
+def _joined(texts: pa.Array) -> Iterator[tuple[int, str, np.ndarray]]:
+    """The first row, the text and the bounds of rows that are looked through together: short texts by the piece, a long one by itself."""
+    first, parts, size = 0, [], 0
+    for row, t in enumerate(texts):
+        t = t.as_py() or ""
+        if parts and size + len(t) > PIECE:
+            yield first, "".join(parts), np.cumsum([0, *map(len, parts)])
+            first, parts, size = row, [], 0
+        parts.append(t)
+        size += len(t)
+    if parts:
+        yield first, "".join(parts), np.cumsum([0, *map(len, parts)])
 
-    ``forms`` has ``key``, a form translated by ``table``, perhaps with one place
-    open, and other columns. Returns the columns of ``texts`` but the text, those of
-    ``forms``, and ``start``, ``matched`` (as in the text), ``said`` (translated),
-    ``before`` and ``after`` (up to ``surround`` characters). Null and empty keys
-    match nothing.
-    """
-    forms = forms.where("key <> ''")
+
+def _lookup(texts: DataFrame, forms: DataFrame, table: np.ndarray | None) -> tuple[Row, list[tuple[int, int]], int, Broadcast | None]:
+    """Numbers of the forms, their shapes, the gate, and the filter with the table for every task."""
     seen = forms.agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("chars"),
                      F.collect_set(F.struct(F.length("key"), F.locate(WILD, F.col("key")))).alias("shapes")).head()
     shapes = sorted(tuple(s) for s in seen["shapes"])
+    if not shapes:
+        return seen, shapes, 0, None
+    # A window with an open place is not looked up by its first characters.
+    gate = 0 if any(place for _, place in shapes) else min(GATE, min(n for n, _ in shapes))
+    return seen, shapes, gate, texts.sparkSession.sparkContext.broadcast((filter_of(forms, shapes, gate, seen["n"]), table))
+
+
+def _inside(codes: np.ndarray, bounds: np.ndarray, shapes: Sequence[tuple[int, int]], gate: int,
+            known: Filter) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Starts that pass the filter and their rows, by shape; windows that reach into the next text are left out."""
+    for n, place, starts in candidates_in(codes, shapes, gate, known):
+        rows = np.searchsorted(bounds, starts, side="right") - 1
+        whole = starts + n <= bounds[rows + 1]
+        if whole.any():
+            yield n, place, starts[whole], rows[whole]
+
+
+def windows(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = None, text: str = "text") -> DataFrame:
+    """The distinct stretches of texts (``matched``) that may be forms; each that is one is among them."""
+    forms = forms.where("key <> ''")
+    _, shapes, gate, shipped = _lookup(texts, forms, table)
+    if shipped is None:
+        return texts.where("false").select(F.lit("").alias("matched"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, letters = shipped.value
+        seen: set[str] = set()
+        for b in batches:
+            for _, whole, bounds in _joined(b.column(0)):
+                for n, _, starts, _ in _inside(codes_of(whole, letters), bounds, shapes, gate, known):
+                    new = {whole[s:s + n] for s in starts.tolist()} - seen
+                    if len(seen) > SEEN:
+                        seen = set()
+                    seen |= new
+                    yield pa.RecordBatch.from_arrays([pa.array([*new], pa.string())], ["matched"])
+
+    return texts.select(text).mapInArrow(scan, "matched string").distinct()
+
+
+def places(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = None, surround: int = 0, text: str = "text") -> tuple[DataFrame, bool]:
+    """Windows that pass the filter, as ``matches`` returns them but with their ``key`` and not yet joined to the forms; whether these are few."""
+    seen, shapes, gate, shipped = _lookup(texts, forms, table)
     kept = [c for c in texts.columns if c != text]
     schema = StructType([texts.schema[c] for c in kept]).add("start", IntegerType()).add("key", StringType())
     for c in ("matched", "said", "before", "after"):
         schema = schema.add(c, StringType())
-    if not shapes:
-        payload = [F.lit(None).cast(forms.schema[c].dataType).alias(c) for c in forms.columns]
-        return texts.where("false").select(*kept, *payload, *[F.lit(None).cast(schema[c].dataType).alias(c)
-                                                              for c in ("start", "matched", "said", "before", "after")])
-    # A window with an open place is not looked up by its first characters.
-    gate = 0 if any(place for _, place in shapes) else min(GATE, min(n for n, _ in shapes))
-    shipped = texts.sparkSession.sparkContext.broadcast((filter_of(forms, shapes, gate, seen["n"]), table))
+    if shipped is None:
+        return texts.where("false").select(*kept, *[F.lit(None).cast(schema[c].dataType).alias(c) for c in schema.names[len(kept):]]), True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, letters = shipped.value
         for b in batches:
             rows, out = [], [[] for _ in range(6)]
-            for row, t in enumerate(b.column(len(kept))):
-                t = t.as_py() or ""
+            for first, t, bounds in _joined(b.column(len(kept))):
                 codes = codes_of(t, letters)
                 said = t if letters is None else None
-                for n, place, starts in candidates_in(codes, shapes, gate, known):
+                for n, place, starts, at in _inside(codes, bounds, shapes, gate, known):
                     said = text_of(codes) if said is None else said
-                    for s in starts.tolist():
+                    rows += (at + first).tolist()
+                    for s, begin, end in zip(starts.tolist(), bounds[at].tolist(), bounds[at + 1].tolist(), strict=True):
                         w = said[s:s + n]
                         key = w if not place else f"{w[:place - 1]}{WILD}{w[place:]}"
-                        rows.append(row)
-                        for column, v in zip(out, (s, key, t[s:s + n], w, t[max(0, s - surround):s], t[s + n:s + n + surround]), strict=True):
+                        for column, v in zip(out, (s - begin, key, t[s:s + n], w, t[max(begin, s - surround):s], t[s + n:min(end, s + n + surround)]), strict=True):
                             column.append(v)
-                if len(rows) > ROWS:
-                    yield batch(b, rows, out)
-                    rows, out = [], [[] for _ in range(6)]
+                    if len(rows) > ROWS:
+                        yield batch(b, rows, out)
+                        rows, out = [], [[] for _ in range(6)]
             yield batch(b, rows, out)
 
     def batch(b: pa.RecordBatch, rows: list, out: list) -> pa.RecordBatch:
@@ -248,12 +297,27 @@ def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = No
         columns += [pa.array(c, k) for c, k in zip(out, (pa.int32(), *[pa.string()] * 5), strict=True)]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    windows = texts.select(*kept, text).mapInArrow(scan, schema)
-    if _few(seen):
-        return windows.join(F.broadcast(forms), "key").drop("key").select(*kept, *[c for c in forms.columns if c != "key"], "start", "matched",
-                                                                          "said", "before", "after")
-    return spread_join(settle(windows), forms, "key", "start").select(
-        *kept, *[c for c in forms.columns if c != "key"], "start", "matched", "said", "before", "after")
+    return texts.select(*kept, text).mapInArrow(scan, schema), _few(seen)
+
+
+def matches(texts: DataFrame, forms: DataFrame, *, table: np.ndarray | None = None, surround: int = 0, text: str = "text") -> DataFrame:
+    """Every occurrence of every form, overlapping ones too.
+
+    ``forms`` has ``key``, a form translated by ``table``, perhaps with one place
+    open, and other columns. Returns the columns of ``texts`` but the text, those of
+    ``forms``, and ``start``, ``matched`` (as in the text), ``said`` (translated),
+    ``before`` and ``after`` (up to ``surround`` characters). Null and empty keys
+    match nothing.
+    """
+    forms = forms.where("key <> ''")
+    placed, few = places(texts, forms, table=table, surround=surround, text=text)
+    return met(placed, forms, few).select(*[c for c in texts.columns if c != text], *[c for c in forms.columns if c != "key"], "start", "matched",
+                                          "said", "before", "after")
+
+
+def met(placed: DataFrame, forms: DataFrame, few: bool) -> DataFrame:
+    """Windows and the forms that they are, by ``key``: few forms go to every task, others are shuffled."""
+    return placed.join(F.broadcast(forms), "key") if few else spread_join(settle(placed), forms, "key", "start")
 
 
 def spread_join(rows: DataFrame, forms: DataFrame, key: str, by: str) -> DataFrame:
@@ -266,7 +330,7 @@ def spread_join(rows: DataFrame, forms: DataFrame, key: str, by: str) -> DataFra
     left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by, *[c for c in rows.columns if c != key]), F.lit(parts))).otherwise(0).cast("int"))
     last = F.when(F.col("_hot"), F.lit(parts - 1)).otherwise(0)
     right = forms.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"]).drop("_salt")
+    return left.drop("_hot").join(right.drop("_hot").hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def apart(hits: DataFrame, within: Sequence[str], *, longest_first: bool = False, stay: bool = False) -> DataFrame:

@@ -108,6 +108,8 @@ def fuzzy_corrections(spark, sf):
 
 def fuzzy_part_corrections(spark, sf):
     parts = inputs.table(spark, sf, "part").select(F.col("p_partkey").alias("meeting_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    # The rows of so narrow a table are a few splits, and each is compared with every form.
+    parts = parts.repartition("meeting_id", "text")
     return gl.fuzzy_corrections(parts, PART_FORMS, min_len=3)
 
 

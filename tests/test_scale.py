@@ -3,10 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.functions import tokens
-from colloquy.operators import chunking, factcheck
+from colloquy.operators import chunking, dictionary, factcheck
 from colloquy.operators import glossary as gl
 from colloquy.plans import inputs
 from colloquy.sources import model_output as mo
@@ -148,3 +149,14 @@ def test_hits_of_many_forms_stay_with_their_texts(spark):
     assert rows(gl.exact_hits(twice, terms)) == rows(hits)
     assert sorted((r.meeting_id or 0, r.term, r.occurrences) for r in gl.term_frequency(texts, terms).collect()) == [
         (r.meeting_id or 0, r.term, r.occurrences) for r in gl.term_frequency(twice, terms).orderBy(F.coalesce("meeting_id", F.lit(0)), "term").collect()]
+
+
+def test_short_texts_are_looked_through_together(spark):
+    """A pass for each of many short texts took a hundred times as long; what is found lies within one text."""
+    texts = ["ab", None, "", "cab", "b" * dictionary.PIECE, "a", "b"] + ["xa", "bx"] * 500
+    pieces = list(dictionary._joined(pa.array(texts, pa.string())))
+    assert [(first, len(bounds) - 1) for first, _, bounds in pieces] == [(0, 4), (4, 1), (5, len(texts) - 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "meeting_id int, text string").coalesce(1)
+    form = spark.createDataFrame([("ab",), ("b" * 9,)], "key string")
+    found = dictionary.matches(df, form, surround=5).where("matched = 'ab'").collect()
+    assert sorted((r.meeting_id, r.start, r.before, r.after) for r in found) == [(0, 0, "", ""), (3, 1, "c", "")]
