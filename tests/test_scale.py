@@ -160,3 +160,13 @@ def test_short_texts_are_looked_through_together(spark):
     form = spark.createDataFrame([("ab",), ("b" * 9,)], "key string")
     found = dictionary.matches(df, form, surround=5).where("matched = 'ab'").collect()
     assert sorted((r.meeting_id, r.start, r.before, r.after) for r in found) == [(0, 0, "", ""), (3, 1, "c", "")]
+
+
+def test_a_window_is_compared_once(spark):
+    """However often and in however many texts it occurs, and by whatever open place it passes."""
+    df = spark.createDataFrame([(i, "例力子百" * 300) for i in range(20)], "meeting_id int, text string")
+    forms = spark.createDataFrame([("例" + dictionary.WILD + "子",), (dictionary.WILD + "力子",), ("子百" + dictionary.WILD,)], "key string")
+    assert sorted(r.matched for r in dictionary.windows(df, forms).collect()) == ["例力子", "子百例"]
+    hits = gl.scan_phonetic(df, gl.glossary_table(spark, [gl.Term("立力子"), gl.Term("例立子")]), {"例": "li", "力": "li", "立": "li"})
+    assert {(r.term, r.matched, r["count"]) for r in hits.groupBy("term", "matched").count().collect()} == {
+        ("立力子", "例力子", 6000), ("例立子", "例力子", 6000)}
