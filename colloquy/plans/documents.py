@@ -22,6 +22,7 @@ from .terms import _HITS, LATIN
 AS_OF = date(2026, 1, 31)
 TEMPLATE = Template("demo", "演示纪要", (TemplateSection("The"), TemplateSection("De"), TemplateSection("Un"), TemplateSection("Q&A")))
 QA_CHARS, REWRITE_CHARS = 2000, 1000
+FILES_OF_PART = 10_000
 KINDS = ("rewrite", "block", "qa", "export_qa", "export_speech", "export_both", "final", "glossary")
 
 
@@ -143,9 +144,10 @@ def read_transcripts(spark, sf):
     """Every document as a file in a folder of its own, all of the same name but for what the writer adds, cleaned and keyed by the folder."""
     root = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
     texts = inputs.transcripts(spark, sf).where("meeting_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
-    texts.repartition("meeting_id").write.partitionBy("meeting_id").text(root)
-    read = files.read_transcripts(spark, root)
-    return read.select(F.regexp_extract("meeting_id", "^meeting_id=([^/]+)/part-", 1).cast("long").alias("meeting_id"), "text")
+    parts = max(files.PARTS, texts.count() // FILES_OF_PART)
+    # Spark reads some thirty small files a task; so many tasks would cost more than the files.
+    read = files.read_transcripts(spark, files.write_transcripts(texts, root, parts)).coalesce(parts)
+    return read.select(F.regexp_extract("meeting_id", "^part=\\d+/meeting_id=([^/]+)/part-", 1).cast("long").alias("meeting_id"), "text")
 
 
 def run_summary(spark, sf):

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,14 @@ except ImportError:  # pragma: no cover
     yaml = None
 
 
+# Folders that transcripts of one writing are dealt to.
+PARTS = 128
+
+
+def _without_store(path: str) -> str:
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+
+
 def transcript_files(spark: SparkSession, root: str, endings: Sequence[str] = ("txt", "md")) -> DataFrame:
     """``meeting_id, source, bytes, text, problem``: one row per transcript file below a folder.
 
@@ -35,7 +46,7 @@ def transcript_files(spark: SparkSession, root: str, endings: Sequence[str] = ("
     fine = F.is_valid_utf8("content")
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
     # The folder may be named without its store; paths have it.
-    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    folder = _without_store(root).rstrip("/") + "/"
     below = F.substr(F.col("path"), F.locate(folder, F.col("path")) + len(folder))
     return read.select(F.regexp_replace(below, "\\.[^./]*$", "").alias("meeting_id"), F.col("path").alias("source"),
                        F.col("length").alias("bytes"), F.when(fine, text).alias("text"), F.when(~fine, "not UTF-8").alias("problem"))
@@ -148,6 +159,42 @@ def write_documents(documents: DataFrame, root: str, suffix: str, mode: str = "o
     return path
 
 
+def write_transcripts(documents: DataFrame, root: str, parts: int = PARTS) -> str:
+    """Every transcript as a text file in a folder of its own, ``part=N/meeting_id=ID/part-*.txt`` below ``root``, a new folder.
+
+    Texts of one ID share a file, and each ends with a newline. A task writes a part
+    of the documents into the part's folder, so that Spark lists the parts side by side.
+    On a store of the file system (``file:``) tasks put their files in place
+    themselves: Spark's writer starts several processes a file there, and its driver
+    moves file by file. On other stores Spark writes and the tasks move.
+    """
+    dealt = (documents.select("meeting_id", "text").repartition(parts, "meeting_id").sortWithinPartitions("meeting_id", "text")
+             .withColumn("part", F.spark_partition_id()))
+    if not root.startswith("file:"):
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part", "meeting_id").text(root)
+        return root
+    place = _without_store(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(b["folder"].to_pylist(), b["text"], strict=True))
+        n = 0
+        for n, (folder, texts) in enumerate(groupby(rows, lambda row: row[0]), 1):
+            os.makedirs(f"{place}/{folder}", exist_ok=True)
+            # Another attempt of the task may write the same file: it appears whole or not at all.
+            unfinished = f"{place}/{folder}/.{uuid.uuid4().hex}"
+            with open(unfinished, "wb") as f:
+                for _, text in texts:
+                    f.write((text.as_py() or b"") + b"\n")
+            os.replace(unfinished, f"{place}/{folder}/part-0.txt")
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    os.makedirs(place, exist_ok=True)
+    key = F.coalesce(F.url_encode(F.col("meeting_id").cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    dealt.select(F.concat(F.lit("part="), "part", F.lit("/meeting_id="), key).alias("folder"), F.col("text").cast("binary").alias("text")) \
+        .mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
 def write_lines(lines: DataFrame, root: str, suffix: str, mode: str = "overwrite") -> str:
     """Laid out documents (``meeting_id, text_start, text``) as JSON lines: a document's lines follow each other, in one file or in several."""
     path = os.path.join(root, suffix)
