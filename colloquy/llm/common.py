@@ -90,7 +90,8 @@ def components(edges: DataFrame) -> DataFrame:
         back = [F.col("b").alias("a"), F.col("a").alias("b")]
         both = e.select(F.inline(F.array(F.struct("a", "b"), F.struct(*back))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = e.select(*back).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Two branches read it.
+        large = settled(e.select(*back).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         # A node keeps its edge to its smallest neighbour, and its other neighbours get one to that.
         e, now = marked(large.join(root, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")))
