@@ -148,3 +148,23 @@ def test_a_frequent_form_is_spread(spark):
     assert out.count() == 2 * 39_600 + 2
     parts = out.where("key = 'hot'").groupBy(F.pmod(F.xxhash64("start", "start"), F.lit(8))).count().count()
     assert parts == 8
+
+
+def test_sounds_are_found_in_place(spark, monkeypatch):
+    """Windows and hits went to disk before they were rows; a task that forgets, and terms beyond a task's memory, give the same."""
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choices("例力立电垫子字百\n", k=n))
+    texts = [(i % 40, word(rnd.randrange(90))) for i in range(60)] + [(None, word(50)), (7, None), (8, "")]
+    terms = sorted({word(n).strip() or "例" for n in (1, 2, 3, 4, 6) for _ in range(40)})
+    df, table = spark.createDataFrame(texts, TRANSCRIPTS), gl.glossary_table(spark, [Term(w) for w in terms])
+    scan = lambda: sorted(map(repr, gl.scan_phonetic(df, table, SOUNDS, min_term_len=1).collect()))
+    joined = []
+    settled = gl.settle
+    monkeypatch.setattr(gl, "settle", lambda rows: joined.append(1) or settled(rows))
+    got = scan()
+    assert len(got) > 200 and not joined
+    for name, value in (("SLICE", 7), ("HEARD", 20), ("HITS", 3)):
+        monkeypatch.setattr(gl, name, value)
+    assert scan() == got and not joined
+    monkeypatch.setattr(d, "BROADCAST_CHARS", 0)
+    assert scan() == got and joined
