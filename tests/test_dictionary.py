@@ -168,3 +168,40 @@ def test_sounds_are_found_in_place(spark, monkeypatch):
     assert scan() == got and not joined
     monkeypatch.setattr(d, "BROADCAST_CHARS", 0)
     assert scan() == got and joined
+
+
+def test_variants_are_kept_and_terms_counted_in_place(spark, monkeypatch):
+    """Hits went to disk before they were counted; a text in pieces and forms beyond a task's memory give the same, as do texts that share an id."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choices("ab例\n", k=n))
+    texts = [(i, word(rnd.randrange(120))) for i in range(30)] + [(40, "ab" * 90 + "aaaa" * 30), (41, None), (42, ""), (None, word(60))]
+    words = [word(n) for n in (1, 2, 3, 4) for _ in range(12)]
+    table = gl.glossary_table(spark, [Term(w, "", tuple(rnd.choices(words, k=3)), tuple(rnd.choices(words, k=3))) for w in words])
+    settled, joined = gl.settle, []
+    monkeypatch.setattr(gl, "settle", lambda rows: joined.append(1) or settled(rows))
+
+    def both(rows):
+        df = spark.createDataFrame(rows, TRANSCRIPTS)
+        return [sorted(map(repr, f(df, table).collect())) for f in (gl.scan_variants, gl.term_frequency)]
+
+    got = both(texts)
+    assert min(map(len, got)) > 200 and not joined
+    monkeypatch.setattr(d, "PIECE", 16)
+    monkeypatch.setattr(gl, "HITS", 3)
+    assert both(texts) == got and not joined
+    monkeypatch.setattr(gl, "OWN_FORMS", 0)
+    assert both(texts) == got
+    shared = both([*texts, (3, "ab例ab"), (None, "aab")])
+    monkeypatch.setattr(d, "BROADCAST_FORMS", 0)
+    joined.clear()
+    assert both(texts) == got and joined
+    assert both([*texts, (3, "ab例ab"), (None, "aab")]) == shared
+
+
+def test_a_glossary_of_one_split_is_spread(spark, tmp_path):
+    """A million parts are one split of a file: one task made all their forms."""
+    from colloquy.plans import terms
+
+    spark.range(100).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = terms._large_glossary(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and rows.count() == 100
