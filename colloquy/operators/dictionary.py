@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,11 @@ def translated(c: Column, table: np.ndarray | None) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([None if t is None else text_of(codes_of(t, table)) for t in b.to_pylist()], pa.string())
+            out: list[str] = []
+            for _, whole, bounds in _joined(b):
+                said = text_of(codes_of(whole, table))
+                out += [said[a:z] for a, z in pairwise(bounds.tolist())]
+            yield pa.array(out, pa.string(), mask=b.is_null().to_numpy(zero_copy_only=False))
 
     return F.arrow_udf(run, "string")(c)
 
