@@ -6,11 +6,12 @@ import json
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.glossary import Term
@@ -26,6 +27,11 @@ except ImportError:  # pragma: no cover
 
 # Folders that transcripts of one writing are dealt to.
 PARTS = 128
+# Paths, and bytes of files, that leave a task together.
+PATHS = 1 << 12
+BYTES = 1 << 23
+# Levels of folders that are dealt to tasks anew before the rest is walked.
+LEVELS = 2
 
 
 def _without_store(path: str) -> str:
@@ -35,23 +41,104 @@ def _without_store(path: str) -> str:
 def transcript_files(spark: SparkSession, root: str, endings: Sequence[str] = ("txt", "md")) -> DataFrame:
     """``meeting_id, source, bytes, text, problem``: one row per transcript file below a folder.
 
-    Spark lists the folder and packs small files into splits by their sizes. A
+    Of a folder on a store of the file system (``file:``) tasks list and read the files,
+    and the driver holds none of their names. On other stores Spark lists the folder on
+    the driver and packs small files into splits by their sizes. A
     ``meeting_id`` is the path below ``root`` without the ending, so that files of the
     same name in different folders stay apart. A file that is no UTF-8 has no text and a
     ``problem``; a mark of the byte order at its start is left out. A file of no bytes
     gives no row.
     """
-    read = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .where(F.lower("path").rlike(f"\\.({'|'.join(endings)})$")))
+    wanted = F.lower("path").rlike(f"\\.({'|'.join(endings)})$")
+    place = re.sub("/+", "/", _without_store(root))
+    if root.startswith("file:") and os.path.isabs(place) and os.path.isdir(place):
+        read = _files_below(spark, place, wanted)
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(wanted)
     fine = F.is_valid_utf8("content")
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
     # The folder may be named without its store; paths have it.
-    folder = _without_store(root).rstrip("/") + "/"
+    folder = place.rstrip("/") + "/"
     below = F.substr(F.col("path"), F.locate(folder, F.col("path")) + len(folder))
     return read.select(F.regexp_replace(below, "\\.[^./]*$", "").alias("meeting_id"), F.col("path").alias("source"),
                        F.col("length").alias("bytes"), F.when(fine, text).alias("text"), F.when(~fine, "not UTF-8").alias("problem"))
 
 
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's readers leave out."""
+    if name.startswith(".") or name.endswith("._COPYING_"):
+        return True
+    return name.startswith("_") and "=" not in name and not (folder and name.startswith(("_metadata", "_common_metadata")))
+
+
+def _walk(path: bytes, deep: bool) -> Iterator[tuple[bytes, int | None]]:
+    """Files of a folder with their lengths, and its folders with none; or all files below it."""
+    with os.scandir(path) as entries:
+        for e in entries:
+            try:
+                folder = e.is_dir()
+                if _hidden(os.fsdecode(e.name), folder):
+                    continue
+                if folder and deep:
+                    yield from _walk(e.path, True)
+                elif folder:
+                    yield e.path, None
+                elif size := e.stat().st_size:
+                    yield e.path, size
+            except FileNotFoundError:  # a link to nothing, or gone meanwhile
+                continue
+
+
+def _content(path: bytes) -> bytes:
+    """A file, compared with the sums of its pieces where Hadoop has written them beside it."""
+    with open(path, "rb") as f:
+        content = f.read()
+    folder, name = os.path.split(path)
+    try:
+        with open(os.path.join(folder, b"." + name + b".crc"), "rb") as f:
+            sums = f.read()
+    except FileNotFoundError:
+        return content
+    size, sums = int.from_bytes(sums[4:8], "big"), sums[8:]
+    for i in range(0, len(sums), 4):
+        if zlib.crc32(content[i // 4 * size:(i // 4 + 1) * size]) != int.from_bytes(sums[i:i + 4], "big"):
+            raise OSError(f"checksum of {os.fsdecode(path)}")
+    return content
+
+
+def _files_below(spark: SparkSession, place: str, wanted: Column) -> DataFrame:
+    """``path, length, content`` as Spark's reader of whole files has them. Tasks list the folders, one level after the other, and read the files."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def walk(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row for b in batches for path, size in zip(b["name"].to_pylist(), b["length"].to_pylist(), strict=True)
+                    for row in ([(path, size)] if size is not None else _walk(path, deep)))
+            while some := [*islice(rows, PATHS)]:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.int64())], ["name", "length"])
+
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, held = ([], [], []), 0
+            for *row, name in zip(b["path"].to_pylist(), b["length"].to_pylist(), b["name"].to_pylist(), strict=True):
+                for column, v in zip(columns, (*row, _content(name)), strict=True):
+                    column.append(v)
+                held += len(columns[2][-1])
+                if held > BYTES:
+                    yield pa.RecordBatch.from_pydict(dict(zip(("path", "length", "content"), columns, strict=True)), schema)
+                    columns, held = ([], [], []), 0
+            yield pa.RecordBatch.from_pydict(dict(zip(("path", "length", "content"), columns, strict=True)), schema)
+
+    schema = pa.schema({"path": pa.string(), "length": pa.int64(), "content": pa.binary()})
+    rows = spark.range(0, 1, 1, 1).select(F.lit(os.fsencode(place)).alias("name"), F.lit(None).cast("long").alias("length"))
+    for level in range(LEVELS + 1):
+        rows = rows.mapInArrow(walk(level == LEVELS), "name binary, length long").repartition(parts, "name")
+    named = rows.withColumn("path", F.concat(F.lit("file:"), F.decode("name", "UTF-8"))).where(wanted)
+    return named.select("path", "length", "name").mapInArrow(read, "path string, length long, content binary")
+
+
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """``meeting_id, source, text`` of the readable files below a folder."""
     return transcript_files(spark, root).where("problem IS NULL").select("meeting_id", "source", "text")

@@ -34,3 +34,28 @@ def test_written_transcripts_are_whole_files(spark, tmp_path, store):
     got = files.read_transcripts(spark, root).select(F.regexp_extract("meeting_id", "meeting_id=(\\d+)/", 1).cast("int"), "text").collect()
     assert sorted(map(tuple, got)) == [(i, f"t{i}\n") for i in range(40)]
     assert not [n for d, _, names in os.walk(f"{tmp_path}/out") for n in names if n.startswith(".") and not n.endswith(".crc")]
+
+
+def test_the_driver_holds_no_names_of_files(spark, tmp_path):
+    """Spark's list took 1.4 KB of the driver for each file; tasks list and read what Spark's reader does."""
+    root = tmp_path / "a b=%20/in"
+    named = {"one.txt": b"1", "x/two.MD": "﻿é".encode(), "x/y/z/deep/three.txt": b"3\n", "x/bad.txt": b"\xff\xfe", "x/none.txt": b"", "x/no.csv": b"n",
+             "_skip/a.txt": b"s", ".hid/a.txt": b"h", "_k=1/kept.txt": b"k", "x/_not.txt": b"u", "x/.dot.txt": b"d", "x/c.txt._COPYING_": b"c",
+             "_metadata/in.txt": b"m", "_metadata.txt": b"f", "é/ü.txt": b"u"}
+    for name, content in named.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    os.symlink(root / "nothing", root / "x" / "lost.txt")
+    os.symlink(root / "x" / "y", root / "linked")
+    rows = lambda place: sorted(map(repr, files.transcript_files(spark, place).collect()))
+    assert rows(f"file:{root}") == rows(str(root)) == rows(f"file://{root}/") and len(rows(f"file:{root}")) == 8
+    assert files.read_transcripts(spark, f"file:{root}").inputFiles() == []
+
+
+def test_sums_that_hadoop_wrote_are_compared(spark, tmp_path):
+    spark.createDataFrame([("text " * 300,)], "t string").coalesce(1).write.text(f"{tmp_path}/in")
+    assert [r.text for r in files.read_transcripts(spark, f"file:{tmp_path}/in").collect()] == ["text " * 300 + "\n"]
+    (name,) = (tmp_path / "in").glob("part-*.txt")
+    name.write_bytes(name.read_bytes().replace(b"text", b"tent", 1))
+    with pytest.raises(Exception, match="checksum"):
+        files.read_transcripts(spark, f"file:{tmp_path}/in").collect()
