@@ -4,11 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import dictionary as d
 from colloquy.operators import glossary as gl
+from colloquy.operators import lookup
 from colloquy.operators.glossary import Term
 from colloquy.schemas import TRANSCRIPTS
 
@@ -163,7 +165,7 @@ def test_sounds_are_found_in_place(spark, monkeypatch):
     monkeypatch.setattr(gl, "settle", lambda rows: joined.append(1) or settled(rows))
     got = scan()
     assert len(got) > 200 and not joined
-    for name, value in (("SLICE", 7), ("HEARD", 20), ("HITS", 3)):
+    for name, value in (("SLICE", 2), ("HEARD", 20), ("HITS", 3)):
         monkeypatch.setattr(gl, name, value)
     assert scan() == got and not joined
     monkeypatch.setattr(d, "BROADCAST_CHARS", 0)
@@ -171,7 +173,7 @@ def test_sounds_are_found_in_place(spark, monkeypatch):
 
 
 def test_variants_are_kept_and_terms_counted_in_place(spark, monkeypatch):
-    """Hits went to disk before they were counted; a text in pieces and forms beyond a task's memory give the same, as do texts that share an id."""
+    """Hits went to disk before they were counted; forms beyond a task's memory give the same, as do texts that share an id."""
     rnd = random.Random(11)
     word = lambda n: "".join(rnd.choices("ab例\n", k=n))
     texts = [(i, word(rnd.randrange(120))) for i in range(30)] + [(40, "ab" * 90 + "aaaa" * 30), (41, None), (42, ""), (None, word(60))]
@@ -186,7 +188,6 @@ def test_variants_are_kept_and_terms_counted_in_place(spark, monkeypatch):
 
     got = both(texts)
     assert min(map(len, got)) > 200 and not joined
-    monkeypatch.setattr(d, "PIECE", 16)
     monkeypatch.setattr(gl, "HITS", 3)
     assert both(texts) == got and not joined
     monkeypatch.setattr(gl, "OWN_FORMS", 0)
@@ -198,6 +199,32 @@ def test_variants_are_kept_and_terms_counted_in_place(spark, monkeypatch):
     assert both([*texts, (3, "ab例ab"), (None, "aab")]) == shared
 
 
+@pytest.mark.parametrize("piece", [16, 1 << 17])
+def test_hits_of_an_index(monkeypatch, piece):
+    """Short texts together, and a long one in pieces; occurrences of a form do not overlap, and many windows are no form."""
+    rnd = random.Random(piece)
+    monkeypatch.setattr(d, "PIECE", piece)
+    monkeypatch.setattr(lookup, "PAIRS", 2)
+    monkeypatch.setattr(d, "MOST_BITS", 7)
+    word = lambda n: "".join(rnd.choices("ab例", k=n))
+    texts = ["a" * 40 + word(200) + "ab" * 30, *([] if piece == 16 else [word(rnd.randrange(50)) for _ in range(20)])]
+    forms = sorted({word(n) for n in (1, 2, 3, 5, 20) for _ in range(8)} | {"aaa", "ababa", "aaaaa"})
+    index = lookup.Index(pa.array(forms))
+    hits, keys, counts = index.counted(d.codes_of("".join(texts), None), np.cumsum([0, *map(len, texts)]))
+    begin = np.cumsum([0, *map(len, texts)])
+    want = {(i, f): greedy(t, f) for i, t in enumerate(texts) for f in forms if greedy(t, f)}
+    assert {(int(k) // len(forms), forms[k % len(forms)]): n for k, n in zip(keys, counts)} == {k: len(v) for k, v in want.items()}
+    got = sorted((int(r), forms[f], int(s - begin[r])) for rows, ids, starts in hits() for r, f, s in zip(rows, ids, starts))
+    assert got == sorted((i, f, s) for (i, f), v in want.items() for s in v)
+
+
+def test_windows_that_sound_like_no_term():
+    letters = d.table_of({c: "例" for c in "例力立"})
+    sounds = gl.Sounds(pa.table({"term": ["例力子", "电子"], "cjk": [True, True], "han": [True, True]}), letters)
+    assert [[x.tolist() for x in found] for found in sounds.terms_of(["百百百", "力力子"])] == [[[], []], [[0], [2]]]
+    assert [len(x) for found in sounds.terms_of(["百百百"]) for x in found] == [0, 0]
+
+
 def test_a_glossary_of_one_split_is_spread(spark, tmp_path):
     """A million parts are one split of a file: one task made all their forms."""
     from colloquy.plans import terms
